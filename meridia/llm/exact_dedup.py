@@ -45,7 +45,8 @@ def frequent_digests(rows: DataFrame, digest: str = "_digest") -> DataFrame:
     parts = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("_g")).agg(
         F.expr(f"approx_top_k_accumulate({digest}, {COUNTERS})").alias("_s")
     )
-    whole = parts.agg(F.expr(f"approx_top_k_combine(_s, {COUNTERS})").alias("_s"))
+    # grouped, if only by one value: an ungrouped combine fails on an empty partition
+    whole = parts.groupBy((F.col("_g") >= 0).alias("_all")).agg(F.expr(f"approx_top_k_combine(_s, {COUNTERS})").alias("_s"))
     return (
         whole.select(F.explode(F.expr(f"approx_top_k_estimate(_s, {MAX_HEAVY})")).alias("_c"))
         .filter(F.col("_c.count") >= MIN_HEAVY // 2)
