@@ -10,6 +10,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import captures_of_pages, resolve_revisits
+
+    found = resolve_revisits(captures_of_pages(_table(spark, sf_dir, "pages")))
+    names = ("cache-control", "content-type", "date", "etag", "set-cookie")
+    headers = F.concat_ws("|", *(F.concat(F.lit(n + "="), F.col("headers")[n]) for n in names))
+    return found.select("record_id", "url_key", "ts", "kind", "source_id", "status", "digest", headers.alias("headers"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import mark_duplicates
 
@@ -23,12 +39,31 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_search import top_k
+
+    table = _table(spark, sf_dir, "embeddings")
+    return top_k(table, table["vec_id"] % 50 == 0)
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import mark_near_duplicates
+
+    return mark_near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, tokenized_pieces
     from .scratch import materialize
@@ -38,7 +73,19 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table).drop("_row")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_token_files, op7_token_counts, op9_best_fit_packing)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_counts
+
+    return mix_counts(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_warc_revisits, op3_exact_dedup, op4_token_files, op5_exact_topk,
+        op6_minhash_near_dedup, op7_token_counts, op8_html_text, op9_best_fit_packing, op10_mixing,
+    )
+}
 
 #: For DuckDB. The other operators are tested against brute force, round trips or held-out
 #: rows instead: SQL can't tokenize, train, traverse a DOM or follow links to a fixpoint.
@@ -52,4 +99,53 @@ ORACLE_SQL = {
                doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
         FROM d
     """,
+    "op5_exact_topk": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ), r AS (
+          SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+    "op2_warc_revisits": r"""
+        WITH u AS (
+          SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages
+        ), k AS (
+          SELECT page_id, sha256(coalesce(html, '')) AS digest,
+            regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '')
+            || regexp_replace(regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/index\.html?$', '/'), '/+$', '') AS place,
+            list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
+              lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|gclid|fbclid|ref|sessionid)(=|$)'))) AS query
+          FROM u
+        ), p AS (
+          SELECT page_id, digest, '"' || substr(digest, 1, 16) || '"' AS tag,
+                 place || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS url_key
+          FROM k
+        ), responses AS (
+          SELECT page_id * 2 AS record_id, url_key, page_id * 600 AS ts, digest, tag FROM p
+        ), revisits AS (
+          SELECT page_id * 2 + 1 AS record_id, url_key, page_id * 600 + 86400 AS ts, tag FROM p
+        ), met AS (
+          SELECT v.record_id, v.url_key, v.ts, v.tag, r.record_id AS source_id, r.digest, r.tag AS source_tag,
+                 row_number() OVER (PARTITION BY v.record_id ORDER BY r.ts DESC, r.record_id DESC) AS n
+          FROM revisits v LEFT JOIN responses r ON r.url_key = v.url_key AND r.ts <= v.ts
+        )
+        SELECT record_id, url_key, ts, 'response' AS kind, record_id AS source_id, 'full' AS status, digest,
+               'content-type=text/html|date=' || ts || '|etag=' || tag AS headers
+        FROM responses
+        UNION ALL
+        SELECT record_id, url_key, ts, 'revisit',
+               CASE WHEN tag = source_tag THEN source_id END,
+               CASE WHEN source_id IS NULL THEN 'missing' WHEN tag = source_tag THEN 'resolved' ELSE 'stale' END,
+               CASE WHEN tag = source_tag THEN digest END,
+               CASE WHEN tag = source_tag THEN 'content-type=text/html|date=' || ts || '|etag=' || tag
+                    ELSE 'date=' || ts || '|etag=' || tag || '|set-cookie=x=1' END
+        FROM met WHERE n = 1
+    """,
 }
