@@ -16,11 +16,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Entries in a worker's table (about 200 MB), the longest segment worth keeping, characters
+#: Entries in a worker's tables (about 200 MB), the longest segment worth keeping, characters
 #: of text whose unknown segments are looked up together, and segments encoded in one call.
-TABLE, LONGEST, AT_ONCE, JOINED = 1_000_000, 48, 400_000, 200
+TABLE, LONGEST, AT_ONCE, JOINED = 1_000_000, 48, 1_000_000, 200
 _UNSAFE = re.compile(r"\s (?:\s|$)")
 _CUTS = re.compile(r"(?<=\S)(?= )")
+#: Line breaks beside other white space or at an end; separators that only Python calls space.
+_LINES = re.compile(r"\n(?:\s|$)|\s\n|^\n")
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 
 def public_path(name: str) -> str:
@@ -47,40 +50,74 @@ class _Segments(dict):
         return blob
 
 
+class _Local(dict):
+    """The segments of the texts at hand, small enough to stay in the processor's cache."""
+
+    def __init__(self, table: _Segments):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, segment: str) -> bytes:
+        ids = self[segment] = self.table[segment]
+        return ids
+
+
+#: Signs that make a piece of their own after letters (no apostrophe: "'s" is a piece), and
+#: the first letter past the scripts on which all Unicode versions agree.
+_SIGNS, _LATER = '.,;:!?()[]{}<>|/\\"*#$%&@+=~^_-', "\u0530"
+
+
 class _Joined:
-    """Encodes many unknown segments in one call and takes the ids apart again: where a
-    space starts the next piece, at the tokens that start with a space; where white space
-    is dropped, at a sign that stands between segments and has a token of its own."""
+    """Encodes many unknown segments in one call and takes the ids apart again.
 
-    SIGN = "\u00a7"
+    Most segments are letters and then signs, which the pre-tokenizers part: ids of the
+    letters and of the signs are looked up apart, so "word", "word." and "word," are encoded
+    once. Letters are joined by spaces; where a space starts the next piece, the tokens that
+    start with one show where each begins, and where white space is dropped, each is one
+    piece, of which the last token has an end mark."""
 
-    def __init__(self, tokenizer, rule: str | None):
+    def __init__(self, tokenizer, rule: str):
         self.tokenizer, self.rule = tokenizer, rule
-        if rule == "kept":
-            self.starts = np.zeros(tokenizer.get_vocab_size() + 1, bool)
-            self.starts[[i for t, i in tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-        elif rule == "dropped":
-            sign = tokenizer.encode(self.SIGN, add_special_tokens=False).ids
-            self.sign = sign[0] if len(sign) == 1 else None
-
-    def fits(self, segment: str) -> bool:
-        if not segment or len(segment) > LONGEST:
-            return False
-        return not segment[0].isspace() if self.rule == "kept" else self.sign is not None and self.SIGN not in segment
-
-    def encode(self, part: list[str]) -> list[bytes] | None:
-        kept = self.rule == "kept"
-        text = " " + " ".join(part) if kept else f" {self.SIGN} ".join(part) + f" {self.SIGN}"
-        [enc] = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        mark = (lambda t: t.startswith("\u0120")) if rule == "kept" else (lambda t: t.endswith("</w>"))
+        self.marks = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        self.marks[[i for t, i in tokenizer.get_vocab().items() if mark(t)]] = True
+        self.letters: dict[str, bytes] = {}
+        self.signs = _Segments(tokenizer, "")
+
+    def learn(self, segments: list[str]) -> dict[str, bytes]:
+        """Ids of the segments it can take apart; the others are encoded alone, when met."""
+        known, signs, lower, parts, found = self.letters, self.signs, self.rule == "dropped", [], {}
+        for x in segments:
+            letters = x.rstrip(_SIGNS)
+            if letters.isalpha() and len(x) <= LONGEST:
+                if letters.isascii():
+                    parts.append((x, letters.lower() if lower else letters, len(letters)))
+                elif max(letters) < _LATER:
+                    parts.append((x, letters, len(letters)))
+        new = list({letters for _, letters, _ in parts if letters not in known})
+        if len(known) + len(new) > TABLE:
+            known.clear()
+            new = list({letters for _, letters, _ in parts})
+        for k in range(0, len(new), JOINED):
+            part = new[k : k + JOINED]
+            known.update(zip(part, self._encode(part), strict=False))
+        for x, letters, n in parts:
+            if letters in known:
+                found[x] = known[letters] + signs[x[n:]] if n < len(x) else known[letters]
+        return found
+
+    def _encode(self, part: list[str]) -> list[bytes]:
+        [enc] = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
         ids = np.asarray(enc.ids, "<u4")
-        blob = ids.tobytes()
-        if kept:
-            a = (np.flatnonzero(self.starts[ids]) * 4).tolist()
-            b, step = [*a[1:], len(blob)], 0
+        blob, at = ids.tobytes(), np.flatnonzero(self.marks[ids]).tolist()
+        if len(at) != len(part):
+            return []
+        if self.rule == "kept":
+            a, b = [4 * x for x in at], [*(4 * x for x in at[1:]), len(blob)]
         else:
-            b, step = (np.flatnonzero(ids == self.sign) * 4).tolist(), 4
-            a = [0, *(x + step for x in b[:-1])]
-        return [blob[x:y] for x, y in zip(a, b, strict=True)] if len(a) == len(part) else None
+            b = [4 * x + 4 for x in at]
+            a = [0, *b[:-1]]
+        return [blob[x:y] for x, y in zip(a, b, strict=True)]
 
 
 def _cut_rule(path: str) -> str | None:
@@ -115,28 +152,40 @@ class Encoder:
         self.rest = _Segments(self.tokenizer, " ") if self.rule == "kept" else self.first
         self.joined = _Joined(self.tokenizer, self.rule) if self.rule else None
 
-    def _learn(self, segments: set[str]) -> None:
-        table, joined = self.rest, self.joined
-        new = [x for x in segments if x not in table and joined.fits(x)]
-        if len(table) + len(new) > TABLE:
+    def _learn(self, segments: set[str]) -> _Local:
+        table, local, new = self.rest, _Local(self.rest), []
+        if len(table) + len(segments) // 2 > TABLE:
             table.clear()
-            new = [x for x in segments if joined.fits(x)]
-        for k in range(0, len(new), JOINED):
-            part = new[k : k + JOINED]
-            table.update(zip(part, joined.encode(part) or (), strict=False))  # none: one by one, when met
-
-    def _cut(self, text: str) -> tuple[str, list[str]] | None:
-        if self.rule is None or self.rule == "kept" and _UNSAFE.search(text):
+        for x in segments:
+            if x in table:
+                local[x] = table[x]
+            else:
+                new.append(x)
+        found = self.joined.learn(new)
+        table.update(found)
+        local.update(found)
+        return local
+
+    def _cut(self, text: str) -> list[list[str]] | None:
+        """Words of each line, or None for texts that need another way."""
+        if self.rule == "dropped":
+            return [text.split(" ") if _SEPARATORS.search(text) else text.split()]
+        if self.rule is None or _UNSAFE.search(text):
             return None
-        head, *words = text.split(" ")
-        return head, words
-
-    def _ids(self, text: str, cut: tuple[str, list[str]] | None) -> bytes:
-        if cut:
-            return self.first[cut[0]] + b"".join(map(self.rest.__getitem__, cut[1]))
-        if self.rule is None:
-            return self.first.__missing__(text)
-        return b"".join(map(self.first.__getitem__, _CUTS.split(text)))
+        if "\n" not in text:
+            return [text.split(" ")]
+        # a line break alone between other characters is a piece, and so is what follows it
+        return [line.split(" ") for line in text.split("\n")] if not _LINES.search(text) else [text.split(" ")]
+
+    def _ids(self, text: str, cut: list[list[str]] | None, local: dict[str, bytes] | None = None) -> bytes:
+        if cut is None:
+            if self.rule is None:
+                return self.first.__missing__(text)
+            return b"".join(map(self.first.__getitem__, _CUTS.split(text)))
+        first, rest = self.first.__getitem__, (self.rest if local is None else local).__getitem__
+        if self.rule == "dropped":
+            return b"".join(map(rest, cut[0]))
+        return first("\n").join([first(words[0]) + b"".join(map(rest, words[1:])) for words in cut])
 
     def encode(self, text: str | None) -> bytes:
         return self._ids(text, self._cut(text)) if text else b""
@@ -154,10 +203,11 @@ class Encoder:
 
     def _together(self, texts: list[str]) -> Iterator[bytes]:
         cuts = [self._cut(t) for t in texts]
+        local = None
         if self.joined:
-            self._learn(set().union(*(c[1] for c in cuts if c)))
+            local = self._learn(set().union(*(words if self.rule == "dropped" else words[1:] for c in cuts if c for words in c)))
         for text, cut in zip(texts, cuts, strict=True):
-            yield self._ids(text, cut)
+            yield self._ids(text, cut, local) if text else b""
 
     def count(self, text: str | None) -> int:
         return len(self.encode(text)) // 4
