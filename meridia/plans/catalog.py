@@ -2,5 +2,408 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from meridia.functions.time import DAY, HOUR, MINUTE, civil_to_utc_us, to_us
+from meridia.operators import asof, integrity, measures, records
+from meridia.sources.tables import table
+
+from .oracle import ORACLE_SQL
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _events(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", to_us(F.col("ts")).alias("ts_us"), "event_type", "value", "ts", "props")
+    return rows.filter(F.col("event_type").isin(*kinds)) if kinds else rows
+
+
+@query
+def aligned_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each anomaly the vehicle's latest signal at or before it, with the owner's label."""
+    frames = _events(spark, sf_dir, "error").select("user_id", "event_id", "ts_us")
+    signals = _events(spark, sf_dir, "view").select("user_id", "ts_us", F.col("event_id").alias("signal_id"), F.col("value").alias("signal_value"))
+    found = asof.asof_join(frames, signals, ["user_id"], "ts_us", ["signal_id", "signal_value"], 7 * DAY)
+    owner = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_u"), F.col("c_nationkey").alias("code"))
+    labels = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("label"))
+    named = records.with_label(found.join(owner, F.col("user_id") == F.col("_u"), "left"), "code", labels)
+    return named.select("event_id", "user_id", "ts_us", "signal_id", "signal_value", (F.col("ts_us") - F.col("matched_ts_us")).alias("age_us"), F.coalesce("label", F.lit("unknown")).alias("label"))
+
+
+@query
+def window_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole window of one request, in one range filter that reaches the scan."""
+    rows = table(spark, sf_dir, "events")
+    inside = (F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-13").cast("timestamp_ntz"))
+    return rows.filter(inside).select("event_id", "user_id", "event_type", "value", to_us(F.col("ts")).alias("ts_us"))
+
+
+@query
+def point_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _events(spark, sf_dir, "view").select("user_id", "ts_us", "value")
+    copies = points.filter(F.col("user_id") % 3 == 0)
+    other = points.filter(F.col("user_id") % 5 == 0).withColumn("value", F.col("value") + 1)
+    return records.distinct_points(points.unionByName(copies).unionByName(other))
+
+
+@query
+def message_idempotency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = _events(spark, sf_dir).select(F.col("event_id").alias("message_id"), F.col("user_id").alias("vehicle"), F.col("ts_us").alias("received_us"))
+    again = sent.filter(F.col("vehicle") % 4 == 1).withColumn("received_us", F.col("received_us") + 5 * MINUTE)
+    return records.first_by(again.unionByName(sent), ["message_id"], ["received_us"])
+
+
+@query
+def frame_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).select("user_id", "event_id", "ts_us")
+    return measures.with_gap(rows, ["user_id"], "ts_us", "event_id")
+
+
+@query
+def frame_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.rate(_events(spark, sf_dir), ["user_id"], "ts_us", HOUR)
+
+
+@query
+def skip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).select("user_id", "event_id", "ts_us")
+    return measures.skips(rows, ["user_id"], "ts_us", "event_id", 6 * HOUR)
+
+
+@query
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.quantiles(_events(spark, sf_dir), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+@query
+def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.histogram(_events(spark, sf_dir), ["event_type"], "value", 10.0)
+
+
+@query
+def event_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five points nearest to each anomaly, within half an hour."""
+    anchors = _events(spark, sf_dir, "error").select("user_id", F.col("event_id").alias("anchor_id"), F.col("ts_us").alias("anchor_us"))
+    points = _events(spark, sf_dir).filter("event_type <> 'error'").select("user_id", "event_id", "event_type", "ts_us")
+    pairs = asof.interval_join(anchors, points, ["user_id"], "anchor_us", "ts_us", 30 * MINUTE)
+    near = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.abs(F.col("ts_us") - F.col("anchor_us")), "event_id"))
+    return pairs.withColumn("place", near.cast("long")).filter("place <= 5").select("anchor_id", "event_id", "event_type", (F.col("ts_us") - F.col("anchor_us")).alias("offset_us"), "place")
+
+
+@query
+def state_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.runs(_events(spark, sf_dir), ["user_id"], "ts_us", "event_id", "event_type")
+
+
+@query
+def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", "5 hours")
+
+
+@query
+def stage_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).withColumn("day", F.floor(F.col("ts_us") / DAY))
+    return measures.stage_durations(rows, ["user_id", "day"], "event_type", "ts_us", 900_000_000)
+
+
+@query
+def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes to labels; a code that the dimension lacks keeps its number."""
+    coded = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") + 3).alias("code"))
+    labels = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("label"))
+    return records.with_label(coded, "code", labels).select("c_custkey", F.col("code").cast("long").alias("code"), "label")
+
+
+@query
+def unknown_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = _events(spark, sf_dir).select(F.expr("try_cast(get_json_object(props, '$.k') as bigint)").alias("code"))
+    return records.unknown_codes(codes, "code", table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("code")))
+
+
+@query
+def source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for attempts: priority for the environment, status for the outcome."""
+    outcome = F.when(F.col("o_orderstatus") == "P", "error").when(F.col("o_orderstatus") == "F", "ok").otherwise("empty")
+    env = F.when(F.col("o_orderpriority") <= "3", "primary").otherwise("fallback")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").cast("long").alias("year"), outcome.alias("outcome"), env.alias("env"))
+    return records.choose_source(rows, ["o_custkey", "year"])
+
+
+@query
+def same_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.one_environment(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_returnflag")
+
+
+@query
+def complete_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.count("*").over(_by("l_orderkey")).alias("total"))
+    return records.complete_pages(rows, ["l_orderkey"], "l_linenumber", "total")
+
+
+def _by(*key: str):
+    return Window.partitionBy(*key)
+
+
+@query
+def branch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose both branches hold: something shipped, and nothing before the order."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate", "l_returnflag")
+    window = items.join(orders.select("o_orderkey", "o_orderdate"), "o_orderkey").groupBy("o_orderkey").agg(F.every(F.col("l_shipdate") >= F.col("o_orderdate")).alias("passed"))
+    content = items.groupBy("o_orderkey").agg(F.some(F.col("l_returnflag") != "R").alias("passed"))
+    return records.gate(window, content, ["o_orderkey"])
+
+
+@query
+def retry_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines stand for attempts; a returned line is a failure that is not retried."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")
+    ok = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus"]
+    return records.pick_attempt(rows, ["l_orderkey"], order, ok, F.col("l_returnflag") == "R")
+
+
+@query
+def fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = _events(spark, sf_dir, "signup").select("event_id", "user_id", "ts_us")
+    return records.fair_order(tasks, "user_id", "ts_us", "event_id", DAY)
+
+
+@query
+def slot_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.admitted(_events(spark, sf_dir, "signup").select("event_id", "user_id", "ts_us"), "user_id", "ts_us", "event_id", 2)
+
+
+@query
+def status_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir, "signup").select("user_id", F.floor(F.col("ts_us") / DAY).alias("day"), "event_id")
+    return records.binding(rows, ["user_id", "day"], "event_id")
+
+
+@query
+def task_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest state of each task on each of its two axes, kept apart."""
+    axis = F.when(F.col("event_type").isin("view", "click"), "execution").otherwise("delivery")
+    rows = _events(spark, sf_dir).select("user_id", axis.alias("axis"), "ts_us", "event_id", F.col("event_type").alias("state"))
+    return records.last_by(rows, ["user_id", "axis"], ["ts_us", "event_id"])
+
+
+@query
+def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).select("user_id", "ts_us", "event_id", "event_type")
+    allowed = [("signup", "view"), ("view", "click"), ("click", "purchase"), ("view", "view")]
+    return records.transitions(rows, "user_id", "ts_us", "event_id", "event_type", allowed)
+
+
+@query
+def followup_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Head of each conversation's queue: the first user turn that nothing follows up."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    after = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    asked = turns.withColumn("_next", after).filter("role = 'user'")
+    return records.next_unfinished(asked, "conv_id", "turn", F.coalesce(F.col("_next") == "assistant", F.lit(False)))
+
+
+@query
+def recovery_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    branch = F.when(F.col("l_linenumber") % 2 == 1, "log").otherwise("signal")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), branch.alias("branch"), "l_returnflag")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return records.recovery_plan(rows, "o_orderkey", "branch", F.col("l_returnflag") == "N", orders.filter("o_orderstatus = 'F'"), orders.filter("o_orderpriority LIKE '1%'"))
+
+
+def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.file_digests(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+def _receipts(artifacts: DataFrame) -> DataFrame:
+    kind = F.col("page_id") % 7
+    size = F.when(kind == 1, F.col("bytes") + 1).otherwise(F.col("bytes"))
+    result = F.when(kind == 2, "unknown").when(kind == 3, "failed").otherwise("confirmed")
+    return artifacts.filter(kind != 4).select("page_id", "sha256", size.alias("bytes"), result.alias("result"))
+
+
+@query
+def delivery_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    artifacts = _artifacts(spark, sf_dir)
+    return records.delivery_status(artifacts, _receipts(artifacts), "page_id")
+
+
+@query
+def delivery_resend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    artifacts = _artifacts(spark, sf_dir)
+    status = records.delivery_status(artifacts, _receipts(artifacts), "page_id")
+    return records.resend_plan(status, artifacts.filter("bytes > 1500"), "page_id")
+
+
+@query
+def completion_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completed artifacts to announce: those without a confirmed delivery."""
+    artifacts = _artifacts(spark, sf_dir)
+    sent = records.delivery_status(artifacts, _receipts(artifacts), "page_id").filter("status = 'sent'")
+    return artifacts.join(sent, "page_id", "left_anti").select("page_id", "sha256")
+
+
+@query
+def artifact_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    flags = {
+        "has_doctype": html.startswith("<!DOCTYPE html>"),
+        "is_closed": html.endswith("</html>"),
+        "has_article": html.contains("<article>"),
+        "self_contained": ~html.rlike(r'<script[^>]+src='),
+        "in_size": F.octet_length(html).between(1000, 50_000),
+    }
+    rows = table(spark, sf_dir, "pages").select("page_id", *(v.alias(k) for k, v in flags.items()))
+    valid = F.lit(True)
+    for k in flags:
+        valid = valid & F.col(k)
+    return rows.withColumn("valid", valid)
+
+
+@query
+def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    return records.expired(orders, "o_orderdate", 14).select("o_orderkey", "o_orderstatus")
+
+
+@query
+def manifest_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against a manifest made from the labels, with some sizes off by one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("bytes")).filter("doc_id % 11 <> 0")
+    listed = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    off = F.when(F.col("toxic") == 1, 1).otherwise(0)
+    return integrity.reconcile(docs, listed.select("doc_id", (F.col("n_chars") + off).alias("bytes")), "doc_id", ["bytes"])
+
+
+@query
+def provenance_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter("doc_id % 13 <> 0").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    listed = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    told = F.when(F.col("quality") == 0, F.sha2(F.lit("changed").cast("binary"), 256)).otherwise(F.sha2(F.col("text").cast("binary"), 256))
+    return integrity.subset_violations(listed.select("doc_id", told.alias("sha256")), docs, "doc_id", "sha256")
+
+
+@query
+def file_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.file_digests(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One manifest for each hundred pages."""
+    rows = table(spark, sf_dir, "pages").select(
+        F.floor(F.col("page_id") / 100).alias("manifest"), F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"), F.sha2(F.col("html").cast("binary"), 256).alias("sha256")
+    )
+    return integrity.canonical_digest(rows, ["manifest"], "path", "sha256")
+
+
+@query
+def case_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    name = F.when(F.col("p_size") % 2 == 0, F.upper("p_type")).otherwise(F.lower("p_type"))
+    return integrity.case_collisions(part.select(F.concat_ws("/", name, "p_brand").alias("name")), "name")
+
+
+RULES = [
+    ("mail", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+"),
+    ("secret", r"(secret|token|api_key|password)\s*[:=]"),
+    ("license", r"[Ll]icense"),
+    ("address", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
+    ("long_number", r"[0-9]{13,}"),
+]
+
+
+@query
+def rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.scan_rules(table(spark, sf_dir, "documents"), "doc_id", "text", RULES)
+
+
+@query
+def url_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    allowed = spark.createDataFrame([("www.ththre.example.com",), ("m.ththth.example.net",), ("blog.tiontion.example.com",)], "token string")
+    found = integrity.disallowed_tokens(pages, "page_id", "url", r"https?://([^/?#]+)", allowed)
+    return found.groupBy(F.col("token").alias("host")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def vin_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicle-shaped tokens of seventeen signs; all digits and synthetic ones are fine."""
+    docs = table(spark, sf_dir, "documents")
+    token = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("TESTVEH"), F.lpad(F.col("doc_id").cast("string"), 10, "0"))).when(F.col("doc_id") % 3 == 1, F.lpad(F.col("doc_id").cast("string"), 17, "1")).otherwise("SYNTHETC000000001")
+    text = docs.select("doc_id", F.concat_ws(" ", "text", token).alias("text"))
+    allowed = spark.createDataFrame([("SYNTHETC000000001",)], "token string")
+    found = integrity.disallowed_tokens(text, "doc_id", "text", r"(?<![A-Za-z0-9_])([A-HJ-NPR-Z0-9]{17})(?![A-Za-z0-9_])", allowed)
+    return found.filter(~F.col("token").rlike("^[0-9]+$")).select("doc_id", "token")
+
+
+@query
+def path_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("p_partkey") % 8
+    path = (
+        F.when(kind == 0, F.concat(F.lit("/"), "p_name")).when(kind == 1, F.concat(F.lit("a/../"), "p_name")).when(kind == 2, F.concat(F.lit("a/__pycache__/"), "p_name"))
+        .when(kind == 3, F.concat("p_name", F.lit(".PEM"))).when(kind == 4, F.lit("x/.env.local")).when(kind == 5, F.lit("x/.env.example")).otherwise(F.concat(F.lit("src/"), "p_name", F.lit(".py")))
+    )
+    rows = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    return rows.select("p_partkey", integrity.path_verdict(F.col("path"), ["__pycache__", ".git", "secrets"], [".pem", ".key", ".pfx"]).alias("verdict"))
+
+
+@query
+def json_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("event_id") % 6 == 0, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    rows = _events(spark, sf_dir).withColumn("_t", text).select("event_type", F.expr("try_parse_json(_t) IS NOT NULL").alias("ok"))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("ok")).cast("long")).alias("invalid"))
+
+
+@query
+def syntax_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether small derived scripts parse; every third has an open bracket."""
+    code = F.concat(F.lit("x = ["), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise("]"))
+    return table(spark, sf_dir, "part").select("p_partkey", integrity.syntax_valid(code).alias("valid"))
+
+
+@query
+def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("kind", F.concat_ws(".", "lang", "source"))
+    hits = integrity.scan_rules(docs, "kind", "text", RULES)
+    return integrity.check_summary(hits, docs, "kind")
+
+
+@query
+def request_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free request texts to vehicle and UTC window; without a date they need a question."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    a, b = F.date_format("ts", "HH:mm"), F.date_format(F.col("ts") + F.expr("INTERVAL 40 MINUTES"), "HH:mm")
+    car = F.concat(F.lit("V"), F.lpad(F.col("user_id").cast("string"), 6, "0"))
+    text = F.when(F.col("event_id") % 5 == 0, F.concat_ws(" ", F.lit("report for"), car, F.lit("from"), a, F.lit("to"), b)).otherwise(F.concat_ws(" ", F.lit("please report"), car, day, a, F.lit("to"), b))
+    rows = table(spark, sf_dir, "events").filter("event_type = 'signup'").select("event_id", text.alias("raw_text"))
+    return normalize_requests(rows, "Asia/Shanghai")
+
+
+def normalize_requests(rows: DataFrame, zone: str) -> DataFrame:
+    """event_id, vehicle, start_us, end_us, status. An end before its start is the next day."""
+    text = F.col("raw_text")
+    day = F.regexp_extract(text, r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
+    at = F.regexp_extract_all(text, F.lit(r"([0-9]{2}:[0-9]{2})"), F.lit(1))
+    start = civil_to_utc_us(F.concat_ws(" ", day, F.try_element_at(at, F.lit(1))), zone)
+    end = civil_to_utc_us(F.concat_ws(" ", day, F.try_element_at(at, F.lit(2))), zone)
+    end = F.when(end < start, end + DAY).otherwise(end)
+    vehicle = F.regexp_extract(text, r"\b(V[0-9]{6})\b", 1)
+    status = F.when(vehicle == "", "no_vehicle").when(start.isNull() | end.isNull(), "needs_clarification").otherwise("ready")
+    ready = status == "ready"
+    return rows.select("event_id", vehicle.alias("vehicle"), F.when(ready, start).alias("start_us"), F.when(ready, end).alias("end_us"), status.alias("status"))
+
+
+@query
+def stream_point_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's hourly counts of distinct points, after its end; equal to the batch's."""
+    from meridia.streaming.demo import hourly_points
+
+    return hourly_points(spark, sf_dir)
