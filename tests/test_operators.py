@@ -1,0 +1,180 @@
+"""Edges of the operators on small literal tables."""
+
+import hashlib
+import json
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from meridia.operators import asof, integrity, measures, records
+from meridia.plans.catalog import normalize_requests
+from meridia.sources import pointlog, tables
+
+
+def rows(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+
+
+def test_asof_ties_and_late_signals(spark):
+    left = spark.createDataFrame([(1, 10), (1, 4), (2, 10), (3, 100)], "u long, t long")
+    right = spark.createDataFrame([(1, 10, "now"), (1, 3, "a"), (1, 10, "also"), (2, 11, "after"), (3, 1, "far")], "u long, t long, v string")
+    got = rows(asof.asof_join(left, right, ["u"], "t", ["v"], bucket=4), "u", "t", "v", "matched_t")
+    assert got == [(1, 10, "now", 10), (1, 4, "a", 3), (2, 10, None, None), (3, 100, "far", 1)]
+    near = rows(asof.asof_join(left, right, ["u"], "t", ["v"], bucket=4, tolerance=5), "u", "t", "v")
+    assert near == [(1, 4, "a"), (1, 10, "now"), (2, 10, None), (3, 100, None)]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40)), min_size=1, max_size=15), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40)), max_size=15), st.sampled_from([1, 7, 100]))
+def test_asof_never_looks_ahead(spark, left, right, bucket):
+    a = spark.createDataFrame(left, "u long, t long")
+    b = spark.createDataFrame([(u, t, k) for k, (u, t) in enumerate(right)], "u long, t long, v long")
+    want = sorted(((u, t, max((x for w, x in right if w == u and x <= t), default=None)) for u, t in left), key=repr)
+    assert rows(asof.asof_join(a, b, ["u"], "t", ["v"], bucket), "u", "t", "matched_t") == want
+
+
+def test_full_points_differ_from_keys(spark):
+    points = spark.createDataFrame([(1, "s", 5, 1.0), (1, "s", 5, 1.0), (1, "s", 5, 2.0)], "v long, signal string, t long, value double")
+    assert records.distinct_points(points).count() == 2
+
+
+def test_same_vehicle_with_a_new_message_is_a_new_task(spark):
+    sent = spark.createDataFrame([("m1", "car", 5), ("m1", "car", 9), ("m2", "car", 5)], "message string, vehicle string, t long")
+    assert rows(records.first_by(sent, ["message"], ["t"]), "message", "t") == [("m1", 5), ("m2", 5)]
+
+
+@pytest.mark.parametrize(
+    ("attempts", "chosen"),
+    [
+        ([("primary", "ok")], "primary"),
+        ([("primary", "empty"), ("fallback", "ok")], "fallback"),
+        ([("primary", "missing"), ("fallback", "ok")], "fallback"),
+        ([("primary", "error"), ("fallback", "ok")], "error"),
+        ([("primary", "error"), ("primary", "empty")], "error"),
+        ([("primary", "empty"), ("fallback", "error")], "error"),
+        ([("primary", "empty"), ("fallback", "empty")], "none"),
+        ([("primary", "ok"), ("fallback", "error")], "primary"),
+    ],
+)
+def test_error_is_not_empty(spark, attempts, chosen):
+    df = spark.createDataFrame([("j", *a) for a in attempts], "job string, env string, outcome string")
+    assert rows(records.choose_source(df, ["job"]), "chosen") == [(chosen,)]
+
+
+def test_branches_of_two_environments(spark):
+    df = spark.createDataFrame([("a", "Prod"), ("a", "Prod"), ("b", "Prod"), ("b", "Test")], "job string, env string")
+    assert rows(records.one_environment(df, ["job"], "env"), "job", "consistent") == [("a", True), ("b", False)]
+
+
+def test_attempts(spark):
+    df = spark.createDataFrame([("a", 1, "cut"), ("a", 2, "ok"), ("b", 1, "auth"), ("b", 2, "ok"), ("c", 1, "cut"), ("c", 2, "cut"), ("c", 3, "cut"), ("c", 4, "ok")], "job string, n long, r string")
+    got = records.pick_attempt(df, ["job"], ["n"], F.col("r") == "ok", F.col("r") == "auth")
+    assert rows(got, "job", "attempt", "status") == [("a", 2, "ok"), ("b", None, "refused"), ("c", None, "exhausted")]
+
+
+def test_delivery_needs_proof(spark):
+    art = spark.createDataFrame([(k, f"h{k}", 10) for k in range(6)], "p long, sha256 string, bytes long")
+    got = spark.createDataFrame([(0, "h0", 10, "confirmed"), (1, "h1", 11, "confirmed"), (2, "x", 10, "confirmed"), (3, "h3", 10, "unknown"), (4, "h4", 10, "failed")], "p long, sha256 string, bytes long, result string")
+    status = records.delivery_status(art, got, "p")
+    assert rows(status, "p", "status") == [(0, "sent"), (1, "unproven"), (2, "unproven"), (3, "unknown"), (4, "delivery_failed"), (5, "pending")]
+    plan = records.resend_plan(status, art.filter("p <> 2"), "p")
+    assert rows(plan, "p", "action") == [(1, "resend"), (3, "check"), (4, "resend")]
+
+
+def test_binding_is_never_the_latest(spark):
+    df = spark.createDataFrame([("t1", "j1"), ("t2", "j2"), ("t2", "j3")], "thread string, job string")
+    assert rows(records.binding(df, ["thread"], "job"), "thread", "job", "status") == [("t1", "j1", "bound"), ("t2", None, "ambiguous")]
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 30)), min_size=1, max_size=25))
+def test_fair_order_is_a_permutation(spark, tasks):
+    df = spark.createDataFrame([(r, t, k) for k, (r, t) in enumerate(tasks)], "r long, t long, id long")
+    got = records.fair_order(df, "r", "t", "id", 5).orderBy("position").collect()
+    assert [x["position"] for x in got] == list(range(1, len(tasks) + 1))
+    assert [(x["round"], x["t"], x["id"]) for x in got] == sorted((x["round"], x["t"], x["id"]) for x in got)
+    first = records.admitted(df, "r", "t", "id", 2).collect()
+    assert [x["id"] for x in first] == [x["id"] for x in got[:2]]
+
+
+def test_recovery_and_gate(spark):
+    b = spark.createDataFrame([("a", "log", True), ("a", "signal", False), ("b", "log", True), ("b", "signal", True), ("c", "log", False), ("d", "log", True), ("e", "log", True)], "job string, branch string, ok boolean")
+    one = lambda x: spark.createDataFrame([(x,)], "job string")
+    assert rows(records.recovery_plan(b, "job", "branch", F.col("ok"), one("d"), one("e")), "job") == [("a",)]
+    left = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "job string, passed boolean")
+    right = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "job string, passed boolean")
+    assert rows(records.gate(left, right, ["job"]), "job") == [("a",)]
+
+
+def test_measures(spark):
+    df = spark.createDataFrame([("g", float(v)) for v in (1, 2, 2, 3, 10)] + [("h", 4.0), ("h", None)], "g string, v double")
+    assert rows(measures.quantiles(df, ["g"], "v", {"a": 0.5, "b": 0.9}), "g", "n", "a", "b") == [("g", 5, 2.0, pytest.approx(7.2)), ("h", 1, 4.0, 4.0)]
+    ev = spark.createDataFrame([("u", 1, 1, "x"), ("u", 2, 2, "x"), ("u", 9, 3, "y"), ("u", 10, 4, "x")], "u string, t long, id long, s string")
+    assert rows(measures.runs(ev, ["u"], "t", "id", "s"), "s", "start_us", "end_us", "n") == [("x", 1, 2, 2), ("x", 10, 10, 1), ("y", 9, 9, 1)]
+    assert rows(measures.skips(ev, ["u"], "t", "id", 5), "id", "gap_us") == [(3, 7)]
+
+
+def test_canonical_digest_is_compact_sorted_json(spark):
+    entries = {"b/x.py": "22", "a.py": "11", "a/z": "33", "B": "44"}
+    want = hashlib.sha256(json.dumps(entries, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    df = spark.createDataFrame([("m", k, v) for k, v in entries.items()], "m string, path string, sha string")
+    assert rows(integrity.canonical_digest(df, ["m"], "path", "sha"), "m", "entries", "digest") == [("m", 4, want)]
+
+
+def test_reconcile_partitions_the_keys(spark):
+    a = spark.createDataFrame([("p", 1), ("q", 2), ("r", None)], "k string, v long")
+    m = spark.createDataFrame([("q", 3), ("s", 4), ("r", None), ("p", 1)], "k string, v long")
+    assert rows(integrity.reconcile(a, m, "k", ["v"]), "k", "status") == [("p", "match"), ("q", "changed"), ("r", "match"), ("s", "missing")]
+
+
+def test_paths_and_syntax(spark):
+    names = {"/a": "absolute", "a/../b": "parent", "a\\b": "backslash", "c:/x": "colon", "a/.git/x": "part", "a/k.PEM": "suffix", ".env.prod": "environment", ".env.example": "ok", "src/a.py": "ok"}
+    df = spark.createDataFrame([(k,) for k in names], "p string")
+    got = df.select("p", integrity.path_verdict(F.col("p"), [".git"], [".pem"]).alias("v"))
+    assert dict(rows(got, "p", "v")) == names
+    code = spark.createDataFrame([("x = 1",), ("x = (",), (None,), ("",)], "s string")
+    assert sorted(map(repr, (r["v"] for r in code.select(integrity.syntax_valid(F.col("s")).alias("v")).collect()))) == ["False", "None", "True", "True"]
+
+
+def test_rules_report_every_violation_in_order(spark):
+    df = spark.createDataFrame([(1, "a@b.c and token=x"), (2, "clean"), (3, None)], "k long, t string")
+    got = integrity.scan_rules(df, "k", "t", [("mail", r"\S+@\S+\.\S+"), ("token", "token=")])
+    assert rows(got, "k", "rule", "place") == [(1, "mail", 0), (1, "token", 1)]
+
+
+def test_word_borders_after_other_scripts(spark):
+    df = spark.createDataFrame([(1, "车ABCDEFGH123456789"), (2, "xABCDEFGH123456789")], "k long, t string")
+    allowed = spark.createDataFrame([("NONE",)], "token string")
+    got = integrity.disallowed_tokens(df, "k", "t", r"(?<![A-Za-z0-9_])([A-HJ-NPR-Z0-9]{17})(?![A-Za-z0-9_])", allowed)
+    assert rows(got, "k") == [(1,)]
+
+
+def test_requests(spark):
+    texts = ["V000001 2024-03-01 09:53 to 10:10", "V000001 09:53 to 10:10", "2024-03-01 09:53 to 10:10", "V000002 2024-03-01 23:50 to 00:20", "V000003 2024-13-41 10:00 to 11:00"]
+    got = normalize_requests(spark.createDataFrame(list(enumerate(texts)), "event_id long, raw_text string"), "Asia/Shanghai").orderBy("event_id").collect()
+    assert [r["status"] for r in got] == ["ready", "needs_clarification", "no_vehicle", "ready", "needs_clarification"]
+    assert got[0]["start_us"] == 1_709_257_980_000_000 and got[3]["end_us"] - got[3]["start_us"] == 30 * 60_000_000
+
+
+def test_point_log(spark, tmp_path):
+    (tmp_path / "a.log").write_text("# head\ncar speed 100 1.5\n\ncar speed x 2\ncar gear 200 3\n")
+    got = pointlog.read_points(spark, str(tmp_path))
+    assert rows(got, "vehicle", "signal", "ts_us", "value", "ok") == [("car", "gear", 200, 3.0, True), ("car", "speed", 100, 1.5, True), (None, None, None, None, False)]
+    stream = pointlog.stream_points(spark, str(tmp_path)).filter("ok")
+    query = stream.writeStream.format("memory").queryName("points").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("points").count() == 2
+
+
+def test_manifest_round_trip(spark, tmp_path):
+    (tmp_path / "in" / ".git").mkdir(parents=True)
+    (tmp_path / "in" / "a.txt").write_bytes(b"abc")
+    (tmp_path / "in" / ".git" / "b.txt").write_bytes(b"no")
+    found = tables.files(spark, str(tmp_path / "in"))
+    tables.write_manifest(found, str(tmp_path / "m"), "1")
+    back = tables.manifest(spark, str(tmp_path / "m"))
+    assert rows(back, "sha256", "bytes") == [(hashlib.sha256(b"abc").hexdigest(), 3)]
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        tables.write_manifest(found, str(tmp_path / "m"), "1")
