@@ -85,7 +85,7 @@ def statistics(text: str | None) -> list[float]:
         sum(1 for w in words if w.isalpha() is False and len(w) < 3) / m,
         sum(1 for e in ends if e in b"#$%&*!|") / m,
         sum(1 for w in words if len(w) <= 3) / m,
-        len(zlib.compress(raw[: 1 << 20], 1)) / min(n, 1 << 20) if len(raw) > 64 else 1.0,
+        len(zlib.compress(raw, 1)) / n if len(raw) > 64 else 1.0,
     ]
 
 
