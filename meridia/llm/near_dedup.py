@@ -12,13 +12,17 @@
    the others are confirmed on the full sets, made anew from the whole texts.
 4. Confirmed links are joined to components by alternating star contraction, each round a
    written table.
-5. Buckets that hold several components are compared across components, in blocks of
-   bounded size with the signatures inside the task, so that only pairs within the distance
-   leave it; these are confirmed likewise. So no link between different components is lost,
-   and copies are never expanded into all pairs.
+5. Buckets that hold several components are compared across components, so that no link
+   between them is lost. A bucket of over ``LARGE`` members is one of a large group of
+   copies; in the first ``DENSE`` slots its members come with their full sets, overlaps are
+   counted exactly inside the task, and only links that join two components leave it. What
+   is left (small buckets, and the rare pairs of a large group that share none of these
+   slots) leaves the task as pairs within the signature distance, each in the first slot it
+   shares and in no other, to be confirmed like those of step 3.
 
 Hot buckets: counts and minima are combined on the map side, the join back is a plain
-equi-join that Spark can split, and the blocks of step 5 bound what one task holds.
+equi-join that Spark can split, and step 5 works on pairs of blocks of ``BLOCK`` members.
+Copies are never expanded into all pairs.
 
 Defined results: texts without words (null, empty, blank) have an empty set and are linked
 with nothing; fewer words than a shingle has make one shingle; null ids sort after all
@@ -42,16 +46,17 @@ SYMBOLS = CHUNKS * WIDTH
 #: Signature distance beyond which a pair is not confirmed: at similarity 0.8 a distance of
 #: 14 is expected; one over 34 has a probability below 1e-7.
 FAR = 34
-#: Members of a block of a bucket in step 5.
-BLOCK = 1024
+#: Members of a block of a bucket, members of a large bucket, and slots that bring full sets.
+BLOCK, LARGE, DENSE = 512, 48, 8
 _rng = np.random.default_rng(20_240_607)
 _A = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
 _W = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SLOT = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64)
 _M1, _M2, _S = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(31)
-#: For each chunk and left-out symbol, the symbols that remain.
-_KEPT = np.array([[c * WIDTH + i for i in range(WIDTH) if i != e] for c in range(CHUNKS) for e in range(WIDTH)])
+#: For each slot (left-out symbol and chunk; the first slots are of different chunks, so they
+#: are independent), the symbols that remain.
+_KEPT = np.array([[c * WIDTH + i for i in range(WIDTH) if i != e] for e in range(WIDTH) for c in range(CHUNKS)])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -120,8 +125,8 @@ def _nodes(sets: DataFrame) -> DataFrame:
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
-    """(key, node): one row for each chunk and left-out symbol."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+    """(key, slot, node): one row for each slot."""
+    schema = pa.schema([("key", pa.int64()), ("slot", pa.int32()), ("node", pa.int64())])
 
     def run(batches):
         for b in batches:
@@ -130,13 +135,14 @@ def _keys(nodes: DataFrame) -> DataFrame:
                 s = _symbols(part.column(1)).astype(np.uint64)[:, _KEPT]
                 packed = s[..., 0] | s[..., 1] << np.uint64(16) | s[..., 2] << np.uint64(32) | s[..., 3] << np.uint64(48)
                 keys = _mix(packed ^ _SLOT).view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(part.column(0).to_numpy(), SYMBOLS))], schema=schema)
+                slots = np.tile(np.arange(SYMBOLS, dtype=np.int32), part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(slots), pa.array(np.repeat(part.column(0).to_numpy(), SYMBOLS))], schema=schema)
 
-    return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "sig").mapInArrow(run, "key long, slot int, node long")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, low) of buckets with several members; low is the smallest member."""
+    """(key, slot, node, low) of buckets with several members; low is the smallest member."""
     keys = _keys(nodes)
     several = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
     return keys.join(several, "key")
@@ -157,12 +163,16 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(fit).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, digest, text) of the nodes; a text whose set has another digest isn't the node's."""
+    ends = wanted.select("node").distinct().join(nodes.select("node", "key", "digest"), "node")
+    rows = docs.select(row_key(docs[id_col], docs[text_col]).alias("key"), docs[text_col].alias("text"))
+    return ends.join(rows, "key").select("node", "digest", "text")
+
+
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar, from the whole texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ends = wanted.join(nodes.select("node", "key", "digest"), "node")
-    rows = docs.select(row_key(docs[id_col], docs[text_col]).alias("key"), docs[text_col].alias("text"))
-    texts = materialize(ends.join(rows, "key").select("node", "digest", "text"), "near-texts")
+    texts = materialize(_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs, id_col, text_col), "near-texts")
     a = texts.select(F.col("node").alias("a"), F.col("digest").alias("d_a"), F.col("text").alias("t_a"))
     b = texts.select(F.col("node").alias("b"), F.col("digest").alias("d_b"), F.col("text").alias("t_b"))
 
@@ -194,51 +204,108 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): smallest node reachable, for every node with a link. Alternating large
-    and small stars; each round is written, so a lost executor costs one round at most."""
+    and small stars; each round is written, so a lost executor costs one round at most. Done
+    when all is stars: no centre has an edge to a smaller node."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         large = materialize(large.unionByName(low.filter("u > m").select("u", F.col("m").alias("v"))).distinct(), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        sides = edges.select(F.col("u").alias("node"), F.lit(1).alias("s")).unionByName(edges.select(F.col("v").alias("node"), F.lit(2).alias("s")))
+        twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        if sides.groupBy("node").agg(F.bit_or("s").alias("s")).filter("s = 3").isEmpty() and twice.isEmpty():
             break
-        before = state
     heads = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(heads)
 
 
-def _across(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs within the signature distance whose ends share a bucket but no component."""
-    at = buckets.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+def _overlap_links(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Index pairs of similar sets that join two components, few enough to join all that are
+    linked. Overlaps with all others are counted through the members of each shingle."""
+    n = np.array([len(s) for s in sets])
+    shingle, index = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(index, kind="stable")
+    members, starts = owner[order], np.searchsorted(index[order], np.arange(len(shingle) + 1))
+    ends = np.cumsum(n)
+    root, out = comp.copy(), []
+    for x in range(len(sets)):
+        if (root == root[x]).all():
+            continue
+        mine = index[ends[x] - n[x] : ends[x]]
+        a, size = starts[mine], starts[mine + 1] - starts[mine]
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        both = np.bincount(members[at], minlength=len(sets))
+        for y in np.flatnonzero(100 * both >= percent * (n + n[x] - both)):
+            if root[y] != root[x]:
+                out.append((x, int(y)))
+                root[root == root[y]] = root[x]
+    return out
+
+
+def _across(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(links, pairs) across components: links confirmed inside large buckets, and pairs
+    within the signature distance that are still to be confirmed."""
+    at = buckets.select("key", "slot", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
     blocks = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("int")
-    members = at.join(mixed.select("key", blocks.alias("blocks")), "key").join(nodes.select("node", "n", "sig"), "node")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    members = at.join(mixed.select("key", "m", blocks.alias("blocks")), "key")
     # block i meets block j: a member of block i goes to all pairs of blocks that hold i
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.withColumn("mine", mine).withColumn("other", other)
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "comp", "n", "sig")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = materialize(dealt.select("key", "slot", "m", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "comp"), "near-mixed")
+    is_dense = (F.col("m") > LARGE) & (F.col("slot") < DENSE)
 
-    def run(table: pa.Table) -> pa.Table:
+    def sets(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                blobs = [shingle_set(t.as_py(), words).tobytes() for t in part.column(2)]
+                good = pa.array([xxhash.xxh3_128_digest(x) == d for x, d in zip(blobs, part.column(1).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["node", "set"]).filter(good)
+
+    def exact(table: pa.Table) -> pa.Table:
+        node, comp = table["node"].to_numpy(), table["comp"].to_numpy()
+        found = _overlap_links([np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()], comp, percent)
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
+
+    dense = dealt.filter(is_dense)
+    full = materialize(_texts(dense, nodes, docs, id_col, text_col).mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "near-full-sets")
+    links = dense.join(full, "node").groupBy("key", "i", "j").applyInArrow(exact, "a long, b long").distinct()
+
+    def near(table: pa.Table) -> pa.Table:
         node, comp, n = (table[c].to_numpy() for c in ("node", "comp", "n"))
-        sig, out = _symbols(table["sig"].combine_chunks()), []
+        sig, slot, out = _symbols(table["sig"].combine_chunks()), table["slot"][0].as_py(), []
         for x in range(len(node) - 1):
             later = slice(x + 1, None)
             fit = (comp[later] != comp[x]) & (100 * np.minimum(n[later], n[x]) >= percent * np.maximum(n[later], n[x]))
             at = np.flatnonzero(fit) + x + 1
-            if len(at):
-                at = at[(sig[at] != sig[x]).sum(axis=1) <= FAR]
-                out.append(np.stack([np.minimum(node[at], node[x]), np.maximum(node[at], node[x])]))
+            if not len(at):
+                continue
+            same = sig[at] == sig[x]
+            fit = SYMBOLS - same.sum(axis=1) <= FAR
+            at, same = at[fit], same[fit]
+            shared = np.stack([same[:, kept].all(axis=1) for kept in _KEPT[: slot + 1]], axis=1)
+            at = at[shared.argmax(axis=1) == slot]
+            out.append(np.stack([np.minimum(node[at], node[x]), np.maximum(node[at], node[x])]))
         pairs = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    rest = dealt.filter(~is_dense).join(nodes.select("node", "n", "sig"), "node")
+    return links, rest.groupBy("key", "slot", "i", "j").applyInArrow(near, "a long, b long").distinct()
+
+
+def _contracted(links: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links between nodes as links between their components."""
+    a = comps.select(F.col("node").alias("a"), F.col("comp").alias("c_a"))
+    b = comps.select(F.col("node").alias("b"), F.col("comp").alias("c_b"))
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    return ends.filter("a <> b").distinct()
 
 
 def _labelled(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -250,10 +317,14 @@ def _labelled(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
     near = materialize(_near(stars, nodes, percent), "near-stars")
     links = materialize(_confirm(near, nodes, docs, words, percent, id_col, text_col), "near-links")
     comps = materialize(components(links), "near-components")
-    across = materialize(_across(buckets, comps, nodes, percent), "near-across")
-    if not across.isEmpty():
-        more = materialize(_confirm(across, nodes, docs, words, percent, id_col, text_col), "near-links")
-        comps = materialize(components(links.unionByName(more)), "near-components")
+    exact, pairs = _across(buckets, comps, nodes, docs, words, percent, id_col, text_col)
+    exact, pairs = materialize(exact, "near-exact"), materialize(pairs, "near-across")
+    more = exact if pairs.isEmpty() else exact.unionByName(_confirm(pairs, nodes, docs, words, percent, id_col, text_col))
+    more = materialize(_contracted(more, comps), "near-merges")
+    if not more.isEmpty():
+        merged = components(more).select(F.col("node").alias("comp"), F.col("comp").alias("into"))
+        every = comps.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node"))).distinct()
+        comps = materialize(every.join(merged, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), "near-components")
     best = comps.join(nodes.select("node", "best"), "node")
     heads = best.groupBy("comp").agg(F.min("best").alias("head"))
     heads = comps.join(heads, "comp").select("node", "head")
