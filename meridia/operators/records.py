@@ -150,3 +150,24 @@ def transitions(rows: DataFrame, key: str, time: str, tie: str, state: str, allo
 def gate(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """Keys for which both branches passed; a branch that failed blocks the merge."""
     return left.filter("passed").select(*key).join(right.filter("passed").select(*key), key, "left_semi")
+
+
+def takeover_plan(jobs: DataFrame, job: str) -> DataFrame:
+    """Interrupted jobs that may be taken over: the old process and its children are gone, the
+    source is valid, there is no final report, and the lease is still the one seen. The first
+    condition that fails is named, so a refusal can be explained. (process_gone, children_gone,
+    source_valid, has_report, lease_seen, lease_now)"""
+    reason = (
+        F.when(~F.col("process_gone"), "process alive").when(~F.col("children_gone"), "children alive")
+        .when(~F.col("source_valid"), "source invalid").when(F.col("has_report"), "already reported")
+        .when(~F.col("lease_seen").eqNullSafe(F.col("lease_now")), "lease changed").otherwise("take over")
+    )
+    return jobs.select(job, F.coalesce(reason, F.lit("unknown")).alias("decision"))
+
+
+def with_followup(reports: DataFrame, registrations: DataFrame, job: str) -> DataFrame:
+    """Reports with their follow-up registration. A failed or missing registration is noted
+    and never removes the report."""
+    r = registrations.groupBy(job).agg(F.max(F.col("registered").cast("int")).alias("_r"))
+    state = F.when(F.col("_r") == 1, "available").when(F.col("_r") == 0, "registration failed").otherwise("not registered")
+    return reports.join(r, job, "left").withColumn("followup", state).drop("_r")

@@ -218,6 +218,24 @@ def recovery_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.recovery_plan(rows, "o_orderkey", "branch", F.col("l_returnflag") == "N", orders.filter("o_orderstatus = 'F'"), orders.filter("o_orderpriority LIKE '1%'"))
 
 
+@query
+def interrupted_takeover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for interrupted jobs, their columns for what is known of them."""
+    key = F.col("o_orderkey")
+    jobs = table(spark, sf_dir, "orders").select(
+        "o_orderkey", (key % 5 != 0).alias("process_gone"), (key % 7 != 0).alias("children_gone"), (F.col("o_totalprice") > 20_000).alias("source_valid"),
+        (F.col("o_orderstatus") == "F").alias("has_report"), F.col("o_custkey").alias("lease_seen"), F.when(key % 3 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("lease_now"),
+    )
+    return records.takeover_plan(jobs, "o_orderkey")
+
+
+@query
+def followup_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = table(spark, sf_dir, "pages").select("page_id", "url")
+    tries = table(spark, sf_dir, "pages").filter("page_id % 4 <> 0").select("page_id", (F.col("page_id") % 3 != 0).alias("registered"))
+    return records.with_followup(reports, tries, "page_id")
+
+
 def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.file_digests(table(spark, sf_dir, "pages"), "page_id", "html")
 

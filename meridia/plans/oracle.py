@@ -108,6 +108,11 @@ ORACLE_SQL = {
         SELECT l_orderkey AS o_orderkey FROM lineitem
         WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority LIKE '1%')
         GROUP BY 1 HAVING bool_or(l_linenumber % 2 = 1 AND l_returnflag = 'N') AND NOT bool_or(l_linenumber % 2 = 0 AND l_returnflag = 'N')""",
+    "interrupted_takeover": """
+        SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'process alive' WHEN o_orderkey % 7 = 0 THEN 'children alive' WHEN NOT o_totalprice > 20000 THEN 'source invalid'
+          WHEN o_orderstatus = 'F' THEN 'already reported' WHEN o_orderkey % 3 = 0 THEN 'lease changed' ELSE 'take over' END AS decision FROM orders""",
+    "followup_registration": """
+        SELECT page_id, url, CASE WHEN page_id % 4 = 0 THEN 'not registered' WHEN page_id % 3 <> 0 THEN 'available' ELSE 'registration failed' END AS followup FROM pages""",
     "delivery_proof": f"{_STATUS} SELECT * FROM st",
     "delivery_resend": f"""{_STATUS} SELECT page_id, CASE WHEN status = 'unknown' THEN 'check' ELSE 'resend' END AS action
         FROM st JOIN art USING (page_id) WHERE status IN ('delivery_failed', 'unproven', 'unknown') AND bytes > 1500""",

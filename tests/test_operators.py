@@ -23,7 +23,7 @@ def test_asof_ties_and_late_signals(spark):
     got = rows(asof.asof_join(left, right, ["u"], "t", ["v"], bucket=4), "u", "t", "v", "matched_t")
     assert got == [(1, 10, "now", 10), (1, 4, "a", 3), (2, 10, None, None), (3, 100, "far", 1)]
     near = rows(asof.asof_join(left, right, ["u"], "t", ["v"], bucket=4, tolerance=5), "u", "t", "v")
-    assert near == [(1, 4, "a"), (1, 10, "now"), (2, 10, None), (3, 100, None)]
+    assert near == [(1, 10, "now"), (1, 4, "a"), (2, 10, None), (3, 100, None)]
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
