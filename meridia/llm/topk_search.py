@@ -45,7 +45,8 @@ def choose_pivots(vectors: list[list[int]], n: int = PIVOTS) -> dict[int, np.nda
     """Length to pivots, by farthest-first traversal from the vector nearest to the mean."""
     found = {}
     for size in {len(v) for v in vectors}:
-        x = np.array([v for v in vectors if len(v) == size], float).reshape(-1, size)
+        some = [v for v in vectors if len(v) == size]
+        x = np.array(some, float).reshape(len(some), size)
         at = int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1)))
         chosen, away = [at], np.full(len(x), np.inf)
         while len(chosen) < min(n, len(x)):
@@ -88,7 +89,8 @@ def top_k(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id"
     good = good.filter("id IS NOT NULL AND v IS NOT NULL")
     some = good.orderBy(F.xxhash64("id", "v")).limit(sample).select("id", "v").collect()
     pivots = choose_pivots([r["v"] for r in some])
-    tried = {n: np.array([r["v"] for r in some if len(r["v"]) == n], np.int64).reshape(-1, n) for n in pivots}
+    by_length = {n: [r["v"] for r in some if len(r["v"]) == n] for n in pivots}
+    tried = {n: np.array(v, np.int64).reshape(len(v), n) for n, v in by_length.items()}
 
     def far(v: np.ndarray) -> np.ndarray:
         p = pivots.get(len(v))
