@@ -232,7 +232,7 @@ def interrupted_takeover(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def followup_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = table(spark, sf_dir, "pages").select("page_id", "url")
-    tries = table(spark, sf_dir, "pages").filter("page_id % 4 <> 0").select("page_id", (F.col("page_id") % 3 != 0).alias("registered"))
+    tries = table(spark, sf_dir, "pages").filter("url LIKE 'https:%'").select("page_id", (F.col("page_id") % 3 != 0).alias("registered"))
     return records.with_followup(reports, tries, "page_id")
 
 
@@ -240,23 +240,26 @@ def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.file_digests(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-def _receipts(artifacts: DataFrame) -> DataFrame:
+def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts of the pages fetched safely; the others have none. Sizes and results follow
+    from the page number."""
     kind = F.col("page_id") % 7
     size = F.when(kind == 1, F.col("bytes") + 1).otherwise(F.col("bytes"))
     result = F.when(kind == 2, "unknown").when(kind == 3, "failed").otherwise("confirmed")
-    return artifacts.filter(kind != 4).select("page_id", "sha256", size.alias("bytes"), result.alias("result"))
+    safe = integrity.file_digests(table(spark, sf_dir, "pages").filter("url LIKE 'https:%'"), "page_id", "html")
+    return safe.select("page_id", "sha256", size.alias("bytes"), result.alias("result"))
 
 
 @query
 def delivery_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     artifacts = _artifacts(spark, sf_dir)
-    return records.delivery_status(artifacts, _receipts(artifacts), "page_id")
+    return records.delivery_status(artifacts, _receipts(spark, sf_dir), "page_id")
 
 
 @query
 def delivery_resend(spark: SparkSession, sf_dir: str) -> DataFrame:
     artifacts = _artifacts(spark, sf_dir)
-    status = records.delivery_status(artifacts, _receipts(artifacts), "page_id")
+    status = records.delivery_status(artifacts, _receipts(spark, sf_dir), "page_id")
     return records.resend_plan(status, artifacts.filter("bytes > 1500"), "page_id")
 
 
@@ -264,7 +267,7 @@ def delivery_resend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def completion_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completed artifacts to announce: those without a confirmed delivery."""
     artifacts = _artifacts(spark, sf_dir)
-    sent = records.delivery_status(artifacts, _receipts(artifacts), "page_id").filter("status = 'sent'")
+    sent = records.delivery_status(artifacts, _receipts(spark, sf_dir), "page_id").filter("status = 'sent'")
     return artifacts.join(sent, "page_id", "left_anti").select("page_id", "sha256")
 
 
@@ -293,19 +296,23 @@ def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def manifest_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents against a manifest made from the labels, with some sizes off by one."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("bytes")).filter("doc_id % 11 <> 0")
+    """Documents against a manifest of the labelled ones, some sizes off by one, and of the
+    benchmark's items, which no document is."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("bytes"))
     listed = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
     off = F.when(F.col("toxic") == 1, 1).otherwise(0)
-    return integrity.reconcile(docs, listed.select("doc_id", (F.col("n_chars") + off).alias("bytes")), "doc_id", ["bytes"])
+    items = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), F.length("text").cast("long").alias("bytes"))
+    return integrity.reconcile(docs, listed.select("doc_id", (F.col("n_chars") + off).alias("bytes")).unionByName(items), "doc_id", ["bytes"])
 
 
 @query
 def provenance_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 13 <> 0").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    """Labelled documents and benchmark items as provenance; bad ones were changed since."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     listed = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
     told = F.when(F.col("quality") == 0, F.sha2(F.lit("changed").cast("binary"), 256)).otherwise(F.sha2(F.col("text").cast("binary"), 256))
-    return integrity.subset_violations(listed.select("doc_id", told.alias("sha256")), docs, "doc_id", "sha256")
+    items = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return integrity.subset_violations(listed.select("doc_id", told.alias("sha256")).unionByName(items), docs, "doc_id", "sha256")
 
 
 @query

@@ -7,7 +7,7 @@ _EV = "SELECT event_id, user_id, epoch_us(ts) AS ts_us, event_type, value, ts, p
 _ART = "SELECT page_id, sha256(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages"
 _REC = """SELECT page_id, sha256, CASE WHEN page_id % 7 = 1 THEN bytes + 1 ELSE bytes END AS bytes,
     CASE WHEN page_id % 7 = 2 THEN 'unknown' WHEN page_id % 7 = 3 THEN 'failed' ELSE 'confirmed' END AS result
-  FROM art WHERE page_id % 7 <> 4"""
+  FROM art JOIN pages USING (page_id) WHERE url LIKE 'https:%'"""
 _STATUS = f"""WITH art AS ({_ART}), rec AS ({_REC}), st AS (
   SELECT a.page_id, CASE
     WHEN bool_or(r.result = 'confirmed' AND r.sha256 = a.sha256 AND r.bytes = a.bytes) THEN 'sent'
@@ -112,7 +112,7 @@ ORACLE_SQL = {
         SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'process alive' WHEN o_orderkey % 7 = 0 THEN 'children alive' WHEN NOT o_totalprice > 20000 THEN 'source invalid'
           WHEN o_orderstatus = 'F' THEN 'already reported' WHEN o_orderkey % 3 = 0 THEN 'lease changed' ELSE 'take over' END AS decision FROM orders""",
     "followup_registration": """
-        SELECT page_id, url, CASE WHEN page_id % 4 = 0 THEN 'not registered' WHEN page_id % 3 <> 0 THEN 'available' ELSE 'registration failed' END AS followup FROM pages""",
+        SELECT page_id, url, CASE WHEN url NOT LIKE 'https:%' THEN 'not registered' WHEN page_id % 3 <> 0 THEN 'available' ELSE 'registration failed' END AS followup FROM pages""",
     "delivery_proof": f"{_STATUS} SELECT * FROM st",
     "delivery_resend": f"""{_STATUS} SELECT page_id, CASE WHEN status = 'unknown' THEN 'check' ELSE 'resend' END AS action
         FROM st JOIN art USING (page_id) WHERE status IN ('delivery_failed', 'unproven', 'unknown') AND bytes > 1500""",
@@ -126,14 +126,16 @@ ORACLE_SQL = {
         SELECT o_orderkey, o_orderstatus FROM orders
         WHERE date_diff('day', CAST(o_orderdate AS DATE), (SELECT CAST(max(o_orderdate) AS DATE) FROM orders)) > 14""",
     "manifest_reconcile": """
-        WITH a AS (SELECT doc_id, n_chars AS bytes FROM documents WHERE doc_id % 11 <> 0),
-        m AS (SELECT doc_id, n_chars + CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS bytes FROM labels JOIN documents USING (doc_id))
+        WITH a AS (SELECT doc_id, n_chars AS bytes FROM documents),
+        m AS (SELECT doc_id, n_chars + CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS bytes FROM labels JOIN documents USING (doc_id)
+              UNION ALL SELECT -1 - item_id, length(text) FROM benchmark)
         SELECT coalesce(a.doc_id, m.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'missing' WHEN m.doc_id IS NULL THEN 'extra'
           WHEN a.bytes IS NOT DISTINCT FROM m.bytes THEN 'match' ELSE 'changed' END AS status
         FROM a FULL JOIN m ON a.doc_id = m.doc_id""",
     "provenance_subset": """
-        WITH m AS (SELECT doc_id, CASE WHEN quality = 0 THEN sha256('changed') ELSE sha256(text) END AS expected FROM labels JOIN documents USING (doc_id)),
-        a AS (SELECT doc_id, sha256(text) AS found FROM documents WHERE doc_id % 13 <> 0)
+        WITH m AS (SELECT doc_id, CASE WHEN quality = 0 THEN sha256('changed') ELSE sha256(text) END AS expected FROM labels JOIN documents USING (doc_id)
+                   UNION ALL SELECT -1 - item_id, sha256(text) FROM benchmark),
+        a AS (SELECT doc_id, sha256(text) AS found FROM documents)
         SELECT m.doc_id, CASE WHEN found IS NULL THEN 'absent' ELSE 'differs' END AS reason FROM m LEFT JOIN a USING (doc_id) WHERE found IS DISTINCT FROM expected""",
     "file_digest": "SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents",
     "canonical_digest": """
