@@ -104,14 +104,16 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shuffled. Of rows that tie on text and id one stays.
     """
     cols = docs.columns
-    keyed = docs.withColumns({"_id": docs[id_col], "_digest": text_digest(docs[text_col])})
+    own = {c: f"__{c}" for c in ("_id", "_digest", "_keep", "_n")}  # beside whatever columns the table has
+    keyed = docs.withColumns({own["_id"]: docs[id_col], own["_digest"]: text_digest(docs[text_col])})
     skinny = materialize(
-        keyed.select("_id", "_digest", F.monotonically_increasing_id().alias("_row")), "exact-digests"
+        keyed.select(F.col(own["_id"]).alias("_id"), F.col(own["_digest"]).alias("_digest"), F.monotonically_increasing_id().alias("_row")),
+        "exact-digests",
     )
     winners = materialize(heavy_winners(skinny), "exact-winners")
-    best = winners.select("_digest", F.col("_keep.id").alias("_keep"))
-    left = keyed.join(F.broadcast(best), "_digest", "left").filter(
-        F.col("_keep").isNull() | F.col("_id").eqNullSafe(F.col("_keep"))
+    best = winners.select(F.col("_digest").alias(own["_digest"]), F.col("_keep.id").alias(own["_keep"]))
+    left = keyed.join(F.broadcast(best), own["_digest"], "left").filter(
+        F.col(own["_keep"]).isNull() | F.col(own["_id"]).eqNullSafe(F.col(own["_keep"]))
     )
-    first = F.row_number().over(Window.partitionBy("_digest").orderBy(F.col("_id").asc_nulls_last()))
-    return left.withColumn("_n", first).filter(F.col("_n") == 1).select(*cols)
+    first = F.row_number().over(Window.partitionBy(own["_digest"]).orderBy(F.col(own["_id"]).asc_nulls_last()))
+    return left.withColumn(own["_n"], first).filter(F.col(own["_n"]) == 1).select(*cols)

@@ -197,12 +197,12 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranked = F.row_number().over(Window.partitionBy("source", "size").orderBy("_h", "_row"))
     last = _with_plan(rows, plan.filter(F.col("_end").isNotNull())).filter(F.col("_part") == F.col("_end")).withColumn("_n", ranked)
     stops = last.filter(F.col("_n") == F.col("_need")).select(F.col("source").alias("_s1"), F.col("size").alias("_z1"), F.col("_h").alias("_stop"))
+    # names beside whatever columns the table has
     stops = plan.join(stops, plan["source"].eqNullSafe(F.col("_s1")) & (plan["size"] == F.col("_z1")), "left").select(
-        F.col("source").alias("_s"), F.col("size").alias("_z"), "_base", (F.col("_take") > 0).alias("_any"), "_stop"
+        F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("_base").alias("__base"), (F.col("_take") > 0).alias("__any"), F.col("_stop").alias("__stop")
     )
-    keyed = docs.withColumns({"_size": word_count(docs[text_col]), "_h": seeded_order(docs[id_col], docs[text_col], seed), "_src": docs[source_col]})
-    at = keyed.join(stops, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    inside = F.col("_any") & (F.col("_stop").isNull() | (F.col("_h") <= F.col("_stop")))
-    copies = F.when(F.col("_size") > 0, F.col("_base") + inside.cast("long")).otherwise(F.lit(0)).cast("int")
-    out = at.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return out.select(*[out[c] for c in docs.columns])
+    keyed = docs.withColumns({"__size": word_count(docs[text_col]), "__h": seeded_order(docs[id_col], docs[text_col], seed), "__src": docs[source_col]})
+    at = keyed.join(stops, F.col("__src").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")))
+    inside = F.col("__any") & (F.col("__stop").isNull() | (F.col("__h") <= F.col("__stop")))
+    copies = F.when(F.col("__size") > 0, F.col("__base") + inside.cast("long")).otherwise(F.lit(0)).cast("int")
+    return at.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)

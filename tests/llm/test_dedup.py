@@ -47,6 +47,7 @@ def test_exact_drop_keeps_columns_and_one_of_each(spark):
     assert left.columns == hard(spark).columns
     texts = [digest(r["text"]) for r in left.collect()]
     assert sorted(texts) == sorted({digest(r[1]) for r in hard_rows()})
+    assert all((r["score"], r["size"], r["_n"]) == (0.5, "clash", 7) for r in left.collect())
     assert exact_dedup.drop_duplicates(empty(spark)).count() == 0
 
 
@@ -95,6 +96,7 @@ def test_near_hard_rows(spark):
     assert near_dedup.mark_near_duplicates(empty(spark)).count() == 0
     left = near_dedup.drop_near_duplicates(hard(spark), words=2)
     assert left.columns == hard(spark).columns
+    assert all((r["score"], r["digest"], r["_n"]) == (0.5, "clash", 7) for r in left.collect())
     assert left.count() == sum(r["kept"] for r in near_dedup.mark_near_duplicates(hard(spark), words=2).collect())
     assert near_dedup.drop_near_duplicates(empty(spark)).count() == 0
 

@@ -55,7 +55,9 @@ def test_mix_hard_rows(spark):
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
     assert mixing.mix_counts(empty(spark)).count() == 0
     assert mixing.mix_documents(empty(spark)).count() == 0
-    assert mixing.mix_documents(hard(spark)).columns == hard(spark).columns
+    mixed = mixing.mix_documents(hard(spark))
+    assert mixed.columns == hard(spark).columns
+    assert all((r["score"], r["size"], r["_n"]) == (0.5, "clash", 7) for r in mixed.collect()) and mixed.count() > 0
 
 
 def test_mix_hot_size_over_several_ranges(spark, monkeypatch):
