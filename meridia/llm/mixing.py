@@ -57,9 +57,11 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return share.select(F.col("source").alias("_ts"), "source_size", target.alias("target"))
 
 
-def subset_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> tuple[np.ndarray, int]:
-    """Bounded knapsack: how many of each size (at most ``counts``) sum to the largest
-    reachable total within ``budget``. Time and memory grow with sizes times budget."""
+def subset_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, goal: int | None = None) -> tuple[np.ndarray, int]:
+    """Bounded knapsack: how many of each size (at most ``counts``) sum to the reachable
+    total within ``budget`` that is nearest to ``goal`` (by default the budget itself).
+    Time and memory grow with sizes times budget."""
+    goal = budget if goal is None else goal
     use = np.flatnonzero((sizes > 0) & (sizes <= budget) & (counts > 0))
     reach = np.zeros(budget + 1, bool)
     reach[0] = True
@@ -78,9 +80,10 @@ def subset_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> tuple[n
         if (now & ~reach).any():
             via.append((int(k), np.where(now, least, 0).astype(np.int32)))
             reach = now | reach
-        if reach[budget]:
+        if reach[goal]:
             break
-    best = int(np.flatnonzero(reach)[-1])
+    totals = np.flatnonzero(reach)
+    best = int(totals[np.argmin(np.abs(totals - goal))])
     take, left = np.zeros(len(sizes), np.int64), best
     for k, least in reversed(via):
         take[k] = least[left]
@@ -109,10 +112,12 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, target: float) -> tuple[in
             left -= more * int(sizes[k])
     if left <= BUDGET:
         extra, got = subset_counts(sizes, counts - take, left)
-        take, left = take + extra, left - got
+        if got < left:  # a total beyond the target may be nearer to it
+            extra, got = subset_counts(sizes, counts - take, 2 * left - got - 1, left)
+        return passes, take + extra
     over = np.flatnonzero((take < counts) & (sizes > 0))
-    if len(over) and left > 0:  # one document beyond the target may be nearer to it
-        k = over[np.argmin(sizes[over])]
+    if len(over):  # only large documents are left: one more may be nearer than none
+        k = over[np.argmin(np.abs(sizes[over] - left))]
         take[k] += abs(left - int(sizes[k])) < left
     return passes, take
 

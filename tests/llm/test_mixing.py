@@ -80,4 +80,7 @@ def test_subset_counts_reaches_the_best_total():
         for s, c in zip(sizes.tolist(), counts.tolist(), strict=True):
             totals = {t + k * s for t in totals for k in range(c + 1)}
         assert best == max(t for t in totals if t <= budget)
+        goal = budget // 2
+        near, got = mixing.subset_counts(sizes, counts, budget, goal)
+        assert abs(got - goal) == min(abs(t - goal) for t in totals if t <= budget) and int((near * sizes).sum()) == got
         assert (take <= counts).all() and int((take * sizes).sum()) == best

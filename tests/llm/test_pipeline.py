@@ -49,7 +49,7 @@ def test_pipeline_stage_by_stage(spark, data, tmp_path):
         times[r["doc_id"]] = times.get(r["doc_id"], 0) + 1
     assert max(times.values()) <= 3
     for s, target in expected_targets(sizes).items():
-        assert abs(taken.get(s, 0) - target) <= 60
+        assert abs(taken.get(s, 0) - target) <= max(60, 0.05 * target)  # few documents a source here
 
     want = sorted(len(plain("word_bpe_49k.json", r["text"])) // 4 + 1 for r in kept[3])
     lengths, sequences = {}, {}
