@@ -1,14 +1,14 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-1. A text becomes the set of its word shingles (64-bit hashes) and a signature of
-   ``CHUNKS * WIDTH`` symbols of 16 bits, b-bit MinHash. Texts with equal sets are one node.
-2. Signatures are split into ``CHUNKS`` chunks. Two signatures that differ in at most
-   ``CHUNKS * (ERRORS + 1) - 1`` symbols differ in at most ``ERRORS`` symbols of some chunk
+1. A text becomes the set of its word shingles (64-bit hashes) and a signature of ``TOTAL``
+   symbols of 16 bits, b-bit MinHash. Texts with equal sets are one node.
+2. The first symbols are split into ``CHUNKS`` chunks of ``WIDTH``. Two signatures that differ
+   in at most ``CHUNKS * (ERRORS + 1) - 1`` of these differ in at most ``ERRORS`` symbols of some chunk
    (pigeonhole). Each node therefore emits, for each chunk, one key for every choice of
    ``ERRORS`` symbols left out: all pairs under that distance share a key, without
    exception. A pair of similarity 0.8 shares none with a probability below 1e-8.
 3. In a bucket each member is first compared with the bucket's smallest node alone. Pairs
-   whose signatures can't belong to the similarity go (distance over ``FAR``, 1e-8 again);
+   whose whole signatures can't belong to the similarity go (distance over ``FAR``, 1e-8 again);
    the others are confirmed on the full sets, made anew from the whole texts.
 4. Confirmed links are joined to components by alternating star contraction, each round a
    written table.
@@ -43,14 +43,15 @@ from .scratch import materialize
 
 CHUNKS, WIDTH, ERRORS = 14, 5, 1
 SYMBOLS = CHUNKS * WIDTH
-#: Signature distance beyond which a pair is not confirmed: at similarity 0.8 a distance of
-#: 14 is expected; one over 34 has a probability below 1e-7.
-FAR = 34
+#: Symbols of a whole signature; those past the chunks only sharpen the distance. And the
+#: distance beyond which a pair is not confirmed: at similarity 0.8 one of 25.6 is expected,
+#: and one over 53 has a probability below 1e-8.
+TOTAL, FAR = 128, 53
 #: Members of a block of a bucket, members of a large bucket, and slots that bring full sets.
-BLOCK, LARGE, DENSE = 512, 48, 8
+BLOCK, LARGE, DENSE = 512, 32, 14
 _rng = np.random.default_rng(20_240_607)
-_A = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
+_A = _rng.integers(1, 2**63, TOTAL, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 2**63, TOTAL, dtype=np.uint64)
 _W = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SLOT = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64)
 _M1, _M2, _S = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(31)
@@ -80,14 +81,22 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(TOTAL, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(shingles), 2048):
         low = np.minimum(low, (shingles[k : k + 2048, None] * _A + _B).min(axis=0))
     return (_mix(low) & np.uint64(0xFFFF)).astype("<u2")
 
 
 def _symbols(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), SYMBOLS)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), TOTAL)
+
+
+def _first_slot(same: np.ndarray) -> np.ndarray:
+    """First slot in which signatures agree, from their symbol-wise agreement (rows x SYMBOLS)."""
+    chunks = same.reshape(-1, CHUNKS, WIDTH)
+    equal = chunks.sum(axis=2)[:, None, :]
+    agree = (equal == WIDTH) | ((equal == WIDTH - 1) & ~chunks.transpose(0, 2, 1))
+    return agree.reshape(-1, SYMBOLS).argmax(axis=1)
 
 
 def row_key(id_col: Column, text: Column) -> Column:
@@ -172,7 +181,8 @@ def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
 
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar, from the whole texts."""
-    texts = materialize(_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs, id_col, text_col), "near-texts")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    texts = materialize(_texts(ends, nodes, docs, id_col, text_col), "near-texts")
     a = texts.select(F.col("node").alias("a"), F.col("digest").alias("d_a"), F.col("text").alias("t_a"))
     b = texts.select(F.col("node").alias("b"), F.col("digest").alias("d_b"), F.col("text").alias("t_b"))
 
@@ -276,7 +286,9 @@ def _across(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFr
 
     dense = dealt.filter(is_dense)
     full = materialize(_texts(dense, nodes, docs, id_col, text_col).mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "near-full-sets")
-    links = dense.join(full, "node").groupBy("key", "i", "j").applyInArrow(exact, "a long, b long").distinct()
+    # small in bytes and large in work: dealt to all partitions, not gathered by size
+    parts, group = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["key", "slot", "i", "j"]
+    links = dense.join(full, "node").repartition(parts, *group).groupBy(*group).applyInArrow(exact, "a long, b long").distinct()
 
     def near(table: pa.Table) -> pa.Table:
         node, comp, n = (table[c].to_numpy() for c in ("node", "comp", "n"))
@@ -288,16 +300,15 @@ def _across(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFr
             if not len(at):
                 continue
             same = sig[at] == sig[x]
-            fit = SYMBOLS - same.sum(axis=1) <= FAR
-            at, same = at[fit], same[fit]
-            shared = np.stack([same[:, kept].all(axis=1) for kept in _KEPT[: slot + 1]], axis=1)
-            at = at[shared.argmax(axis=1) == slot]
+            fit = TOTAL - same.sum(axis=1) <= FAR
+            at, same = at[fit], same[fit, :SYMBOLS]
+            at = at[_first_slot(same) == slot]
             out.append(np.stack([np.minimum(node[at], node[x]), np.maximum(node[at], node[x])]))
         pairs = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
     rest = dealt.filter(~is_dense).join(nodes.select("node", "n", "sig"), "node")
-    return links, rest.groupBy("key", "slot", "i", "j").applyInArrow(near, "a long, b long").distinct()
+    return links, rest.repartition(parts, *group).groupBy(*group).applyInArrow(near, "a long, b long").distinct()
 
 
 def _contracted(links: DataFrame, comps: DataFrame) -> DataFrame:
