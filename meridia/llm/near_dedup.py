@@ -47,8 +47,9 @@ SYMBOLS = CHUNKS * WIDTH
 #: distance beyond which a pair is not confirmed: at similarity 0.8 one of 25.6 is expected,
 #: and one over 53 has a probability below 1e-8.
 TOTAL, FAR = 128, 53
-#: Members of a block of a bucket, members of a large bucket, and slots that bring full sets.
-BLOCK, LARGE, DENSE = 512, 32, 14
+#: Members of a block of a bucket and, where they bring full sets, shingles of a block;
+#: members of a large bucket; slots that bring full sets.
+BLOCK, MASS, LARGE, DENSE = 1536, 2_000_000, 32, 14
 _rng = np.random.default_rng(20_240_607)
 _A = _rng.integers(1, 2**63, TOTAL, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, TOTAL, dtype=np.uint64)
@@ -260,15 +261,17 @@ def _overlap_links(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> li
 def _across(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(links, pairs) across components: links confirmed inside large buckets, and pairs
     within the signature distance that are still to be confirmed."""
-    at = buckets.select("key", "slot", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
-    blocks = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("int")
-    members = at.join(mixed.select("key", "m", blocks.alias("blocks")), "key")
+    at = buckets.select("key", "slot", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(nodes.select("node", "n"), "node")
+    facts = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("mass"))
+    mixed = facts.filter("lo < hi").select("key", "m", "mass")
+    is_dense = (F.col("m") > LARGE) & (F.col("slot") < DENSE)
+    by_size = F.ceil(F.col("m") / F.lit(float(BLOCK)))
+    blocks = F.when(is_dense, F.greatest(by_size, F.ceil(F.col("mass") / F.lit(float(MASS))))).otherwise(by_size).cast("int")
+    members = at.join(mixed, "key").withColumn("dense", is_dense).withColumn("blocks", blocks)
     # block i meets block j: a member of block i goes to all pairs of blocks that hold i
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = materialize(dealt.select("key", "slot", "m", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "comp"), "near-mixed")
-    is_dense = (F.col("m") > LARGE) & (F.col("slot") < DENSE)
+    dealt = materialize(dealt.select("key", "slot", "dense", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "comp", "n"), "near-mixed")
 
     def sets(batches):
         for b in batches:
@@ -284,7 +287,7 @@ def _across(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFr
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
-    dense = dealt.filter(is_dense)
+    dense = dealt.filter("dense")
     full = materialize(_texts(dense, nodes, docs, id_col, text_col).mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "near-full-sets")
     # small in bytes and large in work: dealt to all partitions, not gathered by size
     parts, group = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["key", "slot", "i", "j"]
@@ -307,7 +310,7 @@ def _across(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFr
         pairs = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
-    rest = dealt.filter(~is_dense).join(nodes.select("node", "n", "sig"), "node")
+    rest = dealt.filter("NOT dense").join(nodes.select("node", "sig"), "node")
     return links, rest.repartition(parts, *group).groupBy(*group).applyInArrow(near, "a long, b long").distinct()
 
 
