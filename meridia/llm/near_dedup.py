@@ -177,7 +177,7 @@ def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
     """(node, digest, text) of the nodes; a text whose set has another digest isn't the node's."""
     ends = wanted.select("node").distinct().join(nodes.select("node", "key", "digest"), "node")
     rows = docs.select(row_key(docs[id_col], docs[text_col]).alias("key"), docs[text_col].alias("text"))
-    return ends.join(rows, "key").select("node", "digest", "text")
+    return ends.join(rows, "key").select("node", "digest", "text").distinct()  # rows may repeat
 
 
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -288,7 +288,7 @@ def _across(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFr
         return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
     dense = dealt.filter("dense")
-    full = materialize(_texts(dense, nodes, docs, id_col, text_col).mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "near-full-sets")
+    full = materialize(_texts(dense, nodes, docs, id_col, text_col).mapInArrow(sets, "node long, set binary"), "near-full-sets")
     # small in bytes and large in work: dealt to all partitions, not gathered by size
     parts, group = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["key", "slot", "i", "j"]
     links = dense.join(full, "node").repartition(parts, *group).groupBy(*group).applyInArrow(exact, "a long, b long").distinct()

@@ -101,11 +101,11 @@ def test_near_hard_rows(spark):
     assert near_dedup.drop_near_duplicates(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize(("large", "block", "dense"), [(48, 512, 8), (3, 4, 8), (3, 512, 1), (10**6, 4, 8)])
+@pytest.mark.parametrize(("large", "block", "dense"), [(48, 512, 8), (3, 4, 8), (3, 512, 1), (10**6, 4, 8), (3, 512, 14)])
 def test_near_chains_borders_and_groups(spark, monkeypatch, large, block, dense):
     import random
 
-    for name, value in (("LARGE", large), ("BLOCK", block), ("DENSE", dense)):
+    for name, value in (("LARGE", large), ("BLOCK", block), ("DENSE", dense), ("MASS", 60 if dense == 14 else 10**6)):
         monkeypatch.setattr(near_dedup, name, value)
 
     r = random.Random(5)
@@ -121,6 +121,15 @@ def test_near_chains_borders_and_groups(spark, monkeypatch, large, block, dense)
         check_near(spark, rows, 5)
 
 
+def test_near_of_rows_that_repeat(spark):
+    """Many rows without an id and of one text beside copies of it."""
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(None, text)] * 60 + [(k, text.replace("w5 ", f"v{k} ")) for k in range(5)] + [(9, text)] * 3
+    out = check_near(spark, rows, 2)
+    assert sum(r["kept"] for r in out) == 1
+    assert near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=2).count() == 1
+
+
 def test_near_on_documents(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     check_near(spark, [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], 2, docs)
