@@ -236,14 +236,12 @@ class _Forest:
             odds[k] = up[k] + np.logaddexp(edge[k, 0, 1], edge[k, 1, 1] + cavity[k]) - np.logaddexp(edge[k, 0, 0], edge[k, 1, 0] + cavity[k])
         real = self.depth > 0
         error = np.where(real, 1 / (1 + np.exp(-np.clip(odds, -40, 40))) - self.marks, 0)
-        joint = edge + np.array([[0, 0], [1, 1]]) * cavity[:, None, None] + np.array([[0, 1], [0, 1]]) * up[:, None, None]
-        joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        joint[np.arange(n), self.marks[self.parent], self.marks] -= 1
-        joint[~real] = 0
-        pairs = np.zeros_like(e)
-        for three in self.kind.T:
-            np.add.at(pairs, three, joint)
+        cells = [edge[:, 0, 0], edge[:, 0, 1] + up, edge[:, 1, 0] + cavity, edge[:, 1, 1] + cavity + up]  # by (parent, child)
+        top = np.maximum(np.maximum(cells[0], cells[1]), np.maximum(cells[2], cells[3]))
+        cells = [np.exp(c - top) for c in cells]
+        whole, seen = sum(cells), 2 * self.marks[self.parent] + self.marks
+        cells = [np.where(real, c / whole - (seen == k), 0) for k, c in enumerate(cells)]
+        pairs = sum(np.stack([np.bincount(kind, c, len(e)) for c in cells], axis=1) for kind in self.kind.T).reshape(e.shape)
         return np.bincount(self.to, error[self.at], len(w)), pairs
 
 
