@@ -86,24 +86,32 @@ class _Joined:
 
     def learn(self, segments: list[str]) -> dict[str, bytes]:
         """Ids of the segments it can take apart; the others are encoded alone, when met."""
-        known, signs, lower, parts, found = self.letters, self.signs, self.rule == "dropped", [], {}
+        known, signs, lower, found, open_ = self.letters, self.signs, self.rule == "dropped", {}, []
         for x in segments:
             letters = x.rstrip(_SIGNS)
-            if letters.isalpha() and len(x) <= LONGEST:
-                if letters.isascii():
-                    parts.append((x, letters.lower() if lower else letters, len(letters)))
-                elif max(letters) < _LATER:
-                    parts.append((x, letters, len(letters)))
-        new = list({letters for _, letters, _ in parts if letters not in known})
+            n = len(letters)
+            if n > LONGEST or not letters.isalpha():
+                continue
+            if not letters.isascii():
+                if max(letters) >= _LATER:
+                    continue
+            elif lower:
+                letters = letters.lower()
+            ids = known.get(letters)
+            if ids is None:
+                open_.append((x, letters, n))
+            else:
+                found[x] = ids + signs[x[n:]] if n < len(x) else ids
+        new = list({letters for _, letters, _ in open_})
         if len(known) + len(new) > TABLE:
             known.clear()
-            new = list({letters for _, letters, _ in parts})
         for k in range(0, len(new), JOINED):
             part = new[k : k + JOINED]
             known.update(zip(part, self._encode(part), strict=False))
-        for x, letters, n in parts:
-            if letters in known:
-                found[x] = known[letters] + signs[x[n:]] if n < len(x) else known[letters]
+        for x, letters, n in open_:
+            ids = known.get(letters)
+            if ids is not None:
+                found[x] = ids + signs[x[n:]] if n < len(x) else ids
         return found
 
     def _encode(self, part: list[str]) -> list[bytes]:
@@ -157,10 +165,11 @@ class Encoder:
         if len(table) + len(segments) // 2 > TABLE:
             table.clear()
         for x in segments:
-            if x in table:
-                local[x] = table[x]
-            else:
+            ids = table.get(x)
+            if ids is None:
                 new.append(x)
+            else:
+                local[x] = ids
         found = self.joined.learn(new)
         table.update(found)
         local.update(found)
