@@ -51,8 +51,9 @@ TOTAL, FAR = 128, 53
 #: members of a large bucket; slots that bring full sets.
 BLOCK, MASS, LARGE, DENSE = 1536, 2_000_000, 32, 14
 _rng = np.random.default_rng(20_240_607)
-_A = _rng.integers(1, 2**63, TOTAL, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, TOTAL, dtype=np.uint64)
+#: Multipliers and offsets of the hash functions; 32 bits, which processors take several at a time.
+_A = _rng.integers(0, 2**31, TOTAL, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 2**32, TOTAL, dtype=np.uint32)
 _W = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SLOT = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64)
 _M1, _M2, _S = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(31)
@@ -78,14 +79,21 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     total = np.full(len(parts) - k + 1, k, np.uint64)
     for i in range(k):
         total += h[i : len(parts) - k + 1 + i] * _W[i]
-    return np.unique(_mix(total))
+    total = np.sort(_mix(total))
+    new = np.ones(len(total), bool)
+    np.not_equal(total[1:], total[:-1], out=new[1:])
+    return total[new]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(TOTAL, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(shingles), 2048):
-        low = np.minimum(low, (shingles[k : k + 2048, None] * _A + _B).min(axis=0))
-    return (_mix(low) & np.uint64(0xFFFF)).astype("<u2")
+    low, x = np.full(TOTAL, np.iinfo(np.uint32).max, np.uint32), shingles.astype(np.uint32)
+    room = np.empty((min(len(x), 512), TOTAL), np.uint32)  # stays in the processor's cache
+    for k in range(0, len(x), 512):
+        part = x[k : k + 512, None]
+        hashed = np.multiply(part, _A, out=room[: len(part)])
+        hashed += _B
+        np.minimum(low, hashed.min(axis=0), out=low)
+    return (_mix(low.astype(np.uint64)) & np.uint64(0xFFFF)).astype("<u2")
 
 
 def _symbols(column: pa.Array) -> np.ndarray:
@@ -258,6 +266,54 @@ def _overlap_links(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> li
     return out
 
 
+def _block_pairs(table: pa.Table, percent: int) -> np.ndarray:
+    """Pairs (a, b) of different components in each run of rows of one block, within the
+    signature distance, each in the first slot it shares. All blocks of the table are
+    compared at once: row i with row i + 1, then with row i + 2, to the block's end."""
+    node, comp, n, slot, ends = (table[c].to_numpy() for c in ("node", "comp", "n", "slot", "end"))
+    sig, out = _symbols(table["sig"].combine_chunks()), [np.empty((2, 0), np.int64)]
+    left, step = np.arange(len(node)), 1
+    while len(left := left[left + step < ends[left]]):
+        x, y = left, left + step
+        fit = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[fit], y[fit]
+        if len(x):
+            same = sig[x] == sig[y]
+            fit = TOTAL - same.sum(axis=1) <= FAR
+            x, y, same = x[fit], y[fit], same[fit, :SYMBOLS]
+            fit = _first_slot(same) == slot[x]
+            x, y = node[x[fit]], node[y[fit]]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+        step += 1
+    return np.concatenate(out, axis=1)
+
+
+def _near_in_blocks(batches, percent: int):
+    """Batches of pairs from rows sorted by block; a block that goes on in the next batch waits
+    for it, so the rows held are one batch and one block, which ``BLOCK`` bounds."""
+
+    def pairs(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ends = np.append(starts[1:], table.num_rows)
+        found = _block_pairs(table.append_column("end", pa.array(np.repeat(ends, ends - starts))), percent)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+    held, starts = None, np.zeros(1, np.int64)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        table = pa.Table.from_batches([b])
+        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        first = np.ones(held.num_rows, bool)
+        first[1:] = np.any([held[c].to_numpy()[1:] != held[c].to_numpy()[:-1] for c in ("key", "slot", "i", "j")], axis=0)
+        starts = np.flatnonzero(first)
+        if len(starts) > 1:
+            last = int(starts[-1])
+            yield pairs(held.slice(0, last), starts[:-1])
+            held, starts = held.slice(last), np.zeros(1, np.int64)
+    if held is not None:
+        yield pairs(held, starts)
+
+
 def _across(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(links, pairs) across components: links confirmed inside large buckets, and pairs
     within the signature distance that are still to be confirmed."""
@@ -293,25 +349,8 @@ def _across(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFr
     parts, group = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["key", "slot", "i", "j"]
     links = dense.join(full, "node").repartition(parts, *group).groupBy(*group).applyInArrow(exact, "a long, b long").distinct()
 
-    def near(table: pa.Table) -> pa.Table:
-        node, comp, n = (table[c].to_numpy() for c in ("node", "comp", "n"))
-        sig, slot, out = _symbols(table["sig"].combine_chunks()), table["slot"][0].as_py(), []
-        for x in range(len(node) - 1):
-            later = slice(x + 1, None)
-            fit = (comp[later] != comp[x]) & (100 * np.minimum(n[later], n[x]) >= percent * np.maximum(n[later], n[x]))
-            at = np.flatnonzero(fit) + x + 1
-            if not len(at):
-                continue
-            same = sig[at] == sig[x]
-            fit = TOTAL - same.sum(axis=1) <= FAR
-            at, same = at[fit], same[fit, :SYMBOLS]
-            at = at[_first_slot(same) == slot]
-            out.append(np.stack([np.minimum(node[at], node[x]), np.maximum(node[at], node[x])]))
-        pairs = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
-
-    rest = dealt.filter("NOT dense").join(nodes.select("node", "sig"), "node")
-    return links, rest.repartition(parts, *group).groupBy(*group).applyInArrow(near, "a long, b long").distinct()
+    rest = dealt.filter("NOT dense").join(nodes.select("node", "sig"), "node").repartition(parts, *group).sortWithinPartitions(*group)
+    return links, rest.select(*group, "node", "comp", "n", "sig").mapInArrow(lambda batches: _near_in_blocks(batches, percent), "a long, b long").distinct()
 
 
 def _contracted(links: DataFrame, comps: DataFrame) -> DataFrame:

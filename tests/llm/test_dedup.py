@@ -154,3 +154,32 @@ def test_components(spark):
             up[b] = a
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
     assert SCHEMA
+
+
+def test_blocks_go_on_across_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    from meridia.llm import near_dedup as nd
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**16, nd.TOTAL).astype("<u2")
+    rows = []
+    for key, size in enumerate([1, 7, 2, 40, 1, 25]):
+        for _ in range(size):
+            sig = base.copy()
+            sig[rng.integers(0, nd.TOTAL, rng.integers(0, 70))] ^= np.uint16(1)
+            rows.append((key, key % 3, 0, 0, len(rows), int(rng.integers(0, 5)), int(rng.integers(70, 100)), sig))
+    want = set()
+    for x in rows:
+        for y in rows:
+            same = x[7] == y[7]
+            if x[0] == y[0] and x[4] < y[4] and x[5] != y[5] and 100 * min(x[6], y[6]) >= 80 * max(x[6], y[6]) and nd.TOTAL - same.sum() <= nd.FAR and nd._first_slot(same[None, : nd.SYMBOLS])[0] == x[1]:
+                want.add((x[4], y[4]))
+    names, kinds = ("key", "slot", "i", "j", "node", "comp", "n", "sig"), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    cols = [pa.array([r[k].tobytes() if k == 7 else r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+    whole = pa.RecordBatch.from_arrays(cols, list(names))
+    for size in (1, 3, 10, len(rows)):
+        got = [p for b in nd._near_in_blocks((whole.slice(k, size) for k in range(0, len(rows), size)), 80) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want and want
+    assert list(nd._near_in_blocks(iter([whole.slice(0, 0)]), 80)) == []
