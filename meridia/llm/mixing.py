@@ -7,6 +7,11 @@
 3. For each source a plan over its size counts: as many full passes as fit, then of each size
    the same fraction, then sizes from large to small while they fit, and bounded-knapsack
    dynamic programming for the last ``BUDGET`` words. A plan sees size counts, not documents.
+   A plan that misses its target is repaired by a subset-sum over all sizes, long ones too:
+   first among plans that take each document ``passes`` times or once more, then among all of
+   at most ``MAX_COPIES``. More and more documents of each size are free to change, at most
+   ``POOL`` words (over the sizes' common divisor); where that holds all of them the total is
+   the nearest there is.
 4. Of each (source, size) the planned number of documents is taken in the order of a seeded
    hash. That order is cut into ranges of about ``RANGE`` documents, so only the range in
    which the plan ends is ranked and no window holds a hot size whole.
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 
-MAX_COPIES, SEED, BUDGET, RANGE = 3, 17, 8192, 10_000
+MAX_COPIES, SEED, BUDGET, RANGE, POOL = 3, 17, 8192, 10_000, 2**25
 
 
 def word_count(text: Column) -> Column:
@@ -91,10 +96,88 @@ def subset_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, goal: int
     return take, best
 
 
+def nearest_counts(sizes: np.ndarray, counts: np.ndarray, goal: int, cap: int) -> np.ndarray:
+    """Bounded subset-sum: how many of each size (at most ``counts``) sum to the total within
+    ``cap`` that is nearest to ``goal``. Counts are split in binary, reached totals are bits,
+    and each total keeps the item that first reached it."""
+    take = np.zeros(len(sizes), np.int64)
+    use = [int(k) for k in np.argsort(sizes, kind="stable") if 0 < sizes[k] <= cap and counts[k] > 0]
+    if not use or goal <= 0:
+        return take
+    unit = int(np.gcd.reduce(sizes[use]))
+    top, aim = cap // unit, min((2 * goal + unit) // (2 * unit), cap // unit)
+    first = np.full(top + 1, -1, np.int32)
+    mask, reach, items = (1 << (top + 1)) - 1, 1, []
+    for k in use:
+        left, part, s = min(int(counts[k]), cap // int(sizes[k])), 1, int(sizes[k]) // unit
+        while left and first[aim] < 0:
+            part = min(part, left)
+            new = ((reach << part * s) & mask) & ~reach
+            if new:
+                raw = np.frombuffer(new.to_bytes(top // 8 + 1, "little"), np.uint8)
+                at = np.flatnonzero(raw)
+                for lo in range(0, len(at), 65_536):
+                    cell = at[lo : lo + 65_536]
+                    row, bit = np.nonzero(np.unpackbits(raw[cell][:, None], axis=1, bitorder="little"))
+                    first[cell[row] * 8 + bit] = len(items)
+                reach |= new
+            items.append((k, part))
+            left, part = left - part, part * 2
+    found = first >= 0
+    found[0] = True
+    base = min(goal // unit, top)
+    best = base - int(np.argmax(found[base::-1]))
+    over = found[base + 1 :]
+    if over.any():
+        above = base + 1 + int(np.argmax(over))
+        best = above if above * unit - goal < goal - best * unit else best
+    while best:
+        k, part = items[first[best]]
+        take[k] += part
+        best -= part * int(sizes[k]) // unit
+    return take
+
+
+def repair(sizes: np.ndarray, plan: np.ndarray, low: np.ndarray, high: np.ndarray, want: int) -> np.ndarray:
+    """The plan (copies of each size, between low and high) changed so that its words come
+    nearer to ``want``, with as few documents of each size free to change as do."""
+    unit = int(np.gcd.reduce(sizes))
+    least = min(want % unit, -want % unit) if unit else 0
+    order = np.argsort(sizes, kind="stable")
+    gap, free = want - int((plan * sizes).sum()), 1
+    while unit and abs(gap) > least:
+        down, up = np.minimum(free, plan - low), np.minimum(free, high - plan)
+        if gap + int((down * sizes).sum()) + abs(gap) > POOL * unit:  # short sizes first, as many as the pool holds
+            words = np.empty(len(sizes), np.int64)
+            words[order] = np.cumsum(((down + up) * sizes)[order])
+            down, up = np.where(words <= POOL * unit, down, 0), np.where(words <= POOL * unit, up, 0)
+        goal = gap + int((down * sizes).sum())
+        cap = min(goal + abs(gap) - 1, int(((down + up) * sizes).sum()))
+        changed = plan - down + nearest_counts(sizes, down + up, goal, cap)
+        if abs(want - int((changed * sizes).sum())) < abs(gap):
+            plan, gap = changed, want - int((changed * sizes).sum())
+        if free >= int((high - low).max()):
+            break
+        free *= 8
+    return plan
+
+
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
-    """(full passes, further documents of each size) whose words come nearest to target."""
-    whole = int((sizes * counts).sum())
-    want = round(target)
+    """(full passes, further copies of each size) whose words come nearest to target. Copies
+    are at most the documents of a size, or else passes is 0 and they hold all."""
+    whole, want = int((sizes * counts).sum()), round(target)
+    passes, take = _first_plan(sizes, counts, whole, want)
+    if passes == MAX_COPIES or want <= 0 or not whole:
+        return passes, take
+    counts = np.where(sizes > 0, counts, 0)
+    plan = repair(sizes, passes * counts + take, passes * counts, (passes + 1) * counts, want)
+    wide = repair(sizes, plan, 0 * counts, MAX_COPIES * counts, want)
+    return (passes, plan - passes * counts) if (wide == plan).all() else (0, wide)
+
+
+def _first_plan(sizes: np.ndarray, counts: np.ndarray, whole: int, want: int) -> tuple[int, np.ndarray]:
+    """(full passes, further documents of each size): in proportion, then large to small, then
+    a knapsack for the last words."""
     if not whole or want <= 0:
         return 0, np.zeros(len(sizes), np.int64)
     passes = min(want // whole, MAX_COPIES)
@@ -127,7 +210,9 @@ def plan_mix(sizes: DataFrame) -> DataFrame:
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("size", kind="stable").reset_index(drop=True)
-        base, take = fit_budget(rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), float(rows["target"].iloc[0]))
+        n = rows["n"].to_numpy(np.int64)
+        base, take = fit_budget(rows["size"].to_numpy(np.int64), n, float(rows["target"].iloc[0]))
+        base, take = np.divmod(base * n + take, n)
         return rows.drop(columns="_key").assign(_base=base, _take=take)
 
     kind = sizes.schema["source"].dataType.simpleString()

@@ -84,3 +84,41 @@ def test_subset_counts_reaches_the_best_total():
         near, got = mixing.subset_counts(sizes, counts, budget, goal)
         assert abs(got - goal) == min(abs(t - goal) for t in totals if t <= budget) and int((near * sizes).sum()) == got
         assert (take <= counts).all() and int((take * sizes).sum()) == best
+
+
+def fitted(cells, target):
+    sizes, counts = (np.array(v, np.int64) for v in zip(*sorted(cells), strict=True))
+    passes, take = mixing.fit_budget(sizes, counts, target)
+    copies = passes * counts + take
+    assert (copies >= 0).all() and (copies <= mixing.MAX_COPIES * counts).all()
+    return int((copies * sizes).sum()), dict(zip(sizes.tolist(), copies.tolist(), strict=True))
+
+
+def test_fit_budget_decides_long_sizes_exactly():
+    assert fitted([(100, 600), (100_000, 1)], 120_000) == (120_000, {100: 200, 100_000: 1})
+    assert fitted([(100_000, 1), (60_000, 1), (50_000, 1)], 110_000)[0] == 110_000
+    assert fitted([(100, 300), (15_000, 2), (20_000, 1)], 48_000)[0] == 48_000
+    assert fitted([(100_000, 1), (60_000, 1)], 180_000) == (180_000, {100_000: 0, 60_000: 3})
+    assert fitted([(10_007, 40_000), (20_014, 9)], 3 * 10_007 + 4_000)[0] == 3 * 10_007
+
+
+def test_fit_budget_is_nearest_of_all_totals():
+    r = np.random.default_rng(11)
+    for _ in range(150):
+        sizes = np.unique(r.integers(1, r.choice([40, 30_000]), r.integers(1, 5)))
+        counts = r.integers(1, 4, len(sizes))
+        totals = {0}
+        for s, c in zip(sizes.tolist(), counts.tolist(), strict=True):
+            totals = {t + k * s for t in totals for k in range(3 * c + 1)}
+        want = int(r.integers(0, 3 * int((sizes * counts).sum()) + 1))
+        got = fitted(list(zip(sizes.tolist(), counts.tolist(), strict=True)), want)[0]
+        assert abs(got - want) == min(abs(t - want) for t in totals)
+
+
+def test_mix_source_with_one_document_of_over_half_its_words(spark):
+    # targets 120,000 and 240,000 of 360,000 words
+    rows = [(k, "w " * 100, "a") for k in range(600)] + [(1000, "w " * 100_000, "a")]
+    rows += [(2000, "v " * 100_000, "b"), (2001, "v " * 60_000, "b"), (2002, "v " * 40_000, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = {r["doc_id"]: r["copies"] for r in check_mix(docs, 0) if r["copies"]}
+    assert {r["doc_id"]: r["count"] for r in mixing.mix_documents(docs).groupBy("doc_id").count().collect()} == got
