@@ -46,10 +46,11 @@ def case_collisions(rows: DataFrame, name: str) -> DataFrame:
     return folded.filter("n > 1")
 
 
-def scan_rules(rows: DataFrame, key: str, text: str, rules: list[tuple[str, str]]) -> DataFrame:
-    """Every violated rule of every text, with the rule's place in the fixed order. Rules
-    are a constant array, so a text is read once and nothing is joined."""
-    hits = F.array(*(F.when(F.col(text).rlike(p), F.struct(F.lit(k).cast("long").alias("place"), F.lit(n).alias("rule"))) for k, (n, p) in enumerate(rules)))
+def scan_rules(rows: DataFrame, key: str, text: str, rules: list[tuple[str, str | Column]]) -> DataFrame:
+    """Every violated rule of every text, with the rule's place in the fixed order. A rule is
+    a pattern or a condition. Rules are a constant array, so a text is read once and nothing
+    is joined."""
+    hits = F.array(*(F.when(F.col(text).rlike(p) if isinstance(p, str) else p, F.struct(F.lit(k).cast("long").alias("place"), F.lit(n).alias("rule"))) for k, (n, p) in enumerate(rules)))
     return rows.select(key, F.explode(F.array_compact(hits)).alias("_h")).select(key, "_h.rule", "_h.place")
 
 

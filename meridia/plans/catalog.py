@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.time import DAY, HOUR, MINUTE, civil_to_utc_us, to_us
@@ -345,6 +345,75 @@ RULES = [
 ]
 
 
+#: The reference's lists (C3, C5, C6, C7, C17). (?U): \b and \s as Python has them for texts.
+PRIVATE_RULES = [
+    ("credential", r"(?U)\b(?:glpat-|ghp_|github_pat_)[A-Za-z0-9_-]{16,}"),
+    ("private_key", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
+    ("identity", r"(?U)\b(?:ou|oc|om)_[a-f0-9]{16,}\b|\bcli_[a-f0-9]{12,}\b"),
+    ("user_path", r"(?iU)\b[A-Z]:[\\/]+Users[\\/]+[^\\/\s\"\x27]+"),
+    ("authenticated_url", r"(?U)https?://[^/\s\"\x27]+:[^/@\s\"\x27]+@"),
+]
+TOKEN_RULES = [
+    ("private_key_line", r"(?md)^-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
+    ("access_token", r"(?<![A-Za-z0-9_])(?:glpat-|gh[pousr]_|github_pat_|sk-proj-)[A-Za-z0-9_-]{20,}"),
+]
+TENANT_URL = r"(?U)https?://([^/\s<>\"\x27]+)/(?:sheets|docx|wiki)/([A-Za-z0-9]{20,})"
+TENANT_HOSTS = ["example.feishu.cn", "fixture.invalid", "example.com"]
+VEHICLE_ID = r"(?<![A-Za-z0-9_])[A-HJ-NPR-Z0-9]{17}(?![A-Za-z0-9_])"
+VEHICLE_IDS = [
+    "DEM0VEH1CLE000001", "DEM0VEH1CLE000002", "DEM0VEH1CLEX00001", "DEM0VEH1CLEX00002", "DEM0VEH1CLEX00003",
+    "WBA123456789ABCDE", "WBA00000000000000", "L1234567890123456", "L2234567890123456",
+]
+PRIVATE_PARTS = ["private", "secrets", ".lark-cli", "data", "wtv081", "wheelhouse"]
+PRIVATE_SUFFIXES = [".exe", ".dll", ".whl", ".zip", ".pyc", ".pem", ".key", ".pfx"]
+#: One file's literal isn't an authenticated URL.
+EXEMPT_FILE, EXEMPT_URL = "/test_download_scheduler.py", "https://" + "user:secret@test.download.invalid/input.bin"
+
+
+def private_rules(text: str, path: Column | None = None) -> list[tuple[str, str | Column]]:
+    """All content rules of the reference, for scan_rules, of a text column and its file's path."""
+    seen = F.col(text)
+    if path is not None:
+        seen = F.when(path.endswith(EXEMPT_FILE), F.replace(seen, F.lit(EXEMPT_URL), F.lit(""))).otherwise(seen)
+    inspected = [(n, seen.rlike(p) if n == "authenticated_url" else p) for n, p in PRIVATE_RULES]
+    host = F.exists(F.regexp_extract_all(text, F.lit(TENANT_URL), F.lit(1)), lambda h: ~h.isin(TENANT_HOSTS))
+    vehicle = F.exists(F.regexp_extract_all(text, F.lit(VEHICLE_ID), F.lit(0)), lambda v: ~v.isin(VEHICLE_IDS) & ~v.rlike("^[0-9]+$"))
+    return [*inspected, ("tenant_resource", host), ("vehicle_id", vehicle), *TOKEN_RULES]
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that end with a line which a rule of the reference finds, or allows."""
+    a = lambda start, sign, n: F.concat(F.lit(start), F.repeat(F.lit(sign), F.lit(n)))
+    lines = [
+        a("glpat-", "a", 16), a("ghp_", "a", 20), a("github_pat_", "a", 19), a("ghu_", "a", 20), a("sk-proj-", "a", 20),
+        F.lit("-----BEGIN RSA PRIVATE KEY-----"), F.lit("x -----BEGIN PRIVATE KEY-----"), a("ou_", "a", 16), a("cli_", "b", 12),
+        F.lit("C:\\Users\\someone"), F.lit("https://someone:word@host.invalid/x"), a("https://tenant.invalid/docx/", "T", 20),
+        a("https://example.com/wiki/", "T", 20), F.lit("DEM0VEH1CLE000001 DEM0VEH1CLE000009"), F.lit("WBA00000000000000 12345678901234567"),
+    ]
+    line = F.get(F.array(*lines), F.pmod("doc_id", F.lit(len(lines))).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(".", "lang", "source").alias("kind"), F.concat_ws("\n", "text", line).alias("text"))
+
+
+@query
+def private_data_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.scan_rules(_planted(spark, sf_dir), "doc_id", "text", private_rules("text"))
+
+
+@query
+def private_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _planted(spark, sf_dir)
+    return integrity.check_summary(integrity.scan_rules(docs, "kind", "text", private_rules("text")), docs, "kind")
+
+
+@query
+def private_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths with each forbidden part and suffix, and others that pass."""
+    n, parts, suffixes = F.col("p_partkey"), F.array(*map(F.lit, PRIVATE_PARTS)), F.array(*map(F.lit, PRIVATE_SUFFIXES))
+    kind = F.pmod(n, F.lit(16)).cast("int")
+    path = F.when(kind < 6, F.concat(F.lit("a/"), F.get(parts, kind), F.lit("/b.py"))).when(kind < 14, F.concat(F.lit("a/b"), F.upper(F.get(suffixes, kind - 6)))).when(kind == 14, "a/.env.example").otherwise("a/database/b.py")
+    return table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), integrity.path_verdict(path, PRIVATE_PARTS, PRIVATE_SUFFIXES).alias("verdict"))
+
+
 @query
 def rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.scan_rules(table(spark, sf_dir, "documents"), "doc_id", "text", RULES)

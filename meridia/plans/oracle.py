@@ -16,6 +16,26 @@ _STATUS = f"""WITH art AS ({_ART}), rec AS ({_REC}), st AS (
   FROM art a LEFT JOIN rec r USING (page_id) GROUP BY a.page_id)"""
 _RULES = r"""(VALUES (0, 'mail', '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+'), (1, 'secret', '(secret|token|api_key|password)\s*[:=]'),
   (2, 'license', '[Ll]icense'), (3, 'address', '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}'), (4, 'long_number', '[0-9]{13,}')) r(place, rule, pattern)"""
+_PLANTED = r"""p AS (
+  SELECT doc_id, lang || '.' || source AS kind, text || chr(10) || CASE doc_id % 15
+    WHEN 0 THEN 'glpat-' || repeat('a', 16) WHEN 1 THEN 'ghp_' || repeat('a', 20) WHEN 2 THEN 'github_pat_' || repeat('a', 19)
+    WHEN 3 THEN 'ghu_' || repeat('a', 20) WHEN 4 THEN 'sk-proj-' || repeat('a', 20) WHEN 5 THEN '-----BEGIN RSA PRIVATE KEY-----'
+    WHEN 6 THEN 'x -----BEGIN PRIVATE KEY-----' WHEN 7 THEN 'ou_' || repeat('a', 16) WHEN 8 THEN 'cli_' || repeat('b', 12)
+    WHEN 9 THEN 'C:\Users\someone' WHEN 10 THEN 'https://someone:word@host.invalid/x' WHEN 11 THEN 'https://tenant.invalid/docx/' || repeat('T', 20)
+    WHEN 12 THEN 'https://example.com/wiki/' || repeat('T', 20) WHEN 13 THEN 'DEM0VEH1CLE000001 DEM0VEH1CLE000009'
+    ELSE 'WBA00000000000000 12345678901234567' END AS text FROM documents),
+h AS (
+  SELECT doc_id, kind, rule, place FROM p, (VALUES
+    (0, 'credential', '\b(?:glpat-|ghp_|github_pat_)[A-Za-z0-9_-]{16,}'), (1, 'private_key', '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----'),
+    (2, 'identity', '\b(?:ou|oc|om)_[a-f0-9]{16,}\b|\bcli_[a-f0-9]{12,}\b'), (3, 'user_path', '(?i)\b[A-Z]:[\\/]+Users[\\/]+[^\\/\s"\x27]+'),
+    (4, 'authenticated_url', 'https?://[^/\s"\x27]+:[^/@\s"\x27]+@'), (7, 'private_key_line', '(?m)^-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----'),
+    (8, 'access_token', '\b(?:glpat-|gh[pousr]_|github_pat_|sk-proj-)[A-Za-z0-9_-]{20,}')) r(place, rule, pattern) WHERE regexp_matches(text, pattern)
+  UNION ALL SELECT DISTINCT doc_id, kind, 'tenant_resource', 5 FROM (
+    SELECT doc_id, kind, unnest(regexp_extract_all(text, 'https?://([^/\s<>"\x27]+)/(?:sheets|docx|wiki)/([A-Za-z0-9]{20,})', 1)) AS host FROM p)
+  WHERE host NOT IN ('example.feishu.cn', 'fixture.invalid', 'example.com')
+  UNION ALL SELECT DISTINCT doc_id, kind, 'vehicle_id', 6 FROM (SELECT doc_id, kind, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) AS v FROM p)
+  WHERE regexp_full_match(v, '[A-HJ-NPR-Z0-9]{17}') AND NOT regexp_full_match(v, '[0-9]+') AND v NOT IN (
+    'DEM0VEH1CLE000001', 'DEM0VEH1CLE000002', 'DEM0VEH1CLEX00001', 'DEM0VEH1CLEX00002', 'DEM0VEH1CLEX00003', 'WBA123456789ABCDE', 'WBA00000000000000', 'L1234567890123456', 'L2234567890123456'))"""
 _GAP = f"SELECT user_id, event_id, ts_us, ts_us - lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS gap_us FROM ({_EV})"
 
 ORACLE_SQL = {
@@ -144,6 +164,14 @@ ORACLE_SQL = {
     "case_collision": """
         WITH n AS (SELECT CASE WHEN p_size % 2 = 0 THEN upper(p_type) ELSE lower(p_type) END || '/' || p_brand AS name FROM part)
         SELECT lower(name) AS folded, count(DISTINCT name) AS n FROM n GROUP BY 1 HAVING count(DISTINCT name) > 1""",
+    "private_data_scan": f"WITH {_PLANTED} SELECT doc_id, rule, CAST(place AS BIGINT) AS place FROM h",
+    "private_data_counts": f"""
+        WITH {_PLANTED}, e AS (SELECT kind, count(*) AS n FROM h GROUP BY 1), f AS (SELECT kind, count(*) AS files FROM p GROUP BY 1)
+        SELECT kind, files, coalesce(n, 0) AS errors, CASE WHEN n > 0 THEN 'failed' ELSE 'passed' END AS status FROM f LEFT JOIN e USING (kind)""",
+    "private_paths": """
+        SELECT p_partkey, CASE WHEN p_partkey % 16 < 6 THEN 'a/' || ['private', 'secrets', '.lark-cli', 'data', 'wtv081', 'wheelhouse'][p_partkey % 16 + 1] || '/b.py'
+          WHEN p_partkey % 16 < 14 THEN 'a/b.' || ['EXE', 'DLL', 'WHL', 'ZIP', 'PYC', 'PEM', 'KEY', 'PFX'][p_partkey % 16 - 5] WHEN p_partkey % 16 = 14 THEN 'a/.env.example' ELSE 'a/database/b.py' END AS path,
+          CASE WHEN p_partkey % 16 < 6 THEN 'part' WHEN p_partkey % 16 < 14 THEN 'suffix' ELSE 'ok' END AS verdict FROM part""",
     "rule_scan": f"SELECT doc_id, rule, CAST(place AS BIGINT) AS place FROM documents, {_RULES} WHERE regexp_matches(text, pattern)",
     "url_allowlist": r"""
         WITH h AS (SELECT regexp_extract(url, 'https?://([^/?#]+)', 1) AS host FROM pages WHERE regexp_matches(url, 'https?://([^/?#]+)'))
