@@ -171,3 +171,11 @@ def with_followup(reports: DataFrame, registrations: DataFrame, job: str) -> Dat
     r = registrations.groupBy(job).agg(F.max(F.col("registered").cast("int")).alias("_r"))
     state = F.when(F.col("_r") == 1, "available").when(F.col("_r") == 0, "registration failed").otherwise("not registered")
     return reports.join(r, job, "left").withColumn("followup", state).drop("_r")
+
+
+def route(message: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:
+    """Task of a message by a rule table of (pattern, task) in order: the first that matches."""
+    task = F.lit(otherwise)
+    for pattern, name in reversed(rules):
+        task = F.when(message.rlike(pattern), name).otherwise(task)
+    return task

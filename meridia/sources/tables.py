@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,12 @@ def files(spark: SparkSession, path: str, skip: str = r"/(\.git|__pycache__|test
     return rows.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.col("content"))
 
 
+def decoded(content: Column) -> Column:
+    """Text of a file's bytes: strict UTF-8 without a byte order mark; null if it isn't valid."""
+    text = content.cast("binary").cast("string")
+    return F.when(F.is_valid_utf8(text), F.regexp_replace(text, "^\ufeff", ""))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256, bytes) rows of a JSON manifest {"files": {path: {"sha256", "bytes"}}}."""
     schema = "schema string, version string, files map<string, struct<sha256: string, bytes: bigint>>"

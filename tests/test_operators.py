@@ -178,3 +178,24 @@ def test_manifest_round_trip(spark, tmp_path):
     assert rows(back, "sha256", "bytes") == [(hashlib.sha256(b"abc").hexdigest(), 3)]
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         tables.write_manifest(found, str(tmp_path / "m"), "1")
+
+
+def test_decoded_files_are_strict_utf8_without_a_mark(spark):
+    raw = [b"plain", b"\xef\xbb\xbfmarked", b"\xef\xbb\xbf\xef\xbb\xbftwo", b"in\xef\xbb\xbfside", b"", b"\xef\xbb\xbf", b"\xff\xfe", b"caf\xe9", b"\xc0\xaf", b"\xed\xa0\x80", "z\u00fcg \U0001f600".encode(), b"a\n\xef\xbb\xbfb", None]
+
+    def want(x):
+        try:
+            return x.decode("utf-8-sig")
+        except (AttributeError, UnicodeDecodeError):
+            return None
+
+    df = spark.createDataFrame([(k, None if x is None else bytearray(x)) for k, x in enumerate(raw)], "k int, content binary")
+    got = {r["k"]: r["t"] for r in df.select("k", tables.decoded(F.col("content")).alias("t")).collect()}
+    assert got == {k: want(x) for k, x in enumerate(raw)}
+
+
+def test_route_takes_the_first_rule_that_matches(spark):
+    rules = [("(?i)report", "report"), ("(?i)stop|cancel", "cancel"), ("report now", "never")]
+    df = spark.createDataFrame([("Report now",), ("stop the report",), ("cancel it",), ("hello",), (None,)], "m string")
+    got = {r["m"]: r["t"] for r in df.select("m", records.route(F.col("m"), rules, "ask").alias("t")).collect()}
+    assert got == {"Report now": "report", "stop the report": "report", "cancel it": "cancel", "hello": "ask", None: "ask"}
