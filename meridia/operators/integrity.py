@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,44 @@ def canonical_digest(entries: DataFrame, by: list[str], path: str, value: str) -
     return entries.groupBy(*by).agg(F.count(F.lit(1)).alias("entries"), F.sha2(text, 256).alias("digest"))
 
 
+def whole_digest(entries: DataFrame, path: str, value: str, size: int = 4096) -> DataFrame:
+    """One row (entries, digest): SHA-256 of all entries as compact JSON with sorted keys, at
+    any size. Entries are sorted over the cluster and joined to texts of ``size`` entries;
+    SHA-256 takes its input in order, so one task reads these texts and holds one batch at a
+    time. A path that repeats is an error, as keys of one object can't."""
+    one = F.to_json(F.create_map(F.col(path), F.col(value)))
+    listed = entries.select(F.col(path).alias("k"), F.substring(one, F.lit(2), F.length(one) - 2).alias("e")).orderBy("k")
+
+    def join(batches):
+        part, place, held, last = TaskContext.get().partitionId(), 0, [], None
+        for rows in batches:
+            for k, e in zip(rows["k"], rows["e"], strict=True):
+                if k == last:
+                    raise ValueError(f"path repeats in the manifest: {k}")
+                last = k
+                held.append(e)
+                if len(held) == size:
+                    yield pd.DataFrame({"part": [part], "place": [place], "n": [size], "text": [",".join(held)]})
+                    place, held = place + 1, []
+        if held:
+            yield pd.DataFrame({"part": [part], "place": [place], "n": [len(held)], "text": [",".join(held)]})
+
+    def fold(batches):
+        total, digest = 0, hashlib.sha256(b"{")
+        for rows in batches:
+            for n, text in zip(rows["n"], rows["text"], strict=True):
+                if n:
+                    digest.update(("," if total else "").encode() + text.encode())
+                    total += int(n)
+        digest.update(b"}")
+        yield pd.DataFrame({"entries": [total], "digest": [digest.hexdigest()]})
+
+    shape = "part int, place int, n long, text string"
+    texts = listed.mapInPandas(join, shape)
+    start = entries.sparkSession.range(1).select(F.lit(-1).alias("part"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("n"), F.lit("").alias("text"))
+    return start.unionByName(texts).repartition(1).sortWithinPartitions("part", "place").mapInPandas(fold, "entries long, digest string")
+
+
 def reconcile(actual: DataFrame, manifest: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Full outer comparison: match, changed, missing (only in the manifest), extra."""
     a = actual.select(key, F.struct(*values).alias("_a"))

@@ -329,6 +329,13 @@ def canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.canonical_digest(rows, ["manifest"], "path", "sha256")
 
 
+@query
+def release_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One manifest of all pages."""
+    rows = table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"), F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
+    return integrity.whole_digest(rows, "path", "sha256")
+
+
 @query
 def case_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")

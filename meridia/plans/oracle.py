@@ -161,6 +161,9 @@ ORACLE_SQL = {
     "canonical_digest": """
         WITH e AS (SELECT CAST(floor(page_id / 100) AS BIGINT) AS manifest, 'pages/' || page_id AS path, sha256(html) AS h FROM pages)
         SELECT manifest, count(*) AS entries, sha256('{' || string_agg('"' || path || '":"' || h || '"', ',' ORDER BY path) || '}') AS digest FROM e GROUP BY 1""",
+    "release_digest": """
+        WITH e AS (SELECT 'pages/' || page_id AS path, sha256(html) AS h FROM pages)
+        SELECT count(*) AS entries, sha256('{' || coalesce(string_agg('"' || path || '":"' || h || '"', ',' ORDER BY path), '') || '}') AS digest FROM e""",
     "case_collision": """
         WITH n AS (SELECT CASE WHEN p_size % 2 = 0 THEN upper(p_type) ELSE lower(p_type) END || '/' || p_brand AS name FROM part)
         SELECT lower(name) AS folded, count(DISTINCT name) AS n FROM n GROUP BY 1 HAVING count(DISTINCT name) > 1""",
