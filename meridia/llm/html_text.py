@@ -34,7 +34,14 @@ _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 # Fixed values of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object select".split())
+_RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_FOREIGN = frozenset(("svg", "math"))
+#: Start tags that end an open svg or math, but for those inside the elements of _INSIDE.
+_BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span "
+    "strike strong sub sup table tt u ul var".split()
+)
+_INSIDE = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -86,6 +93,19 @@ def parse(source: str | None) -> Page:
             if n in stops:
                 return
 
+    def foreign() -> int:
+        """Place on the stack of the svg or math that is open here, or 0."""
+        for k in range(len(stack) - 1, 0, -1):
+            n = page.name[stack[k]]
+            if n in _INSIDE:
+                return 0
+            if n in _FOREIGN:
+                while page.name[stack[k - 1]] in _FOREIGN:
+                    k -= 1
+                return k
+        return 0
+
+    drawn = False  # whether the page has had an svg or math
     for m in iter(lambda: _TAG.search(source, pos), None):
         if m.start() > pos:
             add("#text", text=html.unescape(source[pos : m.start()]))
@@ -98,12 +118,14 @@ def parse(source: str | None) -> Page:
         if m[1] or m[4]:
             close({name}, frozenset() if name in _BLOCK else _STOPS)
             continue
+        if drawn and name in _BREAKOUT and (k := foreign()):
+            del stack[k:]
         if name in _CLOSES:
             for _ in range(2):
                 close(frozenset(_CLOSES[name].split()), _STOPS)
         if name in _ENDS_P:
             close({"p"}, _STOPS)
-        if name in _RAW:
+        if name in _RAW and not (drawn and m[0].endswith("/>") and foreign()):
             end = re.compile(f"</{re.escape(name)}[\\s/>]", re.I).search(source, pos)
             pos = end.start() if end else len(source)
             stack.append(add("#raw"))  # its end tag finds no element of that name
@@ -119,6 +141,7 @@ def parse(source: str | None) -> Page:
                 elif a[1].lower() != "hidden":
                     words += " " + value.lower()
         node = add(name, words, mark)
+        drawn = drawn or name in _FOREIGN
         if name not in _VOID and not m[0].endswith("/>"):
             stack.append(node)
     if pos < len(source):

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -205,3 +206,33 @@ def test_revisits_equal_brute_force(spark):
             _, j, e = max(full, key=lambda x: x[:2])
             want = ("unchecked", j) if tag is None or e is None else ("resolved", j) if tag == e else ("stale", None)
         assert got[k] == want
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<svg/>", "<svg width=1 />", '<svg viewBox="0 0 9 9"/>', "<math/>", "<svg><path d='M0'/><circle r=1 /></svg>", "<svg><title/><style/><path d='M0'/></svg>",
+        "<math><mi>x</mi><mspace/><mo>=</mo></math>", "<svg><path d='M0'>", "<svg><g><path d='M0'/>", "<math><mrow>", "<object data=a.pdf></object>", "<object data=a.pdf>",
+        "<noscript><img src=a.png></noscript>", "<noscript>", "<template></template>", "<select></select>", "<script>var a = '<p>';</script>", "<style>p {}</style>",
+    ],
+)
+def test_article_after_foreign_elements_stays(before):
+    model = html_text.default_model()
+    for k in range(1000, 1006):
+        page = labelled_page(k)
+        start = page.index(">", page.index("<body")) + 1
+        want = html_text.main_text(page, model)
+        assert want and html_text.main_text(page[:start] + before + page[start:], model) == want
+
+
+def test_formula_and_fallback_texts_reach_the_model():
+    model, plain, found = html_text.default_model(), 0, 0
+    for k in range(1000, 1030):
+        page = labelled_page(k)
+        starts = [at.end() for at in re.finditer(r"<p\b[^>]*>", page)]
+        at = starts[len(starts) // 2]
+        told = [f in html_text.main_text(page[:at] + f"{a}formula{b}" + page[at:], model) for f, a, b in (("formula", "<i>", "</i>"), ("formula", "<math><mi>", "</mi></math>"))]
+        plain, found = plain + told[0], found + all(told)
+    assert plain > 10 and found >= 0.9 * plain
+    for inner in ("<object data=a.pdf>formula</object>", "<noscript>formula</noscript>", "<svg><text>formula</text></svg>"):
+        assert "formula" in html_text.parse(f"<p>{inner}</p>").text
