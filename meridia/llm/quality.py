@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 SAMPLE, BINS, DEPTH, TREES, RATE, L2, LEAST = 20_000, 48, 4, 60, 0.2, 1.0, 8
 THRESHOLD = 0.3
@@ -164,21 +165,37 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Trees:
-    """Fits on at most ``sample`` rows: the labelled, not held out ones of smallest hash."""
+    """Fits on at most ``sample`` rows: the labelled, not held out ones of smallest hash. Of
+    documents that share an id the text of smallest hash teaches."""
     taught = labels.filter(labels[id_col].isNotNull() & labels[label_col].isNotNull() & ~held_out(labels[id_col]))
     chosen = taught.select(taught[id_col].alias("_id"), taught[label_col].cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_y").limit(sample)
-    texts = docs.select(docs[id_col].alias("_doc"), docs[text_col].alias("_text"))
-    joined = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_doc", "_y", "_text")
+    chosen = chosen.groupBy("_id", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    texts = docs.select(docs[id_col].alias("_doc"), docs[text_col].alias("_text"), F.xxhash64(docs[text_col]).alias("_h"))
+    joined = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_doc", "_y", "_n", "_h", "_text")
 
     def run(batches):
+        best: dict = {}  # of each sampled id in this task: smallest hash and its features
         for b in batches:
-            x = features(b.column(2))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
-
-    kind = joined.schema["_doc"].dataType.simpleString()
-    rows = joined.mapInArrow(run, f"id {kind}, y int, x array<double>").limit(2 * sample).toArrow()  # a repeated id teaches each time
-    y = np.array(rows["y"].to_pylist(), np.float64)
-    x = np.array(rows["x"].to_pylist(), np.float64).reshape(len(y), N_FEATURES)
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+            new = {}
+            for at, (key, h) in enumerate(zip(keys, b.column(3).to_pylist(), strict=True)):
+                if key not in best or h < best[key][0]:
+                    best[key], new[key] = (h, None), at
+            if new:
+                for (key, at), x in zip(new.items(), features(b.column(4).take(pa.array(new.values(), pa.int64()))), strict=True):
+                    best[key] = (best[key][0], x)
+        if best:
+            ids, y, n = zip(*best, strict=True)
+            h, x = zip(*best.values(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind_of), pa.array(y, pa.int32()), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "n", "h", "x"])
+
+    field = joined.schema["_doc"].dataType
+    kind_of = to_arrow_type(field)
+    each = joined.mapInArrow(run, f"id {field.simpleString()}, y int, n long, h long, x array<double>")
+    rows = each.groupBy("id", "y", "n").agg(F.min(F.struct("h", "x")).alias("m")).select("y", "n", "m.x").toArrow()
+    n = rows["n"].to_numpy()  # a repeated label teaches each time
+    y = np.repeat(np.array(rows["y"].to_pylist(), np.float64), n)
+    x = np.repeat(np.array(rows["x"].to_pylist(), np.float64).reshape(-1, N_FEATURES), n, axis=0)
     order = np.lexsort([*x.T, y])  # the same model whatever order rows come in
     return fit(x[order], y[order])
 

@@ -236,3 +236,18 @@ def test_formula_and_fallback_texts_reach_the_model():
     assert plain > 10 and found >= 0.9 * plain
     for inner in ("<object data=a.pdf>formula</object>", "<noscript>formula</noscript>", "<svg><text>formula</text></svg>"):
         assert "formula" in html_text.parse(f"<p>{inner}</p>").text
+
+
+def test_repeated_ids_teach_once_whatever_the_order(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x, y)))
+    docs = [(0, f"copy number {k} of the hot id with some words") for k in range(300)] + [(k, f"text {k} of an id that is there once") for k in range(1, 60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    taught = labels.filter(~quality.held_out(F.col("doc_id"))).count()
+    hot = labels.filter("doc_id = 0").filter(~quality.held_out(F.col("doc_id"))).count()
+    assert hot == 1
+    for k, parts in ((0, 1), (1, 7), (2, 4)):
+        mixed = random.Random(k).sample(docs, len(docs))
+        quality.train(spark.createDataFrame(mixed, "doc_id long, text string").repartition(parts), labels, sample=60)
+    assert all(len(y) == taught for _, y in seen)
+    assert all((x == seen[0][0]).all() and (y == seen[0][1]).all() for x, y in seen)
