@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .history import with_row_before, with_running_sum
+
 
 def with_gap(rows: DataFrame, by: list[str], time: str, tie: str) -> DataFrame:
     """Adds gap_us, the time since the key's row before (null for its first)."""
-    w = Window.partitionBy(*by).orderBy(time, tie)
-    return rows.withColumn("gap_us", F.col(time) - F.lag(time).over(w))
+    found = with_row_before(rows, by, time, tie, time, "_before_us")
+    return found.select(*rows.columns, (F.col(time) - F.col("_before_us")).alias("gap_us"))
 
 
 def skips(rows: DataFrame, by: list[str], time: str, tie: str, over: int) -> DataFrame:
@@ -24,9 +26,9 @@ def rate(rows: DataFrame, by: list[str], time: str, width: int) -> DataFrame:
 
 def runs(rows: DataFrame, by: list[str], time: str, tie: str, state: str) -> DataFrame:
     """Islands of rows with one state: start, end and length."""
-    w = Window.partitionBy(*by).orderBy(time, tie)
-    changed = rows.withColumn("_new", F.when(F.col(state) == F.lag(state).over(w), 0).otherwise(1))
-    numbered = changed.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = with_row_before(rows, by, time, tie, state, "_state")
+    new = F.when(F.col(state) == F.col("_state"), 0).otherwise(1)
+    numbered = with_running_sum(before, by, time, tie, new, "island")
     return numbered.groupBy(*by, "island", state).agg(F.min(time).alias("start_us"), F.max(time).alias("end_us"), F.count(F.lit(1)).alias("n"))
 
 

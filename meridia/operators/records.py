@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .history import with_row_before, with_running_sum
+
 
 def distinct_points(points: DataFrame) -> DataFrame:
     """One row for each complete point; points that differ in any column stay."""
@@ -76,8 +78,7 @@ def fair_order(tasks: DataFrame, requester: str, time: str, task: str, slice_us:
     """Round-robin over requesters: round (the requester's n-th task) and position in the
     whole order (round, time, task). Positions come from counts of (round, time slice), so
     only those counts, not the tasks, are ever ordered in one place."""
-    w = Window.partitionBy(requester).orderBy(time, task)
-    rounds = tasks.withColumn("round", F.row_number().over(w).cast("long")).withColumn("_s", F.floor(F.col(time) / slice_us))
+    rounds = with_running_sum(tasks, [requester], time, task, F.lit(1), "round").withColumn("_s", F.floor(F.col(time) / slice_us))
     before = Window.orderBy("round", "_s").rowsBetween(Window.unboundedPreceding, -1)
     counts = rounds.groupBy("round", "_s").agg(F.count(F.lit(1)).alias("_m"))
     bases = counts.withColumn("_base", F.coalesce(F.sum("_m").over(before), F.lit(0))).select("round", "_s", "_base")
@@ -87,8 +88,7 @@ def fair_order(tasks: DataFrame, requester: str, time: str, task: str, slice_us:
 
 def admitted(tasks: DataFrame, requester: str, time: str, task: str, slots: int) -> DataFrame:
     """The tasks that get the free slots: a top-k over the fair order."""
-    w = Window.partitionBy(requester).orderBy(time, task)
-    return tasks.withColumn("round", F.row_number().over(w).cast("long")).orderBy("round", time, task).limit(slots)
+    return with_running_sum(tasks, [requester], time, task, F.lit(1), "round").orderBy("round", time, task).limit(slots)
 
 
 def binding(rows: DataFrame, thread: list[str], job: str) -> DataFrame:
@@ -140,8 +140,7 @@ def expired(rows: DataFrame, day: str, keep_days: int) -> DataFrame:
 
 def transitions(rows: DataFrame, key: str, time: str, tie: str, state: str, allowed: list[tuple[str, str]]) -> DataFrame:
     """Counts of state changes, and whether each is allowed."""
-    w = Window.partitionBy(key).orderBy(time, tie)
-    pairs = rows.withColumn("from_state", F.lag(state).over(w)).filter(F.col("from_state").isNotNull())
+    pairs = with_row_before(rows, [key], time, tie, state, "from_state").filter(F.col("from_state").isNotNull())
     counts = pairs.groupBy("from_state", F.col(state).alias("to_state")).agg(F.count(F.lit(1)).alias("n"))
     fine = F.array(*(F.lit(f"{a}>{b}") for a, b in allowed))
     return counts.withColumn("allowed", F.array_contains(fine, F.concat_ws(">", "from_state", "to_state")))
