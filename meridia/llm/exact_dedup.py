@@ -10,12 +10,14 @@
 4. Rows of heavy digests are settled on the map side against the broadcast winners. The
    remaining digests are settled by one shuffle of (digest, id) rows.
 
-No text is ever shuffled by ``mark_duplicates``. Any digest above about 0.05 % of the rows
-is found by the sketch, so no shuffled group is larger than that.
-
-Defined results: null text counts as empty, so all null, empty and blank-free empty texts
-form one group; null ids sort after all others; of rows that tie on text and id, one stays.
-Empty input gives an empty result. Extra columns are ignored, whatever their names.
+``mark_duplicates`` shuffles (id, digest) rows and never a text; ``drop_duplicates`` returns
+whole rows and shuffles those that may stay. Groups are reduced by map-side combined
+minima and counts and joined back, so none is gathered in a window.
+
+Defined results: null text counts as empty, so all null and empty texts form one group; null
+ids sort after all others; of rows that tie on text and id, one stays, in ``drop_duplicates`` the
+one with the smallest hash of the whole row. Empty input gives an empty result. Extra columns
+are ignored by ``mark_duplicates`` and carried along by ``drop_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.functions.names import quoted, row_order, unused
+
 from .scratch import materialize
 
 #: Winners broadcast at most, 80 bytes each.
@@ -74,21 +78,17 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = materialize(
         docs.select(
-            docs[id_col].alias("_id"),
+            docs[quoted(id_col)].alias("_id"),
             F.monotonically_increasing_id().alias("_row"),
-            text_digest(docs[text_col]).alias("_digest"),
+            text_digest(docs[quoted(text_col)]).alias("_digest"),
         ),
         "exact-digests",
     )
     winners = materialize(heavy_winners(rows), "exact-winners")
     heavy = rows.join(F.broadcast(winners), "_digest")
-    w = Window.partitionBy("_digest")
-    light = (
-        rows.join(F.broadcast(winners.select("_digest")), "_digest", "left_anti")
-        .withColumn("_keep", F.min(_smallest()).over(w))
-        .withColumn("_size", F.count(F.lit(1)).over(w))
-    )
-    return heavy.unionByName(light).select(
+    light = rows.join(F.broadcast(winners.select("_digest")), "_digest", "left_anti")
+    groups = light.groupBy("_digest").agg(F.min(_smallest()).alias("_keep"), F.count(F.lit(1)).alias("_size"))
+    return heavy.unionByName(light.join(groups, "_digest")).select(
         F.col("_id").alias(id_col),
         F.col("_keep.id").alias("keep_id"),
         F.col("_size").alias("group_size"),
@@ -101,19 +101,17 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows that stay, with all their columns.
 
     Losers of heavy digests are removed on the map side, so only rows that may stay are
-    shuffled. Of rows that tie on text and id one stays.
+    shuffled.
     """
-    cols = docs.columns
-    own = {c: f"__{c}" for c in ("_id", "_digest", "_keep", "_n")}  # beside whatever columns the table has
-    keyed = docs.withColumns({own["_id"]: docs[id_col], own["_digest"]: text_digest(docs[text_col])})
+    this, digest, keep, order, n = unused(docs.columns, "_id", "_digest", "_keep", "_order", "_n")
+    keyed = docs.withColumns({this: docs[quoted(id_col)], digest: text_digest(docs[quoted(text_col)]), order: row_order(docs)})
     skinny = materialize(
-        keyed.select(F.col(own["_id"]).alias("_id"), F.col(own["_digest"]).alias("_digest"), F.monotonically_increasing_id().alias("_row")),
+        keyed.select(F.col(this).alias("_id"), F.col(digest).alias("_digest"), F.monotonically_increasing_id().alias("_row")),
         "exact-digests",
     )
     winners = materialize(heavy_winners(skinny), "exact-winners")
-    best = winners.select(F.col("_digest").alias(own["_digest"]), F.col("_keep.id").alias(own["_keep"]))
-    left = keyed.join(F.broadcast(best), own["_digest"], "left").filter(
-        F.col(own["_keep"]).isNull() | F.col(own["_id"]).eqNullSafe(F.col(own["_keep"]))
-    )
-    first = F.row_number().over(Window.partitionBy(own["_digest"]).orderBy(F.col(own["_id"]).asc_nulls_last()))
-    return left.withColumn(own["_n"], first).filter(F.col(own["_n"]) == 1).select(*cols)
+    best = winners.select(F.col("_digest").alias(digest), F.col("_keep.id").alias(keep))
+    left = keyed.join(F.broadcast(best), digest, "left").filter(F.col(keep).isNull() | F.col(this).eqNullSafe(F.col(keep)))
+    # the row limit is applied on the map side before the shuffle and again after it
+    first = F.row_number().over(Window.partitionBy(digest).orderBy(F.col(this).asc_nulls_last(), order))
+    return left.withColumn(n, first).filter(F.col(n) == 1).select(*map(quoted, docs.columns))

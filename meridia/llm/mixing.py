@@ -18,7 +18,7 @@
 
 Defined results: null or blank text has size 0 and is never taken; a null source is a source;
 ids may be null or repeat, each row is a document; an empty table gives an empty result; extra
-columns are carried along by ``mix_documents``. Reruns on the same rows agree.
+columns are carried along by ``mix_documents``, whatever their names. Reruns on the same rows agree.
 """
 
 from __future__ import annotations
@@ -28,9 +28,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from meridia.functions.names import quoted, unused
 
-MAX_COPIES, SEED, BUDGET, RANGE, POOL = 3, 17, 8192, 10_000, 2**25
+from .scratch import bound_batches, materialize
+
+MAX_COPIES, SEED, BUDGET, RANGE, POOL = 3, 17, 8192, 10_000, 2**23
 
 
 def word_count(text: Column) -> Column:
@@ -207,6 +209,7 @@ def _first_plan(sizes: np.ndarray, counts: np.ndarray, whole: int, want: int) ->
 
 def plan_mix(sizes: DataFrame) -> DataFrame:
     """(source, size, n, source_size, target, _base, _take) from rows of (source, size, n)."""
+    bound_batches(sizes.sparkSession)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("size", kind="stable").reset_index(drop=True)
@@ -243,10 +246,10 @@ def _ends(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def _skinny(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     return materialize(
         docs.select(
-            docs[id_col].alias("doc_id"),
-            docs[source_col].alias("source"),
-            word_count(docs[text_col]).alias("size"),
-            seeded_order(docs[id_col], docs[text_col], seed).alias("_h"),
+            docs[quoted(id_col)].alias("doc_id"),
+            docs[quoted(source_col)].alias("source"),
+            word_count(docs[quoted(text_col)]).alias("size"),
+            seeded_order(docs[quoted(id_col)], docs[quoted(text_col)], seed).alias("_h"),
             F.monotonically_increasing_id().alias("_row"),
         ),
         "mix-sizes",
@@ -287,12 +290,13 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranked = F.row_number().over(Window.partitionBy("source", "size").orderBy("_h", "_row"))
     last = _with_plan(rows, plan.filter(F.col("_end").isNotNull())).filter(F.col("_part") == F.col("_end")).withColumn("_n", ranked)
     stops = last.filter(F.col("_n") == F.col("_need")).select(F.col("source").alias("_s1"), F.col("size").alias("_z1"), F.col("_h").alias("_stop"))
-    # names beside whatever columns the table has
+    src, size, h, s1, z1, base, some, stop, copy = unused(docs.columns, "_src", "_size", "_h", "_s1", "_z1", "_base", "_any", "_stop", "_copy")
     stops = plan.join(stops, plan["source"].eqNullSafe(F.col("_s1")) & (plan["size"] == F.col("_z1")), "left").select(
-        F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("_base").alias("__base"), (F.col("_take") > 0).alias("__any"), F.col("_stop").alias("__stop")
+        F.col("source").alias(s1), F.col("size").alias(z1), F.col("_base").alias(base), (F.col("_take") > 0).alias(some), F.col("_stop").alias(stop)
     )
-    keyed = docs.withColumns({"__size": word_count(docs[text_col]), "__h": seeded_order(docs[id_col], docs[text_col], seed), "__src": docs[source_col]})
-    at = keyed.join(stops, F.col("__src").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")))
-    inside = F.col("__any") & (F.col("__stop").isNull() | (F.col("__h") <= F.col("__stop")))
-    copies = F.when(F.col("__size") > 0, F.col("__base") + inside.cast("long")).otherwise(F.lit(0)).cast("int")
-    return at.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    text = docs[quoted(text_col)]
+    keyed = docs.withColumns({size: word_count(text), h: seeded_order(docs[quoted(id_col)], text, seed), src: docs[quoted(source_col)]})
+    at = keyed.join(stops, F.col(src).eqNullSafe(F.col(s1)) & (F.col(size) == F.col(z1)))
+    inside = F.col(some) & (F.col(stop).isNull() | (F.col(h) <= F.col(stop)))
+    copies = F.when(F.col(size) > 0, F.col(base) + inside.cast("long")).otherwise(F.lit(0)).cast("int")
+    return at.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select(*map(quoted, docs.columns))

@@ -13,21 +13,24 @@
 4. Confirmed links are joined to components by alternating star contraction, each round a
    written table.
 5. Buckets that hold several components are compared across components, so that no link
-   between them is lost. A bucket of over ``LARGE`` members is one of a large group of
-   copies; in the first ``DENSE`` slots its members come with their full sets, overlaps are
-   counted exactly inside the task, and only links that join two components leave it. What
-   is left (small buckets, and the rare pairs of a large group that share none of these
-   slots) leaves the task as pairs within the signature distance, each in the first slot it
-   shares and in no other, to be confirmed like those of step 3.
+   between them is lost. The members of a bucket's largest component are never compared with
+   each other, only with the rest of the bucket. A bucket of over ``LARGE`` members is one of a
+   large group of copies; in the first ``DENSE`` slots its members come with their full sets,
+   overlaps are counted exactly inside the task, and only links that join two components
+   leave it. What is left (small buckets, and the rare pairs of a large group that share
+   none of these slots) leaves the task as pairs within the signature distance, each in the
+   first slot it shares and in no other, to be confirmed like those of step 3. Both ways end
+   in the same test on the same full sets; they differ in what is sent, not in what is found.
 
 Hot buckets: counts and minima are combined on the map side, the join back is a plain
-equi-join that Spark can split, and step 5 works on pairs of blocks of ``BLOCK`` members.
-Copies are never expanded into all pairs.
+equi-join that Spark can split, and step 5 works on cells of two blocks of ``BLOCK`` members at
+most. Copies are never expanded into all pairs.
 
 Defined results: texts without words (null, empty, blank) have an empty set and are linked
-with nothing; fewer words than a shingle has make one shingle; null ids sort after all
-others; of rows that tie, one stays; an empty table gives an empty result; extra columns
-are carried along by ``drop_near_duplicates``.
+with nothing, so each such row stays; fewer words than a shingle has make one shingle; null
+ids sort after all others; of rows that tie on id and text, one stays, in ``drop_near_duplicates``
+the one with the smallest hash of the whole row; an empty table gives an empty result; extra
+columns are carried along by ``drop_near_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +42,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from meridia.functions.names import quoted, row_order, unused
+
+from .scratch import Workspace, bound_batches, materialize
 
 CHUNKS, WIDTH, ERRORS = 14, 5, 1
 SYMBOLS = CHUNKS * WIDTH
@@ -49,7 +54,7 @@ SYMBOLS = CHUNKS * WIDTH
 TOTAL, FAR = 128, 53
 #: Members of a block of a bucket and, where they bring full sets, shingles of a block;
 #: members of a large bucket; slots that bring full sets.
-BLOCK, MASS, LARGE, DENSE = 1536, 2_000_000, 32, 14
+BLOCK, MASS, LARGE, DENSE = 512, 250_000, 32, 14
 _rng = np.random.default_rng(20_240_607)
 #: Multipliers and offsets of the hash functions; 32 bits, which processors take several at a time.
 _A = _rng.integers(0, 2**31, TOTAL, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -108,38 +113,41 @@ def _first_slot(same: np.ndarray) -> np.ndarray:
     return agree.reshape(-1, SYMBOLS).argmax(axis=1)
 
 
-def row_key(id_col: Column, text: Column) -> Column:
-    return F.xxhash64(id_col, F.coalesce(text, F.lit("")))
+def row_keys(id_col: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that tell rows of one table apart by id and text."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(id_col, text), F.xxhash64(F.lit(1), id_col, text)
 
 
-_SETS = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
+_SETS = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
 
 
 def _set_rows(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """row, key, doc_id, n, digest, sig of every input row; row is unique."""
+    """row, key, key2, doc_id, n, digest, sig of every input row; row is unique."""
 
     def run(batches):
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             out = []
-            for text in b.column(2):
+            for text in b.column(3):
                 s = shingle_set(text.as_py(), words)
                 out.append((row, len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s).tobytes() if len(s) else None))
                 row += 1
             cols = list(zip(*out, strict=True)) or [()] * 4
-            arrays = [pa.array(cols[0], pa.int64()), b.column(0), b.column(1), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())]
+            arrays = [pa.array(cols[0], pa.int64()), b.column(0), b.column(1), b.column(2), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, schema=_SETS)
 
-    rows = docs.select(row_key(docs[id_col], docs[text_col]).alias("key"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, "row long, key long, doc_id long, n long, digest binary, sig binary")
+    key, key2 = row_keys(docs[quoted(id_col)], docs[quoted(text_col)])
+    rows = docs.select(key.alias("key"), key2.alias("key2"), docs[quoted(id_col)].cast("long").alias("doc_id"), docs[quoted(text_col)].alias("text"))
+    return rows.mapInArrow(run, "row long, key long, key2 long, doc_id long, n long, digest binary, sig binary")
 
 
 def _nodes(sets: DataFrame) -> DataFrame:
-    """One row for each distinct non-empty set: node, best (its first row), key, n, digest, sig."""
+    """One row for each distinct non-empty set: node, best (its first row), keys, n, digest, sig."""
     best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    one = F.min(F.struct(best.alias("best"), F.col("key"), F.col("n"), F.col("sig")))
+    one = F.min(F.struct(best.alias("best"), "key", "key2", "n", "sig"))
     nodes = sets.filter("n > 0").groupBy("digest").agg(one.alias("x"))
-    return nodes.select(F.col("x.best.row").alias("node"), "x.best", "x.key", "x.n", "digest", "x.sig")
+    return nodes.select(F.col("x.best.row").alias("node"), "x.best", "x.key", "x.key2", "x.n", "digest", "x.sig")
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
@@ -181,59 +189,71 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(fit).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, digest, text) of the nodes; a text whose set has another digest isn't the node's."""
-    ends = wanted.select("node").distinct().join(nodes.select("node", "key", "digest"), "node")
-    rows = docs.select(row_key(docs[id_col], docs[text_col]).alias("key"), docs[text_col].alias("text"))
-    return ends.join(rows, "key").select("node", "digest", "text").distinct()  # rows may repeat
+_FULL = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+_BATCH_BYTES = 4 << 20
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar, from the whole texts."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    texts = materialize(_texts(ends, nodes, docs, id_col, text_col), "near-texts")
-    a = texts.select(F.col("node").alias("a"), F.col("digest").alias("d_a"), F.col("text").alias("t_a"))
-    b = texts.select(F.col("node").alias("b"), F.col("digest").alias("d_b"), F.col("text").alias("t_b"))
+def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, set) of the nodes, made from the whole texts of their first rows. A node whose
+    row repeats may come more than once, from different tasks."""
+    ends = wanted.select("node").distinct().join(nodes.select("node", "key", "key2", "digest"), "node")
+    key, key2 = row_keys(docs[quoted(id_col)], docs[quoted(text_col)])
+    rows = docs.select(key.alias("key"), key2.alias("key2"), docs[quoted(text_col)].alias("text"))
 
     def run(batches):
-        last: tuple = (None, None)
+        seen, held, size = set(), [], 0
+        for b in batches:
+            for node, digest, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if node in seen:
+                    continue
+                blob = shingle_set(text.as_py(), words).tobytes()
+                if xxhash.xxh3_128_digest(blob) != digest:
+                    continue  # another text with the same keys
+                seen.add(node)
+                held.append((node, blob))
+                size += len(blob)
+                if size >= _BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _FULL, strict=True)], schema=_FULL)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _FULL, strict=True)], schema=_FULL)
 
-        def sets(node, digest, text):
-            nonlocal last
-            if last[0] != (node, text):
-                s = shingle_set(text, words)
-                last = ((node, text), s if xxhash.xxh3_128_digest(s.tobytes()) == digest else None)
-            return last[1]
+    return ends.join(rows, ["key", "key2"]).select("node", "digest", "text").mapInArrow(run, "node long, set binary")
 
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+
+    def run(batches):
         for x in batches:
             keep = []
-            for i in range(x.num_rows):
-                s = sets(x.column(0)[i].as_py(), x.column(2)[i].as_py(), x.column(3)[i].as_py())
-                t = shingle_set(x.column(5)[i].as_py(), words)
-                if s is None or xxhash.xxh3_128_digest(t.tobytes()) != x.column(4)[i].as_py():
-                    keep.append(False)  # another text with the same row key
-                    continue
+            for s, t in zip(x.column(2), x.column(3), strict=True):
+                s, t = np.frombuffer(s.as_py(), np.uint64), np.frombuffer(t.as_py(), np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(b, "b").join(a, "a").select("a", "b", "d_a", "t_a", "d_b", "t_b")
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, keep=materialize) -> DataFrame:
     """(node, comp): smallest node reachable, for every node with a link. Alternating large
     and small stars; each round is written, so a lost executor costs one round at most. Done
     when all is stars: no centre has an edge to a smaller node."""
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
+    edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        large = materialize(large.unionByName(low.filter("u > m").select("u", F.col("m").alias("v"))).distinct(), "large-star")
+        large = keep(large.unionByName(low.filter("u > m").select("u", F.col("m").alias("v"))).distinct(), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        edges = keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         sides = edges.select(F.col("u").alias("node"), F.lit(1).alias("s")).unionByName(edges.select(F.col("v").alias("node"), F.lit(2).alias("s")))
         twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         if sides.groupBy("node").agg(F.bit_or("s").alias("s")).filter("s = 3").isEmpty() and twice.isEmpty():
@@ -242,23 +262,28 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(heads)
 
 
-def _overlap_links(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def _overlap_links(sets: list[np.ndarray], comp: np.ndarray, minor: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Index pairs of similar sets that join two components, few enough to join all that are
-    linked. Overlaps with all others are counted through the members of each shingle."""
+    linked; one of the two is ``minor``. Overlaps with all others are counted through the
+    members of each shingle."""
     n = np.array([len(s) for s in sets])
     shingle, index = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), n)
+    index = index.astype(np.int32)
     order = np.argsort(index, kind="stable")
-    members, starts = owner[order], np.searchsorted(index[order], np.arange(len(shingle) + 1))
+    members = np.repeat(np.arange(len(sets), dtype=np.int32), n)[order]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(index, minlength=len(shingle)))])
+    del order, shingle
     ends = np.cumsum(n)
     root, out = comp.copy(), []
-    for x in range(len(sets)):
+    for x in np.flatnonzero(minor).tolist():
         if (root == root[x]).all():
             continue
         mine = index[ends[x] - n[x] : ends[x]]
-        a, size = starts[mine], starts[mine + 1] - starts[mine]
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        both = np.bincount(members[at], minlength=len(sets))
+        both = np.zeros(len(sets), np.int64)
+        for k in range(0, len(mine), 1024):  # so many members at once as a few blocks have
+            a, size = starts[mine[k : k + 1024]], starts[mine[k : k + 1024] + 1] - starts[mine[k : k + 1024]]
+            at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            both += np.bincount(members[at], minlength=len(sets))
         for y in np.flatnonzero(100 * both >= percent * (n + n[x] - both)):
             if root[y] != root[x]:
                 out.append((x, int(y)))
@@ -304,7 +329,7 @@ def _near_in_blocks(batches, percent: int):
         table = pa.Table.from_batches([b])
         held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
         first = np.ones(held.num_rows, bool)
-        first[1:] = np.any([held[c].to_numpy()[1:] != held[c].to_numpy()[:-1] for c in ("key", "slot", "i", "j")], axis=0)
+        first[1:] = np.any([held[c].to_numpy()[1:] != held[c].to_numpy()[:-1] for c in _CELL], axis=0)
         starts = np.flatnonzero(first)
         if len(starts) > 1:
             last = int(starts[-1])
@@ -314,43 +339,49 @@ def _near_in_blocks(batches, percent: int):
         yield pairs(held, starts)
 
 
-def _across(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(links, pairs) across components: links confirmed inside large buckets, and pairs
-    within the signature distance that are still to be confirmed."""
+def _cells(buckets: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, slot, dense, part, i, j, node, comp, n, minor): members of buckets that hold several
+    components, dealt to cells so that any two of different components meet in one. Minor
+    members are those outside the bucket's largest component. Cell (0, i, j) holds blocks i
+    and j of the minor ones, cell (1, i, j) block i of these and block j of the others."""
     at = buckets.select("key", "slot", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(nodes.select("node", "n"), "node")
-    facts = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("mass"))
-    mixed = facts.filter("lo < hi").select("key", "m", "mass")
-    is_dense = (F.col("m") > LARGE) & (F.col("slot") < DENSE)
-    by_size = F.ceil(F.col("m") / F.lit(float(BLOCK)))
-    blocks = F.when(is_dense, F.greatest(by_size, F.ceil(F.col("mass") / F.lit(float(MASS))))).otherwise(by_size).cast("int")
-    members = at.join(mixed, "key").withColumn("dense", is_dense).withColumn("blocks", blocks)
-    # block i meets block j: a member of block i goes to all pairs of blocks that hold i
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = materialize(dealt.select("key", "slot", "dense", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "comp", "n"), "near-mixed")
-
-    def sets(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                blobs = [shingle_set(t.as_py(), words).tobytes() for t in part.column(2)]
-                good = pa.array([xxhash.xxh3_128_digest(x) == d for x, d in zip(blobs, part.column(1).to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["node", "set"]).filter(good)
+    one = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("mass"))
+    largest = F.max(F.struct("m", "comp", "mass")).alias("x")
+    facts = one.groupBy("key").agg(largest, F.sum("m").alias("m"), F.sum("mass").alias("mass")).filter("x.m < m")
+    dense = (F.col("m") > LARGE) & (F.col("slot") < DENSE)
+    blocks = lambda m, mass: F.greatest(F.ceil(m / F.lit(float(BLOCK))), F.when(dense, F.ceil(mass / F.lit(float(MASS)))).otherwise(1)).cast("int")
+    mixed = facts.select("key", "m", F.col("x.comp").alias("top"), (F.col("m") - F.col("x.m")).alias("m0"), (F.col("mass") - F.col("x.mass")).alias("mass0"), F.col("x.m").alias("m1"), F.col("x.mass").alias("mass1"))
+    members = at.join(mixed, "key").withColumns({"minor": F.col("comp") != F.col("top"), "dense": dense, "b0": blocks(F.col("m0"), F.col("mass0")), "b1": blocks(F.col("m1"), F.col("mass1"))})
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("b0")).otherwise(F.col("b1"))).cast("int")
+    # a minor member goes to all pairs of minor blocks that hold its own, and to its row of the others
+    upto = lambda b: F.sequence(F.lit(0), F.col(b) - 1)
+    cell = lambda part, i, j: F.struct(F.lit(part).alias("part"), i.alias("i"), j.alias("j"))
+    with_minor = F.transform(upto("b0"), lambda k: cell(0, F.least(F.col("mine"), k), F.greatest(F.col("mine"), k)))
+    with_others = F.transform(upto("b1"), lambda k: cell(1, F.col("mine"), k))
+    other = F.transform(upto("b0"), lambda k: cell(1, k, F.col("mine")))
+    dealt = members.withColumn("mine", mine).withColumn("cell", F.explode(F.when(F.col("minor"), F.concat(with_minor, with_others)).otherwise(other)))
+    return dealt.select("key", "slot", "dense", "cell.part", "cell.i", "cell.j", "node", "comp", "n", "minor")
+
+
+_CELL = ["key", "slot", "part", "i", "j"]
+
+
+def _across(dealt: DataFrame, nodes: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, pairs) across components from the cells: links confirmed inside large buckets,
+    and pairs within the signature distance that are still to be confirmed."""
 
     def exact(table: pa.Table) -> pa.Table:
-        node, comp = table["node"].to_numpy(), table["comp"].to_numpy()
-        found = _overlap_links([np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()], comp, percent)
+        node, comp, minor = (table[c].to_numpy() for c in ("node", "comp", "minor"))
+        found = _overlap_links([np.frombuffer(x.as_py(), np.uint64) for x in table["set"]], comp, minor, percent)
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
-    dense = dealt.filter("dense")
-    full = materialize(_texts(dense, nodes, docs, id_col, text_col).mapInArrow(sets, "node long, set binary"), "near-full-sets")
     # small in bytes and large in work: dealt to all partitions, not gathered by size
-    parts, group = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["key", "slot", "i", "j"]
-    links = dense.join(full, "node").repartition(parts, *group).groupBy(*group).applyInArrow(exact, "a long, b long").distinct()
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = dealt.filter("dense").join(full, "node").select(*_CELL, "node", "comp", "minor", "set").repartition(parts, *_CELL).groupBy(*_CELL).applyInArrow(exact, "a long, b long").distinct()
 
-    rest = dealt.filter("NOT dense").join(nodes.select("node", "sig"), "node").repartition(parts, *group).sortWithinPartitions(*group)
-    return links, rest.select(*group, "node", "comp", "n", "sig").mapInArrow(lambda batches: _near_in_blocks(batches, percent), "a long, b long").distinct()
+    rest = dealt.filter("NOT dense").join(nodes.select("node", "sig"), "node").repartition(parts, *_CELL).sortWithinPartitions(*_CELL)
+    return links, rest.select(*_CELL, "node", "comp", "n", "sig").mapInArrow(lambda batches: _near_in_blocks(batches, percent), "a long, b long").distinct()
 
 
 def _contracted(links: DataFrame, comps: DataFrame) -> DataFrame:
@@ -362,29 +393,36 @@ def _contracted(links: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """row, key, doc_id, n and best, the first row of the component, of every input row."""
-    sets = materialize(_set_rows(docs, words, id_col, text_col), "near-sets")
-    nodes = materialize(_nodes(sets), "near-nodes")
-    buckets = materialize(_buckets(nodes), "near-buckets")
+    """row, keys, doc_id, n and best, the first row of the component, of every input row: a
+    written table."""
+    bound_batches(docs.sparkSession)
+    work = Workspace(docs.sparkSession, "near")
+    sets = work.keep(_set_rows(docs, words, id_col, text_col), "sets")
+    nodes = work.keep(_nodes(sets), "nodes")
+    buckets = work.keep(_buckets(nodes), "buckets")
     stars = buckets.filter("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    near = materialize(_near(stars, nodes, percent), "near-stars")
-    links = materialize(_confirm(near, nodes, docs, words, percent, id_col, text_col), "near-links")
-    comps = materialize(components(links), "near-components")
-    exact, pairs = _across(buckets, comps, nodes, docs, words, percent, id_col, text_col)
-    exact, pairs = materialize(exact, "near-exact"), materialize(pairs, "near-across")
-    more = exact if pairs.isEmpty() else exact.unionByName(_confirm(pairs, nodes, docs, words, percent, id_col, text_col))
-    more = materialize(_contracted(more, comps), "near-merges")
+    near = work.keep(_near(stars, nodes, percent), "stars")
+    full = work.keep(_full_sets(buckets, nodes, docs, words, id_col, text_col), "full-sets")
+    links = work.keep(_confirm(near, full, percent), "links")
+    comps = work.keep(components(links, work.keep), "components")
+    exact, pairs = _across(work.keep(_cells(buckets, comps, nodes), "cells"), nodes, full, percent)
+    more, pairs = work.keep(exact, "exact"), work.keep(pairs, "across")
+    if not pairs.isEmpty():
+        more = more.unionByName(_confirm(pairs, full, percent))
+    more = work.keep(_contracted(more, comps), "merges")
     if not more.isEmpty():
-        merged = components(more).select(F.col("node").alias("comp"), F.col("comp").alias("into"))
-        every = comps.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node"))).distinct()
-        comps = materialize(every.join(merged, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), "near-components")
+        merged = components(more, work.keep).select(F.col("node").alias("comp"), F.col("comp").alias("into"))
+        every = comps.unionByName(_ends(more).distinct().withColumn("comp", F.col("node"))).distinct()
+        comps = work.keep(every.join(merged, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), "components")
     best = comps.join(nodes.select("node", "best"), "node")
     heads = best.groupBy("comp").agg(F.min("best").alias("head"))
     heads = comps.join(heads, "comp").select("node", "head")
     of_set = nodes.join(heads, "node", "left").select("digest", F.coalesce("head", "best").alias("best"))
-    full = sets.filter("n > 0").select("row", "key", "doc_id", "n", "digest").join(of_set, "digest").drop("digest")
+    full = sets.filter("n > 0").select("row", "key", "key2", "doc_id", "n", "digest").join(of_set, "digest").drop("digest")
     itself = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    return full.unionByName(sets.filter("n = 0").select("row", "key", "doc_id", "n", itself.alias("best")))
+    out = materialize(full.unionByName(sets.filter("n = 0").select("row", "key", "key2", "doc_id", "n", itself.alias("best"))), "near-marks")
+    work.drop()
+    return out
 
 
 def mark_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -394,8 +432,19 @@ def mark_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with all its columns."""
-    kept = _labelled(docs, words, percent, id_col, text_col).filter(F.col("row") == F.col("best.row")).select(F.col("key").alias("_near_key")).distinct()
-    keyed = docs.withColumn("_near_key", row_key(docs[id_col], docs[text_col]))
-    first = F.row_number().over(Window.partitionBy("_near_key").orderBy("_near_key"))  # rows that tie on id and text
-    return keyed.join(kept, "_near_key", "left_semi").withColumn("_near_n", first).filter("_near_n = 1").select(*docs.columns)
+    """One row of each component, with all its columns, and every row without words.
+
+    Rows that repeat an id and its text are cut to one before the join, on the map side too,
+    so that no such group is gathered whole."""
+    marks = _labelled(docs, words, percent, id_col, text_col)
+    own = unused(docs.columns, "_key", "_key2", "_order", "_n")
+    key, key2, order, n = own
+    kept = marks.filter("n > 0 AND row = best.row").select(F.col("key").alias(key), F.col("key2").alias(key2)).distinct()
+    text = docs[quoted(text_col)]
+    wordless = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    ids = row_keys(docs[quoted(id_col)], text)
+    first = F.row_number().over(Window.partitionBy(key, key2).orderBy(order))
+    keyed = docs.filter(~wordless).withColumns({key: ids[0], key2: ids[1], order: row_order(docs)})
+    once = keyed.withColumn(n, first).filter(F.col(n) == 1).join(kept, [key, key2], "left_semi")
+    columns = [quoted(c) for c in docs.columns]
+    return once.select(*columns).unionByName(docs.filter(wordless).select(*columns))

@@ -10,19 +10,23 @@ one large group is about one sequence in several thousand, and no task sees more
 
 Defined results: null text counts as empty and gives a piece with the end id alone; ids may
 be null or repeat, each row is packed by itself; an empty table gives an empty result; extra
-columns are ignored by ``tokenized_pieces`` and carried along by ``pack``.
+columns are ignored by ``tokenized_pieces`` and carried along by ``pack`` unchanged, but for
+columns named sequence_id or offset, which its own replace.
 """
 
 from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridia.functions.names import quoted, unused
+
+from .scratch import bound_batches
 from .tokens import encoder
 
 VOCABULARY, END_ID, CAPACITY = "word_bpe_49k.json", 0, 2048
@@ -52,7 +56,8 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
-    rows = docs.select(docs[id_col].cast("long"), docs[text_col])
+    bound_batches(docs.sparkSession)
+    rows = docs.select(docs[quoted(id_col)].cast("long"), docs[quoted(text_col)])
     return rows.mapInArrow(run, "_row long, doc_id long, piece int, start long, length long, ids binary")
 
 
@@ -112,18 +117,21 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], l
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset. ``pieces`` has _row, piece and length, is cheap to read
     twice (a written table), and keeps its other columns."""
-    kind = [(f.name, f.dataType.simpleString()) for f in pieces.schema.fields]
-    schema = ", ".join(f"`{n}` {t}" for n, t in kind) + ", sequence_id long, offset long"
+    pieces = pieces.drop("sequence_id", "offset")
+    [group_col] = unused(pieces.columns, "_group")
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
     full = pieces.filter(F.col("length") >= capacity)
     part = pieces.filter(F.col("length") < capacity)
     groups = max(1, -(-part.count() // group))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "_row", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        place, offset = best_fit_decreasing(rows["length"].tolist(), capacity)
-        base = int(key[0]) << 32
-        return rows.drop(columns="_group").assign(sequence_id=[base + p for p in place], offset=offset)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        length, row, piece = (rows[c].to_numpy() for c in ("length", "_row", "piece"))
+        order = np.lexsort([piece, row, -length])
+        rows = rows.drop_columns([group_col]).take(pa.array(order))
+        place, offset = best_fit_decreasing(length[order].tolist(), capacity)
+        number = (key[0].as_py() << 32) + np.array(place, np.int64)
+        return rows.append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset, pa.int64()))
 
     alone = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    dealt = part.withColumn("_group", F.pmod(F.xxhash64("_row", "piece"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(run, schema).unionByName(alone)
+    dealt = part.withColumn(group_col, F.pmod(F.xxhash64("_row", "piece"), F.lit(groups)))
+    return dealt.groupBy(group_col).applyInArrow(run, schema).unionByName(alone)

@@ -12,13 +12,14 @@ import functools
 import json
 import os
 import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Entries in a worker's tables (about 200 MB), the longest segment worth keeping, characters
-#: of text whose unknown segments are looked up together, and segments encoded in one call.
-TABLE, LONGEST, AT_ONCE, JOINED = 1_000_000, 48, 1_000_000, 200
+#: Bytes of all tables of a worker together, the longest segment worth keeping, characters of
+#: text whose unknown segments are looked up together, and segments encoded in one call.
+ROOM, LONGEST, AT_ONCE, JOINED = 160 << 20, 48, 500_000, 200
 _UNSAFE = re.compile(r"\s (?:\s|$)")
 _CUTS = re.compile(r"(?<=\S)(?= )")
 #: Line breaks beside other white space or at an end; separators that only Python calls space.
@@ -33,20 +34,36 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Room:
+    """Holds a worker's tables to ``ROOM`` bytes in sum: when new entries would exceed it, all
+    tables start anew."""
+
+    def __init__(self):
+        self.used, self.tables = 0, []
+
+    def add(self, table: dict, new: dict[str, bytes]) -> None:
+        size = sum(map(sys.getsizeof, new)) + sum(map(sys.getsizeof, new.values())) + 100 * len(new)
+        if self.used + size > ROOM:
+            for t in self.tables:
+                t.clear()
+            self.used = 0
+        self.used += size
+        table.update(new)
+
+
 class _Segments(dict):
     """Segment to ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, tokenizer, prefix: str):
+    def __init__(self, tokenizer, prefix: str, room: _Room):
         super().__init__()
-        self.tokenizer, self.prefix = tokenizer, prefix
+        self.tokenizer, self.prefix, self.room = tokenizer, prefix, room
+        room.tables.append(self)
 
     def __missing__(self, segment: str) -> bytes:
         ids = self.tokenizer.encode(self.prefix + segment, add_special_tokens=False).ids
         blob = np.asarray(ids, "<u4").tobytes()
         if len(segment) <= LONGEST:
-            if len(self) >= TABLE:
-                self.clear()
-            self[segment] = blob
+            self.room.add(self, {segment: blob})
         return blob
 
 
@@ -76,13 +93,14 @@ class _Joined:
     start with one show where each begins, and where white space is dropped, each is one
     piece, of which the last token has an end mark."""
 
-    def __init__(self, tokenizer, rule: str):
-        self.tokenizer, self.rule = tokenizer, rule
+    def __init__(self, tokenizer, rule: str, room: _Room):
+        self.tokenizer, self.rule, self.room = tokenizer, rule, room
         mark = (lambda t: t.startswith("\u0120")) if rule == "kept" else (lambda t: t.endswith("</w>"))
         self.marks = np.zeros(tokenizer.get_vocab_size() + 1, bool)
         self.marks[[i for t, i in tokenizer.get_vocab().items() if mark(t)]] = True
         self.letters: dict[str, bytes] = {}
-        self.signs = _Segments(tokenizer, "")
+        room.tables.append(self.letters)
+        self.signs = _Segments(tokenizer, "", room)
 
     def learn(self, segments: list[str]) -> dict[str, bytes]:
         """Ids of the segments it can take apart; the others are encoded alone, when met."""
@@ -102,16 +120,15 @@ class _Joined:
                 open_.append((x, letters, n))
             else:
                 found[x] = ids + signs[x[n:]] if n < len(x) else ids
-        new = list({letters for _, letters, _ in open_})
-        if len(known) + len(new) > TABLE:
-            known.clear()
+        new, learnt = list({letters for _, letters, _ in open_}), {}
         for k in range(0, len(new), JOINED):
             part = new[k : k + JOINED]
-            known.update(zip(part, self._encode(part), strict=False))
+            learnt.update(zip(part, self._encode(part), strict=False))
         for x, letters, n in open_:
-            ids = known.get(letters)
+            ids = learnt.get(letters)
             if ids is not None:
                 found[x] = ids + signs[x[n:]] if n < len(x) else ids
+        self.room.add(known, learnt)
         return found
 
     def _encode(self, part: list[str]) -> list[bytes]:
@@ -156,14 +173,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.rule = _cut_rule(path)
-        self.first = _Segments(self.tokenizer, "")
-        self.rest = _Segments(self.tokenizer, " ") if self.rule == "kept" else self.first
-        self.joined = _Joined(self.tokenizer, self.rule) if self.rule else None
+        room = _Room()
+        self.first = _Segments(self.tokenizer, "", room)
+        self.rest = _Segments(self.tokenizer, " ", room) if self.rule == "kept" else self.first
+        self.joined = _Joined(self.tokenizer, self.rule, room) if self.rule else None
 
     def _learn(self, segments: set[str]) -> _Local:
         table, local, new = self.rest, _Local(self.rest), []
-        if len(table) + len(segments) // 2 > TABLE:
-            table.clear()
         for x in segments:
             ids = table.get(x)
             if ids is None:
@@ -171,7 +187,7 @@ class Encoder:
             else:
                 local[x] = ids
         found = self.joined.learn(new)
-        table.update(found)
+        table.room.add(table, found)
         local.update(found)
         return local
 
