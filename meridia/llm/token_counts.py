@@ -1,14 +1,17 @@
 """Token counts with overlap resynchronisation.
 
-A text of over ``CHUNK`` characters is encoded in chunks that overlap. Two neighbouring
-chunks are spliced at a position inside the overlap at which both encodings start a new
-pre-token. That is a proof, not a heuristic: the pre-tokenizer scans from left to right
-without looking back, so two scans that both stop at one position agree on all that
+A huge text, that is one of over ``CHUNK`` characters, is encoded in chunks that overlap. Two
+neighbouring chunks are spliced at a position inside the overlap at which both encodings
+start a new pre-token. That is a proof, not a heuristic: the pre-tokenizer scans from left to
+right without looking back, so two scans that both stop at one position agree on all that
 follows; and what stands before the position is right in the earlier chunk, because its
 end, at least ``GUARD`` characters later, can't reach back. Where the overlap holds no such
-position it is doubled; at last the two chunks become one.
+position it is doubled. Where the earlier chunk has no boundary at all (a text without
+breaks), no overlap can help: the chunk itself grows ``GROWTH`` times, so that unbroken text
+costs little more than its own encoding, not its square.
 
-Memory per text is a few chunks whatever its length; one token of output per document.
+Memory per text is a few chunks, or ``GROWTH`` times the longest run without a boundary; one row
+of output per document.
 
 Defined results: null counts as empty (0 bytes, 0 tokens); ids may be null or repeat, each
 row is counted by itself; an empty table gives an empty result; extra columns are ignored.
@@ -20,9 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridia.functions.names import quoted
+
+from .scratch import bound_batches
 from .tokens import encoder
 
-CHUNK, OVERLAP, GUARD = 16_384, 512, 64
+CHUNK, OVERLAP, GUARD, GROWTH = 16_384, 512, 64, 4
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -48,22 +54,24 @@ def splice_count(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLA
     enc, starts = run(begin, end)
     skip = 0
     while end < n:
-        width, to = overlap, min(n, end + chunk)
-        while True:
+        bound = [p for p, i in starts.items() if begin < p <= end - guard and i >= skip]
+        width, to, spliced = overlap, min(n, end + chunk), False
+        while bound and not spliced:
             cut = max(begin + 1, end - width)
             nxt, nxt_starts = run(cut, to)
             # the first pre-token of the later chunk may be cut in two, so it starts nothing
-            shared = [p for p in nxt_starts if cut < p <= end - guard and starts.get(p, -1) >= skip]
+            shared = [p for p in bound if p > cut and p in nxt_starts]
             if shared:
                 p = max(shared)
                 total += starts[p] - skip
-                enc, starts, skip, begin, end = nxt, nxt_starts, nxt_starts[p], cut, to
-                break
-            if cut == begin + 1:  # no boundary in the whole chunk: the two become one
-                enc, starts = run(begin, to)
-                end = to
+                enc, starts, skip, begin, end, spliced = nxt, nxt_starts, nxt_starts[p], cut, to, True
+            elif cut == begin + 1:
                 break
-            width *= 2
+            else:
+                width *= 2
+        if not spliced:  # the chunk grows; what is counted of it stays so
+            end = min(n, begin + GROWTH * (end - begin))
+            enc, starts = run(begin, end)
     return total + len(enc.ids) - skip
 
 
@@ -81,10 +89,8 @@ def count_tokens(docs: DataFrame, limit: int = 1024, vocabulary: str = VOCABULAR
             counts = pa.array(text_token_counts(b.column(2).to_pylist(), vocabulary), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), counts], ["doc_id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(
-        docs[id_col].alias("doc_id"),
-        F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long").alias("n_bytes"),
-        docs[text_col].alias("text"),
-    )
+    bound_batches(docs.sparkSession)
+    text = docs[quoted(text_col)]
+    rows = docs.select(docs[quoted(id_col)].alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -73,8 +73,8 @@ def brute_top(rows, k=5):
 
 @pytest.mark.parametrize("sample", [3, 500])
 def test_top_k_equals_brute_force(spark, sample, monkeypatch):
-    monkeypatch.setattr(topk_search, "BLOCK", (60, 60))
-    monkeypatch.setattr(topk_search, "GROUP", (2, 2))
+    monkeypatch.setattr(topk_search, "BLOCK", (6000, 6000))
+    monkeypatch.setattr(topk_search, "GROUP", (200, 200))
     r = random.Random(1)
     rows = [(k, [float(np.float32(r.gauss(0, 0.1))) for _ in range(12)]) for k in range(260)]
     rows += [(1000 + k, [0.5] * 12) for k in range(40)]  # ties
@@ -86,20 +86,44 @@ def test_top_k_equals_brute_force(spark, sample, monkeypatch):
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_bounds_eliminate(monkeypatch):
-    """Most vectors of other clusters are never multiplied."""
-    r = np.random.default_rng(2)
-    centres = r.normal(size=(8, 16)) * 800
-    x = np.concatenate([c + r.normal(size=(400, 16)) * 20 for c in centres]).astype(np.int64)
-    pivots = topk_search.choose_pivots(x[::20].tolist())[16]
-    far = np.sqrt(((x[:, None].astype(float) - pivots) ** 2).sum(axis=2))
+def share_scored(monkeypatch, x, queries):
+    """Share of all (query, vector) pairs that are multiplied; results equal brute force."""
+    p = topk_search.Pivots(x[:: max(1, len(x) // 500)])
     norms = (x.astype(float) ** 2).sum(axis=1)
+    facts = p.facts(p.distances(x), norms)
     seen = []
     plain = topk_search._scores
     monkeypatch.setattr(topk_search, "_scores", lambda q, v: seen.append(len(v)) or plain(q, v))
-    best = topk_search.search_block(x[5], far[5], -np.inf, 5, x, far, norms, np.arange(len(x)), np.arange(len(x)), 5)
-    want = sorted(((-int(x[5] @ v), k) for k, v in enumerate(x) if k != 5))[:5]
-    assert best == [(-s, k) for s, k in want] and sum(seen) < len(x) / 3
+    for q in queries:
+        bound = p.bounds(facts[q : q + 1], facts)[0] + topk_search._slack(norms[q], norms, p)
+        assert (bound >= x @ x[q]).all()
+        best = topk_search.search_block(x[q], bound, -np.inf, q, x, np.arange(len(x)), np.arange(len(x)), 5)
+        assert best == [(-s, k) for s, k in sorted(((-int(x[q] @ v), k) for k, v in enumerate(x) if k != q))[:5]]
+    return sum(seen) / len(queries) / len(x)
+
+
+def test_bounds_eliminate(monkeypatch):
+    """Most vectors of other clusters are never multiplied, and many of vectors without any structure."""
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(8, 16)) * 800
+    assert share_scored(monkeypatch, np.concatenate([c + r.normal(size=(400, 16)) * 20 for c in centres]).astype(np.int64), [5, 999]) < 0.1
+    assert share_scored(monkeypatch, (r.normal(size=(8000, 64)) * 32).astype(np.int64), [0, 50, 4000]) < 0.4
+
+
+def test_blocks_of_other_clusters_go_before_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK", (8000, 8000))
+    monkeypatch.setattr(topk_search, "GROUP", (800, 800))
+    pairs = []
+    plain = topk_search.materialize
+    monkeypatch.setattr(topk_search, "materialize", lambda df, name: pairs.append(plain(df, name)) or pairs[-1])
+    r = np.random.default_rng(4)
+    centres = np.eye(16)[:8] * 30
+    rows = [(k, (centres[k % 8] + r.normal(size=16) * 0.2).tolist()) for k in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_search.top_k(df, F.col("vec_id") % 50 == 0)
+    assert sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got.collect()) == brute_top(rows)
+    met = pairs[-1].agg(F.count_distinct("block").alias("b"), F.count_distinct("group").alias("g"), F.count(F.lit(1)).alias("n")).first()
+    assert met["n"] < 0.4 * met["b"] * met["g"]
 
 
 # web pages
