@@ -22,7 +22,8 @@ _AROUND = {
     "form": ["newsletter", "subscribe", "signup", "login", "search", "search-form", "contact-form"],
     "comments": ["comments", "comment", "comment-list", "disqus", "replies", "reader-comments", "respond"],
 }
-_CONTENT = ["content", "article", "post", "entry", "story", "article-body", "post-content", "entry-content", "main-content", "text"]
+_CONTENT = ["content", "article", "post", "entry", "story", "article-body", "post-content", "entry-content", "main-content", "text", "main", "page-content"]
+_HIDDEN = ["hidden", 'style="display:none"', "style='visibility: hidden'", 'aria-hidden="true"', 'class="hidden"']
 
 
 def _words(r: random.Random, low: int, high: int) -> str:
@@ -47,7 +48,7 @@ def _around(r: random.Random, kind: str) -> str:
         tag = r.choice([kind, kind, "div", "section"])
         inner = {
             "nav": lambda: _links(r, r.randint(2, 9)),
-            "header": lambda: f'<a href="/">{_words(r, 1, 3)}</a><p>{_words(r, 2, 8)}</p>' + r.choice(["", _links(r, 4)]),
+            "header": lambda: r.choice([f'<a href="/">{_words(r, 1, 3)}</a>', f"<h1>{_words(r, 1, 9)}</h1>", f'<h1><a href="/">{_words(r, 1, 6)}</a></h1>']) + r.choice(["", f"<p>{_words(r, 2, 8)}</p>"]) + r.choice(["", _links(r, 4)]),
             "footer": lambda: f"&copy; {_words(r, 2, 20)}" + r.choice(["", _links(r, 3), f"<p>{_words(r, 5, 25)}</p>"]),
             "aside": lambda: f"<h3>{_words(r, 1, 4)}</h3>" + r.choice([_links(r, 4), f"<p>{_words(r, 5, 40)}</p>"]),
         }[kind]()
@@ -92,12 +93,25 @@ def labelled_page(seed: int) -> str:
     outside = lambda n: "".join(_around(r, r.choice(kinds)) for _ in range(r.randint(0, n)))
     short = r.random() < 0.25  # pages of many short paragraphs: lists of sayings, dialogue, junk
     block = (lambda: f"<p>{r.choice(['', '', '<b>'])}{_words(r, 1, 5)}</p>") if short else (lambda: _block(r))
-    body = "".join(block() + (f"{_around(r, r.choice(kinds[3:]))}" if r.random() < 0.08 else "") for _ in range(r.choice([0, 1, 2, 4, 8, 16, 50])))
+    inserted = lambda: r.choice([_around(r, r.choice(kinds[3:])), f'<{(t := r.choice(["p", "div", "span"]))} {r.choice(_HIDDEN)} data-y="0">{_words(r, 2, 40)}</{t}>'])
     title = _words(r, 2, 9)
-    root, attrs = r.choice([("article", ""), ("article", _name(r, _CONTENT)), ("main", ""), ("main", _name(r, _CONTENT)), ("div", _name(r, _CONTENT)), ("section", _name(r, _CONTENT))])
-    main = f'<{root} {attrs} data-y="1"><h1>{title}</h1>{body}</{root}>'
+    has_title = r.random() < 0.55
+    many = r.choice([0, 1, 2, 4, 8, 16, 50] if has_title else [1, 2, 3, 4, 8, 16, 50])
+    body = "".join(block() + (inserted() if r.random() < 0.1 else "") for _ in range(many))
+    root, attrs = r.choice(
+        [("article", ""), ("article", ""), ("article", _name(r, _CONTENT)), ("main", ""), ("main", _name(r, _CONTENT)), ("div", _name(r, _CONTENT)), ("div", _name(r, _CONTENT)), ("section", _name(r, _CONTENT)), ("td", r.choice(["", _name(r, _CONTENT)]))]
+    )
+    heading = r.choice([f"<h1>{title}</h1>", f"<h1>{title}</h1>", f"<header><h1>{title}</h1></header>"]) if has_title else r.choice(["", "", f"<h2>{title}</h2>"])
+    main = f'<{root} {attrs} data-y="1">{heading}{body}</{root}>'
+    if root == "td":  # a table that lays out the page: a cell with the menu, one with the main text
+        side = lambda: f'<td {r.choice(["", _name(r, _AROUND[r.choice(["nav", "aside", "ad"])])])} data-y="0">{r.choice([_links(r, r.randint(2, 9)), _links(r, r.randint(2, 9)), _around(r, "nav")])}</td>'
+        cells = r.choice([lambda: side() + main, lambda: main + side(), lambda: side() + main + side()])()
+        main = f'<table data-y="0"><tr>{cells}</tr></table>'
     for _ in range(r.choice([0, 0, 1, 2])):
         tag = r.choice(["div", "section", "main"] if root == "article" else ["div", "section"])
         main = f'<{tag} {r.choice(["", _name(r, ["container", "wrap", "page", "row", "layout"])])} data-y="0">{outside(1)}{main}{outside(1)}</{tag}>'
     head = f"<head><meta charset='utf-8'><title>{title}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
-    return f'<!DOCTYPE html><html>{head}<body data-y="0">{_around(r, "nav")}<!-- {title} -->{outside(3)}{main}{outside(3)}{_around(r, "footer")}</body></html>'
+    bare = r.random() < 0.15  # nothing but the main part
+    top = "".join(_around(r, k) for k in r.choice([["nav"], ["nav"], ["header"], ["header", "nav"], ["nav", "header"], []]))
+    first, last = ("", "") if bare else (top, _around(r, "footer") if r.random() < 0.8 else "")
+    return f'<!DOCTYPE html><html>{head}<body data-y="0">{first}<!-- {title} -->{"" if bare else outside(3)}{main}{"" if bare else outside(3)}{last}</body></html>'

@@ -9,6 +9,8 @@ gradient steps on the likelihood of all marks of a page.
 
 Pages are independent: one scan, no shuffle, one page in memory at a time beside its batch.
 
+Text that isn't shown (hidden, display:none) isn't main text.
+
 Defined results: null and empty pages and pages without main text give an empty text; broken
 markup is closed as browsers do for the common cases; urls and ids may be null or repeat; an
 empty table gives an empty result; extra columns are ignored.
@@ -27,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .html_pages import labelled_page
+from .scratch import bound_batches
 
 #: Labelled pages to train on.
 PAGES = 400
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # Fixed values of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -52,7 +56,7 @@ _ENDS_P = _BLOCK - {"br", "body", "html", "head", "li", "dd", "dt", "td", "th",
 #: Words of class and id names that tell page parts apart.
 _WORDS = frozenset(
     "ad ads advert advertisement alert article aside banner body bar breadcrumb colophon comment comments consent contact container content cookie copyright disclaimer "
-    "disqus entry follow footer form header legal login main masthead menu modal nav navbar newsletter notice overlay page pager pagination popup post promo rail reader "
+    "disqus entry follow footer form header hidden legal login main masthead menu modal nav navbar newsletter notice overlay page pager pagination popup post promo rail reader "
     "recommended related replies respond row search share side sidebar signup site slot social sponsor sponsored story subscribe tags text toolbar topbar widget wrap".split()
 )
 _SPLIT = re.compile(r"[^a-z]+")
@@ -65,12 +69,27 @@ class Page:
     parent: list[int]
     name: list[str]  # element, '#text' for a text
     words: list[str]  # of class, id and role
-    mark: list[int]  # from data-y: 1, 0, or -1
+    mark: list[int]  # of labelled pages, from data-y: 1, 0, or -1
     text: list[str]
     breaks: list[int]  # block boundaries before the node
 
 
-def parse(source: str | None) -> Page:
+def _names(attributes: str, marks: bool) -> tuple[str, int]:
+    """Words of class, id and role, and 'hidden' of what isn't shown; the mark of a labelled page."""
+    words, mark = "", -1
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name in ("class", "id", "role"):
+            words += " " + value.lower()
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _UNSEEN.search(value)):
+            words += " hidden"
+        elif marks and name == "data-y" and value in ("0", "1"):
+            mark = int(value)
+    return words, mark
+
+
+def parse(source: str | None, marks: bool = False) -> Page:
+    """The page's nodes; ``marks`` reads the labels of training pages."""
     page = Page([-1], ["#root"], [""], [-1], [""], [0])
     stack, pos, breaks = [0], 0, 0
     source = source or ""
@@ -131,15 +150,8 @@ def parse(source: str | None) -> Page:
             stack.append(add("#raw"))  # its end tag finds no element of that name
             stack.pop()
             continue
-        words, mark = "", -1
         attributes = m[3] or m[6]
-        if attributes:
-            for a in _ATTRIBUTE.finditer(attributes):
-                value = a[2] or a[3] or a[4] or ""
-                if a[1].lower() == "data-y":
-                    mark = int(value)
-                elif a[1].lower() != "hidden":
-                    words += " " + value.lower()
+        words, mark = _names(attributes, marks) if attributes else ("", -1)
         node = add(name, words, mark)
         drawn = drawn or name in _FOREIGN
         if name not in _VOID and not m[0].endswith("/>"):
@@ -184,10 +196,10 @@ def node_features(page: Page) -> list[list[str]]:
     for k in range(n):
         name = page.name[k]
         if name == "#text":
-            out.append(["text", f"text {_bucket(size[k])}"])
+            out.append(["text", f"text {_bucket(size[k])}", "text in " + page.name[page.parent[k]]])
         else:
             words = _words_of(page.words[k]) if page.words[k] else ()
-            found = [f"<{name}>", f"links {10 * linked[k] // size[k] if size[k] else -1}", f"size {_bucket(size[k])}", *("." + w for w in words)]
+            found = [f"<{name}>", f"<{name}> in {page.name[page.parent[k]]}", f"links {10 * linked[k] // size[k] if size[k] else -1}", f"size {_bucket(size[k])}", *("." + w for w in words)]
             out.append([*found, "forms"] if forms[k] and name not in ("body", "html", "#root") else found)
     return out
 
@@ -226,7 +238,7 @@ class _Forest:
     def __init__(self, pages: list[str]):
         parent, depth, marks, features, kinds = [], [], [], [], []
         for source in pages:
-            page = parse(source)
+            page = parse(source, marks=True)
             base = len(parent)
             found = node_features(page)
             for k in range(len(page.name)):
@@ -313,6 +325,7 @@ def main_text(source: str | None, model: Model) -> str:
 def extract_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     model = model or default_model()
+    bound_batches(pages.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -132,7 +132,7 @@ def test_blocks_of_other_clusters_go_before_the_shuffle(spark, monkeypatch):
 def test_html_model_on_held_out_pages():
     model, wrong, total = html_text.default_model(), 0, 0
     for seed in range(9000, 9100):
-        page = html_text.parse(labelled_page(seed))
+        page = html_text.parse(labelled_page(seed), marks=True)
         odds, mark = model.marginals(page), [0] * len(page.name)
         for k in range(1, len(page.name)):
             mark[k] = page.mark[k] if page.mark[k] >= 0 else mark[page.parent[k]]
@@ -249,6 +249,29 @@ def test_article_after_foreign_elements_stays(before):
         assert want and html_text.main_text(page[:start] + before + page[start:], model) == want
 
 
+P = "<p>Some words of a paragraph that is long enough here.</p>"
+T = "Some words of a paragraph that is long enough here."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article>{P}{P}</article>", f"{T} {T}"),
+        (f"<body><nav><ul><li><a href=/>home</a></li><li><a href=/b>b</a></li></ul></nav><article>{P}{P}</article><footer>&copy; x</footer></body>", f"{T} {T}"),
+        (f"<div id='main'>{P * 3}</div>", f"{T} {T} {T}"),
+        (f"<body><header><h1>Site</h1></header><article>{P * 2}</article></body>", f"{T} {T}"),
+        (f'<article><h1>T</h1><p data-y="12px">one two</p><p data-y>three</p><p data-y="0">four</p>{P}</article>', f"T one two three four {T}"),
+        (f'<article><h1>T</h1>{P}<p hidden>secret hidden words</p><p style="display:none">more secret words here</p></article>', f"T {T}"),
+        (f"<body><table><tr><td><ul><li><a href=/a>menu a</a></li><li><a href=/b>menu b</a></li></ul></td><td><h1>T</h1>{P * 3}</td></tr></table></body>", f"T {T} {T} {T}"),
+        (f'<article><h1>T</h1><p>see <a href="/x?id=sidebar-ads">this link</a> and more words here</p><p data-id="comments">kept words are here</p>{P}</article>', f"T see this link and more words here kept words are here {T}"),
+        (f"<article><h1>T</h1><p>the formula <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>{P}</article>", f"T the formula x=1 holds {T}"),
+        (f"<body><nav><a href=/>x</a></nav><svg width=1 /><article><h1>T</h1>{P}</article></body>", f"T {T}"),
+    ],
+)
+def test_main_text_of_layouts(page, want):
+    assert html_text.main_text(page, html_text.default_model()) == want
+
+
 def test_formula_and_fallback_texts_reach_the_model():
     model, plain, found = html_text.default_model(), 0, 0
     for k in range(1000, 1030):
