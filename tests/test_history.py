@@ -16,9 +16,9 @@ def test_rows_before_and_running_sums_cross_buckets(spark):
         past = seen.setdefault(u, [])
         before[e], count[e] = (past[-1] if past else None), sum(x == "a" for x in past) + (s == "a")
         past.append(s)
-    for bucket in (1, 7, 10**6):
-        found = history.with_row_before(df, ["u"], "t", "e", "s", "before", bucket)
-        found = history.with_running_sum(found, ["u"], "t", "e", F.coalesce(F.col("s") == "a", F.lit(False)).cast("int"), "n", bucket)
+    for bucket, most in ((1, 100), (7, 100), (10**6, 100), (40, 5), (10**6, 1)):
+        found = history.with_row_before(df, ["u"], "t", "e", "s", "before", bucket, most)
+        found = history.with_running_sum(found, ["u"], "t", "e", F.coalesce(F.col("s") == "a", F.lit(False)).cast("int"), "n", bucket, most)
         assert found.columns == ["u", "t", "e", "s", "before", "n"]
         assert {x["e"]: (x["before"], x["n"]) for x in found.collect()} == {e: (before[e], count[e]) for e in before}
 
@@ -27,3 +27,9 @@ def test_a_hot_key_is_many_windows(spark):
     df = spark.range(2000).select(F.lit(1).alias("u"), F.col("id").alias("t"), F.col("id").alias("e"))
     plan = history.with_row_before(df, ["u"], "t", "e", "t", "before", 10)._jdf.queryExecution().optimizedPlan().toString()
     assert [line for line in plan.splitlines() if "Window [lag(_p" in line and "_b#" in line.split("], [")[1]]
+
+
+def test_crowded_buckets_are_cut_by_their_rows(spark):
+    df = spark.range(1000).select(F.lit(1).alias("u"), F.col("id").alias("t"), F.lit(7).alias("_coarse"))
+    parts = history.with_time_bucket(df, ["u"], "t", 500, 50, "b").groupBy("b", "_coarse").count().collect()
+    assert len(parts) == 20 and {r["count"] for r in parts} == {50} and {r["_coarse"] for r in parts} == {7}
