@@ -28,6 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from meridia.functions.names import quoted
+
+from .scratch import bound_batches
+
 SAMPLE, BINS, DEPTH, TREES, RATE, L2, LEAST = 20_000, 48, 4, 60, 0.2, 1.0, 8
 THRESHOLD = 0.3
 
@@ -167,6 +171,7 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Trees:
     """Fits on at most ``sample`` rows: the labelled, not held out ones of smallest hash. Of
     documents that share an id the text of smallest hash teaches."""
+    bound_batches(docs.sparkSession)
     taught = labels.filter(labels[id_col].isNotNull() & labels[label_col].isNotNull() & ~held_out(labels[id_col]))
     chosen = taught.select(taught[id_col].alias("_id"), taught[label_col].cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_y").limit(sample)
     chosen = chosen.groupBy("_id", "_y").agg(F.count(F.lit(1)).alias("_n"))
@@ -207,13 +212,16 @@ def score_quality(docs: DataFrame, model: Trees, threshold: float = THRESHOLD, i
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.score(features(b.column(2))))], ["doc_id", "held_out", "score"])
 
-    rows = docs.select(docs[id_col].alias("doc_id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].alias("text"))
+    bound_batches(docs.sparkSession)
+    key = docs[quoted(id_col)]
+    rows = docs.select(key.alias("doc_id"), held_out(key).alias("held_out"), docs[quoted(text_col)].alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Trees, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The documents that score the threshold at least, with all their columns. One scan."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):

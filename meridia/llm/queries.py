@@ -115,37 +115,45 @@ ORACLE_SQL = {
     """,
     "op2_warc_revisits": r"""
         WITH u AS (
-          SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages
+          SELECT page_id, html, url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages
         ), k AS (
-          SELECT page_id, sha256(coalesce(html, '')) AS digest,
-            regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '')
+          SELECT page_id, sha256(coalesce(html, '')) AS digest, url,
+            regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '')
             || regexp_replace(regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/index\.html?$', '/'), '/+$', '') AS place,
             list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
-              lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|gclid|fbclid|ref|sessionid)(=|$)'))) AS query
+              lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|gclid|fbclid)(=|$)'))) AS query
           FROM u
         ), p AS (
-          SELECT page_id, digest, '"' || substr(digest, 1, 16) || '"' AS tag,
-                 place || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS url_key
+          SELECT page_id, page_id % 12 AS kind, digest, '"' || substr(digest, 1, 16) || '"' AS tag, page_id * 600 AS day,
+                 CASE WHEN url IS NULL THEN NULL ELSE place || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS url_key
           FROM k
         ), responses AS (
-          SELECT page_id * 2 AS record_id, url_key, page_id * 600 AS ts, digest, tag FROM p
+          SELECT page_id * 2 AS record_id, url_key, day AS ts, digest, tag, CASE WHEN kind <> 3 THEN tag END AS etag,
+                 CASE WHEN kind IN (3, 4) THEN 'day ' || day END AS modified FROM p
         ), revisits AS (
-          SELECT page_id * 2 + 1 AS record_id, url_key, page_id * 600 + 86400 AS ts, tag FROM p
+          SELECT page_id * 2 + 1 AS record_id, CASE WHEN kind <> 7 THEN url_key END AS url_key, day, tag,
+                 CASE kind WHEN 5 THEN -1 WHEN 6 THEN NULL ELSE day + 86400 END AS ts,
+                 CASE WHEN kind IN (1, 3) THEN NULL WHEN kind = 2 THEN '"other"' ELSE tag END AS etag,
+                 CASE WHEN kind = 3 THEN 'day ' || day END AS modified FROM p
         ), met AS (
-          SELECT v.record_id, v.url_key, v.ts, v.tag, r.record_id AS source_id, r.digest, r.tag AS source_tag,
+          SELECT v.*, r.record_id AS source_id, r.digest, r.tag AS source_tag, r.etag AS r_etag, r.modified AS r_modified,
                  row_number() OVER (PARTITION BY v.record_id ORDER BY r.ts DESC, r.record_id DESC) AS n
           FROM revisits v LEFT JOIN responses r ON r.url_key = v.url_key AND r.ts <= v.ts
+        ), told AS (
+          SELECT *, CASE WHEN url_key IS NULL OR ts IS NULL THEN 'invalid' WHEN source_id IS NULL THEN 'missing'
+                         WHEN coalesce(etag <> r_etag, false) OR coalesce(modified <> r_modified, false) THEN 'stale'
+                         WHEN (etag IS NULL OR r_etag IS NULL) AND (modified IS NULL OR r_modified IS NULL) THEN 'unchecked'
+                         ELSE 'resolved' END AS status
+          FROM met WHERE n = 1
         )
-        SELECT record_id, url_key, ts, 'response' AS kind, record_id AS source_id, 'full' AS status, digest,
+        SELECT record_id, url_key, ts, 'response' AS kind, record_id AS source_id, CASE WHEN url_key IS NULL THEN 'invalid' ELSE 'full' END AS status, digest,
                'content-type=text/html|date=' || ts || '|etag=' || tag AS headers
         FROM responses
         UNION ALL
-        SELECT record_id, url_key, ts, 'revisit',
-               CASE WHEN tag = source_tag THEN source_id END,
-               CASE WHEN source_id IS NULL THEN 'missing' WHEN tag = source_tag THEN 'resolved' ELSE 'stale' END,
-               CASE WHEN tag = source_tag THEN digest END,
-               CASE WHEN tag = source_tag THEN 'content-type=text/html|date=' || ts || '|etag=' || tag
-                    ELSE 'date=' || ts || '|etag=' || tag || '|set-cookie=x=1' END
-        FROM met WHERE n = 1
+        SELECT record_id, url_key, ts, 'revisit', CASE WHEN status = 'resolved' THEN source_id END, status,
+               CASE WHEN status = 'resolved' THEN digest END,
+               CASE WHEN status = 'resolved' THEN 'content-type=text/html|' ELSE '' END || 'date=' || (day + 86400) || '|etag=' || tag
+                 || CASE WHEN status = 'resolved' THEN '' ELSE '|set-cookie=x=1' END
+        FROM told
     """,
 }

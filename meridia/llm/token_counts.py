@@ -55,9 +55,10 @@ def splice_count(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLA
     skip = 0
     while end < n:
         bound = [p for p, i in starts.items() if begin < p <= end - guard and i >= skip]
-        width, to, spliced = overlap, min(n, end + chunk), False
+        width, spliced = max(overlap, end - max(bound, default=end) + guard), False  # back to the last boundary at least
         while bound and not spliced:
             cut = max(begin + 1, end - width)
+            to = min(n, end + max(chunk, end - cut))  # as much is new as is encoded again
             nxt, nxt_starts = run(cut, to)
             # the first pre-token of the later chunk may be cut in two, so it starts nothing
             shared = [p for p in bound if p > cut and p in nxt_starts]

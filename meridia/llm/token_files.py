@@ -12,9 +12,14 @@ One file holds the ids of a run of documents as little-endian unsigned 32-bit in
 A reader takes the footer, the seek table and the directory from the end of a file and then
 decompresses only the frames that hold what is asked for, checking each frame's checksum.
 
-Documents are dealt out by range of id, so file k holds smaller ids than file k + 1. Each
-attempt of a task writes a file of its own name; only files named in the manifest that
-Spark commits are ever read, so lost executors and repeated tasks do no harm.
+Documents are dealt out by range of id, so file k holds smaller ids than file k + 1. A task
+closes a file that holds ``FILE_DOCS`` documents or ``FILE_BYTES`` of ids and begins the next, so
+what a writer keeps and a reader loads of a directory is bounded. Each attempt of a task
+writes files of its own names; only files named in the manifest that Spark commits are ever
+read, so lost executors and repeated tasks do no harm.
+
+Files are written where pyarrow can write: file, hdfs, gs, abfss, and s3 (also named s3a or
+s3n, as Spark does).
 
 Defined results: null text counts as empty, an empty document has only the end id; null ids
 come first; rows that tie on id follow the hash of their text; every row gets its place.
@@ -24,8 +29,10 @@ Empty input gives an empty manifest. Extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +43,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize, new_path
+from meridia.functions.names import quoted
+
+from .scratch import bound_batches, materialize, new_path
 from .tokens import encoder
 
-FRAME_BYTES = 1 << 18
+FRAME_BYTES, FILE_BYTES, FILE_DOCS = 1 << 18, 1 << 28, 100_000
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 # Fixed values of the public seekable format.
 SEEK_TABLE_MAGIC, DIRECTORY_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
-_MANIFEST = "shard int, path string, n_docs long, n_ids long"
+_MANIFEST = "shard int, part int, path string, n_docs long, n_ids long"
 _BATCH_BYTES = 4 << 20
 
 
@@ -53,12 +62,14 @@ class Writer:
     def __init__(self, out, level: int = 3):
         self.out, self.zip = out, zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True)
         self.held, self.size, self.frames = [], 0, []
-        self.ids, self.nulls, self.counts = [], [], []
+        self.ids, self.nulls, self.counts = array("q"), array("B"), array("Q")
+        self.n_ids = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.ids.append(doc_id or 0)
         self.nulls.append(doc_id is None)
         self.counts.append(len(ids) // 4)
+        self.n_ids += len(ids) // 4
         self.held.append(ids)
         self.size += len(ids)
         if self.size >= FRAME_BYTES:
@@ -131,42 +142,52 @@ class Reader:
         return np.flatnonzero(np.isin(self.ids, list(doc_ids)) & ~self.nulls).tolist()
 
 
+def writer_uri(uri: str) -> str:
+    """The address as pyarrow names it."""
+    return re.sub("^s3[an]://", "s3://", uri)
+
+
 def _open(uri: str):
-    return pafs.FileSystem.from_uri(uri)
+    return pafs.FileSystem.from_uri(writer_uri(uri))
 
 
 def write_token_files(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files under ``path`` (a URI; by default in the shared folder) and returns
-    the committed manifest: shard, path, n_docs, n_ids and base, the ids in shards before."""
+    the committed manifest: shard, part, path, n_docs, n_ids and base, the ids in files before."""
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     path = path or new_path(spark, "token-files")
     end = struct.pack("<I", end_id)
 
+    schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+
     def run(batches):
-        e, shard, writer = encoder(vocabulary), TaskContext.get().partitionId(), None
+        e, shard, part, writer, name = encoder(vocabulary), TaskContext.get().partitionId(), 0, None, ""
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            return pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "path": f"{path}/{name}", "n_docs": len(writer.counts), "n_ids": writer.n_ids}], schema)
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            if writer is None:
-                fs, folder = _open(path)
-                fs.create_dir(folder, recursive=True)
-                name = f"ids-{shard:06d}-{uuid.uuid4().hex[:8]}.zst"
-                writer = Writer(fs.open_output_stream(f"{folder}/{name}", compression=None))
             for i, ids in zip(b.column(0).to_pylist(), e.encode_all(x.as_py() for x in b.column(1)), strict=True):
+                if writer is not None and (len(writer.counts) >= FILE_DOCS or 4 * writer.n_ids >= FILE_BYTES):
+                    yield closed()
+                    writer, part = None, part + 1
+                if writer is None:
+                    fs, folder = _open(path)
+                    fs.create_dir(folder, recursive=True)
+                    name = f"ids-{shard:06d}-{part:05d}-{uuid.uuid4().hex[:8]}.zst"
+                    writer = Writer(fs.open_output_stream(f"{folder}/{name}", compression=None))
                 writer.add(i, ids + end)
         if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_pylist(
-                [{"shard": shard, "path": f"{path}/{name}", "n_docs": len(writer.counts), "n_ids": sum(writer.counts)}],
-                pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]),
-            )
+            yield closed()
 
     order = ["_id", "_h"]
-    rows = docs.select(docs[id_col].cast("long").alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    rows = docs.select(docs[quoted(id_col)].cast("long").alias("_id"), F.coalesce(docs[quoted(text_col)], F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_text")
     manifest = materialize(sorted_rows.mapInArrow(run, _MANIFEST), "token-manifest")
     # one row for each file, not for each document
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 

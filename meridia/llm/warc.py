@@ -8,14 +8,16 @@ date), and merges the headers that a 304 may update over those of the response.
 The join is a union of both kinds and a running ``last``, in two levels so that an address
 with a third of all captures isn't one window: captures are cut into time buckets, the last
 response of each (address, bucket) is carried forward over buckets, and the running ``last``
-runs within a bucket.
+runs within a bucket. A bucket with many captures is cut again, by their number.
 
 Defined results: a full response resolves to itself. A revisit without an earlier response
 has status ``missing``; a null address or time has status ``invalid``. Of captures at one
 time a response comes before a revisit; of tied responses the one with the largest id
 counts. A validator is compared only where both sides have it: one that differs gives
-``stale``, none to compare gives ``unchecked``, else ``resolved``. An empty table gives an
-empty result; extra columns are ignored.
+``stale``, none to compare gives ``unchecked``, else ``resolved``. Only resolved revisits get a
+source, a digest and merged headers; ``trust_unchecked`` grants them to unchecked ones too. An
+empty table gives an empty result; repeated captures are each resolved; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,20 +25,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.operators.history import with_time_bucket
+
 #: Headers of a 304 that replace the stored ones (those that describe the cached response).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-#: Query parameters that never select content.
-TRACKING = r"utm_[a-z]+|gclid|fbclid|ref|sessionid"
+#: Query parameters that never select content, and host prefixes that don't tell sites apart.
+TRACKING, PREFIXES = r"utm_[a-z]+|gclid|fbclid", r"www\."
 
 
-def canonical_url(url: Column) -> Column:
-    """Address without scheme, ``www.``/``m.``, default port, fragment, tracking parameters,
-    index page or closing slash; host in lower case, parameters in order."""
+def canonical_url(url: Column, tracking: str = TRACKING, prefixes: str = PREFIXES) -> Column:
+    """Address without scheme, ``www.``, default port, fragment, tracking parameters, index page
+    or closing slash; host in lower case, parameters in order."""
     u = F.regexp_replace(F.trim(url), "#.*$", "")
     u = F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(u, r"^([^/?]*)", 1)), r":(80|443)$", ""), r"^(www|m)\.", "")
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(u, r"^([^/?]*)", 1)), r":(80|443)$", ""), f"^({prefixes})", "")
     path = F.regexp_replace(F.regexp_replace(F.regexp_extract(u, r"^[^/?]*([^?]*)", 1), r"/index\.html?$", "/"), r"/+$", "")
-    query = F.filter(F.split(F.regexp_extract(u, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(p).rlike(f"^({TRACKING})(=|$)"))
+    query = F.filter(F.split(F.regexp_extract(u, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(p).rlike(f"^({tracking})(=|$)"))
     tail = F.array_join(F.array_sort(query), "&")
     return F.concat(host, path, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise(""))
 
@@ -46,7 +50,7 @@ def entity_tag(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), r'^W/|"', "")
 
 
-def resolve_revisits(captures: DataFrame, bucket: int = 86_400) -> DataFrame:
+def resolve_revisits(captures: DataFrame, bucket: int = 86_400, most: int = 100_000, trust_unchecked: bool = False) -> DataFrame:
     """``captures``: record_id long, url string, ts long (seconds), kind 'response' or
     'revisit', etag, last_modified, headers map<string,string>, digest string. Returns for
     each capture: record_id, url_key, ts, kind, source_id, status, digest, headers."""
@@ -55,7 +59,7 @@ def resolve_revisits(captures: DataFrame, bucket: int = 86_400) -> DataFrame:
         F.struct(F.col("record_id").alias("id"), entity_tag(F.col("etag")).alias("etag"), F.col("last_modified").alias("date"), "headers", "digest").alias("_own"),
     )
     valid = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
-    good = rows.filter(valid).withColumn("_bucket", F.floor(F.col("ts") / bucket))
+    good = with_time_bucket(rows.filter(valid), ["url_key"], "ts", bucket, most, "_bucket")
     full = F.when(F.col("kind") == "response", F.col("_own"))
     by_time = F.struct("ts", "record_id")
     lasts = good.filter("kind = 'response'").groupBy("url_key", "_bucket").agg(F.max_by("_own", by_time).alias("_last"))
@@ -86,7 +90,7 @@ def resolve_revisits(captures: DataFrame, bucket: int = 86_400) -> DataFrame:
     old = lower(src["headers"])
     merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
     out = out.withColumn("status", status)
-    hit = revisit & F.col("status").isin("resolved", "unchecked")
+    hit = revisit & F.col("status").isin("resolved", *(["unchecked"] if trust_unchecked else []))
     return out.select(
         "record_id", "url_key", "ts", "kind",
         F.when(~revisit, F.col("record_id")).when(hit, src["id"]).alias("source_id"), "status",
@@ -96,21 +100,26 @@ def resolve_revisits(captures: DataFrame, bucket: int = 86_400) -> DataFrame:
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:
-    """A capture log from a table of fetched pages: each page is one full response, and one
-    later revisit of the same address (a day on) that names the page's entity tag. Where
-    another page of the address was fetched in between, the revisit finds that one."""
-    tag = F.concat(F.lit('"'), F.substring(F.sha2(F.coalesce("html", F.lit("")), 256), 1, 16), F.lit('"'))
-    day = F.col("page_id") * 600
-    common = [F.col("url"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest")]
+    """A capture log from a table of fetched pages. Each page is one full response and one
+    revisit of the same address a day later; where another page of the address was fetched
+    in between, the revisit finds that one. By page number some revisits name no validator,
+    one of another version, a modification date instead of a tag, or come before any
+    response; some have no time or no address."""
+    n, kind = F.col("page_id"), F.col("page_id") % 12
+    digest = F.sha2(F.coalesce("html", F.lit("")), 256)
+    tag = F.concat(F.lit('"'), F.substring(digest, 1, 16), F.lit('"'))
+    day, none = n * 600, F.lit(None).cast("string")
+    date = F.concat(F.lit("day "), day.cast("string"))
     response = pages.select(
-        (F.col("page_id") * 2).alias("record_id"), *common, day.alias("ts"), F.lit("response").alias("kind"), tag.alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"),
+        (n * 2).alias("record_id"), "url", digest.alias("digest"), day.alias("ts"), F.lit("response").alias("kind"), F.when(kind != 3, tag).alias("etag"),
+        F.when(kind.isin(3, 4), date).alias("last_modified"),
         F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), tag, F.lit("Date"), day.cast("string")).alias("headers"),
     )
-    later = day + 86_400
+    later = F.when(kind == 5, F.lit(-1)).when(kind == 6, F.lit(None)).otherwise(day + 86_400).cast("long")
+    told = F.when(kind == 1, none).when(kind == 2, F.lit('"other"')).when(kind == 3, none).otherwise(F.concat(F.lit("W/"), tag))
     revisit = pages.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), *common, later.alias("ts"), F.lit("revisit").alias("kind"), F.concat(F.lit("W/"), tag).alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"),
-        F.create_map(F.lit("ETag"), tag, F.lit("Date"), later.cast("string"), F.lit("Set-Cookie"), F.lit("x=1")).alias("headers"),
+        (n * 2 + 1).alias("record_id"), F.when(kind != 7, F.col("url")).alias("url"), digest.alias("digest"), later.alias("ts"), F.lit("revisit").alias("kind"), told.alias("etag"),
+        F.when(kind == 3, date).alias("last_modified"),
+        F.create_map(F.lit("ETag"), tag, F.lit("Date"), (day + 86_400).cast("string"), F.lit("Set-Cookie"), F.lit("x=1")).alias("headers"),
     )
     return response.unionByName(revisit)

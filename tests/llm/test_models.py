@@ -203,23 +203,29 @@ def test_revisits(spark):
         (4, "http://x.org/a?a=1&b=2", 20, "revisit", '"b"', None, {"Date": "20"}, "x"),
         (5, "http://x.org/a?a=1&b=2", 100_000_000, "revisit", '"a"', None, {}, "x"),
         (6, "http://x.org/a?a=1&b=2", 5, "revisit", None, None, None, "x"),
-        (7, "http://y.org/", 1, "response", None, None, None, "d7"), (8, "http://m.y.org", 9_000_000, "revisit", '"q"', None, {"Date": "9"}, "x"),
+        (7, "http://y.org/", 1, "response", None, None, None, "d7"), (8, "http://www.y.org", 9_000_000, "revisit", '"q"', None, {"Date": "9"}, "x"),
         (9, None, 3, "revisit", None, None, None, None), (10, "http://y.org", None, "response", None, None, None, "d10"),
     ]
     df = spark.createDataFrame(rows, CAPTURES).withColumn("status", F.lit("clash")).repartition(3)
     got = {r["record_id"]: r for r in warc.resolve_revisits(df).collect()}
     assert {k: (r["status"], r["source_id"], r["digest"]) for k, r in got.items()} == {
         1: ("full", 1, "d1"), 2: ("full", 2, "d2"), 3: ("resolved", 1, "d1"), 4: ("resolved", 2, "d2"), 5: ("stale", None, None),
-        6: ("missing", None, None), 7: ("full", 7, "d7"), 8: ("unchecked", 7, "d7"), 9: ("invalid", None, None), 10: ("invalid", 10, "d10"),
+        6: ("missing", None, None), 7: ("full", 7, "d7"), 8: ("unchecked", None, None), 9: ("invalid", None, None), 10: ("invalid", 10, "d10"),
     }
     assert got[3]["headers"] == {"etag": '"a"', "content-type": "text/html", "date": "15"}
+    assert got[8]["headers"] == {"date": "9"}
+    trusted = warc.resolve_revisits(df, trust_unchecked=True).filter("record_id = 8").first()
+    assert (trusted["status"], trusted["source_id"], trusted["digest"]) == ("unchecked", 7, "d7")
+    longer = df.unionByName(df.withColumn("url", F.concat(F.regexp_replace("url", "/$", ""), F.lit("/" + "p" * 100_000)))).filter("record_id IN (7, 8)")  # long addresses, repeated rows
+    assert warc.resolve_revisits(longer.unionByName(longer)).filter("status = 'unchecked'").count() == 4
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
-def test_revisits_equal_brute_force(spark):
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_revisits_equal_brute_force(spark, most):
     r = random.Random(3)
     rows = [(k, f"http://h{r.randrange(4)}.org/", r.randrange(400), r.choice(["response", "revisit"]), r.choice(['"a"', '"b"', None]), None, {}, f"d{k}") for k in range(300)]
-    got = {x["record_id"]: (x["status"], x["source_id"]) for x in warc.resolve_revisits(spark.createDataFrame(rows, CAPTURES), bucket=30).collect()}
+    got = {x["record_id"]: (x["status"], x["source_id"]) for x in warc.resolve_revisits(spark.createDataFrame(rows, CAPTURES), bucket=30, most=most).collect()}
     for k, url, ts, kind, tag, *_ in rows:
         full = [(t, j, e) for j, u, t, kk, e, *_ in rows if kk == "response" and u == url and t <= ts]
         if kind == "response":
@@ -228,7 +234,7 @@ def test_revisits_equal_brute_force(spark):
             want = ("missing", None)
         else:
             _, j, e = max(full, key=lambda x: x[:2])
-            want = ("unchecked", j) if tag is None or e is None else ("resolved", j) if tag == e else ("stale", None)
+            want = ("unchecked", None) if tag is None or e is None else ("resolved", j) if tag == e else ("stale", None)
         assert got[k] == want
 
 

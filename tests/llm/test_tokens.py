@@ -35,6 +35,32 @@ def test_splice_equals_library():
         assert token_counts.splice_count(tokenizer, text, 512, 16, 16) == len(tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("text", ["a" * 300_000, "ab9" * 150_000 + " end", "\n" * 40_000 + "x" * 200_000 + " y " * 9000, " " * 100_000])
+def test_splice_of_long_unbroken_text(text):
+    """Each character is encoded a bounded number of times, also where no boundary is found."""
+    tokenizer, sent = encoder("byte_bpe_50k.json").tokenizer, []
+
+    class Counting:
+        def encode(self, part, **options):
+            sent.append(len(part))
+            return tokenizer.encode(part, **options)
+
+    assert token_counts.splice_count(Counting(), text) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+    assert sum(sent) < 4 * len(text)
+
+
+def test_worker_tables_are_bounded(monkeypatch):
+    from meridia.llm import tokens
+
+    monkeypatch.setattr(tokens, "ROOM", 100_000)
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=6)) + r.choice(["", ".", "é"]) for _ in range(400)) for _ in range(20)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = tokens.Encoder(tokens.public_path(name))
+        assert list(e.encode_all(texts)) == [plain(name, t) for t in texts]
+        assert sum(len(k) + len(v) for t in (e.first, e.rest, e.joined.letters, e.joined.signs) for k, v in t.items()) < 100_000 + 10 * max(map(len, texts)) * 20
+
+
 def test_token_counts(spark, data):
     for docs in (hard(spark), spark.read.parquet(f"{data}/documents.parquet")):
         rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
@@ -59,6 +85,21 @@ def test_token_files_round_trip(spark, data):
     assert token_files.read_token_files(token_files.write_token_files(empty(spark))).count() == 0
 
 
+def test_token_files_begin_anew_at_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_DOCS", 7)
+    docs = spark.createDataFrame([(k // 2, f"text number {k}") for k in range(100)], "doc_id long, text string").coalesce(2)
+    manifest = token_files.write_token_files(docs)
+    assert manifest.agg({"n_docs": "max"}).first()[0] <= 7 and manifest.count() >= 15
+    got = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [k // 2 for k in range(100)]
+    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(100)]
+
+
+def test_store_names_of_spark_and_of_the_writer():
+    assert token_files.writer_uri("s3a://bucket/a") == token_files.writer_uri("s3n://bucket/a") == "s3://bucket/a"
+    assert token_files.writer_uri("file:///a/s3a://b") == "file:///a/s3a://b"
+
+
 def test_token_files_read_few_frames_and_check_them(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"word{k} " * 3000) for k in range(60)], "doc_id long, text string").coalesce(1)
     manifest = token_files.write_token_files(docs)
@@ -113,6 +154,14 @@ def test_best_fit_decreasing_is_tightest():
             assert chosen == want and len(used) == bins
 
 
+def test_packing_keeps_ids_beside_nulls_and_other_columns(spark):
+    rows = [(k, i, 0, n, 7, 8, 9) for k, (i, n) in enumerate([(9007199254740993, 5), (None, 3), (9007199254740995, 2048), (1, 1), (1, 1)])]
+    pieces = spark.createDataFrame(rows, "_row long, doc_id long, piece int, length long, _group int, other int, offset int")
+    got = packing.pack(pieces).collect()
+    assert sorted((repr(r["doc_id"]), r["length"], r["_group"], r["other"]) for r in got) == sorted((repr(r[1]), r[3], 7, 8) for r in rows)
+    assert sorted(r["offset"] for r in got) == [0, 0, 5, 8, 9]
+
+
 def test_packing_covers_every_document(spark, data):
     for docs, group in ((hard(spark), 5), (spark.read.parquet(f"{data}/documents.parquet"), 16_384)):
         pieces = materialize(packing.tokenized_pieces(docs), "test-pieces")
