@@ -1,40 +1,78 @@
-"""As-of and interval joins on event time."""
+"""As-of and interval joins on event time.
+
+Rows with a null key or time match nothing; empty tables give empty results; columns of the
+operators' own give way to the tables'. A column that both sides have under one name keeps
+the left side's value.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.functions.names import unused
+
+from .history import MOST, with_running_sum, with_time_bucket
+
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], time: str, carry: list[str], bucket: int, tolerance: int | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], time: str, carry: list[str], bucket: int, tolerance: int | None = None, most: int = MOST) -> DataFrame:
     """Each left row with the ``carry`` columns of the right row of its key that is latest at
     or before it (at equal times the right row counts; of several the one that is largest by
-    ``carry``). ``time`` is an integer column on both sides.
+    ``carry``). ``time`` is an integer column on both sides. Adds matched_<time>; of carried
+    columns that the left side has, the right row's come under the name <column>_right.
 
     A union and a running ``last``, in two levels: inside time buckets, and over the last
-    right row of each bucket. A key with a large share of all rows is thus many windows.
+    right row of each bucket. Crowded buckets are cut by their number of rows, so a key with a
+    large share of all rows is many windows.
     """
-    packed = F.struct(F.col(time).alias("_t"), *carry)
-    rows = left.withColumns({"_b": F.floor(F.col(time) / bucket), "_right": F.lit(None).cast(right.select(packed.alias("x")).schema["x"].dataType)})
-    point = right.select(*on, F.col(time), F.floor(F.col(time) / bucket).alias("_b"), packed.alias("_right"))
-    last_of = point.groupBy(*on, "_b").agg(F.max("_right").alias("_last"))
-    slots = rows.select(*on, "_b").distinct().join(last_of, [*on, "_b"], "full")
-    over = Window.partitionBy(*on).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = slots.withColumn("_before", F.last("_last", ignorenulls=True).over(over)).select(*on, "_b", "_before")
-    both = rows.withColumn("_side", F.lit(1)).unionByName(point.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    within = Window.partitionBy(*on, "_b").orderBy(time, "_side", F.col("_right").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_in", F.last("_right", ignorenulls=True).over(within)).filter("_side = 1")
-    found = found.join(before, [*on, "_b"], "left").withColumn("_hit", F.coalesce("_in", "_before"))
+    b, side, right_, last_, before_, in_, hit = unused([*left.columns, *right.columns], "_b", "_side", "_right", "_last", "_before", "_in", "_hit")
+    packed = F.struct(F.col(time).alias("_t"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)))
+    kind = right.select(packed.alias("x")).schema["x"].dataType
+    rows = left.withColumns({right_: F.lit(None).cast(kind), side: F.lit(1)})
+    points = right.filter(F.col(time).isNotNull()).select(*on, F.col(time), packed.alias(right_), F.lit(0).alias(side))
+    both = with_time_bucket(rows.unionByName(points, allowMissingColumns=True), on, time, bucket, most, b)
+    lasts = both.groupBy(*on, b).agg(F.max(right_).alias(last_))
+    over = Window.partitionBy(*on).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    before = lasts.withColumn(before_, F.last(last_, ignorenulls=True).over(over)).select(*on, b, before_)
+    within = Window.partitionBy(*on, b).orderBy(time, side, F.col(right_).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn(in_, F.last(right_, ignorenulls=True).over(within)).filter(F.col(side) == 1)
+    found = found.join(before, [*on, b], "left").withColumn(hit, F.when(F.col(time).isNotNull(), F.coalesce(in_, before_)))
     if tolerance is not None:
-        found = found.withColumn("_hit", F.when(F.col(time) - F.col("_hit._t") <= tolerance, F.col("_hit")))
-    out = [F.col(f"_hit.{c}").alias(c) for c in carry]
-    return found.select(*left.columns, F.col("_hit._t").alias(f"matched_{time}"), *out)
+        found = found.withColumn(hit, F.when(F.col(time) - F.col(hit)["_t"] <= tolerance, F.col(hit)))
+    out = [F.col(hit)[f"c{k}"].alias(f"{c}_right" if c in left.columns else c) for k, c in enumerate(carry)]
+    return found.select(*left.columns, F.col(hit)["_t"].alias(f"matched_{time}"), *out)
 
 
 def interval_join(anchors: DataFrame, points: DataFrame, on: list[str], anchor_time: str, point_time: str, width: int) -> DataFrame:
     """Pairs of one key whose times differ by at most ``width``: an equi-join on buckets of
-    that width, each point sent to its own and both neighbouring buckets."""
-    a = anchors.withColumn("_b", F.floor(F.col(anchor_time) / width))
-    b = points.withColumn("_b", F.explode(F.array(*(F.floor(F.col(point_time) / width) + k for k in (-1, 0, 1)))))
+    that width, each point sent to its own and both neighbouring buckets. It returns every
+    pair; where a few nearest points are wanted, ``nearest_points`` makes no others."""
+    [b] = unused([*anchors.columns, *points.columns], "_b")
+    a = anchors.withColumn(b, F.floor(F.col(anchor_time) / width))
     near: Column = F.abs(F.col(anchor_time) - F.col(point_time)) <= width
-    return a.join(b, [*on, "_b"]).filter(near).drop("_b")
+    sent = points.withColumn(b, F.explode(F.array(*(F.floor(F.col(point_time) / width) + k for k in (-1, 0, 1)))))
+    return a.join(sent, [*on, b]).filter(near).drop(b)
+
+
+def nearest_points(anchors: DataFrame, points: DataFrame, on: list[str], anchor_time: str, point_time: str, point_id: str, k: int, width: int) -> DataFrame:
+    """Pairs of each anchor with the ``k`` points before it and the ``k`` at or after it that are
+    nearest in time, within ``width``; ties to the smaller ``point_id`` (a number).
+
+    Points are numbered along the key's time, once in each direction of ties; an anchor knows
+    how many points are before it, so its pairs are an equi-join on (key, number). However
+    dense a key is, an anchor makes 2k pairs at most and no key is one task."""
+    back, up, down, side, seen, number = unused([*anchors.columns, *points.columns], "_back", "_up", "_down", "_side", "_seen", "_number")
+    some = points.filter(F.col(point_time).isNotNull()).withColumn(back, -F.col(point_id))
+    ranked = with_running_sum(some, on, point_time, point_id, F.lit(1), up)
+    ranked = with_running_sum(ranked, on, point_time, back, F.lit(1), down)
+    # anchors sort before points of their time, so the sum up to them counts what is before
+    wanted = anchors.filter(F.col(anchor_time).isNotNull()).withColumns({side: F.lit(0), number: F.col(anchor_time)})
+    marks = points.filter(F.col(point_time).isNotNull()).select(*on, F.col(point_time).alias(number), F.lit(1).alias(side))
+    counted = with_running_sum(wanted.unionByName(marks, allowMissingColumns=True), on, number, side, F.col(side), seen).filter(F.col(side) == 0)
+    counted = counted.select(*anchors.columns, seen)
+    others = [c for c in points.columns if c not in on]
+    after = counted.withColumn(number, F.explode(F.sequence(F.col(seen) + 1, F.col(seen) + k)))
+    earlier = counted.withColumn(number, F.explode(F.sequence(F.col(seen) - k + 1, F.col(seen))))
+    pairs = [a.join(ranked.select(*on, F.col(way).alias(number), *others), [*on, number]) for a, way in ((after, up), (earlier, down))]
+    found = pairs[0].unionByName(pairs[1]).filter(F.abs(F.col(anchor_time) - F.col(point_time)) <= width)
+    return found.select(*anchors.columns, *(c for c in others if c not in anchors.columns))

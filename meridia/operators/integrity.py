@@ -1,4 +1,8 @@
-"""Manifests, digests, reconciliation and rule scans."""
+"""Manifests, digests, reconciliation and rule scans.
+
+Null texts violate no rule and have null digests; null keys match nothing in comparisons and
+are one-sided there; empty tables give empty results (one row where a summary is asked for).
+"""
 
 from __future__ import annotations
 
@@ -81,24 +85,73 @@ def subset_violations(expected: DataFrame, actual: DataFrame, key: str, value: s
     return joined.filter(~F.col("found").eqNullSafe(F.col("expected"))).select(key, reason.alias("reason"))
 
 
+def equality(actual: DataFrame, manifest: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """One row: entries of both sides, how many are changed, missing and extra, and whether
+    both are equal, in number too (an entry that repeats on one side breaks that)."""
+    found = reconcile(actual, manifest, key, values)
+    count = lambda what: F.count_if(F.col("status") == what).alias(what)
+    sums = found.agg(count("changed"), count("missing"), count("extra"))
+    sizes = actual.agg(F.count(F.lit(1)).alias("entries")).crossJoin(manifest.agg(F.count(F.lit(1)).alias("listed")))  # one row each
+    equal = (F.col("entries") == F.col("listed")) & (F.col("changed") + F.col("missing") + F.col("extra") == 0)
+    return sizes.crossJoin(sums).select("entries", "listed", "changed", "missing", "extra", equal.alias("equal"))
+
+
+def case_fold(name: Column) -> Column:
+    """Caseless form by Unicode's full case folding, which Spark's functions lack: one letter may
+    unfold to several, as in sharp s."""
+
+    @F.pandas_udf("string")
+    def fold(names: pd.Series) -> pd.Series:
+        return names.str.casefold()
+
+    return fold(name)
+
+
 def case_collisions(rows: DataFrame, name: str) -> DataFrame:
-    """Folded names that several distinct names share."""
-    folded = rows.groupBy(F.lower(name).alias("folded")).agg(F.count_distinct(name).alias("n"))
+    """Folded names that several distinct names share. Distinct names alone are folded."""
+    folded = rows.select(name).distinct().groupBy(case_fold(F.col(name)).alias("folded")).agg(F.count_distinct(name).alias("n"))
     return folded.filter("n > 1")
 
 
-def scan_rules(rows: DataFrame, key: str, text: str, rules: list[tuple[str, str | Column]]) -> DataFrame:
+def strict_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else. Spark's parser stops after a value;
+    what may follow it inside an array and inside an object differs, so only a whole value
+    passes in both."""
+    parsed = lambda *x: F.try_parse_json(F.concat(*x)).isNotNull()
+    return text.isNotNull() & parsed(F.lit("["), text, F.lit("]")) & parsed(F.lit('{"k":'), text, F.lit("}"))
+
+
+def _hits(text: str, rules: list[tuple]) -> Column:
+    """Array of the violated rules of a text."""
+    found = []
+    for k, (name, rule, *needed) in enumerate(rules):
+        hit = F.col(text).rlike(rule) if isinstance(rule, str) else rule
+        for literal in needed:  # a plain search spares texts that lack it the pattern
+            hit = F.col(text).contains(literal) & hit
+        found.append(F.when(hit, F.struct(F.lit(k).cast("long").alias("place"), F.lit(name).alias("rule"))))
+    return F.array_compact(F.array(*found))
+
+
+def scan_rules(rows: DataFrame, key: str, text: str, rules: list[tuple]) -> DataFrame:
     """Every violated rule of every text, with the rule's place in the fixed order. A rule is
-    a pattern or a condition. Rules are a constant array, so a text is read once and nothing
-    is joined."""
-    hits = F.array(*(F.when(F.col(text).rlike(p) if isinstance(p, str) else p, F.struct(F.lit(k).cast("long").alias("place"), F.lit(n).alias("rule"))) for k, (n, p) in enumerate(rules)))
-    return rows.select(key, F.explode(F.array_compact(hits)).alias("_h")).select(key, "_h.rule", "_h.place")
+    (name, pattern or condition), and optionally a literal that each match contains. Rules
+    are a constant array, so a text is read once and nothing is joined."""
+    return rows.select(key, F.explode(_hits(text, rules)).alias("_h")).select(key, "_h.rule", "_h.place")
+
+
+def scan_counts(rows: DataFrame, kind: str, text: str, rules: list[tuple]) -> DataFrame:
+    """Files and violations of each kind, and 'failed' where there is any: one pass over the
+    texts, counts combined on the map side."""
+    errors = F.sum(F.coalesce(F.size(_hits(text, rules)), F.lit(0))).cast("long")
+    counts = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("files"), errors.alias("errors"))
+    return counts.withColumn("status", F.when(F.col("errors") > 0, "failed").otherwise("passed"))
 
 
 def disallowed_tokens(rows: DataFrame, key: str, text: str, pattern: str, allowed: DataFrame, group: int = 1) -> DataFrame:
-    """All matches of a pattern that aren't in the (small, fixed) allowed list."""
+    """All matches of a pattern that aren't in the allowed list, which Spark broadcasts if it is
+    small enough."""
     found = rows.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))).alias("token"))
-    return found.join(F.broadcast(allowed), "token", "left_anti")
+    return found.join(allowed, "token", "left_anti")
 
 
 def path_verdict(path: Column, parts: list[str], suffixes: list[str]) -> Column:

@@ -1,10 +1,16 @@
-"""Intervals, rates, gaps, runs, sessions, quantiles and histograms of event series."""
+"""Intervals, rates, gaps, runs, sessions, quantiles and histograms of event series.
+
+A null key is a key; rows without a value are left out of quantiles, rows without a time come
+first in histories; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.functions.names import unused
+
 from .history import with_row_before, with_running_sum
 
 
@@ -40,21 +46,46 @@ def sessions(rows: DataFrame, by: list[str], ts: str, gap: str) -> DataFrame:
     return found.select(*by, to_us(F.col("_a")).alias("start_us"), to_us(F.col("_z")).alias("end_us"), "n")
 
 
-def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles from counts of distinct values, which combine on the map
-    side: a group costs as much as it has distinct values, not rows."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy(value)
-    seen = counts.withColumn("_seen", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
-    aggs = [F.sum("_n").alias("n")]
-    for name, q in wanted.items():
-        at = q * (F.col("_all") - 1)
-        aggs += [F.min(F.when(F.col("_seen") > f(at), F.col(value))).alias(f"_{k}_{name}") for k, f in (("lo", F.floor), ("hi", F.ceil))]
-    out = seen.groupBy(*by).agg(*aggs)
-    for name, q in wanted.items():
-        at = q * (F.col("n") - 1)
-        inside = (F.ceil(at) - at) * F.col(f"_lo_{name}") + (at - F.floor(at)) * F.col(f"_hi_{name}")
-        out = out.withColumn(name, F.when(F.ceil(at) == F.floor(at), F.col(f"_lo_{name}")).otherwise(inside))
+def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """Exact interpolated quantiles of numbers, whatever the size of a group.
+
+    Spark's approximate percentiles, whose ranks are off by at most 1/accuracy of a group,
+    bracket each quantile. All rows are counted below the brackets; only values inside them
+    (some 4/accuracy of the rows) are ranked, by counts of distinct ones. Everything but
+    that ranking combines on the map side."""
+    given = rows.filter(F.col(value).isNotNull())
+    brackets = []
+    for k, q in enumerate(wanted.values()):
+        low, high = max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)
+        brackets += [F.percentile_approx(value, F.lit(low), F.lit(accuracy)).alias(f"_lo{k}"), F.percentile_approx(value, F.lit(high), F.lit(accuracy)).alias(f"_hi{k}")]
+    keys = unused(rows.columns, *(f"_by{k}" for k in range(len(by))))
+    stats = given.groupBy(*(F.col(c).alias(h) for c, h in zip(by, keys, strict=True))).agg(*brackets)
+    same = F.lit(True)
+    for c, h in zip(by, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(h))
+    at = given.join(stats, same)
+    v, below, beyond = F.col(value), [], []  # a rank may be one place outside its bracket: the values next to it
+    for k in range(len(wanted)):
+        below.append(F.sum((v < F.col(f"_lo{k}")).cast("long")).alias(f"_below{k}"))
+        beyond += [F.max(F.when(v < F.col(f"_lo{k}"), v)).alias(f"_last{k}"), F.min(F.when(v > F.col(f"_hi{k}"), v)).alias(f"_next{k}")]
+    whole = at.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *below, *beyond)
+    inside = F.filter(F.array(*(F.when((v >= F.col(f"_lo{k}")) & (v <= F.col(f"_hi{k}")), F.lit(k)) for k in range(len(wanted)))), lambda x: x.isNotNull())
+    counts = at.select(*by, F.explode(inside).alias("_q"), v.alias("_v")).groupBy(*by, "_q", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    # number of values up to this one, from the bracket's lower end
+    seen = counts.withColumn("_seen", F.sum("_m").over(Window.partitionBy(*by, "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = seen.select(*(F.col(c).alias(h) for c, h in zip(by, keys, strict=True)), "_q", "_v", "_seen").join(whole, same)
+    picks = []
+    for k, q in enumerate(wanted.values()):
+        place = F.lit(q) * (F.col("n") - 1)
+        for end, f in (("lo", F.floor), ("hi", F.ceil)):
+            hit = (F.col("_q") == k) & (F.col(f"_below{k}") + F.col("_seen") > f(place))
+            inner = F.coalesce(F.min(F.when(hit, F.col("_v"))), F.first(f"_next{k}"))
+            picks.append(F.when(F.first(F.col(f"_below{k}") > f(place)), F.first(f"_last{k}")).otherwise(inner).alias(f"_{end}_{k}"))
+    out = ranked.groupBy(*by, "n").agg(*picks)
+    for k, (name, q) in enumerate(wanted.items()):
+        place = F.lit(q) * (F.col("n") - 1)
+        between = (F.ceil(place) - place) * F.col(f"_lo_{k}") + (place - F.floor(place)) * F.col(f"_hi_{k}")
+        out = out.withColumn(name, F.when(F.ceil(place) == F.floor(place), F.col(f"_lo_{k}")).otherwise(between))
     return out.select(*by, "n", *wanted)
 
 

@@ -1,10 +1,18 @@
-"""De-duplication, labels, source selection and the state of tasks."""
+"""De-duplication, labels, source selection and the state of tasks.
+
+A null key is a key like any other, but for joins, where it matches nothing. Null outcomes,
+environments and states count as none of the named ones. Repeated rows are repeated events,
+but where an operator says that it keeps one. Empty tables give empty results. Extra columns
+are carried along where rows are returned, whatever their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.functions.names import unused
+
 from .history import with_row_before, with_running_sum
 
 
@@ -28,9 +36,10 @@ def last_by(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def with_label(rows: DataFrame, code: str, labels: DataFrame) -> DataFrame:
     """Adds ``label``: the code's label, or the code itself. ``labels`` (code, label) is a
-    dimension; Spark broadcasts it only if it is small."""
-    named = labels.select(F.col("code").alias("_c"), F.col("label").alias("_l"))
-    return rows.join(named, F.col(code) == F.col("_c"), "left").withColumn("label", F.coalesce("_l", F.col(code).cast("string"))).drop("_c", "_l")
+    dimension; Spark broadcasts it only if it is small. A column ``label`` of the rows is replaced."""
+    c, text = unused(rows.columns, "_c", "_l")
+    named = labels.select(F.col("code").alias(c), F.col("label").alias(text))
+    return rows.join(named, F.col(code) == F.col(c), "left").withColumn("label", F.coalesce(F.col(text), F.col(code).cast("string"))).drop(c, text)
 
 
 def unknown_codes(rows: DataFrame, code: str, known: DataFrame) -> DataFrame:
@@ -74,16 +83,19 @@ def pick_attempt(attempts: DataFrame, job: list[str], order: list[str], ok: Colu
     return facts.select(*job, F.when(won, F.col("_first")).alias("attempt"), status.alias("status"), "tried")
 
 
-def fair_order(tasks: DataFrame, requester: str, time: str, task: str, slice_us: int) -> DataFrame:
+def fair_order(tasks: DataFrame, requester: str, time: str, task: str, slice_us: int, span: int = 1000) -> DataFrame:
     """Round-robin over requesters: round (the requester's n-th task) and position in the
-    whole order (round, time, task). Positions come from counts of (round, time slice), so
-    only those counts, not the tasks, are ever ordered in one place."""
-    rounds = with_running_sum(tasks, [requester], time, task, F.lit(1), "round").withColumn("_s", F.floor(F.col(time) / slice_us))
-    before = Window.orderBy("round", "_s").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rounds.groupBy("round", "_s").agg(F.count(F.lit(1)).alias("_m"))
-    bases = counts.withColumn("_base", F.coalesce(F.sum("_m").over(before), F.lit(0))).select("round", "_s", "_base")
-    inside = F.row_number().over(Window.partitionBy("round", "_s").orderBy(time, task))
-    return rounds.withColumn("_i", inside).join(bases, ["round", "_s"]).withColumn("position", F.col("_base") + F.col("_i")).drop("_s", "_i", "_base")
+    whole order (round, time, task). Positions come from counts of (round, time slice), which
+    are summed within spans of rounds; only one sum for each span is ordered in one place."""
+    s, g, m, in_, base, i = unused([*tasks.columns, "round", "position"], "_s", "_g", "_m", "_in", "_base", "_i")
+    rounds = with_running_sum(tasks, [requester], time, task, F.lit(1), "round").withColumns({s: F.floor(F.col(time) / slice_us), g: F.floor(F.col("round") / span)})
+    counts = rounds.groupBy("round", s, g).agg(F.count(F.lit(1)).alias(m))
+    spans = counts.groupBy(g).agg(F.sum(m).alias(m))
+    earlier = lambda *order: F.coalesce(F.sum(m).over((Window.partitionBy(g) if len(order) > 1 else Window).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = spans.select(g, earlier(g).alias(base))
+    within = counts.withColumn(in_, earlier("round", s)).join(bases, g).select("round", s, (F.col(base) + F.col(in_)).alias(base))
+    inside = F.row_number().over(Window.partitionBy("round", s).orderBy(time, task))
+    return rounds.withColumn(i, inside).join(within, ["round", s]).withColumn("position", F.col(base) + F.col(i)).drop(s, g, i, base)
 
 
 def admitted(tasks: DataFrame, requester: str, time: str, task: str, slots: int) -> DataFrame:
@@ -146,6 +158,24 @@ def transitions(rows: DataFrame, key: str, time: str, tie: str, state: str, allo
     return counts.withColumn("allowed", F.array_contains(fine, F.concat_ws(">", "from_state", "to_state")))
 
 
+def same_window(log: DataFrame, signal: DataFrame, job: str, parts: list[str]) -> DataFrame:
+    """Each job of either branch with the first of ``parts`` (vehicle, window, environment) in
+    which its branches differ, 'missing branch' where one has none, or 'same'."""
+    a, b, has_a, has_b = unused([*log.columns, *signal.columns], "_a", "_b", "_has_a", "_has_b")
+    left = log.select(job, F.struct(*parts).alias(a), F.lit(True).alias(has_a))
+    right = signal.select(job, F.struct(*parts).alias(b), F.lit(True).alias(has_b))
+    verdict = F.when(F.col(has_a).isNull() | F.col(has_b).isNull(), "missing branch")
+    for part in parts:
+        verdict = verdict.when(~F.col(a)[part].eqNullSafe(F.col(b)[part]), part)
+    return left.join(right, job, "full").select(job, verdict.otherwise("same").alias("verdict"))
+
+
+def sorted_in_tasks(rows: DataFrame, job: list[str], order: list[str]) -> DataFrame:
+    """Rows dealt by job and sorted by ``order`` within each job; Spark sorts outside memory.
+    Adds place, the row's number in its job."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*job).orderBy(*order)).cast("long"))
+
+
 def gate(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """Keys for which both branches passed; a branch that failed blocks the merge."""
     return left.filter("passed").select(*key).join(right.filter("passed").select(*key), key, "left_semi")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from meridia.functions.time import DAY, HOUR, MINUTE, civil_to_utc_us, to_us
 from meridia.operators import asof, integrity, measures, records
-from meridia.sources.tables import table
+from meridia.operators.history import with_row_before
+from meridia.sources.tables import decoded, table
 
 from .oracle import ORACLE_SQL
 
@@ -91,7 +92,7 @@ def event_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to five points nearest to each anomaly, within half an hour."""
     anchors = _events(spark, sf_dir, "error").select("user_id", F.col("event_id").alias("anchor_id"), F.col("ts_us").alias("anchor_us"))
     points = _events(spark, sf_dir).filter("event_type <> 'error'").select("user_id", "event_id", "event_type", "ts_us")
-    pairs = asof.interval_join(anchors, points, ["user_id"], "anchor_us", "ts_us", 30 * MINUTE)
+    pairs = asof.nearest_points(anchors, points, ["user_id"], "anchor_us", "ts_us", "event_id", 5, 30 * MINUTE)
     near = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.abs(F.col("ts_us") - F.col("anchor_us")), "event_id"))
     return pairs.withColumn("place", near.cast("long")).filter("place <= 5").select("anchor_id", "event_id", "event_type", (F.col("ts_us") - F.col("anchor_us")).alias("offset_us"), "place")
 
@@ -343,8 +344,138 @@ def case_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.case_collisions(part.select(F.concat_ws("/", name, "p_brand").alias("name")), "name")
 
 
+@query
+def folded_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that only full case folding finds equal."""
+    key = F.col("p_partkey")
+    stem = F.concat(F.lit("stra"), F.when(key % 3 == 0, "\u00dfe").when(key % 3 == 1, "SSE").otherwise("ze"), F.floor(key / 6).cast("string"))
+    return integrity.case_collisions(table(spark, sf_dir, "part").select(stem.alias("name")), "name")
+
+
+@query
+def decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: some with a byte order mark, some that are no UTF-8."""
+    raw = F.col("text").cast("binary")
+    kind = F.col("doc_id") % 3
+    content = F.when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), raw)).when(kind == 2, F.concat(raw, F.unhex(F.lit("C328")))).otherwise(raw)
+    text = decoded(content)
+    return table(spark, sf_dir, "documents").select("doc_id", text.isNotNull().alias("valid"), F.sha2(text.cast("binary"), 256).alias("sha256"))
+
+
+def _release(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages as files, and a manifest with some digests and some sizes changed."""
+    files = integrity.file_digests(table(spark, sf_dir, "pages"), "page_id", "html")
+    key = F.col("page_id")
+    listed = files.select("page_id", F.when(key % 11 == 1, F.sha2(F.lit("changed").cast("binary"), 256)).otherwise(F.col("sha256")).alias("sha256"), F.when(key % 11 == 2, F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"))
+    return files.filter(key % 11 != 3), listed.filter(key % 11 != 4)
+
+
+@query
+def entry_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest and size together against the manifest's."""
+    files, listed = _release(spark, sf_dir)
+    return integrity.reconcile(files, listed, "page_id", ["sha256", "bytes"])
+
+
+@query
+def release_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a release's map equals its manifest, in number too."""
+    files, listed = _release(spark, sf_dir)
+    return integrity.equality(files, listed, "page_id", ["sha256"])
+
+
+@query
+def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of the nations, written as one JSON object and read again."""
+    from meridia.sources.tables import manifest, write_manifest
+    from meridia.streaming.demo import work_dir
+
+    name = F.col("n_name").cast("binary")
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("path"), F.sha2(name, 256).alias("sha256"), F.octet_length(name).cast("long").alias("bytes"))
+    at = f"{work_dir(spark)}/manifest"
+    write_manifest(rows, at, "1")
+    return manifest(spark, at)
+
+
+@query
+def file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file's literal is exempt from one rule, the same literal elsewhere isn't."""
+    path = F.concat(F.lit("tests/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, EXEMPT_FILE).otherwise("/other.py"))
+    text = F.concat_ws(" ", "text", F.when(F.col("doc_id") % 3 == 0, F.lit(EXEMPT_URL)).otherwise(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), text.alias("text"))
+    return integrity.scan_rules(rows, "doc_id", "text", private_rules("text", F.col("path")))
+
+
+@query
+def strict_json_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON value and nothing after it."""
+    kind = F.col("event_id") % 5
+    text = F.when(kind == 1, F.concat("props", F.lit(" x"))).when(kind == 2, F.concat("props", F.lit(", 1"))).when(kind == 3, "").otherwise(F.col("props"))
+    return _events(spark, sf_dir).select("event_id", integrity.strict_json(text).alias("valid"))
+
+
+@query
+def branch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether both branches of a job read one vehicle, window and environment."""
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    start = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    log = orders.filter(key % 13 != 5).select("o_orderkey", F.col("o_custkey").alias("vehicle"), start.alias("start_us"), (start + DAY).alias("end_us"), F.lit("primary").alias("env"))
+    signal = orders.filter(key % 13 != 6).select(
+        "o_orderkey", F.when(key % 13 == 1, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("vehicle"), F.when(key % 13 == 2, start + HOUR).otherwise(start).alias("start_us"),
+        F.when(key % 13 == 3, start + HOUR).otherwise(start + DAY).alias("end_us"), F.when(key % 13 == 4, "fallback").otherwise("primary").alias("env"),
+    )
+    return records.same_window(log, signal, "o_orderkey", ["vehicle", "start_us", "end_us", "env"])
+
+
+@query
+def task_sorted_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).select("user_id", "ts_us", "event_id", "value")
+    return records.sorted_in_tasks(rows, ["user_id"], ["ts_us", "event_id"])
+
+
+@query
+def process_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each error with the latest earlier view of its source, context and node."""
+    on = ["source", "context", "node"]
+    keys = [(F.col("event_id") % 2).alias("source"), F.col("user_id").alias("context"), F.expr("try_cast(get_json_object(props, '$.k') as bigint) % 3").alias("node")]
+    errors = _events(spark, sf_dir, "error").select(*keys, "ts_us", "event_id")
+    views = _events(spark, sf_dir, "view").select(*keys, "ts_us", F.col("event_id").alias("view_id"))
+    found = asof.asof_join(errors, views, on, "ts_us", ["view_id"], DAY)
+    return found.select("event_id", *on, "view_id", (F.col("ts_us") - F.col("matched_ts_us")).alias("age_us"))
+
+
+@query
+def inference_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End minus start of each frame: a view starts it and the vehicle's next event ends it."""
+    rows = _events(spark, sf_dir).select("user_id", "event_id", "ts_us", "event_type")
+    with_end = with_row_before(rows.withColumn("back_us", -F.col("ts_us")).withColumn("back_id", -F.col("event_id")), ["user_id"], "back_us", "back_id", "ts_us", "end_us")
+    return with_end.filter("event_type = 'view'").select("event_id", (F.col("end_us") - F.col("ts_us")).alias("latency_us"))
+
+
+@query
+def frame_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames lost between two of a vehicle: numbers that its next event skips, in steps of 40."""
+    rows = _events(spark, sf_dir).select("user_id", "event_id", "ts_us", F.floor(F.col("event_id") / 40).alias("frame"))
+    before = with_row_before(rows, ["user_id"], "ts_us", "event_id", "frame", "last_frame")
+    return before.filter(F.col("frame") - F.col("last_frame") > 1).select("event_id", (F.col("frame") - F.col("last_frame") - 1).alias("lost"))
+
+
+@query
+def message_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task of each conversation turn by an ordered rule table."""
+    rules = [("[0-9]{4}-[0-9]{2}-[0-9]{2}", "report"), (r"\?", "question"), ("(?i)^[aeiou]", "followup")]
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", records.route(F.col("text"), rules, "none").alias("task"))
+
+
+@query
+def serial_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One slot for all: the first of the fair order."""
+    return records.admitted(_events(spark, sf_dir, "signup").select("event_id", "user_id", "ts_us"), "user_id", "ts_us", "event_id", 1)
+
+
 RULES = [
-    ("mail", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+"),
+    ("mail", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+", "@"),
     ("secret", r"(secret|token|api_key|password)\s*[:=]"),
     ("license", r"[Ll]icense"),
     ("address", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
@@ -408,8 +539,7 @@ def private_data_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def private_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _planted(spark, sf_dir)
-    return integrity.check_summary(integrity.scan_rules(docs, "kind", "text", private_rules("text")), docs, "kind")
+    return integrity.scan_counts(_planted(spark, sf_dir), "kind", "text", private_rules("text"))
 
 
 @query
@@ -473,8 +603,7 @@ def syntax_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("kind", F.concat_ws(".", "lang", "source"))
-    hits = integrity.scan_rules(docs, "kind", "text", RULES)
-    return integrity.check_summary(hits, docs, "kind")
+    return integrity.scan_counts(docs, "kind", "text", RULES)
 
 
 @query

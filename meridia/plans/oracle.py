@@ -36,6 +36,7 @@ h AS (
   UNION ALL SELECT DISTINCT doc_id, kind, 'vehicle_id', 6 FROM (SELECT doc_id, kind, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) AS v FROM p)
   WHERE regexp_full_match(v, '[A-HJ-NPR-Z0-9]{17}') AND NOT regexp_full_match(v, '[0-9]+') AND v NOT IN (
     'DEM0VEH1CLE000001', 'DEM0VEH1CLE000002', 'DEM0VEH1CLEX00001', 'DEM0VEH1CLEX00002', 'DEM0VEH1CLEX00003', 'WBA123456789ABCDE', 'WBA00000000000000', 'L1234567890123456', 'L2234567890123456'))"""
+_HITS = _PLANTED[_PLANTED.index("h AS (") :]
 _GAP = f"SELECT user_id, event_id, ts_us, ts_us - lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS gap_us FROM ({_EV})"
 
 ORACLE_SQL = {
@@ -204,4 +205,46 @@ ORACLE_SQL = {
     "stream_point_ingest": f"""
         SELECT CAST(floor(ts_us / 3600000000.0) * 3600000000 AS BIGINT) AS bucket_us, event_type, count(*) AS n
         FROM (SELECT DISTINCT user_id, ts_us, event_type, value FROM ({_EV})) GROUP BY 1, 2""",
+    "folded_collision": """
+        WITH n AS (SELECT DISTINCT 'stra' || CASE p_partkey % 3 WHEN 0 THEN 'ße' WHEN 1 THEN 'SSE' ELSE 'ze' END || CAST(floor(p_partkey / 6.0) AS BIGINT) AS name FROM part)
+        SELECT replace(lower(name), 'ß', 'ss') AS folded, count(*) AS n FROM n GROUP BY 1 HAVING count(*) > 1""",
+    "decoded_files": "SELECT doc_id, doc_id % 3 <> 2 AS valid, CASE WHEN doc_id % 3 <> 2 THEN sha256(text) END AS sha256 FROM documents",
+    "entry_reconcile": """
+        SELECT page_id, CASE page_id % 11 WHEN 1 THEN 'changed' WHEN 2 THEN 'changed' WHEN 3 THEN 'missing' WHEN 4 THEN 'extra' ELSE 'match' END AS status FROM pages""",
+    "release_equality": """
+        WITH k AS (SELECT page_id % 11 AS k FROM pages)
+        SELECT count(*) FILTER (k <> 3) AS entries, count(*) FILTER (k <> 4) AS listed, count(*) FILTER (k = 1) AS changed, count(*) FILTER (k = 3) AS missing,
+          count(*) FILTER (k = 4) AS extra, count(*) FILTER (k IN (1, 3, 4)) = 0 AS equal FROM k""",
+    "manifest_round_trip": "SELECT 'nation/' || n_nationkey AS path, sha256(n_name) AS sha256, CAST(octet_length(encode(n_name)) AS BIGINT) AS bytes FROM nation",
+    "file_rules": f"""
+        WITH p AS (SELECT doc_id, 'k' AS kind, text FROM documents), {_HITS}
+        SELECT doc_id, rule, CAST(place AS BIGINT) AS place FROM h
+        UNION SELECT doc_id, 'authenticated_url', 4 FROM documents WHERE doc_id % 2 <> 0 AND doc_id % 3 = 0""",
+    "strict_json_validity": "SELECT event_id, event_id % 5 IN (0, 4) AS valid FROM events",
+    "branch_windows": """
+        SELECT o_orderkey, CASE o_orderkey % 13 WHEN 5 THEN 'missing branch' WHEN 6 THEN 'missing branch' WHEN 1 THEN 'vehicle' WHEN 2 THEN 'start_us'
+          WHEN 3 THEN 'end_us' WHEN 4 THEN 'env' ELSE 'same' END AS verdict FROM orders""",
+    "task_sorted_points": f"SELECT user_id, ts_us, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS place FROM ({_EV})",
+    "process_correlation": f"""
+        WITH e AS (SELECT event_id % 2 AS source, user_id AS context, CAST(props->>'$.k' AS BIGINT) % 3 AS node, ts_us, event_id, event_type FROM ({_EV})),
+        v AS (SELECT * FROM e WHERE event_type = 'view'),
+        m AS (
+          SELECT a.*, v.event_id AS view_id, v.ts_us AS v_us, row_number() OVER (PARTITION BY a.event_id ORDER BY v.ts_us DESC, v.event_id DESC) AS n
+          FROM (SELECT * FROM e WHERE event_type = 'error') a
+          LEFT JOIN v ON v.source = a.source AND v.context = a.context AND v.node = a.node AND v.ts_us <= a.ts_us)
+        SELECT event_id, source, context, node, view_id, ts_us - v_us AS age_us FROM m WHERE n = 1""",
+    "inference_latency": f"""
+        SELECT event_id, end_us - ts_us AS latency_us FROM (
+          SELECT *, lead(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS end_us FROM ({_EV})) WHERE event_type = 'view'""",
+    "frame_gaps": f"""
+        SELECT event_id, frame - last_frame - 1 AS lost FROM (
+          SELECT *, lag(frame) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS last_frame
+          FROM (SELECT *, CAST(floor(event_id / 40.0) AS BIGINT) AS frame FROM ({_EV}))) WHERE frame - last_frame > 1""",
+    "message_routing": r"""
+        SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'report' WHEN regexp_matches(text, '\?') THEN 'question'
+          WHEN regexp_matches(text, '(?i)^[aeiou]') THEN 'followup' ELSE 'none' END AS task FROM conversations""",
+    "serial_admission": f"""
+        SELECT user_id, event_id, ts_us, round FROM (
+          SELECT user_id, event_id, ts_us, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS round FROM ({_EV}) WHERE event_type = 'signup')
+        ORDER BY round, ts_us, event_id LIMIT 1""",
 }

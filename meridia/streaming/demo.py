@@ -14,10 +14,13 @@ from meridia.streaming.ingest import run_available
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A folder for sink and checkpoint: in the cluster's shared folder where one is set."""
+    """A folder for sink and checkpoint: in the cluster's shared folder where one is set, which
+    only a session on a local master can do without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex[:12]}"
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="meridia-stream-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     return own

@@ -109,6 +109,81 @@ def test_recovery_and_gate(spark):
     assert rows(records.gate(left, right, ["job"]), "job") == [("a",)]
 
 
+def test_quantiles_equal_sorted_values(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(4)
+    groups = {f"g{n}": [r.choice([r.randrange(5), r.random(), -1e9 * r.random()]) for _ in range(n)] for n in (1, 2, 3, 7, 40, 1000)}
+    wanted = {"a": 0.0, "b": 0.3, "c": 0.5, "d": 0.95, "e": 0.99, "f": 1.0}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [(None, 3.0), (None, None)], "g string, v double").repartition(3)
+    for accuracy in (10_000, 20):  # the brackets of 20 are coarse
+        got = {x["g"]: x for x in measures.quantiles(df, ["g"], "v", wanted, accuracy).collect()}
+        assert got.pop(None)["a"] == 3.0
+        for g, vs in groups.items():
+            assert [got[g][k] for k in wanted] == pytest.approx([np.quantile(vs, q) for q in wanted.values()], rel=1e-9, abs=1e-9)
+
+
+def test_nearest_points_equal_brute_force(spark):
+    import random
+
+    r = random.Random(6)
+    anchors = [(r.choice([1, 1, 1, 2]), k, r.randrange(60)) for k in range(40)]
+    points = [(r.choice([1, 1, 1, 2, 3]), k, r.randrange(60)) for k in range(150)]
+    a, b = spark.createDataFrame(anchors, "u long, a long, at long"), spark.createDataFrame(points, "u long, p long, t long")
+    got = rows(asof.nearest_points(a, b, ["u"], "at", "t", "p", 3, 4), "a", "p")
+    want = []
+    for u, k, at in anchors:
+        near = [(abs(t - at), p, t < at) for w, p, t in points if w == u and abs(t - at) <= 4]
+        for side in (True, False):
+            want += [(k, p) for _, p, s in sorted(x for x in near if x[2] == side)[:3]]
+    assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("text", ["1,2", '1,"b":2', "1], [2", "1} y", '{"a":1} x', "", " ", "[1", "nul", '"a" "b"', None])
+def test_texts_that_are_not_one_json_value(spark, text):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(integrity.strict_json(F.col("t")).alias("ok")).first()["ok"] is False
+
+
+@pytest.mark.parametrize("text", ["1", ' {"a": [1, {"b": null}]} ', '"x"', "null", "[]", "-1.5e3"])
+def test_texts_that_are_one_json_value(spark, text):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(integrity.strict_json(F.col("t")).alias("ok")).first()["ok"] is True
+
+
+def test_case_folding(spark):
+    names = ["Stra\u00dfe", "STRASSE", "\u03a3\u03bf\u03c6\u03bf\u03c2", "\u03c3\u03bf\u03c6\u03bf\u03c3", "a", "\ufb01n", "FIN"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [(x,) for x in sorted({n.casefold() for n in names if sum(m.casefold() == n.casefold() for m in names) > 1})] == rows(integrity.case_collisions(df, "name"), "folded")
+
+
+CLASHES = "_b _c _l _s _i _g _base _side _right _p _v _in _before _last _sum _k0 _by0 _coarse _parts _hit _key _order round_ _n _m _t".split()
+
+
+@pytest.mark.parametrize("operator", ["asof", "before", "sum", "label", "fair", "nearest", "islands"])
+def test_columns_of_the_caller_stay(spark, operator):
+    """Names that the operators use for themselves, null keys and repeated rows."""
+    data = [(1, 5, 1), (1, 7, 2), (1, 7, 2), (None, 3, 4), (2, None, 5)]
+    df = spark.createDataFrame([(*x, *range(len(CLASHES))) for x in data], "u long, t long, e long, " + ", ".join(f"{c} int" for c in CLASHES))
+    right = df.select("u", "t", F.col("e").alias("w"))
+    run = {
+        "asof": lambda: asof.asof_join(df, right, ["u"], "t", ["w"], 4),
+        "before": lambda: measures.with_gap(df, ["u"], "t", "e"),
+        "sum": lambda: records.sorted_in_tasks(df, ["u"], ["t", "e"]),
+        "label": lambda: records.with_label(df, "e", spark.createDataFrame([(1, "one"), (1, "one")], "code long, label string").distinct()),
+        "fair": lambda: records.fair_order(df.filter("u IS NOT NULL AND t IS NOT NULL"), "u", "t", "e", 10),
+        "nearest": lambda: asof.nearest_points(df, df.select("u", F.col("e").alias("pe"), F.col("t").alias("pt")), ["u"], "t", "pt", "pe", 2, 9),
+        "islands": lambda: measures.with_gap(df, ["u", "_b"], "t", "e"),
+    }[operator]()
+    assert set(df.columns) <= set(run.columns) and len(set(run.columns)) == len(run.columns)
+    got = run.collect()
+    assert all(tuple(x[c] for c in CLASHES) == tuple(range(len(CLASHES))) for x in got)
+    if operator not in ("fair", "nearest"):
+        assert sorted(((x["u"], x["t"], x["e"]) for x in got), key=repr) == sorted(data, key=repr)
+
+
 def test_measures(spark):
     df = spark.createDataFrame([("g", float(v)) for v in (1, 2, 2, 3, 10)] + [("h", 4.0), ("h", None)], "g string, v double")
     assert rows(measures.quantiles(df, ["g"], "v", {"a": 0.5, "b": 0.9}), "g", "n", "a", "b") == [("g", 5, 2.0, pytest.approx(7.2)), ("h", 1, 4.0, 4.0)]
