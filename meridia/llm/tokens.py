@@ -19,7 +19,7 @@ import numpy as np
 
 #: Bytes of all tables of a worker together, the longest segment worth keeping, characters of
 #: text whose unknown segments are looked up together, and segments encoded in one call.
-ROOM, LONGEST, AT_ONCE, JOINED = 160 << 20, 48, 500_000, 200
+ROOM, LONGEST, AT_ONCE, JOINED = 256 << 20, 48, 500_000, 200
 _UNSAFE = re.compile(r"\s (?:\s|$)")
 _CUTS = re.compile(r"(?<=\S)(?= )")
 #: Line breaks beside other white space or at an end; separators that only Python calls space.
