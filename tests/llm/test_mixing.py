@@ -122,3 +122,19 @@ def test_mix_source_with_one_document_of_over_half_its_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     got = {r["doc_id"]: r["copies"] for r in check_mix(docs, 0) if r["copies"]}
     assert {r["doc_id"]: r["count"] for r in mixing.mix_documents(docs).groupBy("doc_id").count().collect()} == got
+
+
+OWN = "__size _size __h _h __src _src __s _s _s1 _z1 _base _any _stop _copy _near_key _near_n _key _key2 _order _n ___id __id _id _digest _keep _group _row".split()
+
+
+@pytest.mark.parametrize("operator", ["mix", "near", "exact"])
+def test_columns_of_the_caller_stay(spark, operator):
+    from meridia.llm import exact_dedup, near_dedup
+
+    texts = ["one two three four five six", "one two three four five six", "another text of some words", None, None, "x"]
+    rows = [(k // 2 or None, t, ["a", None][k % 2], *range(len(OWN))) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in OWN)).repartition(2)
+    out = {"mix": mixing.mix_documents, "near": near_dedup.drop_near_duplicates, "exact": exact_dedup.drop_duplicates}[operator](docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(tuple(r[c] for c in OWN) == tuple(range(len(OWN))) for r in got)

@@ -3,9 +3,11 @@
 import zlib
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from meridia.llm import quality
+from tests.llm.helpers import empty, hard, hard_rows
 from tests.llm.test_dedup import digest, near_expected
 from tests.llm.test_mixing import expected_targets
 from tests.llm.test_tokens import plain
@@ -65,3 +67,21 @@ def test_pipeline_stage_by_stage(spark, data, tmp_path):
     assert sum(r["piece"] == 0 for r in kept[4]) == len(kept[3])
     assert sorted(map(repr, corpus_pipeline.run(spark, data).select("doc_id", "piece", "ids_crc32").collect())) == sorted(repr(r) for r in docs.select("doc_id", "piece", "ids_crc32").collect())
     assert not lengths
+
+
+@pytest.mark.parametrize("rows", [hard, empty])
+def test_pipeline_on_hard_rows(spark, tmp_path, rows):
+    """Null ids, texts and sources, empty and long texts, ties, repeated rows, extra columns with
+    the operators' own names, and an empty table."""
+    docs = rows(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(20)] + [(None, 1), (3, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert bool(out) == (rows is hard)
+    known = {(r[0], len(r[1] or "")) for r in hard_rows()}
+    assert {r["doc_id"] for r in out} <= {i for i, _ in known}
+    ends = {}
+    for r in out:
+        ends.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in ends.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(parts), sorted(parts)[1:], strict=False)) and sum(n for _, n in parts) <= 2048
