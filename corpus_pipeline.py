@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's ``docs``. All but the last return the columns of documents.
+
+Defined results of all stages: null text counts as empty; null ids and sources are values like
+any other; rows that repeat are rows of their own until the exact dedup leaves one of each
+text, of ties that of the smallest id and then of the smallest hash of the row; documents
+without words pass the near-dedup and take no part in the mix; extra columns go along up to
+the mix, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
