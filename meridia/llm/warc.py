@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from meridia.operators.history import with_time_bucket
 
+from .scratch import materialize
+
 #: Headers of a 304 that replace the stored ones (those that describe the cached response).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that never select content, and host prefixes that don't tell sites apart.
@@ -58,6 +60,7 @@ def resolve_revisits(captures: DataFrame, bucket: int = 86_400, most: int = 100_
         "record_id", canonical_url(F.col("url")).alias("url_key"), "ts", "kind",
         F.struct(F.col("record_id").alias("id"), entity_tag(F.col("etag")).alias("etag"), F.col("last_modified").alias("date"), "headers", "digest").alias("_own"),
     )
+    rows = materialize(rows, "captures")  # addresses and digests are made once, and read several times
     valid = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
     good = with_time_bucket(rows.filter(valid), ["url_key"], "ts", bucket, most, "_bucket")
     full = F.when(F.col("kind") == "response", F.col("_own"))
