@@ -79,11 +79,37 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    found = whiten(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scratch import new_path
+    from .sharding import LAW, read_shards, record_size, write_shards
+
+    path = write_shards(_table(spark, sf_dir, "documents"), new_path(spark, "shards"))
+    back = read_shards(spark, path)
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return back.select(
+        "doc_id", record_size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_warc_revisits, op3_exact_dedup, op4_token_files, op5_exact_topk,
         op6_minhash_near_dedup, op7_token_counts, op8_html_text, op9_best_fit_packing, op10_mixing,
+        op11_tiled_whitening, op12_external_shuffle, op13_phrase_collocations,
     )
 }
 
@@ -113,6 +139,42 @@ ORACLE_SQL = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op13_phrase_collocations": r"""
+        WITH d AS (
+          SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), p AS (
+          SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+        ), w AS (
+          SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p
+        ), places AS (
+          SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM w WHERE len(w) > 0
+        ), s AS (
+          SELECT lang, w, i, unnest(generate_series(1, least(5, len(w) - i + 1))) AS k FROM places
+        ), f AS (
+          SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f FROM s GROUP BY ALL
+        ), n AS (
+          SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang
+        ), c AS (
+          SELECT lang, k, phrase, f AS a FROM f WHERE k > 1 AND f >= 100
+        ), cuts AS (
+          SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w, unnest(generate_series(1, k - 1)) AS cut FROM c
+        ), scored AS (
+          SELECT x.lang, x.phrase, x.k, a, cut, l.f AS l, r.f AS r, CAST(n AS HUGEINT) AS n, 1000 * a * CAST(n AS HUGEINT) // (l.f * r.f) AS score
+          FROM cuts x JOIN n USING (lang)
+          JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1 : cut], ' ')
+          JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[cut + 1 : x.k], ' ')
+        ), lowest AS (
+          SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS m FROM scored
+        ), ranked AS (
+          SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+          FROM lowest x
+          WHERE m = 1 AND NOT EXISTS (
+            SELECT 1 FROM c WHERE c.lang = x.lang AND c.k > x.k AND 100 * c.a >= 100 * x.a AND contains(' ' || c.phrase || ' ', ' ' || x.phrase || ' ')
+          )
+        )
+        SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked WHERE rank <= 2000
+    """,
     "op2_warc_revisits": r"""
         WITH u AS (
           SELECT page_id, html, url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages
