@@ -4,13 +4,15 @@ Texts (A-Z lower-cased) are split into pieces at ``[.,;:!?\\x0A-\\x0D]`` and pie
 counts are per language.
 
 1. Words are counted in each task and summed globally.
-2. A phrase is no more frequent than its words and its pairs of neighbours. So pieces are cut
-   where a word, then where a pair of neighbours, is below the threshold: what is left are runs,
-   and every candidate lies wholly in runs. The frequent words and pairs reach the tasks as bit
-   sets of hashes, of at most 2^``BITS`` bits whatever the corpus: where hashes meet, a run is
-   cut less than it could be, and nothing is lost.
-3. Runs are dealt to shards of a bounded number of words. A generalised suffix automaton of a
-   shard's runs (one automaton for many sequences) gives each state the number of its end positions.
+2. A phrase is no more frequent than its words, its pairs and its triples. So texts are cut where a word,
+   then where a pair of neighbours, is below the threshold. What is left are runs, written as a
+   table that all later steps read; then runs are cut where a triple is below it. Every candidate
+   lies wholly in what is left. Pairs and triples are counted by 64-bit hashes, in slices of the
+   hashes' range that grow in number with the corpus; the frequent ones reach the tasks as bit
+   sets of at most 2^``BITS`` bits whatever the corpus: where hashes meet, a run is cut less than it
+   could be, and nothing is lost.
+3. What is left is dealt to shards of a bounded number of words. A generalised suffix automaton of a
+   shard (one automaton for many sequences) gives each state the number of its end positions.
    A state stands for the phrases that end at the same places: the suffixes of its longest
    one that are longer than its suffix link's. So each state names its phrases of 2 to
    ``DEPTH`` words once, with their number.
@@ -33,6 +35,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +50,9 @@ from .scratch import Workspace, bound_batches, materialize
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Bits of a set of frequent hashes, as a power of two; words of a shard's automaton; words of a
 #: task's vocabulary before it is flushed; word positions that are counted at once.
-BITS, SHARD, VOCABULARY, POSITIONS = 27, 100_000, 400_000, 1 << 22
+BITS, SHARD, VOCABULARY, POSITIONS = 27, 100_000, 250_000, 1 << 21
+#: Hashes of a slice that are summed at once, about.
+SLICE = 1 << 19
 #: First-level groups of the ranking.
 FAN_IN = 32
 #: Signs that end a piece are all made one sign, which no word can hold.
@@ -84,7 +89,7 @@ class _Vocabulary(dict):
 
 
 def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Hashes of pairs of words from the hashes of both."""
+    """Hashes of phrases from the hashes of what is before the last word and of that."""
     h = (first * np.uint64(0x9E3779B97F4A7C15)) ^ ((second << np.uint64(31)) | (second >> np.uint64(33)))
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
@@ -166,18 +171,57 @@ def _frequent(v: _Vocabulary, ids: np.ndarray, words: np.ndarray) -> np.ndarray:
     return known[ids]
 
 
-def pair_counts(texts: DataFrame, words: np.ndarray) -> DataFrame:
-    """(h, f): number of each pair of neighbouring frequent words, by its hash."""
-    sent = texts.sparkSession.sparkContext.broadcast(words)
+def _in_slices(hashes: list[np.ndarray], slices: int) -> pa.RecordBatch:
+    """(slice, h, f): the hashes and their numbers, packed by slice of the hashes' range."""
+    h, n = np.unique(np.concatenate(hashes), return_counts=True)
+    of = (h >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+    at = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(h)]])
+    spans = [(a, z) for a, z in zip(at[:-1], at[1:], strict=True) if z > a]
+    return pa.record_batch(
+        [pa.array([int(of[a]) for a, _ in spans], pa.int64()), pa.array([h[a:z].tobytes() for a, z in spans], pa.binary()), pa.array([n[a:z].astype(np.int64).tobytes() for a, z in spans], pa.binary())], ["slice", "h", "f"]
+    )
+
+
+def frequent_hashes(counted: DataFrame, least: int) -> DataFrame:
+    """(h) of the hashes whose numbers add up to ``least``. Slices are added up one after the
+    other, and within one what is held is reduced whenever it has grown by ``SLICE``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, many = _Words(), [], 0
+        now, held, many, bound = None, [], 0, SLICE
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            h = np.concatenate([x for x, _ in held])
+            order = np.argsort(h, kind="stable")
+            h, n = h[order], np.concatenate([x for _, x in held])[order]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            return h[at], np.add.reduceat(n, at)
+
+        def done() -> Iterator[pa.RecordBatch]:
             if held:
-                h, n = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], ["h", "f"])
+                h, n = summed()
+                yield pa.record_batch([pa.array(h[n >= least].view(np.int64))], ["h"])
+
+        for batch in batches:
+            for number, h, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if number != now:
+                    yield from done()
+                    now, held, many, bound = number, [], 0, SLICE
+                held.append((np.frombuffer(h, np.uint64), np.frombuffer(f, np.int64)))
+                many += len(h) // 8
+                if many > bound:
+                    held = [summed()]
+                    many, bound = len(held[0][0]), len(held[0][0]) + SLICE
+        yield from done()
+
+    return counted.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "h long")
+
+
+def pair_counts(texts: DataFrame, words: np.ndarray, slices: int) -> DataFrame:
+    """(slice, h, f): number of each pair of neighbouring frequent words, by its hash."""
+    sent = texts.sparkSession.sparkContext.broadcast(words)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, many = _Words(), [], 0
         for lang, some in _batches(batches):
             v = words[lang]
             ids = v.numbers(some)
@@ -188,11 +232,78 @@ def pair_counts(texts: DataFrame, words: np.ndarray) -> DataFrame:
             if len(words) > VOCABULARY:
                 words = _Words()
             if many > POSITIONS:
-                yield from flush()
+                yield _in_slices(held, slices)
                 held, many = [], 0
-        yield from flush()
+        if many:
+            yield _in_slices(held, slices)
+
+    return texts.mapInArrow(run, "slice long, h binary, f binary")
 
-    return texts.mapInArrow(run, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+
+def runs(texts: DataFrame, words: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """(lang, text): the texts' runs of frequent words and pairs, each ended by a ``.``"""
+    sent = texts.sparkSession.sparkContext.broadcast((words, pairs))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for lang, some in _batches(batches):
+            v = words[lang]
+            ids = v.numbers(some)
+            good = _frequent(v, ids, sent.value[0])
+            near = good[:-1] & good[1:]
+            near[near] = has(sent.value[1], pair_hashes(v.hashes[ids[:-1][near]], v.hashes[ids[1:][near]]))
+            near = np.concatenate([[False], near, [False]])
+            # a word stays with a pair on either side; a run ends where no pair goes on
+            stays, ends = near[:-1] | near[1:], near[:-1] & ~near[1:]
+            out = np.flatnonzero(stays)
+            found = np.insert(ids[out], np.flatnonzero(ends[out]) + 1, 0)
+            if len(found):
+                yield pa.record_batch([pa.array([lang]), pa.array([b" ".join(map(v.words.__getitem__, found.tolist()))], pa.binary())], ["lang", "text"])
+            if len(words) > VOCABULARY:
+                words = _Words()
+
+    return texts.mapInArrow(run, "lang string, text binary")
+
+
+def _triples(v: _Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first positions, hashes) of the triples in runs."""
+    at = np.flatnonzero((ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0))
+    return at, pair_hashes(pair_hashes(v.hashes[ids[at]], v.hashes[ids[at + 1]]), v.hashes[ids[at + 2]])
+
+
+def triple_counts(found: DataFrame, slices: int) -> DataFrame:
+    """(slice, h, f): number of each triple in runs, by its hash."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, many = _Words(), [], 0
+        for lang, some in _batches(batches):
+            v = words[lang]
+            held.append(_triples(v, v.numbers(some))[1])
+            many += len(held[-1])
+            if len(words) > VOCABULARY:
+                words = _Words()
+            if many > POSITIONS:
+                yield _in_slices(held, slices)
+                held, many = [], 0
+        if many:
+            yield _in_slices(held, slices)
+
+    return found.mapInArrow(run, "slice long, h binary, f binary")
+
+
+def sequences(ids: np.ndarray, triple: np.ndarray) -> list[tuple[int, int, int]]:
+    """(begin, first counted end, end) of what is left of runs; ``triple`` says for each position
+    whether a frequent triple begins there. Of two that overlap, the later one's signs up to
+    its first counted end were counted by the earlier one, so each phrase counts once."""
+    longest = np.zeros(len(ids), np.int64)  # words of the longest frequent phrase, up to a triple, that ends here
+    longest[1:][(ids[1:] > 0) & (ids[:-1] > 0)] = 2
+    longest[2:][triple[: max(0, len(ids) - 2)]] = 3
+    pair = longest >= 2
+    goes_on = np.zeros(len(ids), bool)
+    goes_on[1:] = pair[1:] & pair[:-1] & (longest[1:] == np.minimum(3, longest[:-1] + 1))
+    heads = np.flatnonzero(pair & ~goes_on)
+    last = np.flatnonzero(pair & ~np.append(goes_on[1:], False))
+    return list(zip((heads - longest[heads] + 1).tolist(), heads.tolist(), last.tolist(), strict=True))
 
 
 class SuffixAutomaton:
@@ -254,47 +365,42 @@ class SuffixAutomaton:
                 yield tuple(self.text[z - k : z]), ends[state]
 
 
-def phrase_counts(texts: DataFrame, words: np.ndarray, pairs: np.ndarray) -> DataFrame:
+def phrase_counts(found: DataFrame, triples: np.ndarray) -> DataFrame:
     """(lang, phrase, f) of the phrases of 2 to DEPTH words in runs, from automata of shards."""
-    sent = texts.sparkSession.sparkContext.broadcast((words, pairs))
+    sent = found.sparkSession.sparkContext.broadcast(triples)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, automata = _Words(), {}
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
-            v, found, numbers = words[lang], [], []
-            for phrase, n in automata.pop(lang).phrases(2, DEPTH):
-                found.append(b" ".join(map(v.words.__getitem__, phrase)))
-                numbers.append(n)
-                if len(found) == 50_000:
-                    yield pa.record_batch([pa.array([lang] * len(found)), pa.array(found, pa.binary()), pa.array(numbers, pa.int64())], ["lang", "phrase", "f"])
-                    found, numbers = [], []
-            yield pa.record_batch([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary()), pa.array(numbers, pa.int64())], ["lang", "phrase", "f"])
+            v, phrases = words[lang], automata.pop(lang).phrases(2, DEPTH)
+            while some := list(islice(phrases, 50_000)):
+                text = [b" ".join(map(v.words.__getitem__, phrase)) for phrase, _ in some]
+                yield pa.record_batch([pa.array([lang] * len(some)), pa.array(text, pa.binary()), pa.array([n for _, n in some], pa.int64())], ["lang", "phrase", "f"])
 
         for lang, some in _batches(batches):
             v = words[lang]
             ids = v.numbers(some)
-            good = _frequent(v, ids, sent.value[0])
-            near = good[:-1] & good[1:]
-            near[near] = has(sent.value[1], pair_hashes(v.hashes[ids[:-1][near]], v.hashes[ids[1:][near]]))
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], near, [False]]).astype(np.int8)))
+            at, h = _triples(v, ids)
+            triple = np.zeros(len(ids), bool)
+            triple[at] = has(sent.value, h)
             signs = ids.tolist()
-            for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                for at in range(a, z + 1, SHARD):  # a run of many shards: each goes on where the last one ended
-                    begin = max(a, at - DEPTH + 1)
+            for begin, head, last in sequences(ids, triple):
+                for at in range(head, last + 1, SHARD):  # a sequence of many shards: each goes on where the last one ended
                     one = automata.setdefault(lang, SuffixAutomaton())
-                    one.add(signs[begin : min(z + 1, at + SHARD)], at - begin)
+                    start = max(begin, at - DEPTH + 1)
+                    one.add(signs[start : min(last + 1, at + SHARD)], at - start)
                     if len(one.text) >= SHARD:
                         yield from flush(lang)
-            if len(words) > VOCABULARY or sum(len(a.text) for a in automata.values()) > 2 * SHARD:
+            if len(words) > VOCABULARY or sum(len(a.text) for a in automata.values()) > SHARD:
                 for name in list(automata):
                     yield from flush(name)
                 words = _Words()
         for name in list(automata):
             yield from flush(name)
 
-    found = texts.mapInArrow(run, "lang string, phrase binary, f long")
-    return found.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
+    rows = found.mapInArrow(run, "lang string, phrase binary, f long")
+    return rows.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
 
 
 def score(a: Column, n: Column, l: Column, r: Column) -> Column:  # noqa: E741
@@ -315,8 +421,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.filter(F.col("f") >= least)
     word_bits = bit_set(frequent, BITS)
-    pair_bits = bit_set(pair_counts(texts, word_bits).filter(F.col("f") >= least), BITS)
-    candidates = work.keep(phrase_counts(texts, word_bits, pair_bits).filter(F.col("f") >= least), "candidates")
+    slices = max(1, (totals.agg(F.sum("n")).first()[0] or 0) // SLICE)
+    pair_bits = bit_set(frequent_hashes(pair_counts(texts, word_bits, slices), least), BITS)
+    found = work.keep(runs(texts, word_bits, pair_bits), "runs")
+    triple_bits = bit_set(frequent_hashes(triple_counts(found, slices), least), BITS)
+    candidates = work.keep(phrase_counts(found, triple_bits).filter(F.col("f") >= least), "candidates")
 
     known = frequent.select("lang", "phrase", "f").unionByName(candidates)
     parts = F.split("phrase", " ")
