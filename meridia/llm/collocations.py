@@ -51,6 +51,8 @@ DEPTH, LEAST, TOP = 5, 100, 2000
 #: Bits of a set of frequent hashes, as a power of two; words of a shard's automaton; words of a
 #: task's vocabulary before it is flushed; word positions that are counted at once.
 BITS, SHARD, VOCABULARY, POSITIONS = 27, 100_000, 250_000, 1 << 21
+#: Different phrases of a task's shards that are held before they are sent.
+PHRASES = 250_000
 #: Hashes of a slice that are summed at once, about.
 SLICE = 1 << 19
 #: First-level groups of the ranking.
@@ -371,12 +373,20 @@ def phrase_counts(found: DataFrame, triples: np.ndarray) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, automata = _Words(), {}
+        counts: dict[str, dict[bytes, int]] = {}  # of the task's shards, so that what they share is sent once
 
-        def flush(lang: str) -> Iterator[pa.RecordBatch]:
-            v, phrases = words[lang], automata.pop(lang).phrases(2, DEPTH)
-            while some := list(islice(phrases, 50_000)):
-                text = [b" ".join(map(v.words.__getitem__, phrase)) for phrase, _ in some]
-                yield pa.record_batch([pa.array([lang] * len(some)), pa.array(text, pa.binary()), pa.array([n for _, n in some], pa.int64())], ["lang", "phrase", "f"])
+        def count(lang: str) -> None:
+            v, own = words[lang], counts.setdefault(lang, {})
+            for phrase, n in automata.pop(lang).phrases(2, DEPTH):
+                text = b" ".join(map(v.words.__getitem__, phrase))
+                own[text] = own.get(text, 0) + n
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, own in counts.items():
+                rows = iter(own.items())
+                while some := list(islice(rows, 50_000)):
+                    yield pa.record_batch([pa.array([lang] * len(some)), pa.array([text for text, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], ["lang", "phrase", "f"])
+            counts.clear()
 
         for lang, some in _batches(batches):
             v = words[lang]
@@ -391,13 +401,17 @@ def phrase_counts(found: DataFrame, triples: np.ndarray) -> DataFrame:
                     start = max(begin, at - DEPTH + 1)
                     one.add(signs[start : min(last + 1, at + SHARD)], at - start)
                     if len(one.text) >= SHARD:
-                        yield from flush(lang)
+                        count(lang)
             if len(words) > VOCABULARY or sum(len(a.text) for a in automata.values()) > SHARD:
                 for name in list(automata):
-                    yield from flush(name)
-                words = _Words()
+                    count(name)
+                if len(words) > VOCABULARY:
+                    words = _Words()
+            if sum(map(len, counts.values())) > PHRASES:
+                yield from flush()
         for name in list(automata):
-            yield from flush(name)
+            count(name)
+        yield from flush()
 
     rows = found.mapInArrow(run, "lang string, phrase binary, f long")
     return rows.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))

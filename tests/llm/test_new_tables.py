@@ -230,6 +230,8 @@ def test_collocations_against_brute_force(spark, monkeypatch, case):
     monkeypatch.setattr(collocations, "VOCABULARY", [400_000, 30, 400_000, 100][case])
     monkeypatch.setattr(collocations, "POSITIONS", [100, 1 << 20, 1 << 20, 100][case])
     monkeypatch.setattr(collocations, "BITS", [27, 16, 15, 27][case])
+    monkeypatch.setattr(collocations, "PHRASES", [250_000, 5, 250_000, 20][case])
+    monkeypatch.setattr(collocations, "SLICE", [1 << 19, 7, 1 << 19, 100][case])
     if case == 2:  # sets in which every hash meets another: no run is cut, and nothing changes
         monkeypatch.setattr(collocations, "bit_set", lambda hashes, bits: np.full(1 << (bits - 3), 255, np.uint8))
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
