@@ -4,13 +4,13 @@ Texts (A-Z lower-cased) are split into pieces at ``[.,;:!?\\x0A-\\x0D]`` and pie
 counts are per language.
 
 1. Words are counted in each task and summed globally.
-2. A phrase is no more frequent than its words, its pairs and its triples. So texts are cut where a word,
-   then where a pair of neighbours, is below the threshold. What is left are runs, written as a
-   table that all later steps read; then runs are cut where a triple is below it. Every candidate
-   lies wholly in what is left. Pairs and triples are counted by 64-bit hashes, in slices of the
-   hashes' range that grow in number with the corpus; the frequent ones reach the tasks as bit
-   sets of at most 2^``BITS`` bits whatever the corpus: where hashes meet, a run is cut less than it
-   could be, and nothing is lost.
+2. A phrase is no more frequent than any phrase in it. So texts are cut where a word, then where a
+   pair of neighbours, is below the threshold. What is left are runs, written as a table that all
+   later steps read; then runs are cut where a triple, then where a phrase of four words, is below
+   it. Every candidate lies wholly in what is left. Pairs and longer phrases are counted by
+   64-bit hashes, in slices of the hashes' range that grow in number with the corpus; the frequent
+   ones reach the tasks as bit sets of at most 2^``BITS`` bits whatever the corpus: where hashes
+   meet, a run is cut less than it could be, and nothing is lost.
 3. What is left is dealt to shards of a bounded number of words. A generalised suffix automaton of a
    shard (one automaton for many sequences) gives each state the number of its end positions.
    A state stands for the phrases that end at the same places: the suffixes of its longest
@@ -267,20 +267,31 @@ def runs(texts: DataFrame, words: np.ndarray, pairs: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "lang string, text binary")
 
 
-def _triples(v: _Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first positions, hashes) of the triples in runs."""
-    at = np.flatnonzero((ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0))
-    return at, pair_hashes(pair_hashes(v.hashes[ids[at]], v.hashes[ids[at + 1]]), v.hashes[ids[at + 2]])
+def _levels(v: _Vocabulary, ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For runs and the bit sets of frequent triples and what is longer by a word each: the words
+    of the longest known frequent phrase that ends at each position (0 for none), and where the
+    phrases of one word more can begin, with their hashes."""
+    longest, words = np.zeros(len(ids), np.int64), v.hashes[ids]
+    begins, h = (ids[:-1] > 0) & (ids[1:] > 0), pair_hashes(words[:-1], words[1:])
+    longest[1:][begins] = 2
+    for k, bits in enumerate(sets, 3):
+        begins, h = begins[:-1] & begins[1:], pair_hashes(h[:-1], words[k - 1 :])
+        begins[begins] = has(bits, h[begins])
+        longest[k - 1 :][begins] = k
+    return longest, begins[:-1] & begins[1:], pair_hashes(h[:-1], words[len(sets) + 2 :])
 
 
-def triple_counts(found: DataFrame, slices: int) -> DataFrame:
-    """(slice, h, f): number of each triple in runs, by its hash."""
+def longer_counts(found: DataFrame, sets: list[np.ndarray], slices: int) -> DataFrame:
+    """(slice, h, f): number of each phrase in runs that is a word longer than those of the last
+    of the sets (pairs, if there is none) and made of two of them, by its hash."""
+    sent = found.sparkSession.sparkContext.broadcast(sets)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, many = _Words(), [], 0
         for lang, some in _batches(batches):
             v = words[lang]
-            held.append(_triples(v, v.numbers(some))[1])
+            _, begins, h = _levels(v, v.numbers(some), sent.value)
+            held.append(h[begins])
             many += len(held[-1])
             if len(words) > VOCABULARY:
                 words = _Words()
@@ -293,18 +304,14 @@ def triple_counts(found: DataFrame, slices: int) -> DataFrame:
     return found.mapInArrow(run, "slice long, h binary, f binary")
 
 
-def sequences(ids: np.ndarray, triple: np.ndarray) -> list[tuple[int, int, int]]:
-    """(begin, first counted end, end) of what is left of runs; ``triple`` says for each position
-    whether a frequent triple begins there. Of two that overlap, the later one's signs up to
-    its first counted end were counted by the earlier one, so each phrase counts once."""
-    longest = np.zeros(len(ids), np.int64)  # words of the longest frequent phrase, up to a triple, that ends here
-    longest[1:][(ids[1:] > 0) & (ids[:-1] > 0)] = 2
-    longest[2:][triple[: max(0, len(ids) - 2)]] = 3
-    pair = longest >= 2
-    goes_on = np.zeros(len(ids), bool)
-    goes_on[1:] = pair[1:] & pair[:-1] & (longest[1:] == np.minimum(3, longest[:-1] + 1))
-    heads = np.flatnonzero(pair & ~goes_on)
-    last = np.flatnonzero(pair & ~np.append(goes_on[1:], False))
+def sequences(longest: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """(begin, first counted end, end) of what is left of runs, from the words (``most`` at most) of
+    the longest frequent phrase that ends at each position. Of two that overlap, the later one's
+    signs before its first counted end were counted by the earlier one, so each phrase counts once."""
+    some = longest >= 2
+    goes_on = np.zeros(len(longest), bool)
+    goes_on[1:] = some[1:] & some[:-1] & (longest[1:] == np.minimum(most, longest[:-1] + 1))
+    heads, last = np.flatnonzero(some & ~goes_on), np.flatnonzero(some & ~np.append(goes_on[1:], False))
     return list(zip((heads - longest[heads] + 1).tolist(), heads.tolist(), last.tolist(), strict=True))
 
 
@@ -367,9 +374,9 @@ class SuffixAutomaton:
                 yield tuple(self.text[z - k : z]), ends[state]
 
 
-def phrase_counts(found: DataFrame, triples: np.ndarray) -> DataFrame:
+def phrase_counts(found: DataFrame, sets: list[np.ndarray]) -> DataFrame:
     """(lang, phrase, f) of the phrases of 2 to DEPTH words in runs, from automata of shards."""
-    sent = found.sparkSession.sparkContext.broadcast(triples)
+    sent = found.sparkSession.sparkContext.broadcast(sets)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, automata = _Words(), {}
@@ -391,11 +398,9 @@ def phrase_counts(found: DataFrame, triples: np.ndarray) -> DataFrame:
         for lang, some in _batches(batches):
             v = words[lang]
             ids = v.numbers(some)
-            at, h = _triples(v, ids)
-            triple = np.zeros(len(ids), bool)
-            triple[at] = has(sent.value, h)
+            longest, _, _ = _levels(v, ids, sent.value)
             signs = ids.tolist()
-            for begin, head, last in sequences(ids, triple):
+            for begin, head, last in sequences(longest, 2 + len(sent.value)):
                 for at in range(head, last + 1, SHARD):  # a sequence of many shards: each goes on where the last one ended
                     one = automata.setdefault(lang, SuffixAutomaton())
                     start = max(begin, at - DEPTH + 1)
@@ -438,8 +443,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     slices = max(1, (totals.agg(F.sum("n")).first()[0] or 0) // SLICE)
     pair_bits = bit_set(frequent_hashes(pair_counts(texts, word_bits, slices), least), BITS)
     found = work.keep(runs(texts, word_bits, pair_bits), "runs")
-    triple_bits = bit_set(frequent_hashes(triple_counts(found, slices), least), BITS)
-    candidates = work.keep(phrase_counts(found, triple_bits).filter(F.col("f") >= least), "candidates")
+    sets: list[np.ndarray] = []
+    for _ in range(3, DEPTH):
+        sets.append(bit_set(frequent_hashes(longer_counts(found, sets, slices), least), BITS))
+    candidates = work.keep(phrase_counts(found, sets).filter(F.col("f") >= least), "candidates")
 
     known = frequent.select("lang", "phrase", "f").unionByName(candidates)
     parts = F.split("phrase", " ")
