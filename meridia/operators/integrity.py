@@ -20,11 +20,25 @@ def file_digests(rows: DataFrame, key: str, content: str) -> DataFrame:
     return rows.select(key, F.sha2(raw, 256).alias("sha256"), F.octet_length(raw).cast("long").alias("bytes"))
 
 
+#: Control characters that JSON writers escape by number with a letter among its digits.
+_LETTERED = ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F")
+
+
+def canonical_json(value: Column) -> Column:
+    """Compact JSON of a map, in which numbers of escaped control characters are lower case, as
+    canonical texts have them and Spark's writer has not."""
+    text = F.to_json(value)
+    lower = text
+    for digits in _LETTERED:  # after an even number of backslashes: others are escaped ones themselves
+        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u00{digits}", rf"$1\\u00{digits.lower()}")
+    return F.when(text.contains("\\u00"), lower).otherwise(text)
+
+
 def canonical_digest(entries: DataFrame, by: list[str], path: str, value: str) -> DataFrame:
     """SHA-256 of each manifest's entries as compact JSON with sorted keys. A manifest is
     one group and is held as a whole, as the digest of its sorted text demands."""
     listed = F.array_sort(F.collect_list(F.struct(F.col(path).alias("k"), F.col(value).alias("v"))))
-    text = F.to_json(F.map_from_entries(listed))
+    text = canonical_json(F.map_from_entries(listed))
     return entries.groupBy(*by).agg(F.count(F.lit(1)).alias("entries"), F.sha2(text, 256).alias("digest"))
 
 
@@ -33,7 +47,7 @@ def whole_digest(entries: DataFrame, path: str, value: str, size: int = 4096) ->
     any size. Entries are sorted over the cluster and joined to texts of ``size`` entries;
     SHA-256 takes its input in order, so one task reads these texts and holds one batch at a
     time. A path that repeats is an error, as keys of one object can't."""
-    one = F.to_json(F.create_map(F.col(path), F.col(value)))
+    one = canonical_json(F.create_map(F.col(path), F.col(value)))
     listed = entries.select(F.col(path).alias("k"), F.substring(one, F.lit(2), F.length(one) - 2).alias("e")).orderBy("k")
 
     def join(batches):
@@ -114,11 +128,24 @@ def case_collisions(rows: DataFrame, name: str) -> DataFrame:
 
 
 def strict_json(text: Column) -> Column:
-    """Whether a text is one JSON value and nothing else. Spark's parser stops after a value;
-    what may follow it inside an array and inside an object differs, so only a whole value
-    passes in both."""
-    parsed = lambda *x: F.try_parse_json(F.concat(*x)).isNotNull()
-    return text.isNotNull() & parsed(F.lit("["), text, F.lit("]")) & parsed(F.lit('{"k":'), text, F.lit("}"))
+    """Whether a text is one JSON value and nothing else; null isn't. Keys of an object may repeat,
+    and NaN and Infinity are numbers. Spark's own parsers stop after a value, and refuse
+    repeated keys unless the session allows them, so the texts go to Python's in batches."""
+
+    @F.pandas_udf("boolean")
+    def check(texts: pd.Series) -> pd.Series:
+        import json
+
+        def one(text):
+            try:
+                json.loads(text)
+            except (TypeError, ValueError, RecursionError):
+                return False
+            return True
+
+        return texts.map(one).astype(bool)
+
+    return check(text)
 
 
 def _hits(text: str, rules: list[tuple]) -> Column:
@@ -155,10 +182,11 @@ def disallowed_tokens(rows: DataFrame, key: str, text: str, pattern: str, allowe
 
 
 def path_verdict(path: Column, parts: list[str], suffixes: list[str]) -> Column:
-    """First failed shape rule of a path, or 'ok'."""
+    """First failed shape rule of a path, or 'ok'. The suffix of a name is what begins with its last
+    point, if that is neither its first nor its last sign: a dotfile has none."""
     pieces = F.split(path, "/")
-    name = F.element_at(pieces, -1)
-    suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
+    name = F.regexp_extract(path, r"([^/]*)(?:/\.?)*$", 1)
+    suffix = F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
     return (
         F.when(path.startswith("/"), "absolute")
         .when(F.array_contains(pieces, ".."), "parent")
@@ -193,11 +221,3 @@ def syntax_valid(source: Column) -> Column:
         return texts.map(one)
 
     return check(source)
-
-
-def check_summary(violations: DataFrame, checked: DataFrame, kind: str) -> DataFrame:
-    """Counts by kind, violations, and 'failed' where there is any. ``violations`` has kind."""
-    bad = violations.groupBy(kind).agg(F.count(F.lit(1)).alias("_bad"))
-    counts = checked.groupBy(kind).agg(F.count(F.lit(1)).alias("files")).join(bad, kind, "left")
-    errors = F.coalesce("_bad", F.lit(0))
-    return counts.select(kind, "files", errors.alias("errors"), F.when(errors > 0, "failed").otherwise("passed").alias("status"))

@@ -16,8 +16,9 @@ from .history import with_row_before, with_running_sum
 
 def with_gap(rows: DataFrame, by: list[str], time: str, tie: str) -> DataFrame:
     """Adds gap_us, the time since the key's row before (null for its first)."""
-    found = with_row_before(rows, by, time, tie, time, "_before_us")
-    return found.select(*rows.columns, (F.col(time) - F.col("_before_us")).alias("gap_us"))
+    [before] = unused(rows.columns, "_before_us")
+    found = with_row_before(rows, by, time, tie, time, before)
+    return found.withColumn("gap_us", F.col(time) - F.col(before)).drop(before)
 
 
 def skips(rows: DataFrame, by: list[str], time: str, tie: str, over: int) -> DataFrame:
@@ -32,8 +33,9 @@ def rate(rows: DataFrame, by: list[str], time: str, width: int) -> DataFrame:
 
 def runs(rows: DataFrame, by: list[str], time: str, tie: str, state: str) -> DataFrame:
     """Islands of rows with one state: start, end and length."""
-    before = with_row_before(rows, by, time, tie, state, "_state")
-    new = F.when(F.col(state) == F.col("_state"), 0).otherwise(1)
+    [was] = unused([*rows.columns, "island"], "_state")
+    before = with_row_before(rows.select(*dict.fromkeys([*by, time, tie, state])), by, time, tie, state, was)
+    new = F.when(F.col(state) == F.col(was), 0).otherwise(1)
     numbered = with_running_sum(before, by, time, tie, new, "island")
     return numbered.groupBy(*by, "island", state).agg(F.min(time).alias("start_us"), F.max(time).alias("end_us"), F.count(F.lit(1)).alias("n"))
 
@@ -53,6 +55,14 @@ def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, floa
     bracket each quantile. All rows are counted below the brackets; only values inside them
     (some 4/accuracy of the rows) are ranked, by counts of distinct ones. Everything but
     that ranking combines on the map side."""
+    own = [f"by{k}" for k in range(len(by))]
+    given = rows.select(*(F.col(c).alias(o) for c, o in zip(by, own, strict=True)), F.col(value).alias("value"))
+    found = _quantiles(given, own, "value", {f"q{k}": q for k, q in enumerate(wanted.values())}, accuracy)
+    names = [F.col(o).alias(c) for c, o in zip(by, own, strict=True)]
+    return found.select(*names, "n", *(F.col(f"q{k}").alias(name) for k, name in enumerate(wanted)))
+
+
+def _quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float], accuracy: int) -> DataFrame:
     given = rows.filter(F.col(value).isNotNull())
     brackets = []
     for k, q in enumerate(wanted.values()):
@@ -95,6 +105,7 @@ def histogram(rows: DataFrame, by: list[str], value: str, width: float) -> DataF
 
 def stage_durations(rows: DataFrame, by: list[str], stage: str, time: str, limit: int) -> DataFrame:
     """Duration of each key's stage, summed up per stage with the number over ``limit``."""
-    each = rows.groupBy(*by, stage).agg((F.max(time) - F.min(time)).alias("_d"))
-    over = F.sum((F.col("_d") > limit).cast("long")).alias("over_limit")
-    return each.groupBy(stage).agg(F.count(F.lit(1)).alias("n"), F.min("_d").alias("min_us"), F.max("_d").alias("max_us"), F.sum("_d").alias("total_us"), over)
+    [d] = unused(rows.columns, "_d")
+    each = rows.groupBy(*by, stage).agg((F.max(time) - F.min(time)).alias(d))
+    over = F.sum((F.col(d) > limit).cast("long")).alias("over_limit")
+    return each.groupBy(stage).agg(F.count(F.lit(1)).alias("n"), F.min(d).alias("min_us"), F.max(d).alias("max_us"), F.sum(d).alias("total_us"), over)

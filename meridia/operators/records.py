@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions.names import unused
 
-from .history import with_row_before, with_running_sum
+from .history import _carry, with_row_before, with_running_sum
 
 
 def distinct_points(points: DataFrame) -> DataFrame:
@@ -75,9 +75,10 @@ def complete_pages(rows: DataFrame, job: list[str], page: str, total: str) -> Da
 def pick_attempt(attempts: DataFrame, job: list[str], order: list[str], ok: Column, final: Column, most: int = 3) -> DataFrame:
     """First success among the first ``most`` attempts, unless a failure that must not be
     retried came before it. Each job's result: attempt number or null, and a status."""
+    ok_, final_, n = unused(attempts.columns, "_ok", "_final", "_n")
     w = Window.partitionBy(*job).orderBy(*order)
-    rows = attempts.withColumns({"_ok": ok, "_final": final}).withColumn("_n", F.row_number().over(w).cast("long")).filter(F.col("_n") <= most)
-    facts = rows.groupBy(*job).agg(F.min(F.when(F.col("_ok"), F.col("_n"))).alias("_first"), F.min(F.when(F.col("_final"), F.col("_n"))).alias("_stop"), F.count(F.lit(1)).alias("tried"))
+    rows = attempts.withColumns({ok_: ok, final_: final}).withColumn(n, F.row_number().over(w).cast("long")).filter(F.col(n) <= most)
+    facts = rows.groupBy(*job).agg(F.min(F.when(F.col(ok_), F.col(n))).alias("_first"), F.min(F.when(F.col(final_), F.col(n))).alias("_stop"), F.count(F.lit(1)).alias("tried"))
     won = F.col("_first").isNotNull() & (F.col("_stop").isNull() | (F.col("_first") < F.col("_stop")))
     status = F.when(won, "ok").when(F.col("_stop").isNotNull(), "refused").otherwise("exhausted")
     return facts.select(*job, F.when(won, F.col("_first")).alias("attempt"), status.alias("status"), "tried")
@@ -85,8 +86,9 @@ def pick_attempt(attempts: DataFrame, job: list[str], order: list[str], ok: Colu
 
 def fair_order(tasks: DataFrame, requester: str, time: str, task: str, slice_us: int, span: int = 1000) -> DataFrame:
     """Round-robin over requesters: round (the requester's n-th task) and position in the
-    whole order (round, time, task). Positions come from counts of (round, time slice), which
-    are summed within spans of rounds; only one sum for each span is ordered in one place."""
+    whole order (round, time, task). Tasks without a time come first in their round. Positions
+    come from counts of (round, time slice), which are summed within spans of rounds; only one
+    sum for each span is ordered in one place."""
     s, g, m, in_, base, i = unused([*tasks.columns, "round", "position"], "_s", "_g", "_m", "_in", "_base", "_i")
     rounds = with_running_sum(tasks, [requester], time, task, F.lit(1), "round").withColumns({s: F.floor(F.col(time) / slice_us), g: F.floor(F.col("round") / span)})
     counts = rounds.groupBy("round", s, g).agg(F.count(F.lit(1)).alias(m))
@@ -95,7 +97,7 @@ def fair_order(tasks: DataFrame, requester: str, time: str, task: str, slice_us:
     bases = spans.select(g, earlier(g).alias(base))
     within = counts.withColumn(in_, earlier("round", s)).join(bases, g).select("round", s, (F.col(base) + F.col(in_)).alias(base))
     inside = F.row_number().over(Window.partitionBy("round", s).orderBy(time, task))
-    return rounds.withColumn(i, inside).join(within, ["round", s]).withColumn("position", F.col(base) + F.col(i)).drop(s, g, i, base)
+    return _carry(rounds.withColumn(i, inside), ["round", s], within, base).withColumn("position", F.col(base) + F.col(i)).drop(s, g, i, base)
 
 
 def admitted(tasks: DataFrame, requester: str, time: str, task: str, slots: int) -> DataFrame:
@@ -118,12 +120,13 @@ def delivery_status(artifacts: DataFrame, receipts: DataFrame, key: str) -> Data
     """'sent' only with a confirmed receipt of the same hash and size; an unknown result is a
     state of its own; anything else is pending or failed. (key, sha256, bytes) on both sides,
     ``result`` on receipts."""
-    r = receipts.select(F.col(key).alias("_k"), F.col("sha256").alias("_sha"), F.col("bytes").alias("_bytes"), "result")
-    same = F.col("sha256").eqNullSafe(F.col("_sha")) & F.col("bytes").eqNullSafe(F.col("_bytes"))
+    k, sha, size, result = unused([key, "sha256", "bytes"], "_k", "_sha", "_bytes", "_result")
+    r = receipts.select(F.col(key).alias(k), F.col("sha256").alias(sha), F.col("bytes").alias(size), F.col("result").alias(result))
+    same = F.col("sha256").eqNullSafe(F.col(sha)) & F.col("bytes").eqNullSafe(F.col(size))
     has = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int")) == 1
-    facts = artifacts.join(r, F.col(key) == F.col("_k"), "left").groupBy(key).agg(
-        has(same & (F.col("result") == "confirmed")).alias("_sent"), has(F.col("result") == "unknown").alias("_unknown"),
-        has(F.col("result") == "failed").alias("_failed"), has(F.col("_k").isNotNull()).alias("_any"),
+    facts = artifacts.select(key, "sha256", "bytes").join(r, F.col(key) == F.col(k), "left").groupBy(key).agg(
+        has(same & (F.col(result) == "confirmed")).alias("_sent"), has(F.col(result) == "unknown").alias("_unknown"),
+        has(F.col(result) == "failed").alias("_failed"), has(F.col(k).isNotNull()).alias("_any"),
     )
     status = F.when(F.col("_sent"), "sent").when(F.col("_unknown"), "unknown").when(F.col("_failed"), "delivery_failed").when(F.col("_any"), "unproven").otherwise("pending")
     return facts.select(key, status.alias("status"))
@@ -197,9 +200,10 @@ def takeover_plan(jobs: DataFrame, job: str) -> DataFrame:
 def with_followup(reports: DataFrame, registrations: DataFrame, job: str) -> DataFrame:
     """Reports with their follow-up registration. A failed or missing registration is noted
     and never removes the report."""
-    r = registrations.groupBy(job).agg(F.max(F.col("registered").cast("int")).alias("_r"))
-    state = F.when(F.col("_r") == 1, "available").when(F.col("_r") == 0, "registration failed").otherwise("not registered")
-    return reports.join(r, job, "left").withColumn("followup", state).drop("_r")
+    [r] = unused(reports.columns, "_r")
+    known = registrations.groupBy(job).agg(F.max(F.col("registered").cast("int")).alias(r))
+    state = F.when(F.col(r) == 1, "available").when(F.col(r) == 0, "registration failed").otherwise("not registered")
+    return reports.join(known, job, "left").withColumn("followup", state).drop(r)
 
 
 def route(message: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:

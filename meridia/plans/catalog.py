@@ -323,9 +323,10 @@ def file_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One manifest for each hundred pages."""
+    """One manifest for each hundred pages; some paths hold a control character."""
+    sign = F.when(F.col("page_id") % 5 == 1, F.lit("\u001f")).when(F.col("page_id") % 5 == 2, F.lit("\\u001F")).otherwise("")
     rows = table(spark, sf_dir, "pages").select(
-        F.floor(F.col("page_id") / 100).alias("manifest"), F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"), F.sha2(F.col("html").cast("binary"), 256).alias("sha256")
+        F.floor(F.col("page_id") / 100).alias("manifest"), F.concat(F.lit("pages/"), F.col("page_id").cast("string"), sign).alias("path"), F.sha2(F.col("html").cast("binary"), 256).alias("sha256")
     )
     return integrity.canonical_digest(rows, ["manifest"], "path", "sha256")
 
@@ -408,9 +409,10 @@ def file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def strict_json_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON value and nothing after it."""
-    kind = F.col("event_id") % 5
-    text = F.when(kind == 1, F.concat("props", F.lit(" x"))).when(kind == 2, F.concat("props", F.lit(", 1"))).when(kind == 3, "").otherwise(F.col("props"))
+    """One JSON value and nothing after it; keys may repeat."""
+    kind = F.col("event_id") % 7
+    again = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "k": 1, "k": "b"}'))
+    text = F.when(kind == 1, F.concat("props", F.lit(" x"))).when(kind == 2, F.concat("props", F.lit(", 1"))).when(kind == 3, "").when(kind == 4, again).when(kind == 5, F.lit("[1 2]")).otherwise(F.col("props"))
     return _events(spark, sf_dir).select("event_id", integrity.strict_json(text).alias("valid"))
 
 
@@ -546,8 +548,9 @@ def private_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def private_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths with each forbidden part and suffix, and others that pass."""
     n, parts, suffixes = F.col("p_partkey"), F.array(*map(F.lit, PRIVATE_PARTS)), F.array(*map(F.lit, PRIVATE_SUFFIXES))
-    kind = F.pmod(n, F.lit(16)).cast("int")
-    path = F.when(kind < 6, F.concat(F.lit("a/"), F.get(parts, kind), F.lit("/b.py"))).when(kind < 14, F.concat(F.lit("a/b"), F.upper(F.get(suffixes, kind - 6)))).when(kind == 14, "a/.env.example").otherwise("a/database/b.py")
+    kind = F.pmod(n, F.lit(17)).cast("int")
+    dotfile = F.concat(F.lit("a/"), F.get(suffixes, F.pmod(n, F.lit(8)).cast("int")))
+    path = F.when(kind < 6, F.concat(F.lit("a/"), F.get(parts, kind), F.lit("/b.py"))).when(kind < 14, F.concat(F.lit("a/b"), F.upper(F.get(suffixes, kind - 6)))).when(kind == 14, "a/.env.example").when(kind == 15, dotfile).otherwise("a/database/b.py")
     return table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), integrity.path_verdict(path, PRIVATE_PARTS, PRIVATE_SUFFIXES).alias("verdict"))
 
 
@@ -577,10 +580,12 @@ def vin_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def path_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("p_partkey") % 8
+    kind = F.col("p_partkey") % 11
     path = (
         F.when(kind == 0, F.concat(F.lit("/"), "p_name")).when(kind == 1, F.concat(F.lit("a/../"), "p_name")).when(kind == 2, F.concat(F.lit("a/__pycache__/"), "p_name"))
-        .when(kind == 3, F.concat("p_name", F.lit(".PEM"))).when(kind == 4, F.lit("x/.env.local")).when(kind == 5, F.lit("x/.env.example")).otherwise(F.concat(F.lit("src/"), "p_name", F.lit(".py")))
+        .when(kind == 3, F.concat("p_name", F.lit(".PEM"))).when(kind == 4, F.lit("x/.env.local")).when(kind == 5, F.lit("x/.env.example"))
+        .when(kind == 6, F.concat("p_name", F.lit("/.pem"))).when(kind == 7, F.concat("p_name", F.lit("/.key.key"))).when(kind == 8, F.concat("p_name", F.lit(".pem/")))
+        .otherwise(F.concat(F.lit("src/"), "p_name", F.lit(".py")))
     )
     rows = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
     return rows.select("p_partkey", integrity.path_verdict(F.col("path"), ["__pycache__", ".git", "secrets"], [".pem", ".key", ".pfx"]).alias("verdict"))

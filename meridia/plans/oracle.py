@@ -14,6 +14,17 @@ _STATUS = f"""WITH art AS ({_ART}), rec AS ({_REC}), st AS (
     WHEN bool_or(r.result = 'unknown') THEN 'unknown' WHEN bool_or(r.result = 'failed') THEN 'delivery_failed'
     WHEN bool_or(r.page_id IS NOT NULL) THEN 'unproven' ELSE 'pending' END AS status
   FROM art a LEFT JOIN rec r USING (page_id) GROUP BY a.page_id)"""
+
+
+def _verdict(parts: str, suffixes: str) -> str:
+    """The shape rules of a column ``path``, in their order."""
+    name = r"regexp_extract(path, '([^/]*)(?:/\.?)*$', 1)"
+    return rf"""CASE WHEN starts_with(path, '/') THEN 'absolute' WHEN list_contains(string_split(path, '/'), '..') THEN 'parent'
+      WHEN contains(path, '\') THEN 'backslash' WHEN contains(path, ':') THEN 'colon' WHEN list_has_any(string_split(path, '/'), [{parts}]) THEN 'part'
+      WHEN list_contains([{suffixes}], lower(regexp_extract({name}, '^.+(\.[^.]+)$', 1))) THEN 'suffix'
+      WHEN starts_with({name}, '.env') AND {name} <> '.env.example' THEN 'environment' ELSE 'ok' END"""
+
+
 _RULES = r"""(VALUES (0, 'mail', '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+'), (1, 'secret', '(secret|token|api_key|password)\s*[:=]'),
   (2, 'license', '[Ll]icense'), (3, 'address', '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}'), (4, 'long_number', '[0-9]{13,}')) r(place, rule, pattern)"""
 _PLANTED = r"""p AS (
@@ -160,8 +171,8 @@ ORACLE_SQL = {
         SELECT m.doc_id, CASE WHEN found IS NULL THEN 'absent' ELSE 'differs' END AS reason FROM m LEFT JOIN a USING (doc_id) WHERE found IS DISTINCT FROM expected""",
     "file_digest": "SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents",
     "canonical_digest": """
-        WITH e AS (SELECT CAST(floor(page_id / 100) AS BIGINT) AS manifest, 'pages/' || page_id AS path, sha256(html) AS h FROM pages)
-        SELECT manifest, count(*) AS entries, sha256('{' || string_agg('"' || path || '":"' || h || '"', ',' ORDER BY path) || '}') AS digest FROM e GROUP BY 1""",
+        WITH e AS (SELECT CAST(floor(page_id / 100) AS BIGINT) AS manifest, 'pages/' || page_id || CASE page_id % 5 WHEN 1 THEN chr(31) WHEN 2 THEN chr(92) || 'u001F' ELSE '' END AS path, sha256(html) AS h FROM pages)
+        SELECT manifest, count(*) AS entries, sha256('{' || string_agg('"' || replace(replace(path, chr(92), chr(92) || chr(92)), chr(31), chr(92) || 'u001f') || '":"' || h || '"', ',' ORDER BY path) || '}') AS digest FROM e GROUP BY 1""",
     "release_digest": """
         WITH e AS (SELECT 'pages/' || page_id AS path, sha256(html) AS h FROM pages)
         SELECT count(*) AS entries, sha256('{' || coalesce(string_agg('"' || path || '":"' || h || '"', ',' ORDER BY path), '') || '}') AS digest FROM e""",
@@ -172,10 +183,12 @@ ORACLE_SQL = {
     "private_data_counts": f"""
         WITH {_PLANTED}, e AS (SELECT kind, count(*) AS n FROM h GROUP BY 1), f AS (SELECT kind, count(*) AS files FROM p GROUP BY 1)
         SELECT kind, files, coalesce(n, 0) AS errors, CASE WHEN n > 0 THEN 'failed' ELSE 'passed' END AS status FROM f LEFT JOIN e USING (kind)""",
-    "private_paths": """
-        SELECT p_partkey, CASE WHEN p_partkey % 16 < 6 THEN 'a/' || ['private', 'secrets', '.lark-cli', 'data', 'wtv081', 'wheelhouse'][p_partkey % 16 + 1] || '/b.py'
-          WHEN p_partkey % 16 < 14 THEN 'a/b.' || ['EXE', 'DLL', 'WHL', 'ZIP', 'PYC', 'PEM', 'KEY', 'PFX'][p_partkey % 16 - 5] WHEN p_partkey % 16 = 14 THEN 'a/.env.example' ELSE 'a/database/b.py' END AS path,
-          CASE WHEN p_partkey % 16 < 6 THEN 'part' WHEN p_partkey % 16 < 14 THEN 'suffix' ELSE 'ok' END AS verdict FROM part""",
+    "private_paths": f"""
+        WITH p AS (
+          SELECT p_partkey, CASE WHEN p_partkey % 17 < 6 THEN 'a/' || ['private', 'secrets', '.lark-cli', 'data', 'wtv081', 'wheelhouse'][p_partkey % 17 + 1] || '/b.py'
+            WHEN p_partkey % 17 < 14 THEN 'a/b.' || ['EXE', 'DLL', 'WHL', 'ZIP', 'PYC', 'PEM', 'KEY', 'PFX'][p_partkey % 17 - 5] WHEN p_partkey % 17 = 14 THEN 'a/.env.example'
+            WHEN p_partkey % 17 = 15 THEN 'a/.' || ['exe', 'dll', 'whl', 'zip', 'pyc', 'pem', 'key', 'pfx'][p_partkey % 8 + 1] ELSE 'a/database/b.py' END AS path FROM part)
+        SELECT p_partkey, path, {_verdict("'private', 'secrets', '.lark-cli', 'data', 'wtv081', 'wheelhouse'", "'.exe', '.dll', '.whl', '.zip', '.pyc', '.pem', '.key', '.pfx'")} AS verdict FROM p""",
     "rule_scan": f"SELECT doc_id, rule, CAST(place AS BIGINT) AS place FROM documents, {_RULES} WHERE regexp_matches(text, pattern)",
     "url_allowlist": r"""
         WITH h AS (SELECT regexp_extract(url, 'https?://([^/?#]+)', 1) AS host FROM pages WHERE regexp_matches(url, 'https?://([^/?#]+)'))
@@ -186,8 +199,12 @@ ORACLE_SQL = {
             WHEN doc_id % 3 = 1 THEN lpad(CAST(doc_id AS VARCHAR), 17, '1') ELSE 'SYNTHETC000000001' END AS token, text FROM documents
         ), f AS (SELECT doc_id, unnest(regexp_extract_all(' ' || text || ' ' || token || ' ', '[^A-Za-z0-9_]([A-HJ-NPR-Z0-9]{17})[^A-Za-z0-9_]', 1)) AS token FROM t)
         SELECT doc_id, token FROM f WHERE token <> 'SYNTHETC000000001' AND NOT regexp_matches(token, '^[0-9]+$')""",
-    "path_shape": """
-        SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'absolute' WHEN 1 THEN 'parent' WHEN 2 THEN 'part' WHEN 3 THEN 'suffix' WHEN 4 THEN 'environment' ELSE 'ok' END AS verdict FROM part""",
+    "path_shape": f"""
+        WITH p AS (
+          SELECT p_partkey, CASE p_partkey % 11 WHEN 0 THEN '/' || p_name WHEN 1 THEN 'a/../' || p_name WHEN 2 THEN 'a/__pycache__/' || p_name WHEN 3 THEN p_name || '.PEM'
+            WHEN 4 THEN 'x/.env.local' WHEN 5 THEN 'x/.env.example' WHEN 6 THEN p_name || '/.pem' WHEN 7 THEN p_name || '/.key.key' WHEN 8 THEN p_name || '.pem/'
+            ELSE 'src/' || p_name || '.py' END AS path FROM part)
+        SELECT p_partkey, {_verdict("'__pycache__', '.git', 'secrets'", "'.pem', '.key', '.pfx'")} AS verdict FROM p""",
     "json_validity": """
         WITH t AS (SELECT event_type, json_valid(CASE WHEN event_id % 6 = 0 THEN substr(props, 1, length(props) - 1) ELSE props END) AS ok FROM events)
         SELECT event_type, count(*) AS n, count(*) FILTER (NOT ok) AS invalid FROM t GROUP BY 1""",
@@ -220,7 +237,9 @@ ORACLE_SQL = {
         WITH p AS (SELECT doc_id, 'k' AS kind, text FROM documents), {_HITS}
         SELECT doc_id, rule, CAST(place AS BIGINT) AS place FROM h
         UNION SELECT doc_id, 'authenticated_url', 4 FROM documents WHERE doc_id % 2 <> 0 AND doc_id % 3 = 0""",
-    "strict_json_validity": "SELECT event_id, event_id % 5 IN (0, 4) AS valid FROM events",
+    "strict_json_validity": """
+        SELECT event_id, json_valid(CASE event_id % 7 WHEN 1 THEN props || ' x' WHEN 2 THEN props || ', 1' WHEN 3 THEN '' WHEN 4 THEN left(props, -1) || ', "k": 1, "k": "b"}'
+          WHEN 5 THEN '[1 2]' ELSE props END) AS valid FROM events""",
     "branch_windows": """
         SELECT o_orderkey, CASE o_orderkey % 13 WHEN 5 THEN 'missing branch' WHEN 6 THEN 'missing branch' WHEN 1 THEN 'vehicle' WHEN 2 THEN 'start_us'
           WHEN 3 THEN 'end_us' WHEN 4 THEN 'env' ELSE 'same' END AS verdict FROM orders""",
