@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.time import DAY, HOUR, MINUTE, civil_to_utc_us, to_us
-from meridia.operators import asof, integrity, measures, records
+from meridia.operators import asof, integrity, measures, records, signals
 from meridia.operators.history import with_row_before
 from meridia.sources.tables import decoded, table
 
@@ -642,3 +642,34 @@ def stream_point_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meridia.streaming.demo import hourly_points
 
     return hourly_points(spark, sf_dir)
+
+
+def _frames_and_dictionary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as frames of eight bytes (every tenth has three), and a dictionary of the nations in two
+    versions, with some days that neither holds for and one entry that can't be read."""
+    number = F.col("event_id") * 1103515245 * 4093 + F.col("user_id") * 7919
+    whole = F.unhex(F.lpad(F.hex(number), 16, "0"))
+    payload = F.when(F.col("event_id") % 10 == 0, F.substring(whole, 1, 3)).otherwise(whole)
+    frames = _events(spark, sf_dir).select("event_id", (F.col("user_id") % 7).alias("message"), "ts_us", payload.alias("payload"))
+    key, day = F.col("n_nationkey"), lambda n: F.lit(1704067200000000 + n * DAY)
+    common = dict(signal=F.col("n_name"), message=F.col("n_regionkey").cast("long"), length=1 + key * 7 % 24, signed=key % 3 == 0, factor=F.lit(0.25), offset=F.lit(-10.0), unit=F.lit("m"))
+    order = F.when(key == 24, "other").when(key % 2 == 0, "little").otherwise("big")
+    one = dict(version=F.lit("1"), start=key * 5 % 50, byte_order=order, from_us=F.lit(None).cast("long"), to_us=day(11))
+    two = dict(version=F.lit("2"), start=(key * 5 + 3) % 50, byte_order=order, from_us=day(14), to_us=F.lit(None).cast("long"))
+    nations = table(spark, sf_dir, "nation")
+    versions = [nations.select(*(c.alias(name) for name, c in (common | v).items())) for v in (one, two)]
+    return frames, versions[0].unionByName(versions[1])
+
+
+@query
+def signal_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame's signals by the dictionary's version of its time."""
+    found = signals.decode(*_frames_and_dictionary(spark, sf_dir))
+    return found.select("event_id", "message", "signal", "version", "raw", "value", "status")
+
+
+@query
+def signal_dictionary_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each entry of the dictionary was met, by status."""
+    frames, dictionary = _frames_and_dictionary(spark, sf_dir)
+    return signals.dictionary_check(signals.decode(frames, dictionary), dictionary, [])

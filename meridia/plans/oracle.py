@@ -50,6 +50,22 @@ h AS (
 _HITS = _PLANTED[_PLANTED.index("h AS (") :]
 _GAP = f"SELECT user_id, event_id, ts_us, ts_us - lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS gap_us FROM ({_EV})"
 
+_DECODED = f"""fr AS (
+  SELECT event_id, user_id % 7 AS message, ts_us, CAST(event_id AS HUGEINT) * 1103515245 * 4093 + user_id * 7919 AS be, CASE WHEN event_id % 10 = 0 THEN 3 ELSE 8 END AS size FROM ({_EV})),
+frames AS (SELECT *, list_sum(list_transform(range(8), lambda i: ((be >> (56 - 8 * i)) & 255) << (8 * i))) AS le FROM fr),
+dict AS (
+  SELECT n_name AS signal, n_regionkey AS message, v.version, (n_nationkey * 5 + v.more) % 50 AS start, 1 + n_nationkey * 7 % 24 AS len, n_nationkey % 3 = 0 AS signed,
+    CASE WHEN n_nationkey = 24 THEN 'other' WHEN n_nationkey % 2 = 0 THEN 'little' ELSE 'big' END AS byte_order, v.a, v.z
+  FROM nation, (VALUES ('1', 0, -9e18::BIGINT, 1704067200000000 + 11 * 86400000000), ('2', 3, 1704067200000000 + 14 * 86400000000, 9e18::BIGINT)) v(version, more, a, z)),
+met AS (SELECT f.*, d.* EXCLUDE (message), 8 * (d.start // 8) + 7 - d.start % 8 AS pos FROM frames f LEFT JOIN dict d ON d.message = f.message AND f.ts_us >= d.a AND f.ts_us < d.z),
+cut AS (
+  SELECT *, CASE WHEN signal IS NULL THEN CASE WHEN message IN (SELECT message FROM dict) THEN 'no_version' ELSE 'unknown_message' END WHEN byte_order = 'other' THEN 'bad_entry'
+      WHEN CASE byte_order WHEN 'little' THEN start + len - 1 ELSE pos + len - 1 END // 8 >= size THEN 'short_payload' ELSE 'ok' END AS status,
+    CASE byte_order WHEN 'little' THEN le >> start ELSE be >> greatest(0, 64 - pos - len) END & ((1::HUGEINT << len) - 1) AS bits FROM met),
+decoded AS (
+  SELECT event_id, message, signal, version, status,
+    CAST(CASE WHEN status = 'ok' THEN CASE WHEN signed AND (bits >> (len - 1)) = 1 THEN bits - (1::HUGEINT << len) ELSE bits END END AS BIGINT) AS raw FROM cut)"""
+
 ORACLE_SQL = {
     "aligned_timeline": f"""
         WITH e AS ({_EV}), f AS (SELECT user_id, event_id, ts_us FROM e WHERE event_type = 'error'),
@@ -266,4 +282,8 @@ ORACLE_SQL = {
         SELECT user_id, event_id, ts_us, round FROM (
           SELECT user_id, event_id, ts_us, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS round FROM ({_EV}) WHERE event_type = 'signup')
         ORDER BY round, ts_us, event_id LIMIT 1""",
+    "signal_decode": f"WITH {_DECODED} SELECT event_id, message, signal, version, raw, CAST(raw AS DOUBLE) * 0.25 - 10.0 AS value, status FROM decoded",
+    "signal_dictionary_check": f"""
+        WITH {_DECODED}, c AS (SELECT signal, version, status, count(*) AS n FROM decoded WHERE signal IS NOT NULL GROUP BY ALL)
+        SELECT d.signal, d.version, coalesce(c.status, 'never_met') AS status, coalesce(c.n, 0) AS n FROM dict d LEFT JOIN c USING (signal, version)""",
 }
