@@ -38,12 +38,6 @@ def readable(start: Column, length: Column, order: Column) -> Column:
     return F.coalesce(fine, F.lit(False))
 
 
-def _byte(payload: Column, at: Column) -> Column:
-    """The byte at a place counted from 0, as a number; null beyond the end."""
-    one = F.substring(payload, at.cast("int") + 1, F.lit(1))
-    return F.when((at >= 0) & (at < F.octet_length(payload)), F.conv(F.hex(one), 16, 10).cast("long"))
-
-
 def _ones(length: Column) -> Column:
     """The number of so many bits that are all 1."""
     return F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (64 - length).cast("int"))
@@ -54,14 +48,15 @@ def unsigned_field(payload: Column, start: Column, length: Column, order: Column
     big = order == "big"
     first, bit = F.floor(start / 8), F.pmod(start, F.lit(8))
     before = F.when(big, 7 - bit).otherwise(bit)  # bits of the first byte before the field, in reading direction
-    parts = []
-    for k in range(9):  # 63 bits touch nine bytes at most
-        byte = _byte(payload, first + k)
-        shift = F.when(big, length + before - 8 * (k + 1)).otherwise(8 * k - before).cast("int")
-        moved = F.when(shift >= 0, F.call_function("shiftleft", byte, shift)).otherwise(F.call_function("shiftright", byte, -shift))
-        parts.append(F.when(before + length > 8 * k, moved).otherwise(F.lit(0)).cast("long"))
-    whole = reduce(lambda x, y: x.bitwiseOR(y), parts)
-    return whole.bitwiseAND(_ones(length))
+    digits = F.hex(F.substring(payload, first.cast("int") + 1, F.lit(9)))  # 63 bits touch nine bytes at most
+    backwards = F.regexp_replace(F.reverse(digits), "(.)(.)", "$2$1")  # the last byte first
+    window = F.when(big, F.rpad(digits, 18, "0")).otherwise(F.lpad(backwards, 18, "0"))
+    high, low = (F.conv(F.substring(window, at, 9), 16, 10).cast("long") for at in (1, 10))  # 36 bits each
+    right = F.when(big, 72 - before - length).otherwise(before).cast("int")
+    shift = lambda way, c, n: F.call_function(f"shift{way}", c, n)
+    moved = F.when(right >= 36, shift("right", high, right - 36)).otherwise(shift("left", high, 36 - right).bitwiseOR(shift("right", low, right)))
+    inside = first + F.floor((before + length - 1) / 8) < F.octet_length(payload)
+    return F.when(inside, moved.bitwiseAND(_ones(length)))
 
 
 def signed_field(raw: Column, length: Column, signed: Column) -> Column:
