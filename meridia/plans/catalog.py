@@ -673,3 +673,27 @@ def signal_dictionary_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each entry of the dictionary was met, by status."""
     frames, dictionary = _frames_and_dictionary(spark, sf_dir)
     return signals.dictionary_check(signals.decode(frames, dictionary), dictionary, [])
+
+
+@query
+def branch_barrier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both branches of each job as streams; what fails or stays away closes the job too."""
+    from meridia.streaming.demo import barrier
+
+    return barrier(spark, sf_dir)
+
+
+@query
+def followup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions behind the report, one open at a time, by keyed state with timers."""
+    from meridia.streaming.demo import followups
+
+    return followups(spark, sf_dir)
+
+
+@query
+def receipted_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events persisted, verified and then published with receipts."""
+    from meridia.streaming.demo import receipted
+
+    return receipted(spark, sf_dir)

@@ -286,4 +286,20 @@ ORACLE_SQL = {
     "signal_dictionary_check": f"""
         WITH {_DECODED}, c AS (SELECT signal, version, status, count(*) AS n FROM decoded WHERE signal IS NOT NULL GROUP BY ALL)
         SELECT d.signal, d.version, coalesce(c.status, 'never_met') AS status, coalesce(c.n, 0) AS n FROM dict d LEFT JOIN c USING (signal, version)""",
+    "branch_barrier_stream": f"""
+        WITH e AS (SELECT event_id // 2 AS job, event_id % 2 AS side, ts_us, value >= 8 AS ok FROM ({_EV})),
+        a AS (SELECT * FROM e WHERE side = 0 AND job % 7 <> 4), b AS (SELECT * FROM e WHERE side = 1 AND job % 9 <> 4)
+        SELECT coalesce(a.job, b.job) AS job, a.ts_us AS log_us, b.ts_us AS signal_us,
+          CASE WHEN a.job IS NULL THEN CASE WHEN b.ok THEN 'log missing' ELSE 'log missing, signal failed' END
+            WHEN b.job IS NULL THEN CASE WHEN a.ok THEN 'signal missing' ELSE 'log failed, signal missing' END
+            WHEN a.ok AND b.ok THEN 'merge' WHEN a.ok THEN 'signal failed' WHEN b.ok THEN 'log failed' ELSE 'both failed' END AS verdict
+        FROM a FULL JOIN b ON a.job = b.job AND abs(a.ts_us - b.ts_us) <= 3600000000""",
+    "followup_stream": f"""
+        WITH r AS (SELECT user_id, min(ts_us) AS reported FROM ({_EV}) WHERE event_type = 'signup' GROUP BY 1),
+        q AS (
+          SELECT user_id, event_id, greatest(ts_us, reported) AS ready, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k
+          FROM ({_EV}) JOIN r USING (user_id) WHERE event_type = 'click'),
+        o AS (SELECT *, k * 21600000000 + max(ready - k * 21600000000) OVER (PARTITION BY user_id ORDER BY k) AS opened_us FROM q)
+        SELECT CAST(user_id AS VARCHAR) AS job, event_id AS seq, opened_us, opened_us + 21600000000 AS closed_us, 'expired' AS result FROM o""",
+    "receipted_ingest": "SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users, CAST((SELECT count(*) FROM events) AS BIGINT) AS receipted FROM events GROUP BY 1",
 }
