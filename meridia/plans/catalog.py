@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meridia.functions.ignore import ignored
 from meridia.functions.time import DAY, HOUR, MINUTE, civil_to_utc_us, to_us
 from meridia.operators import asof, integrity, measures, records, signals
 from meridia.operators.history import with_row_before
@@ -697,3 +698,15 @@ def receipted_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meridia.streaming.demo import receipted
 
     return receipted(spark, sf_dir)
+
+
+#: Rules of the query ``file_selection``, as a file of them has them.
+IGNORE = ["# places", "*.html", "!en/*.html", "/de/", "!/de/6*", "**/1?", "es/[0-4]*", "!es/4?0", "fr/**/9*"]
+
+
+@query
+def file_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of the pages as files of a tree, and whether ignore rules leave them out."""
+    path = F.regexp_replace(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1), "/$", "/index")
+    rows = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    return rows.select("page_id", "path", ignored(F.col("path"), IGNORE).alias("ignored"))

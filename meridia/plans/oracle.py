@@ -302,4 +302,10 @@ ORACLE_SQL = {
         o AS (SELECT *, k * 21600000000 + max(ready - k * 21600000000) OVER (PARTITION BY user_id ORDER BY k) AS opened_us FROM q)
         SELECT CAST(user_id AS VARCHAR) AS job, event_id AS seq, opened_us, opened_us + 21600000000 AS closed_us, 'expired' AS result FROM o""",
     "receipted_ingest": "SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users, CAST((SELECT count(*) FROM events) AS BIGINT) AS receipted FROM events GROUP BY 1",
+    "file_selection": r"""
+        WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/$', '/index') AS path FROM pages)
+        SELECT page_id, path, path <> '' AND (starts_with(path, 'de/') OR CASE
+          WHEN regexp_matches(path, '^fr/(.*/)?9[^/]*$') THEN true WHEN regexp_matches(path, '^es/4[^/]0$') THEN false WHEN regexp_matches(path, '^es/[0-4][^/]*$') THEN true
+          WHEN regexp_matches(path, '^(.*/)?1[^/]$') THEN true WHEN regexp_matches(path, '^de/6[^/]*$') THEN false WHEN regexp_matches(path, '^en/[^/]*\.html$') THEN false
+          WHEN regexp_matches(path, '^(.*/)?[^/]*\.html$') THEN true ELSE false END) AS ignored FROM p""",
 }
