@@ -25,6 +25,12 @@ def _verdict(parts: str, suffixes: str) -> str:
       WHEN starts_with({name}, '.env') AND {name} <> '.env.example' THEN 'environment' ELSE 'ok' END"""
 
 
+def _ignores(name: str) -> str:
+    """The file rules of the query file_selection, the last one first."""
+    rules = [("^fr/(.*/)?9[^/]*$", "true"), ("^es/4[^/]0$", "false"), ("^es/[0-4][^/]*$", "true"), ("^(.*/)?1[^/]$", "true"), ("^de/6[^/]*$", "false"), (r"^en/[^/]*\.html$", "false"), (r"^(.*/)?[^/]*\.html$", "true")]
+    return "CASE " + " ".join(f"WHEN regexp_matches({name}, '{p}') THEN {v}" for p, v in rules) + " ELSE false END"
+
+
 _RULES = r"""(VALUES (0, 'mail', '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+'), (1, 'secret', '(secret|token|api_key|password)\s*[:=]'),
   (2, 'license', '[Ll]icense'), (3, 'address', '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}'), (4, 'long_number', '[0-9]{13,}')) r(place, rule, pattern)"""
 _PLANTED = r"""p AS (
@@ -302,10 +308,9 @@ ORACLE_SQL = {
         o AS (SELECT *, k * 21600000000 + max(ready - k * 21600000000) OVER (PARTITION BY user_id ORDER BY k) AS opened_us FROM q)
         SELECT CAST(user_id AS VARCHAR) AS job, event_id AS seq, opened_us, opened_us + 21600000000 AS closed_us, 'expired' AS result FROM o""",
     "receipted_ingest": "SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users, CAST((SELECT count(*) FROM events) AS BIGINT) AS receipted FROM events GROUP BY 1",
-    "file_selection": r"""
-        WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/$', '/index') AS path FROM pages)
-        SELECT page_id, path, path <> '' AND (starts_with(path, 'de/') OR CASE
-          WHEN regexp_matches(path, '^fr/(.*/)?9[^/]*$') THEN true WHEN regexp_matches(path, '^es/4[^/]0$') THEN false WHEN regexp_matches(path, '^es/[0-4][^/]*$') THEN true
-          WHEN regexp_matches(path, '^(.*/)?1[^/]$') THEN true WHEN regexp_matches(path, '^de/6[^/]*$') THEN false WHEN regexp_matches(path, '^en/[^/]*\.html$') THEN false
-          WHEN regexp_matches(path, '^(.*/)?[^/]*\.html$') THEN true ELSE false END) AS ignored FROM p""",
+    "file_selection": f"""
+        WITH p AS (
+          SELECT page_id, regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/$', '/index') AS path FROM pages),
+        n AS (SELECT *, regexp_extract(path, '^([^/]*/[^/]*)/', 1) AS folder FROM p)
+        SELECT page_id, path, path <> '' AND (starts_with(path, 'de/') OR (folder <> '' AND {_ignores("folder")}) OR {_ignores("path")}) AS ignored FROM n""",
 }
