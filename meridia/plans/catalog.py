@@ -9,6 +9,7 @@ from meridia.functions.ignore import ignored
 from meridia.functions.time import DAY, HOUR, MINUTE, civil_to_utc_us, to_us
 from meridia.operators import asof, integrity, measures, records, signals
 from meridia.operators.history import with_row_before
+from meridia.operators.requests import read_requests
 from meridia.sources.tables import decoded, table
 
 from .oracle import ORACLE_SQL
@@ -710,3 +711,20 @@ def file_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1), "/$", "/index")
     rows = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
     return rows.select("page_id", "path", ignored(F.col("path"), IGNORE).alias("ignored"))
+
+
+@query
+def request_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in several shapes, each with all its readings: written dates, relative days, days that
+    may be months, texts without a date, and texts of two vehicles."""
+    car = F.concat(F.lit("DEM0VEH1CLE"), F.lpad(F.col("user_id").cast("string"), 6, "0"))
+    day = lambda shape: F.date_format("ts", shape)
+    span = F.concat_ws(" 至 ", day("HH:mm"), F.date_format(F.col("ts") + F.expr("INTERVAL 40 MINUTES"), "HH:mm"))
+    kind = F.col("event_id") % 6
+    text = (
+        F.when(kind == 0, F.concat_ws(" ", F.lit("日志分析"), car, day("yyyy-MM-dd"), span)).when(kind == 1, F.concat_ws(" ", car, F.lit("yesterday"), span, F.lit("UTC")))
+        .when(kind == 2, F.concat_ws(" ", car, day("d/M"), span)).when(kind == 3, F.concat_ws(" ", car, span))
+        .when(kind == 4, F.concat(car, F.lit("，"), day("yyyy年M月d日"), span)).otherwise(F.concat_ws(" ", car, F.lit("DEM0VEH1CLEX00001"), day("yyyy-MM-dd"), span))
+    )
+    rows = table(spark, sf_dir, "events").select("event_id", text.alias("raw_text"), to_us(F.col("ts")).alias("received_us"))
+    return read_requests(rows)

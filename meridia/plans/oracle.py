@@ -313,4 +313,29 @@ ORACLE_SQL = {
           SELECT page_id, regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/$', '/index') AS path FROM pages),
         n AS (SELECT *, regexp_extract(path, '^([^/]*/[^/]*)/', 1) AS folder FROM p)
         SELECT page_id, path, path <> '' AND (starts_with(path, 'de/') OR (folder <> '' AND {_ignores("folder")}) OR {_ignores("path")}) AS ignored FROM n""",
+    "request_readings": f"""
+        WITH e AS (SELECT *, 'DEM0VEH1CLE' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS car, strftime(ts, '%H:%M') || ' 至 ' || strftime(ts + INTERVAL 40 MINUTE, '%H:%M') AS span FROM ({_EV})),
+        t AS (
+          SELECT event_id, ts_us AS received_us, ts, CASE event_id % 6 WHEN 0 THEN '日志分析 ' || car || ' ' || strftime(ts, '%Y-%m-%d') || ' ' || span WHEN 1 THEN car || ' yesterday ' || span || ' UTC'
+            WHEN 2 THEN car || ' ' || day(ts) || '/' || month(ts) || ' ' || span WHEN 3 THEN car || ' ' || span
+            WHEN 4 THEN car || '，' || year(ts) || '年' || month(ts) || '月' || day(ts) || '日' || span ELSE car || ' DEM0VEH1CLEX00001 ' || strftime(ts, '%Y-%m-%d') || ' ' || span END AS raw_text FROM e),
+        p AS (
+          SELECT *, list_distinct(regexp_extract_all(raw_text, '[A-Z0-9]{{17}}')) AS cars, regexp_extract_all(raw_text, '([0-9]{{2}}):([0-9]{{2}})', 1) AS h, regexp_extract_all(raw_text, '([0-9]{{2}}):([0-9]{{2}})', 2) AS m,
+            contains(raw_text, 'UTC') AS utc, CAST(ts + INTERVAL 8 HOUR AS DATE) AS here,
+            CASE WHEN regexp_matches(raw_text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN [CAST(regexp_extract(raw_text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS DATE)]
+              WHEN contains(raw_text, 'yesterday') THEN [CAST(ts AS DATE) - 1]
+              WHEN contains(raw_text, '年') THEN [make_date(CAST(regexp_extract(raw_text, '([0-9]{{4}})年', 1) AS INT), CAST(regexp_extract(raw_text, '([0-9]+)月', 1) AS INT), CAST(regexp_extract(raw_text, '([0-9]+)日', 1) AS INT))]
+              WHEN contains(raw_text, '/') THEN [TRY_CAST(y || '-' || lpad(regexp_extract(raw_text, '/([0-9]+)', 1), 2, '0') || '-' || lpad(regexp_extract(raw_text, '([0-9]+)/', 1), 2, '0') AS DATE) FOR y IN [2024, 2023]]
+                || [TRY_CAST(y || '-' || lpad(regexp_extract(raw_text, '([0-9]+)/', 1), 2, '0') || '-' || lpad(regexp_extract(raw_text, '/([0-9]+)', 1), 2, '0') AS DATE) FOR y IN [2024, 2023]]
+              ELSE [] END AS days,
+            CASE WHEN regexp_matches(raw_text, '[0-9]{{4}}-') OR contains(raw_text, '年') THEN 'written date' WHEN contains(raw_text, 'yesterday') THEN 'relative day' ELSE 'day and month' END AS word FROM t),
+        d AS (
+          SELECT *, CASE WHEN contains(raw_text, '/') THEN list_distinct(list_filter([list_max(list_filter(days[1:2], lambda x: x <= here)), list_max(list_filter(days[3:4], lambda x: x <= here))], lambda x: x IS NOT NULL))
+            ELSE days END AS met, (CAST(h[1] AS BIGINT) * 60 + CAST(m[1] AS BIGINT)) * 60000000 AS a, (CAST(h[2] AS BIGINT) * 60 + CAST(m[2] AS BIGINT)) * 60000000 AS z FROM p),
+        s AS (
+          SELECT *, CASE WHEN len(cars) > 1 THEN 'several_vehicles' WHEN len(days) = 0 THEN 'needs_date' WHEN len(met) > 1 THEN 'ambiguous' ELSE 'ready' END AS status,
+            epoch_us(CAST(met[1] AS TIMESTAMP)) - CASE WHEN utc THEN 0 ELSE 28800000000 END AS base FROM d)
+        SELECT event_id, raw_text, received_us, CASE WHEN len(cars) = 1 THEN cars[1] END AS vehicle, CASE WHEN status = 'ready' THEN base + a END AS start_us,
+          CASE WHEN status = 'ready' THEN base + z + CASE WHEN z <= a THEN 86400000000 ELSE 0 END END AS end_us, CAST(len(met) AS INTEGER) AS readings, status,
+          CASE WHEN status = 'ready' THEN word || CASE WHEN utc THEN '; zone written' ELSE '; zone Asia/Shanghai' END || CASE WHEN z <= a THEN '; ends next day' ELSE '' END END AS basis FROM s""",
 }
