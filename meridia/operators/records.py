@@ -8,10 +8,15 @@ are carried along where rows are returned, whatever their names.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meridia.functions.names import unused
+from meridia.functions.scratch import work_dir
 
 from .history import _carry, with_row_before, with_running_sum
 
@@ -174,9 +179,51 @@ def same_window(log: DataFrame, signal: DataFrame, job: str, parts: list[str]) -
 
 
 def sorted_in_tasks(rows: DataFrame, job: list[str], order: list[str]) -> DataFrame:
-    """Rows dealt by job and sorted by ``order`` within each job; Spark sorts outside memory.
-    Adds place, the row's number in its job."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*job).orderBy(*order)).cast("long"))
+    """Rows sorted by job and ``order`` over the cluster, with place, the row's number in its job.
+
+    Partitions are ranges of (job, order), so a job that holds a large share of all rows is many
+    tasks, each sorted outside memory. A task numbers its rows job by job; of the jobs in a partition
+    only the first can go on from earlier ones, so what has to be added is one row for each partition
+    at most, which is broadcast. The sorted rows are written once, as the ranges of a shuffle that
+    is made again may differ. Rows that tie on job and order share a partition. Null jobs are a
+    job, null orders come first; a column ``place`` is replaced."""
+    spark, columns = rows.sparkSession, [c for c in rows.columns if c.lower() != "place"]
+    part, before, *held = unused([*columns, "place"], "_part", "_before", *(f"_job{k}" for k in range(len(job))))
+    names = [*columns, "place", part]
+    kind = T.StructType([*rows.select(*columns).schema.fields, T.StructField("place", T.LongType()), T.StructField(part, T.IntegerType())])
+
+    def number(batches):
+        last, seen, own = None, 0, TaskContext.get().partitionId()
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            new[0] = True
+            for c in job:
+                codes = batch.column(names.index(c)).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            key = lambda k, batch=batch: tuple(batch.column(names.index(c))[k].as_py() for c in job)
+            starts = np.flatnonzero(new)
+            place = np.arange(n) - np.repeat(starts, np.diff([*starts, n])) + 1
+            if key(0) == last:
+                place[: starts[1] if len(starts) > 1 else n] += seen
+            last, seen = key(n - 1), int(place[-1])
+            yield pa.record_batch([*batch.columns, pa.array(place.astype(np.int64)), pa.array(np.full(n, own, np.int32))], names)
+
+    at = f"{work_dir(spark)}/sorted"
+    keys = [F.col(c) for c in [*job, *order]]
+    rows.select(*columns).repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(number, kind).write.parquet(at)
+    written = spark.read.schema(kind).parquet(at)
+    counts = written.groupBy(*job, part).agg(F.count(F.lit(1)).alias(before))
+    earlier = Window.partitionBy(*job).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    goes_on = counts.withColumn(before, F.sum(before).over(earlier)).filter(F.col(before) > 0)
+    goes_on = goes_on.select(*(F.col(c).alias(h) for c, h in zip(job, held, strict=True)), F.col(part).alias(f"{part}_of"), before)
+    same = F.col(part) == F.col(f"{part}_of")
+    for c, h in zip(job, held, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(h))
+    found = written.join(F.broadcast(goes_on), same, "left")
+    return found.select(*columns, (F.col("place") + F.coalesce(before, F.lit(0))).alias("place"))
 
 
 def gate(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

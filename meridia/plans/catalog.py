@@ -391,7 +391,7 @@ def release_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest of the nations, written as one JSON object and read again."""
     from meridia.sources.tables import manifest, write_manifest
-    from meridia.streaming.demo import work_dir
+    from meridia.functions.scratch import work_dir
 
     name = F.col("n_name").cast("binary")
     rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("path"), F.sha2(name, 256).alias("sha256"), F.octet_length(name).cast("long").alias("bytes"))

@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from contextlib import suppress
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridia.functions.scratch import work_dir
 from meridia.streaming.branches import branch_barrier
 from meridia.streaming.ingest import run_available
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    with suppress(Exception):  # the session may have gone
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A folder for sink and checkpoint: in the cluster's shared folder where one is set, which
-    only a session on a local master can do without."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        path = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex[:12]}"
-        atexit.register(_delete, spark, path)
-        return path
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="meridia-stream-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return own
-
-
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table as a stream, be it a folder or a file."""
     path = f"{sf_dir}/{name}.parquet"

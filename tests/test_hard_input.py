@@ -122,3 +122,20 @@ def test_strict_json_is_that_of_the_parser(spark):
         except (TypeError, ValueError, RecursionError):
             want = False
         assert got[k] == want, t
+
+
+def test_a_hot_job_is_many_tasks(spark, tmp_path):
+    rows = [(None if k % 11 == 0 else ("hot" if k % 3 else f"j{k % 40}"), None if k % 17 == 0 else 7919 * k % 10_007, k) for k in range(6000)]
+    table = spark.createDataFrame(rows, "job string, t long, id long").repartition(5).withColumn("place", F.lit("theirs"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart
+    out = records.sorted_in_tasks(table, ["job"], ["t", "id"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r["id"]: r["place"] for r in out.collect()}
+    groups = {}
+    for job, t, i in rows:
+        groups.setdefault(job, []).append((-1 if t is None else t, i))
+    want = {i: k for g in groups.values() for k, (_, i) in enumerate(sorted(g), 1)}
+    assert got == want
+    written = spark.read.parquet(os.path.dirname(out.inputFiles()[0]))
+    assert written.filter("job = 'hot'").select("_part").distinct().count() > 1
+    assert records.sorted_in_tasks(table.limit(0), ["job"], ["t"]).count() == 0
