@@ -6,10 +6,11 @@ first in histories; empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.names import unused
+from meridia.functions.time import DAY
 
 from .history import with_row_before, with_running_sum
 
@@ -109,3 +110,51 @@ def stage_durations(rows: DataFrame, by: list[str], stage: str, time: str, limit
     each = rows.groupBy(*by, stage).agg((F.max(time) - F.min(time)).alias(d))
     over = F.sum((F.col(d) > limit).cast("long")).alias("over_limit")
     return each.groupBy(stage).agg(F.count(F.lit(1)).alias("n"), F.min(d).alias("min_us"), F.max(d).alias("max_us"), F.sum(d).alias("total_us"), over)
+
+
+#: Bins of each power of two in a sketch, as a power of two: a value is told to 1 part in 128.
+BITS = 7
+
+
+def sketch_bin(value: Column) -> Column:
+    """Bin of a whole number: itself below 256, above by its eight highest bits. Bins sort as values do."""
+    size = F.abs(value)
+    shift = F.greatest(F.length(F.bin(size)) - (BITS + 1), F.lit(0))
+    up = F.call_function("shiftleft", shift.cast("long"), F.lit(BITS)) + F.call_function("shiftright", size, shift)
+    return F.when(value < 0, -1 - up).otherwise(up)
+
+
+def bin_value(bin_: Column) -> Column:
+    """The number of a bin that is nearest to 0."""
+    up = F.when(bin_ < 0, -1 - bin_).otherwise(bin_)
+    shift = F.greatest(F.call_function("shiftright", up, F.lit(BITS)) - 1, F.lit(0)).cast("int")
+    size = F.call_function("shiftleft", up - F.call_function("shiftleft", shift.cast("long"), F.lit(BITS)), shift)
+    return F.when(bin_ < 0, -size).otherwise(size)
+
+
+def day_sketches(rows: DataFrame, by: list[str], time: str, value: str, width: int = DAY) -> DataFrame:
+    """(by, span, bin, n): a sketch of whole numbers for each key and span of time, as the number of
+    values in each bin. Sketches are mergeable: that of several spans, or of rows that come later,
+    is the sum by bin. One has some 7,000 rows at most, however many values it holds."""
+    span, bin_ = F.floor(F.col(time) / width).alias("span"), sketch_bin(F.col(value).cast("long")).alias("bin")
+    return rows.filter(F.col(value).isNotNull() & F.col(time).isNotNull()).groupBy(*by, span, bin_).agg(F.count(F.lit(1)).alias("n"))
+
+
+def rolling_quantiles(sketches: DataFrame, by: list[str], spans: int, wanted: dict[str, float]) -> DataFrame:
+    """(by, span, n, one column for each quantile): over each span that has values and the ``spans`` - 1
+    before it. A quantile is that of place floor(q (n - 1)), told by its bin: off by less than 1 part
+    in 128, towards 0. Sketches alone are read and shuffled, never the rows again."""
+    own = [f"by{k}" for k in range(len(by))]
+    rows = sketches.select(*(F.col(c).alias(o) for c, o in zip(by, own, strict=True)), "span", "bin", "n")
+    days = rows.select(*(F.col(o).alias(f"_{o}") for o in own), F.col("span").alias("_span")).distinct()
+    sent = rows.withColumn("span", F.explode(F.sequence(F.col("span"), F.col("span") + (spans - 1))))
+    merged = sent.groupBy(*own, "span", "bin").agg(F.sum("n").alias("n"))
+    same = F.col("span") == F.col("_span")
+    for o in own:
+        same = same & F.col(o).eqNullSafe(F.col(f"_{o}"))
+    merged = merged.join(days, same, "left_semi")
+    cell = Window.partitionBy(*own, "span")  # the bins of one sketch
+    seen = merged.withColumns({"_upto": F.sum("n").over(cell.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(cell)})
+    found = [F.min(F.when(F.col("_upto") > F.floor(F.lit(q) * (F.col("_all") - 1)), F.col("bin"))).alias(name) for name, q in wanted.items()]
+    out = seen.groupBy(*own, "span").agg(F.sum("n").alias("n"), *found)
+    return out.select(*(F.col(o).alias(c) for o, c in zip(own, by, strict=True)), "span", "n", *(bin_value(F.col(name)).alias(name) for name in wanted))

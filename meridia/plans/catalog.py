@@ -728,3 +728,12 @@ def request_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "events").select("event_id", text.alias("raw_text"), to_us(F.col("ts")).alias("received_us"))
     return read_requests(rows)
+
+
+@query
+def rolling_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of the time since a user's event before, by type, over the last seven days of each
+    day, from sketches of single days."""
+    gaps = measures.with_gap(_events(spark, sf_dir), ["user_id"], "ts_us", "event_id")
+    sketches = measures.day_sketches(gaps, ["event_type"], "ts_us", "gap_us")
+    return measures.rolling_quantiles(sketches, ["event_type"], 7, {"p50_us": 0.5, "p95_us": 0.95, "p99_us": 0.99})

@@ -338,4 +338,11 @@ ORACLE_SQL = {
         SELECT event_id, raw_text, received_us, CASE WHEN len(cars) = 1 THEN cars[1] END AS vehicle, CASE WHEN status = 'ready' THEN base + a END AS start_us,
           CASE WHEN status = 'ready' THEN base + z + CASE WHEN z <= a THEN 86400000000 ELSE 0 END END AS end_us, CAST(len(met) AS INTEGER) AS readings, status,
           CASE WHEN status = 'ready' THEN word || CASE WHEN utc THEN '; zone written' ELSE '; zone Asia/Shanghai' END || CASE WHEN z <= a THEN '; ends next day' ELSE '' END END AS basis FROM s""",
+    "rolling_latency": f"""
+        WITH g AS (SELECT event_type, ts_us // 86400000000 AS span, ts_us - lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS gap FROM ({_EV})),
+        v AS (SELECT event_type, span, gap, greatest(length(bin(gap)) - 8, 0) AS s FROM g WHERE gap IS NOT NULL),
+        m AS (SELECT d.event_type, d.span, ((v.gap >> v.s) << v.s) AS low FROM (SELECT DISTINCT event_type, span FROM v) d JOIN v ON v.event_type = d.event_type AND v.span BETWEEN d.span - 6 AND d.span),
+        r AS (SELECT *, row_number() OVER (PARTITION BY event_type, span ORDER BY low) - 1 AS place, count(*) OVER (PARTITION BY event_type, span) AS n FROM m)
+        SELECT event_type, span, n, max(low) FILTER (place = floor(0.5 * (n - 1))) AS p50_us, max(low) FILTER (place = floor(0.95 * (n - 1))) AS p95_us, max(low) FILTER (place = floor(0.99 * (n - 1))) AS p99_us
+        FROM r GROUP BY ALL""",
 }

@@ -139,3 +139,27 @@ def test_a_hot_job_is_many_tasks(spark, tmp_path):
     written = spark.read.parquet(os.path.dirname(out.inputFiles()[0]))
     assert written.filter("job = 'hot'").select("_part").distinct().count() > 1
     assert records.sorted_in_tasks(table.limit(0), ["job"], ["t"]).count() == 0
+
+
+def test_sketches_tell_exact_ranks_to_their_bound(spark):
+    import math
+    import random
+
+    draw = random.Random(4)
+    rows = [(draw.choice(["a", "b", None]), draw.randrange(12), int(draw.choice([1, -1]) * math.exp(draw.uniform(0, 43)))) for _ in range(4000)]
+    rows += [("a", 3, 0), ("a", 3, None), ("a", None, 5), ("b", 30, (1 << 62) + 12345), ("c", 2, -7)]
+    table = spark.createDataFrame(rows, "k string, t long, v long")
+    first, later = table.filter("v % 2 = 0 OR v IS NULL"), table.filter("v % 2 <> 0")
+    sketches = measures.day_sketches(first, ["k"], "t", "v", 1).unionByName(measures.day_sketches(later, ["k"], "t", "v", 1))  # merged from two parts
+    wanted = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    got = {(r["k"], r["span"]): r for r in measures.rolling_quantiles(sketches, ["k"], 4, wanted).collect()}
+    assert set(got) == {(k, t) for k, t, v in rows if t is not None and v is not None}
+    for (k, t), r in got.items():
+        values = sorted(v for a, b, v in rows if a == k and b is not None and t - 3 <= b <= t and v is not None)
+        assert r["n"] == len(values)
+        for name, q in wanted.items():
+            exact = values[math.floor(q * (len(values) - 1))]
+            assert abs(exact) - abs(exact) / 128 <= abs(r[name]) <= abs(exact) and exact * r[name] >= 0
+    values = list(range(-300, 1000)) + [(1 << k) + d for k in range(10, 62) for d in (-1, 0, 1)]
+    bins = spark.createDataFrame([(v,) for v in values], "v long").select("v", measures.sketch_bin(F.col("v")).alias("b")).orderBy("v").collect()
+    assert all(x["b"] <= y["b"] for x, y in zip(bins, bins[1:], strict=False))
