@@ -9,7 +9,10 @@ gradient steps on the likelihood of all marks of a page.
 
 Pages are independent: one scan, no shuffle, one page in memory at a time beside its batch.
 
-Text that isn't shown (hidden, display:none) isn't main text.
+Text that isn't shown (hidden, display:none) isn't main text. A page without any element
+but inline ones, and without names (class, id, role), is text alone and main text as a whole.
+Parsing takes time in proportion to the page, however deep its elements are and whatever its end
+tags close.
 
 Defined results: null and empty pages and pages without main text give an empty text; broken
 markup is closed as browsers do for the common cases; urls and ids may be null or repeat; an
@@ -53,6 +56,8 @@ _BLOCK = frozenset(
 _CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "tbody thead tr td th", "tfoot": "tbody thead tr td th"}
 _STOPS = frozenset("ul ol dl table article section main aside nav header footer form body html".split())
 _ENDS_P = _BLOCK - {"br", "body", "html", "head", "li", "dd", "dt", "td", "th", "tr", "caption", "tbody", "thead", "tfoot", "option", "optgroup", "legend"}
+#: Nodes of a page that is text alone.
+_PLAIN = frozenset("#root #text #raw html head meta link base body br hr wbr a abbr b cite code em i q s small span strong sub sup u".split())
 #: Words of class and id names that tell page parts apart.
 _WORDS = frozenset(
     "ad ads advert advertisement alert article aside banner body bar breadcrumb colophon comment comments consent contact container content cookie copyright disclaimer "
@@ -103,26 +108,37 @@ def parse(source: str | None, marks: bool = False) -> Page:
         page.breaks.append(breaks)
         return len(page.name) - 1
 
-    def close(names: frozenset | set, stops: frozenset | set = frozenset()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            n = page.name[stack[k]]
-            if n in names:
-                del stack[k:]
-                return
-            if n in stops:
-                return
+    # where on the stack the open elements of a name are, and those of each set, so that an end
+    # tag needs no look through all that is open
+    where: dict[str, list[int]] = {}
+    open_of: dict[frozenset, list[int]] = {_STOPS: [], _INSIDE: [], _FOREIGN: []}
+
+    def push(node: int) -> None:
+        name = page.name[node]
+        where.setdefault(name, []).append(len(stack))
+        for names, places in open_of.items():
+            if name in names:
+                places.append(len(stack))
+        stack.append(node)
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            name = page.name[stack.pop()]
+            where[name].pop()
+            for names, places in open_of.items():
+                if name in names:
+                    places.pop()
+
+    def close(names: frozenset | set, stopped: bool) -> None:
+        """Ends the innermost open element of these names, unless one of _STOPS is further in."""
+        k = max((where[n][-1] for n in names if where.get(n)), default=0)
+        if k and not (stopped and open_of[_STOPS] and open_of[_STOPS][-1] > k):
+            cut(k)
 
     def foreign() -> int:
-        """Place on the stack of the svg or math that is open here, or 0."""
-        for k in range(len(stack) - 1, 0, -1):
-            n = page.name[stack[k]]
-            if n in _INSIDE:
-                return 0
-            if n in _FOREIGN:
-                while page.name[stack[k - 1]] in _FOREIGN:
-                    k -= 1
-                return k
-        return 0
+        """Place on the stack of the innermost svg or math that is open here, or 0."""
+        k = open_of[_FOREIGN][-1] if open_of[_FOREIGN] else 0
+        return 0 if open_of[_INSIDE] and open_of[_INSIDE][-1] > k else k
 
     drawn = False  # whether the page has had an svg or math
     for m in iter(lambda: _TAG.search(source, pos), None):
@@ -135,27 +151,28 @@ def parse(source: str | None, marks: bool = False) -> Page:
         if name in _BLOCK:
             breaks += 1
         if m[1] or m[4]:
-            close({name}, frozenset() if name in _BLOCK else _STOPS)
+            close({name}, name not in _BLOCK)
             continue
         if drawn and name in _BREAKOUT and (k := foreign()):
-            del stack[k:]
+            while page.name[stack[k - 1]] in _FOREIGN:
+                k -= 1
+            cut(k)
         if name in _CLOSES:
             for _ in range(2):
-                close(frozenset(_CLOSES[name].split()), _STOPS)
+                close(frozenset(_CLOSES[name].split()), True)
         if name in _ENDS_P:
-            close({"p"}, _STOPS)
+            close({"p"}, True)
         if name in _RAW and not (drawn and m[0].endswith("/>") and foreign()):
             end = re.compile(f"</{re.escape(name)}[\\s/>]", re.I).search(source, pos)
             pos = end.start() if end else len(source)
-            stack.append(add("#raw"))  # its end tag finds no element of that name
-            stack.pop()
+            add("#raw")  # its end tag finds no element of that name
             continue
         attributes = m[3] or m[6]
         words, mark = _names(attributes, marks) if attributes else ("", -1)
         node = add(name, words, mark)
         drawn = drawn or name in _FOREIGN
         if name not in _VOID and not m[0].endswith("/>"):
-            stack.append(node)
+            push(node)
     if pos < len(source):
         add("#text", text=html.unescape(source[pos:]))
     return page
@@ -310,7 +327,9 @@ def default_model() -> Model:
 
 def main_text(source: str | None, model: Model) -> str:
     page = parse(source)
-    odds = model.marginals(page)
+    # text alone, without an element or a name that could tell its parts apart, is all main text
+    alone = _PLAIN.issuperset(page.name) and not any(page.words)
+    odds = [1.0] * len(page.name) if alone else model.marginals(page)
     blocks: list[list[str]] = []
     at = -1
     for k, name in enumerate(page.name):

@@ -26,7 +26,8 @@ Hot buckets: counts and minima are combined on the map side, the join back is a
 equi-join that Spark can split, and step 5 works on cells of two blocks of ``BLOCK`` members at
 most. Copies are never expanded into all pairs.
 
-Defined results: texts without words (null, empty, blank) have an empty set and are linked
+Defined results: ids are whole numbers (an id column of another type must
+hold such, as anything else is an error); texts without words (null, empty, blank) have an empty set and are linked
 with nothing, so each such row stays; fewer words than a shingle has make one shingle; null
 ids sort after all others; of rows that tie on id and text, one stays, in ``drop_near_duplicates``
 the one with the smallest hash of the whole row; an empty table gives an empty result; extra

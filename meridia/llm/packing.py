@@ -8,7 +8,8 @@ that bin in logarithmic time. A group leaves about one sequence open, so the los
 one large group is about one sequence in several thousand, and no task sees more than
 ``GROUP`` pieces whatever the size of the corpus.
 
-Defined results: null text counts as empty and gives a piece with the end id alone; ids may
+Defined results: ids are whole numbers (an id column of another type must
+hold such, as anything else is an error); null text counts as empty and gives a piece with the end id alone; ids may
 be null or repeat, each row is packed by itself; an empty table gives an empty result; extra
 columns are ignored by ``tokenized_pieces`` and carried along by ``pack`` unchanged, but for
 columns named sequence_id or offset, which its own replace.

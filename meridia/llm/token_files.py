@@ -21,7 +21,8 @@ read, so lost executors and repeated tasks do no harm.
 Files are written where pyarrow can write: file, hdfs, gs, abfss, and s3 (also named s3a or
 s3n, as Spark does).
 
-Defined results: null text counts as empty, an empty document has only the end id; null ids
+Defined results: ids are whole numbers (an id column of another type must
+hold such, as anything else is an error); null text counts as empty, an empty document has only the end id; null ids
 come first; rows that tie on id follow the hash of their text; every row gets its place.
 Empty input gives an empty manifest. Extra columns are ignored.
 """

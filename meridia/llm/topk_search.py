@@ -21,7 +21,8 @@ scores is in integers; bounds carry a slack well above their rounding. On vector
 structure (independent components) no pair of step 3 can go, and what step 4 scores depends
 on the pivots per dimension.
 
-Defined results: vectors that are null, or hold null or non-finite components, and rows
+Defined results: ids are whole numbers (an id column of another type must
+hold such, as anything else is an error); vectors that are null, or hold null or non-finite components, and rows
 without vec_id take no part. Vectors are compared with those of equal length only. A query
 is kept from its own row, not from rows that repeat its id; each row with a query's id is a
 query. Fewer candidates than k are all returned. An empty table gives an empty result; extra

@@ -228,3 +228,12 @@ def test_blocks_go_on_across_batches():
         got = [p for b in nd._near_in_blocks((whole.slice(k, size) for k in range(0, len(rows), size)), 80) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         assert len(got) == len(set(got)) and set(got) == want and want
     assert list(nd._near_in_blocks(iter([whole.slice(0, 0)]), 80)) == []
+
+
+def test_near_query_keeps_by_id(spark, tmp_path):
+    from meridia.llm.queries import op6_minhash_near_dedup
+
+    text = " ".join(f"w{k}" for k in range(30))
+    spark.createDataFrame([(0, text), (0, text), (3, text), (None, None), (4, "other")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in op6_minhash_near_dedup(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(0, 0, True), (0, 0, True), (3, 0, False), (None, None, True), (4, 4, True)], key=repr)

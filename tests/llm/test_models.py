@@ -304,3 +304,22 @@ def test_repeated_ids_teach_once_whatever_the_order(spark, monkeypatch):
         quality.train(spark.createDataFrame(mixed, "doc_id long, text string").repartition(parts), labels, sample=60)
     assert all(len(y) == taught for _, y in seen)
     assert all((x == seen[0][0]).all() and (y == seen[0][1]).all() for x, y in seen)
+
+
+def test_html_text_alone_is_main_text():
+    model = html_text.default_model()
+    assert html_text.main_text("just  text", model) == "just text"
+    assert html_text.main_text("<html><body>Straight &amp; in <b>the</b> <a href=x>body</a><script>no</script><br>more</body></html>", model) == "Straight & in the body more"
+    assert html_text.main_text("   ", model) == "" and html_text.main_text("<!-- x -->", model) == ""
+    assert html_text.main_text("shown <span hidden>not</span>", model) != "shown not"
+
+
+def test_html_of_any_depth_in_linear_time():
+    import time
+
+    n = 40_000
+    pages = ["<div>" * n + "x" + "</div>" * n, "<div>" * n + "</x>" * n, "<p><table><tr><td>" + "<div>" * n, "<svg>" * n + "<p>a" * n, "<ul><li>" * n, "<b><p>" * n, "<svg><desc>" * n + "<script/>" * n]
+    for page in pages:
+        began = time.process_time()
+        html_text.main_text(page, html_text.default_model())
+        assert time.process_time() - began < 20
