@@ -87,8 +87,8 @@ def read_requests(rows: DataFrame, text: str = "raw_text", received: str = "rece
     """Rows with vehicle, start_us, end_us, readings, status and basis. ``received`` is in microseconds."""
     new = ("vehicle", "start_us", "end_us", "readings", "status", "basis")
     kept = [c for c in rows.columns if c.lower() not in new]
-    names = unused(rows.columns, "_vehicles", "_zones", "_today", "_dates", "_times", "_found", "_spans")
-    vehicles, zones, today, dates, times, found, spans = names
+    names = unused(rows.columns, "_vehicles", "_zones", "_today", "_dates", "_times", "_found", "_spans", "_sound")
+    vehicles, zones, today, dates, times, found, spans, sound = names
     raw = F.coalesce(F.col(quoted(text)), F.lit(""))
     out = rows.withColumns({vehicles: _all(raw, VEHICLE), zones: F.array_distinct(F.transform(_all(raw, ZONE), _offset)), spans: _all(raw, DATE)})
     # a day begins in the zone of the text; civil times of the default zone follow its rules
@@ -108,9 +108,9 @@ def read_requests(rows: DataFrame, text: str = "raw_text", received: str = "rece
     one = F.transform(first, lambda d: reading(instant(d["day"], second(1)), instant(d["day"], second(2)) + turn, d["basis"]))
     two = F.flatten(F.transform(first, lambda d: F.transform(last, lambda e: reading(instant(d["day"], second(1)), instant(e["day"], second(2)), F.concat_ws(" to ", d["basis"], e["basis"])))))
     whole = F.when(F.size(dates) == 1, one).when(F.size(dates) == 2, two)
-    sound = F.filter(whole, lambda r: r["a"].isNotNull() & (r["z"] > r["a"]))
+    out = out.withColumn(sound, F.filter(whole, lambda r: r["a"].isNotNull() & (r["z"] > r["a"])))
     # readings that mean the same range are one
-    out = out.withColumn(found, F.filter(sound, lambda r, k: F.size(F.filter(F.slice(sound, F.lit(1), k), lambda q: (q["a"] == r["a"]) & (q["z"] == r["z"]))) == 0))
+    out = out.withColumn(found, F.filter(F.col(sound), lambda r, k: F.size(F.filter(F.slice(F.col(sound), F.lit(1), k), lambda q: (q["a"] == r["a"]) & (q["z"] == r["z"]))) == 0))
     n = F.coalesce(F.size(found), F.lit(0))
     status = (
         F.when(F.size(vehicles) == 0, "no_vehicle").when(F.size(vehicles) > 1, "several_vehicles").when(F.size(spans) == 0, "needs_date").when(F.size(times) < 2, "needs_time")

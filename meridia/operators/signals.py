@@ -43,19 +43,26 @@ def _ones(length: Column) -> Column:
     return F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (64 - length).cast("int"))
 
 
-def unsigned_field(payload: Column, start: Column, length: Column, order: Column) -> Column:
-    """The field's bits as a number from 0; null where the payload ends before the field."""
+def digits(payload: Column) -> tuple[Column, Column]:
+    """The payload's hexadecimal digits with nine more bytes of 0 behind it; and with its last byte
+    first, and the bytes of 0 before. Made once for each frame, for all its fields."""
+    text = F.hex(payload)
+    return F.concat(text, F.lit("0" * 18)), F.concat(F.lit("0" * 18), F.regexp_replace(F.reverse(text), "(.)(.)", "$2$1"))
+
+
+def unsigned_field(forward: Column, backward: Column, start: Column, length: Column, order: Column) -> Column:
+    """The field's bits as a number from 0, from the payload's digits; null where it ends before the field."""
     big = order == "big"
-    first, bit = F.floor(start / 8), F.pmod(start, F.lit(8))
+    first, bit = F.floor(start / 8).cast("int"), F.pmod(start, F.lit(8)).cast("int")
     before = F.when(big, 7 - bit).otherwise(bit)  # bits of the first byte before the field, in reading direction
-    digits = F.hex(F.substring(payload, first.cast("int") + 1, F.lit(9)))  # 63 bits touch nine bytes at most
-    backwards = F.regexp_replace(F.reverse(digits), "(.)(.)", "$2$1")  # the last byte first
-    window = F.when(big, F.rpad(digits, 18, "0")).otherwise(F.lpad(backwards, 18, "0"))
+    bytes_ = (F.length(forward) / 2).cast("int") - 9
+    # 63 bits touch nine bytes at most: from the first one on, or back to it
+    window = F.when(big, F.substring(forward, 2 * first + 1, F.lit(18))).otherwise(F.substring(backward, 2 * (bytes_ - first) + 1, F.lit(18)))
     high, low = (F.conv(F.substring(window, at, 9), 16, 10).cast("long") for at in (1, 10))  # 36 bits each
     right = F.when(big, 72 - before - length).otherwise(before).cast("int")
     shift = lambda way, c, n: F.call_function(f"shift{way}", c, n)
     moved = F.when(right >= 36, shift("right", high, right - 36)).otherwise(shift("left", high, 36 - right).bitwiseOR(shift("right", low, right)))
-    inside = first + F.floor((before + length - 1) / 8) < F.octet_length(payload)
+    inside = first + F.floor((before + length - 1) / 8) < bytes_
     return F.when(inside, moved.bitwiseAND(_ones(length)))
 
 
@@ -75,7 +82,7 @@ def decode(frames: DataFrame, dictionary: DataFrame, message: str = "message", t
     message that holds a large share of all frames is then no hot key, else the skew join cuts it.
     """
     taken = frames.columns
-    e, b, m, own = unused(taken, "_entry", "_bucket", "_message", "_own")
+    e, b, m, own, ahead, back = unused(taken, "_entry", "_bucket", "_message", "_own", "_ahead", "_back")
     [signal] = [F.col(e)]
     at, raw = F.col(quoted(time)), F.col(quoted(payload))
     entries = dictionary.select(F.col("message").alias(m), F.struct(*FIELDS).alias(e)).filter(F.col(m).isNotNull())
@@ -87,12 +94,13 @@ def decode(frames: DataFrame, dictionary: DataFrame, message: str = "message", t
     ends = F.least(F.lit(high), F.coalesce(F.floor((signal["to_us"] - 1) / bucket), F.lit(high)))
     sent = entries.filter(ends >= begins).withColumn(b, F.explode(F.sequence(begins, ends)))
     holds = (F.coalesce(signal["from_us"], at) <= at) & (at < F.coalesce(signal["to_us"], at + 1))
-    keyed = frames.withColumn(b, F.floor(at / bucket))
+    forward, backward = digits(F.coalesce(raw, F.unhex(F.lit(""))))
+    keyed = frames.withColumns({b: F.floor(at / bucket), ahead: forward, back: backward})
     found = keyed.withColumnRenamed(b, f"{b}f").join(sent, (F.col(quoted(message)) == F.col(m)) & (F.col(f"{b}f") == F.col(b)) & holds, "left").drop(b, f"{b}f", m)
     found = found.join(known, F.col(quoted(message)) == F.col(m), "left").drop(m)
     fine = readable(signal["start"], signal["length"], signal["byte_order"])
-    bits, field = unused([*taken, e, own], "_bits", "_field")
-    found = found.withColumn(bits, F.when(fine, unsigned_field(F.coalesce(raw, F.unhex(F.lit(""))), signal["start"], signal["length"], signal["byte_order"])))
+    bits, field = unused([*taken, e, own, ahead, back], "_bits", "_field")
+    found = found.withColumn(bits, F.when(fine, unsigned_field(F.col(ahead), F.col(back), signal["start"], signal["length"], signal["byte_order"])))
     found = found.withColumn(field, signed_field(F.col(bits), signal["length"], signal["signed"]))
     field = F.col(field)
     status = F.when(F.col(own).isNull(), "unknown_message").when(signal.isNull(), "no_version").when(~fine, "bad_entry").when(field.isNull(), "short_payload").otherwise("ok")
