@@ -121,15 +121,18 @@ def next_unfinished(items: DataFrame, job: str, seq: str, done: Column) -> DataF
     return items.groupBy(job).agg(F.min(F.when(~done, F.col(seq))).alias("next_seq"), F.sum((~done).cast("long")).alias("waiting"))
 
 
-def delivery_status(artifacts: DataFrame, receipts: DataFrame, key: str) -> DataFrame:
-    """'sent' only with a confirmed receipt of the same hash and size; an unknown result is a
-    state of its own; anything else is pending or failed. (key, sha256, bytes) on both sides,
-    ``result`` on receipts."""
-    k, sha, size, result = unused([key, "sha256", "bytes"], "_k", "_sha", "_bytes", "_result")
-    r = receipts.select(F.col(key).alias(k), F.col("sha256").alias(sha), F.col("bytes").alias(size), F.col("result").alias(result))
-    same = F.col("sha256").eqNullSafe(F.col(sha)) & F.col("bytes").eqNullSafe(F.col(size))
+def delivery_status(artifacts: DataFrame, receipts: DataFrame, key: str, bound: tuple[str, ...] = ()) -> DataFrame:
+    """'sent' only with a confirmed receipt of the same hash, size and ``bound`` columns (receiver,
+    source); an unknown result is a state of its own; anything else is pending or failed. (key,
+    sha256, bytes, bound) on both sides, ``result`` on receipts. Nulls agree with nulls alone."""
+    facts = ["sha256", "bytes", *bound]
+    k, result, *held = unused([key, *facts], "_k", "_result", *(f"_fact{i}" for i in range(len(facts))))
+    r = receipts.select(F.col(key).alias(k), F.col("result").alias(result), *(F.col(c).alias(h) for c, h in zip(facts, held, strict=True)))
+    same = F.lit(True)
+    for c, h in zip(facts, held, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(h))
     has = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int")) == 1
-    facts = artifacts.select(key, "sha256", "bytes").join(r, F.col(key) == F.col(k), "left").groupBy(key).agg(
+    facts = artifacts.select(key, *facts).join(r, F.col(key) == F.col(k), "left").groupBy(key).agg(
         has(same & (F.col(result) == "confirmed")).alias("_sent"), has(F.col(result) == "unknown").alias("_unknown"),
         has(F.col(result) == "failed").alias("_failed"), has(F.col(k).isNotNull()).alias("_any"),
     )
@@ -144,12 +147,23 @@ def resend_plan(status: DataFrame, completed: DataFrame, key: str) -> DataFrame:
     return open_.join(completed.select(key), key, "left_semi").select(key, F.when(F.col("status") == "unknown", "check").otherwise("resend").alias("action"))
 
 
-def recovery_plan(branches: DataFrame, job: str, branch: str, ok: Column, finished: DataFrame, leased: DataFrame) -> DataFrame:
+def recovery_plan(branches: DataFrame, job: str, branch: str, ok: Column, finished: DataFrame, leased: DataFrame, recorded: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
     """Jobs whose log branch is done and whose signal branch is not, without a final report
-    and without a lease that another worker may hold."""
+    and without a lease that another worker may hold. With ``recorded`` (a row for each job: what it
+    was bound to, as hashes) only jobs for which ``seen`` has the same in all of its columns; a job
+    that either lacks isn't resumed, nulls agree with nulls alone."""
     done = lambda name: F.max(((F.col(branch) == name) & ok).cast("int")) == 1
     facts = branches.groupBy(job).agg(done("log").alias("_log"), done("signal").alias("_signal"))
-    return facts.filter("_log AND NOT _signal").select(job).join(finished.select(job), job, "left_anti").join(leased.select(job), job, "left_anti")
+    plan = facts.filter("_log AND NOT _signal").select(job).join(finished.select(job), job, "left_anti").join(leased.select(job), job, "left_anti")
+    if recorded is None or seen is None:
+        return plan
+    columns = [job, *(c for c in recorded.columns if c != job)]
+    held = unused(columns, *(f"_seen{k}" for k in range(len(columns))))
+    now = seen.select(*(F.col(c).alias(h) for c, h in zip(columns, held, strict=True)))
+    same = F.lit(True)
+    for c, h in zip(columns, held, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(h))
+    return plan.join(recorded.select(*columns).join(now, F.col(job).eqNullSafe(F.col(held[0])) & same, "left_semi").select(job), job, "left_semi")
 
 
 def expired(rows: DataFrame, day: str, keep_days: int) -> DataFrame:

@@ -163,3 +163,22 @@ def test_sketches_tell_exact_ranks_to_their_bound(spark):
     values = list(range(-300, 1000)) + [(1 << k) + d for k in range(10, 62) for d in (-1, 0, 1)]
     bins = spark.createDataFrame([(v,) for v in values], "v long").select("v", measures.sketch_bin(F.col("v")).alias("b")).orderBy("v").collect()
     assert all(x["b"] <= y["b"] for x, y in zip(bins, bins[1:], strict=False))
+
+
+def test_delivery_is_bound_to_receiver_and_source(spark):
+    kind = "id long, sha256 string, bytes long, receiver string, source string"
+    sent = spark.createDataFrame([(k, "h", 1, "r", None if k == 3 else "s") for k in range(4)], kind)
+    back = spark.createDataFrame([(0, "h", 1, "r", "s", "confirmed"), (1, "h", 1, "other", "s", "confirmed"), (2, "h", 1, "r", None, "confirmed"), (3, "h", 1, "r", None, "confirmed")], kind + ", result string")
+    told = lambda *bound: {r["id"]: r["status"] for r in records.delivery_status(sent, back, "id", bound).collect()}
+    assert told("receiver", "source") == {0: "sent", 1: "unproven", 2: "unproven", 3: "sent"}
+    assert set(told().values()) == {"sent"}
+
+
+def test_resume_needs_the_recorded_bindings(spark):
+    branches = spark.createDataFrame([(k, b, b == "log") for k in range(5) for b in ("log", "signal")], "id long, branch string, ok boolean")
+    none = spark.createDataFrame([], "id long")
+    recorded = spark.createDataFrame([(0, "a", "b"), (1, "a", "b"), (2, None, "b"), (3, "a", "b")], "id long, request string, source string")
+    seen = spark.createDataFrame([("b", 0, "a"), ("x", 1, "a"), ("b", 2, None), ("b", 4, "a")], "source string, id long, request string")
+    plan = records.recovery_plan(branches, "id", "branch", F.col("ok"), none, none, recorded, seen)
+    assert sorted(r["id"] for r in plan.collect()) == [0, 2]
+    assert records.recovery_plan(branches, "id", "branch", F.col("ok"), none, none).count() == 5
