@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.names import unused
+from meridia.functions.scratch import work_dir
+from meridia.functions.time import DAY
 
-from .history import MOST, with_running_sum, with_time_bucket
+from .history import MOST, with_time_bucket
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], time: str, carry: list[str], bucket: int, tolerance: int | None = None, most: int = MOST) -> DataFrame:
@@ -54,25 +56,38 @@ def interval_join(anchors: DataFrame, points: DataFrame, on: list[str], anchor_t
     return a.join(sent, [*on, b]).filter(near).drop(b)
 
 
-def nearest_points(anchors: DataFrame, points: DataFrame, on: list[str], anchor_time: str, point_time: str, point_id: str, k: int, width: int) -> DataFrame:
+def nearest_points(anchors: DataFrame, points: DataFrame, on: list[str], anchor_time: str, point_time: str, point_id: str, k: int, width: int, bucket: int = DAY, most: int = MOST) -> DataFrame:
     """Pairs of each anchor with the ``k`` points before it and the ``k`` at or after it that are
     nearest in time, within ``width``; ties to the smaller ``point_id`` (a number).
 
     Points are numbered along the key's time, once in each direction of ties; an anchor knows
-    how many points are before it, so its pairs are an equi-join on (key, number). However
-    dense a key is, an anchor makes 2k pairs at most and no key is one task."""
-    back, up, down, side, seen, number = unused([*anchors.columns, *points.columns], "_back", "_up", "_down", "_side", "_seen", "_number")
-    some = points.filter(F.col(point_time).isNotNull()).withColumn(back, -F.col(point_id))
-    ranked = with_running_sum(some, on, point_time, point_id, F.lit(1), up)
-    ranked = with_running_sum(ranked, on, point_time, back, F.lit(1), down)
-    # anchors sort before points of their time, so the sum up to them counts what is before
-    wanted = anchors.filter(F.col(anchor_time).isNotNull()).withColumns({side: F.lit(0), number: F.col(anchor_time)})
-    marks = points.filter(F.col(point_time).isNotNull()).select(*on, F.col(point_time).alias(number), F.lit(1).alias(side))
-    counted = with_running_sum(wanted.unionByName(marks, allowMissingColumns=True), on, number, side, F.col(side), seen).filter(F.col(side) == 0)
-    counted = counted.select(*anchors.columns, seen)
-    others = [c for c in points.columns if c not in on]
-    after = counted.withColumn(number, F.explode(F.sequence(F.col(seen) + 1, F.col(seen) + k)))
-    earlier = counted.withColumn(number, F.explode(F.sequence(F.col(seen) - k + 1, F.col(seen))))
-    pairs = [a.join(ranked.select(*on, F.col(way).alias(number), *others), [*on, number]) for a, way in ((after, up), (earlier, down))]
-    found = pairs[0].unionByName(pairs[1]).filter(F.abs(F.col(anchor_time) - F.col(point_time)) <= width)
-    return found.select(*anchors.columns, *(c for c in others if c not in anchors.columns))
+    how many points are before it, so its pairs are an equi-join on (key, direction, number).
+    However dense a key is, an anchor makes 2k pairs at most and no key is one task. Both tables
+    are bucketed together and written once, as narrow as they were given."""
+    spark = anchors.sparkSession
+    b, at, side, seq, a, p, up, ties, upto, sum_, base, way = unused([*anchors.columns, *points.columns], "_b", "_at", "_side", "_seq", "_a", "_p", "_up", "_ties", "_upto", "_sum", "_base", "_way")
+    given = lambda rows, time: rows.dropna(subset=[*on, time])
+    wanted = given(anchors, anchor_time).select(*on, F.col(anchor_time).alias(at), F.lit(0).alias(side), F.struct(*anchors.columns).alias(a))
+    marks = given(points, point_time).select(*on, F.col(point_time).alias(at), F.lit(1).alias(side), F.col(point_id).alias(seq), F.struct(*points.columns).alias(p))
+    held = with_time_bucket(wanted.unionByName(marks, allowMissingColumns=True), on, at, bucket, most, b)
+    place = f"{work_dir(spark)}/nearest"
+    held.write.parquet(place)
+    held = spark.read.schema(held.schema).parquet(place)
+    # anchors sort before points of their time, so the count up to them is of what is before
+    cell = Window.partitionBy(*on, b)
+    counted = held.withColumn(up, F.sum(side).over(cell.orderBy(at, side, seq).rowsBetween(Window.unboundedPreceding, 0)))
+    counted = counted.withColumn(upto, F.sum(side).over(cell.orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    counted = counted.withColumn(ties, F.sum(side).over(Window.partitionBy(*on, b, at)))
+    earlier = Window.partitionBy(*on).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    bases = held.groupBy(*on, b).agg(F.sum(side).alias(sum_)).select(*on, b, F.coalesce(F.sum(sum_).over(earlier), F.lit(0)).alias(base))
+    numbered = counted.join(bases, [*on, b], "left")
+    seen = F.col(base) + F.col(up)
+    step = lambda d, n: F.struct(F.lit(d).alias("d"), n.alias("n"))
+    later = F.transform(F.sequence(seen + 1, seen + k), lambda n: step(0, n))
+    before = F.transform(F.sequence(seen - k + 1, seen), lambda n: step(1, n))
+    down = F.col(base) + 2 * F.col(upto) - F.col(ties) - F.col(up) + 1  # the number where ties run the other way
+    left = numbered.filter(F.col(side) == 0).select(*on, a, F.explode(F.concat(later, before)).alias(way))
+    right = numbered.filter(F.col(side) == 1).select(*on, p, F.explode(F.array(step(0, seen), step(1, down))).alias(way))
+    pairs = left.join(right, [*on, way]).filter(F.abs(F.col(a)[anchor_time] - F.col(p)[point_time]) <= width)
+    others = [c for c in points.columns if c not in on and c not in anchors.columns]
+    return pairs.select(*(F.col(a)[c].alias(c) for c in anchors.columns), *(F.col(p)[c].alias(c) for c in others))

@@ -64,3 +64,22 @@ def with_running_sum(rows: DataFrame, by: list[str], time: str, tie: str, value:
     upto = Window.partitionBy(*by, b).orderBy(time, tie).rowsBetween(Window.unboundedPreceding, 0)
     found = _carry(held.withColumn(in_, F.sum(v).over(upto)), [*by, b], before, before_)
     return found.select(*rows.columns, (F.col(in_) + F.col(before_)).alias(name))
+
+
+def with_island(rows: DataFrame, by: list[str], time: str, tie: str, state: str, name: str, bucket: int = DAY, most: int = MOST) -> DataFrame:
+    """Adds the number of the row's island, from 1: rows of a key that follow each other by time and
+    tie (and state, where both are equal) with one state; a null state equals no other. Changes
+    are counted inside buckets; whether a bucket's first row begins an island is told by one row
+    for each bucket, so rows are bucketed once."""
+    b, p, new, in_, changes, first_, last_, base = unused([*rows.columns, name], "_b", "_p", "_new", "_in", "_changes", "_first", "_last", "_base")
+    held = with_time_bucket(rows, by, time, bucket, most, b)
+    within, order = Window.partitionBy(*by, b).orderBy(time, tie, state), F.struct(time, tie, state)
+    same = F.coalesce(F.col(state) == F.col(p)["v"], F.lit(False))
+    marked = held.withColumn(p, F.lag(F.struct(F.col(state).alias("v"))).over(within)).withColumn(new, F.when(F.col(p).isNull() | same, 0).otherwise(1))
+    ends = [F.sum(new).alias(changes), F.min_by(state, order).alias(first_), F.max_by(state, order).alias(last_)]
+    over = Window.partitionBy(*by).orderBy(b)
+    begins = F.when(F.col(first_) == F.lag(last_).over(over), 0).otherwise(1)
+    earlier = F.coalesce(F.sum(changes).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = marked.groupBy(*by, b).agg(*ends).withColumn(new, begins).withColumn(base, F.sum(new).over(over.rowsBetween(Window.unboundedPreceding, 0)) + earlier)
+    inside = marked.withColumn(in_, F.sum(new).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    return _carry(inside, [*by, b], bases, base).select(*rows.columns, (F.col(in_) + F.col(base)).alias(name))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from meridia.functions.names import unused
 from meridia.functions.time import DAY
 
-from .history import with_row_before, with_running_sum
+from .history import with_island, with_row_before
 
 
 def with_gap(rows: DataFrame, by: list[str], time: str, tie: str) -> DataFrame:
@@ -33,11 +33,8 @@ def rate(rows: DataFrame, by: list[str], time: str, width: int) -> DataFrame:
 
 
 def runs(rows: DataFrame, by: list[str], time: str, tie: str, state: str) -> DataFrame:
-    """Islands of rows with one state: start, end and length."""
-    [was] = unused([*rows.columns, "island"], "_state")
-    before = with_row_before(rows.select(*dict.fromkeys([*by, time, tie, state])), by, time, tie, state, was)
-    new = F.when(F.col(state) == F.col(was), 0).otherwise(1)
-    numbered = with_running_sum(before, by, time, tie, new, "island")
+    """Islands of rows with one state: start, end and length. A null state equals no other."""
+    numbered = with_island(rows.select(*dict.fromkeys([*by, time, tie, state])), by, time, tie, state, "island")
     return numbered.groupBy(*by, "island", state).agg(F.min(time).alias("start_us"), F.max(time).alias("end_us"), F.count(F.lit(1)).alias("n"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from meridia.functions.names import unused
 from meridia.functions.scratch import work_dir
 
-from .history import _carry, with_row_before, with_running_sum
+from .history import with_row_before, with_running_sum
 
 
 def distinct_points(points: DataFrame) -> DataFrame:
@@ -89,20 +89,12 @@ def pick_attempt(attempts: DataFrame, job: list[str], order: list[str], ok: Colu
     return facts.select(*job, F.when(won, F.col("_first")).alias("attempt"), status.alias("status"), "tried")
 
 
-def fair_order(tasks: DataFrame, requester: str, time: str, task: str, slice_us: int, span: int = 1000) -> DataFrame:
+def fair_order(tasks: DataFrame, requester: str, time: str, task: str) -> DataFrame:
     """Round-robin over requesters: round (the requester's n-th task) and position in the
-    whole order (round, time, task). Tasks without a time come first in their round. Positions
-    come from counts of (round, time slice), which are summed within spans of rounds; only one
-    sum for each span is ordered in one place."""
-    s, g, m, in_, base, i = unused([*tasks.columns, "round", "position"], "_s", "_g", "_m", "_in", "_base", "_i")
-    rounds = with_running_sum(tasks, [requester], time, task, F.lit(1), "round").withColumns({s: F.floor(F.col(time) / slice_us), g: F.floor(F.col("round") / span)})
-    counts = rounds.groupBy("round", s, g).agg(F.count(F.lit(1)).alias(m))
-    spans = counts.groupBy(g).agg(F.sum(m).alias(m))
-    earlier = lambda *order: F.coalesce(F.sum(m).over((Window.partitionBy(g) if len(order) > 1 else Window).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = spans.select(g, earlier(g).alias(base))
-    within = counts.withColumn(in_, earlier("round", s)).join(bases, g).select("round", s, (F.col(base) + F.col(in_)).alias(base))
-    inside = F.row_number().over(Window.partitionBy("round", s).orderBy(time, task))
-    return _carry(rounds.withColumn(i, inside), ["round", s], within, base).withColumn("position", F.col(base) + F.col(i)).drop(s, g, i, base)
+    whole order (round, time, task). Tasks without a time come first in their round. The order
+    is a sort over the cluster, so a round that holds many tasks is many ranges of it."""
+    rounds = with_running_sum(tasks, [requester], time, task, F.lit(1), "round")
+    return sorted_in_tasks(rounds, [], ["round", time, task], "position")
 
 
 def admitted(tasks: DataFrame, requester: str, time: str, task: str, slots: int) -> DataFrame:
@@ -192,19 +184,20 @@ def same_window(log: DataFrame, signal: DataFrame, job: str, parts: list[str]) -
     return left.join(right, job, "full").select(job, verdict.otherwise("same").alias("verdict"))
 
 
-def sorted_in_tasks(rows: DataFrame, job: list[str], order: list[str]) -> DataFrame:
-    """Rows sorted by job and ``order`` over the cluster, with place, the row's number in its job.
+def sorted_in_tasks(rows: DataFrame, job: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """Rows sorted by job and ``order`` over the cluster, with ``name``, the row's number in its job.
+    Without job columns all rows are one job.
 
     Partitions are ranges of (job, order), so a job that holds a large share of all rows is many
     tasks, each sorted outside memory. A task numbers its rows job by job; of the jobs in a partition
     only the first can go on from earlier ones, so what has to be added is one row for each partition
     at most, which is broadcast. The sorted rows are written once, as the ranges of a shuffle that
     is made again may differ. Rows that tie on job and order share a partition. Null jobs are a
-    job, null orders come first; a column ``place`` is replaced."""
-    spark, columns = rows.sparkSession, [c for c in rows.columns if c.lower() != "place"]
-    part, before, *held = unused([*columns, "place"], "_part", "_before", *(f"_job{k}" for k in range(len(job))))
-    names = [*columns, "place", part]
-    kind = T.StructType([*rows.select(*columns).schema.fields, T.StructField("place", T.LongType()), T.StructField(part, T.IntegerType())])
+    job, null orders come first; a column ``name`` is replaced."""
+    spark, columns = rows.sparkSession, [c for c in rows.columns if c.lower() != name.lower()]
+    part, before, *held = unused([*columns, name], "_part", "_before", *(f"_job{k}" for k in range(len(job))))
+    names = [*columns, name, part]
+    kind = T.StructType([*rows.select(*columns).schema.fields, T.StructField(name, T.LongType()), T.StructField(part, T.IntegerType())])
 
     def number(batches):
         last, seen, own = None, 0, TaskContext.get().partitionId()
@@ -237,7 +230,7 @@ def sorted_in_tasks(rows: DataFrame, job: list[str], order: list[str]) -> DataFr
     for c, h in zip(job, held, strict=True):
         same = same & F.col(c).eqNullSafe(F.col(h))
     found = written.join(F.broadcast(goes_on), same, "left")
-    return found.select(*columns, (F.col("place") + F.coalesce(before, F.lit(0))).alias("place"))
+    return found.select(*columns, (F.col(name) + F.coalesce(before, F.lit(0))).alias(name))
 
 
 def gate(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

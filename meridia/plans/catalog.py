@@ -175,7 +175,7 @@ def retry_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = _events(spark, sf_dir, "signup").select("event_id", "user_id", "ts_us")
-    return records.fair_order(tasks, "user_id", "ts_us", "event_id", DAY)
+    return records.fair_order(tasks, "user_id", "ts_us", "event_id")
 
 
 @query

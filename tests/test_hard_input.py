@@ -47,6 +47,8 @@ OPERATORS = {
     "quantiles": lambda r: measures.quantiles(r, ["u", "s"], "v", {"p50": 0.5, "p90": 0.9}),
     "histogram": lambda r: measures.histogram(r, ["u"], "v", 2.0),
     "stages": lambda r: measures.stage_durations(r, ["u"], "s", "t", 100),
+    "island": lambda r: history.with_island(r, ["u"], "t", "id", "s", "island"),
+    "nearest": lambda r: asof.nearest_points(r, r.select("u", F.col("t").alias("pt"), F.col("id").alias("pe")), ["u"], "t", "pt", "pe", 2, 5000),
     "before": lambda r: history.with_row_before(r, ["u"], "t", "id", "s", "was"),
     "sum": lambda r: history.with_running_sum(r, ["u"], "t", "id", F.lit(1), "n"),
     "asof": lambda r: asof.asof_join(r, r.select("u", "t", "v"), ["u"], "t", ["v"], 10_000),
@@ -54,7 +56,7 @@ OPERATORS = {
     "source": lambda r: records.choose_source(r.withColumns({"env": F.lit("primary"), "outcome": F.lit("ok")}), ["u"]),
     "pages": lambda r: records.complete_pages(r, ["u"], "id", "t"),
     "attempt": attempts,
-    "fair": lambda r: records.fair_order(r, "u", "t", "id", 5000),
+    "fair": lambda r: records.fair_order(r, "u", "t", "id"),
     "admitted": lambda r: records.admitted(r, "u", "t", "id", 5),
     "binding": lambda r: records.binding(r, ["u"], "s"),
     "queue": lambda r: records.next_unfinished(r, "u", "id", F.col("v") > 3),
@@ -76,13 +78,13 @@ def test_names_of_the_operators_change_nothing(spark, name):
 
 
 def test_names_found():
-    assert {"_before_us", "_state", "_d", "_k", "_r", "_s", "_ok"} <= set(OWN)
+    assert {"_before_us", "_new", "_d", "_k", "_r", "_ok", "_changes", "_way"} <= set(OWN)
 
 
 def test_fair_order_keeps_tasks_without_a_time(spark):
     rows = [(k, "ab"[k % 2] if k % 7 else None, None if k % 3 == 0 else 100 * k) for k in range(50)]
     tasks = spark.createDataFrame(rows, "id long, u string, t long")
-    out = records.fair_order(tasks, "u", "t", "id", 700, span=4).collect()
+    out = records.fair_order(tasks, "u", "t", "id").collect()
     assert len(out) == 50 and sorted(r["position"] for r in out) == list(range(1, 51))
     early = lambda t: -1 if t is None else t
     rounds, want = {}, []

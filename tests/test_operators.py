@@ -93,7 +93,7 @@ def test_binding_is_never_the_latest(spark):
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 30)), min_size=1, max_size=25))
 def test_fair_order_is_a_permutation(spark, tasks):
     df = spark.createDataFrame([(r, t, k) for k, (r, t) in enumerate(tasks)], "r long, t long, id long")
-    got = records.fair_order(df, "r", "t", "id", 5).orderBy("position").collect()
+    got = records.fair_order(df, "r", "t", "id").orderBy("position").collect()
     assert [x["position"] for x in got] == list(range(1, len(tasks) + 1))
     assert [(x["round"], x["t"], x["id"]) for x in got] == sorted((x["round"], x["t"], x["id"]) for x in got)
     first = records.admitted(df, "r", "t", "id", 2).collect()
@@ -173,7 +173,7 @@ def test_columns_of_the_caller_stay(spark, operator):
         "before": lambda: measures.with_gap(df, ["u"], "t", "e"),
         "sum": lambda: records.sorted_in_tasks(df, ["u"], ["t", "e"]),
         "label": lambda: records.with_label(df, "e", spark.createDataFrame([(1, "one"), (1, "one")], "code long, label string").distinct()),
-        "fair": lambda: records.fair_order(df.filter("u IS NOT NULL AND t IS NOT NULL"), "u", "t", "e", 10),
+        "fair": lambda: records.fair_order(df.filter("u IS NOT NULL AND t IS NOT NULL"), "u", "t", "e"),
         "nearest": lambda: asof.nearest_points(df, df.select("u", F.col("e").alias("pe"), F.col("t").alias("pt")), ["u"], "t", "pt", "pe", 2, 9),
         "islands": lambda: measures.with_gap(df, ["u", "_b"], "t", "e"),
     }[operator]()
