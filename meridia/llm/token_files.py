@@ -16,7 +16,9 @@ Documents are dealt out by range of id, so file k holds smaller ids than file k
 closes a file that holds ``FILE_DOCS`` documents or ``FILE_BYTES`` of ids and begins the next, so
 what a writer keeps and a reader loads of a directory is bounded. Each attempt of a task
 writes files of its own names; only files named in the manifest that Spark commits are ever
-read, so lost executors and repeated tasks do no harm.
+read, so lost executors and repeated tasks do no harm. Files of the run that no manifest names
+are removed once it is written. The manifest has each file's smallest and largest id, so a
+request for some ids opens no files but those whose range holds one.
 
 Files are written where pyarrow can write: file, hdfs, gs, abfss, and s3 (also named s3a or
 s3n, as Spark does).
@@ -53,7 +55,7 @@ FRAME_BYTES, FILE_BYTES, FILE_DOCS = 1 << 18, 1 << 28, 100_000
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 # Fixed values of the public seekable format.
 SEEK_TABLE_MAGIC, DIRECTORY_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
-_MANIFEST = "shard int, part int, path string, n_docs long, n_ids long"
+_MANIFEST = "shard int, part int, path string, n_docs long, n_ids long, low long, high long"
 _BATCH_BYTES = 4 << 20
 
 
@@ -76,6 +78,11 @@ class Writer:
         if self.size >= FRAME_BYTES:
             self._flush()
 
+    def span(self) -> tuple[int | None, int | None]:
+        """Smallest and largest document id."""
+        ids = np.asarray(self.ids)[np.asarray(self.nulls) == 0]
+        return (int(ids.min()), int(ids.max())) if len(ids) else (None, None)
+
     def _flush(self) -> None:
         data = b"".join(self.held)
         for k in range(0, len(data), FRAME_BYTES):
@@ -139,8 +146,8 @@ class Reader:
             a, k = base + len(data), k + 1
         return b"".join(out)
 
-    def find(self, doc_ids: set[int]) -> list[int]:
-        return np.flatnonzero(np.isin(self.ids, list(doc_ids)) & ~self.nulls).tolist()
+    def find(self, doc_ids: list[int]) -> list[int]:
+        return np.flatnonzero(np.isin(self.ids, doc_ids) & ~self.nulls).tolist()
 
 
 def writer_uri(uri: str) -> str:
@@ -154,20 +161,23 @@ def _open(uri: str):
 
 def write_token_files(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files under ``path`` (a URI; by default in the shared folder) and returns
-    the committed manifest: shard, part, path, n_docs, n_ids and base, the ids in files before."""
+    the committed manifest: shard, part, path, n_docs, n_ids, low and high (smallest and largest
+    document id, null where all are null) and base, the ids in files before."""
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     path = path or new_path(spark, "token-files")
     end = struct.pack("<I", end_id)
 
-    schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+    schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+    run_name = f"ids-{uuid.uuid4().hex[:8]}"
 
     def run(batches):
         e, shard, part, writer, name = encoder(vocabulary), TaskContext.get().partitionId(), 0, None, ""
 
         def closed() -> pa.RecordBatch:
             writer.close()
-            return pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "path": f"{path}/{name}", "n_docs": len(writer.counts), "n_ids": writer.n_ids}], schema)
+            low, high = writer.span()
+            return pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "path": f"{path}/{name}", "n_docs": len(writer.counts), "n_ids": writer.n_ids, "low": low, "high": high}], schema)
 
         for b in batches:
             for i, ids in zip(b.column(0).to_pylist(), e.encode_all(x.as_py() for x in b.column(1)), strict=True):
@@ -177,7 +187,7 @@ def write_token_files(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int
                 if writer is None:
                     fs, folder = _open(path)
                     fs.create_dir(folder, recursive=True)
-                    name = f"ids-{shard:06d}-{part:05d}-{uuid.uuid4().hex[:8]}.zst"
+                    name = f"{run_name}-{shard:06d}-{part:05d}-{uuid.uuid4().hex[:8]}.zst"
                     writer = Writer(fs.open_output_stream(f"{folder}/{name}", compression=None))
                 writer.add(i, ids + end)
         if writer is not None:
@@ -187,22 +197,39 @@ def write_token_files(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int
     rows = docs.select(docs[quoted(id_col)].cast("long").alias("_id"), F.coalesce(docs[quoted(text_col)], F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_text")
     manifest = materialize(sorted_rows.mapInArrow(run, _MANIFEST), "token-manifest")
+    remove_unnamed(manifest, path, run_name)
     # one row for each file, not for each document
     before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def remove_unnamed(manifest: DataFrame, path: str, run_name: str) -> None:
+    """Deletes the run's files that its manifest doesn't name: those of attempts that failed or came second."""
+    fs, folder = _open(path)
+    named = {r["path"].rsplit("/", 1)[1] for r in manifest.select("path").toLocalIterator()}
+    for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+        if f.base_name.startswith(run_name) and f.base_name not in named:
+            fs.delete_file(f.path)
+
+
 def read_token_files(manifest: DataFrame, doc_ids: set[int] | None = None) -> DataFrame:
-    """doc_id, start, n_tokens, ids (binary) of every document, or of ``doc_ids`` alone."""
+    """doc_id, start, n_tokens, ids (binary) of every document, or of ``doc_ids`` alone, for which
+    only the files whose range of ids holds one are opened."""
+    asked = None if doc_ids is None else sorted(doc_ids)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
+                some = asked
+                if asked is not None:
+                    some = [] if row["low"] is None else asked[bisect.bisect_left(asked, row["low"]) : bisect.bisect_right(asked, row["high"])]
+                    if not some:
+                        continue
                 fs, name = _open(row["path"])
                 with fs.open_input_file(name) as source:
                     r, held, size = Reader(source), [], 0
-                    for i in range(len(r.counts)) if doc_ids is None else r.find(doc_ids):
+                    for i in range(len(r.counts)) if some is None else r.find(some):
                         ids = r.document(i)
                         held.append((None if r.nulls[i] else int(r.ids[i]), row["base"] + int(r.starts[i]), int(r.counts[i]), ids))
                         size += len(ids)
@@ -212,6 +239,6 @@ def read_token_files(manifest: DataFrame, doc_ids: set[int] | None = None) -> Da
                     if held:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-    files = manifest.select("path", "base")
+    files = manifest.select("path", "base", "low", "high")
     n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return files.repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

@@ -95,6 +95,28 @@ def test_token_files_begin_anew_at_a_bound(spark, monkeypatch):
     assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(100)]
 
 
+def test_token_files_open_only_what_holds_an_id(spark, monkeypatch):
+    import os
+
+    monkeypatch.setattr(token_files, "FILE_DOCS", 7)
+    rows = [(k if k % 9 else None, f"text number {k}") for k in range(100)]
+    manifest = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    files = {r["path"]: (r["low"], r["high"]) for r in manifest.collect()}
+    folder = os.path.dirname(next(iter(files))).removeprefix("file://")
+    held = {r["doc_id"] for r in token_files.read_token_files(manifest).collect()}
+    assert held == {i for i, _ in rows} and (None, None) in files.values()
+    for path, (low, high) in files.items():  # files that can't hold it are damaged: opening one would raise
+        if low is None or not low <= 41 <= high:
+            open(path.removeprefix("file://"), "wb").close()
+    assert [r["doc_id"] for r in token_files.read_token_files(manifest, {41, -5, 1000}).collect()] == [41]
+    assert token_files.read_token_files(manifest, set()).count() == 0
+    run, other = os.path.basename(next(iter(files)))[:12], "ids-00000000-000000-00000-aa.zst"
+    for name in (f"{run}-000000-00000-late.zst", other):
+        open(f"{folder}/{name}", "wb").close()
+    token_files.remove_unnamed(manifest, f"file://{folder}", run)
+    assert set(os.listdir(folder)) - {x for x in os.listdir(folder) if x.endswith(".crc")} == {os.path.basename(p) for p in files} | {other}
+
+
 def test_store_names_of_spark_and_of_the_writer():
     assert token_files.writer_uri("s3a://bucket/a") == token_files.writer_uri("s3n://bucket/a") == "s3://bucket/a"
     assert token_files.writer_uri("file:///a/s3a://b") == "file:///a/s3a://b"
