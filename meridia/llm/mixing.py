@@ -283,20 +283,46 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The mixed corpus: each document as often as the mix takes it, with all its columns.
 
     Instead of ranks each partly taken size has the seeded hash at which it ends, so texts
-    are not shuffled to be ranked. Rows that tie on id and text go together.
+    are not shuffled to be ranked. Rows that tie on id and text have one hash; where only some
+    of those at the end are taken, they alone are numbered, in the order of the input.
     """
     rows = _skinny(docs, id_col, text_col, source_col, seed)
     plan = _planned(rows)
-    ranked = F.row_number().over(Window.partitionBy("source", "size").orderBy("_h", "_row"))
-    last = _with_plan(rows, plan.filter(F.col("_end").isNotNull())).filter(F.col("_part") == F.col("_end")).withColumn("_n", ranked)
-    stops = last.filter(F.col("_n") == F.col("_need")).select(F.col("source").alias("_s1"), F.col("size").alias("_z1"), F.col("_h").alias("_stop"))
-    src, size, h, s1, z1, base, some, stop, copy = unused(docs.columns, "_src", "_size", "_h", "_s1", "_z1", "_base", "_any", "_stop", "_copy")
-    stops = plan.join(stops, plan["source"].eqNullSafe(F.col("_s1")) & (plan["size"] == F.col("_z1")), "left").select(
-        F.col("source").alias(s1), F.col("size").alias(z1), F.col("_base").alias(base), (F.col("_take") > 0).alias(some), F.col("_stop").alias(stop)
+    cell = ["source", "size"]
+    order = Window.partitionBy(*cell).orderBy("_h")
+    last = _with_plan(rows, plan.filter(F.col("_end").isNotNull())).filter(F.col("_part") == F.col("_end"))
+    hashes = last.groupBy(*cell, "_need", "_h").agg(F.count(F.lit(1)).alias("_same")).withColumn("_upto", F.sum("_same").over(order))
+    ends = hashes.filter((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_same") < F.col("_need")))
+    ends = ends.select(F.col("source").alias("_s1"), F.col("size").alias("_z1"), F.col("_h").alias("_stop"), "_same", (F.col("_need") - F.col("_upto") + F.col("_same")).alias("_left"))
+    src, size, h, row, s1, z1, base, some, stop, same, left, copy = unused(docs.columns, "_src", "_size", "_h", "_row", "_s1", "_z1", "_base", "_any", "_stop", "_same", "_left", "_copy")
+    stops = plan.join(ends, plan["source"].eqNullSafe(F.col("_s1")) & (plan["size"] == F.col("_z1")), "left").select(
+        F.col("source").alias(s1), F.col("size").alias(z1), F.col("_base").alias(base), (F.col("_take") > 0).alias(some), F.col("_stop").alias(stop), F.col("_same").alias(same), F.col("_left").alias(left)
     )
+    stops = materialize(stops, "mix-stops")
     text = docs[quoted(text_col)]
-    keyed = docs.withColumns({size: word_count(text), h: seeded_order(docs[quoted(id_col)], text, seed), src: docs[quoted(source_col)]})
+    keyed = docs.withColumns({size: word_count(text), h: seeded_order(docs[quoted(id_col)], text, seed), src: docs[quoted(source_col)], row: F.monotonically_increasing_id()})
     at = keyed.join(stops, F.col(src).eqNullSafe(F.col(s1)) & (F.col(size) == F.col(z1)))
-    inside = F.col(some) & (F.col(stop).isNull() | (F.col(h) <= F.col(stop)))
-    copies = F.when(F.col(size) > 0, F.col(base) + inside.cast("long")).otherwise(F.lit(0)).cast("int")
-    return at.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select(*map(quoted, docs.columns))
+    split = F.coalesce((F.col(h) == F.col(stop)) & (F.col(left) < F.col(same)), F.lit(False))
+
+    def copied(found: DataFrame, inside: Column) -> DataFrame:
+        copies = F.when(F.col(size) > 0, F.col(base) + inside.cast("long")).otherwise(F.lit(0)).cast("int")
+        return found.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select(*map(quoted, docs.columns))
+
+    whole = copied(at.filter(~split), F.col(some) & (F.col(stop).isNull() | (F.col(h) <= F.col(stop))))
+    if stops.filter(F.col(left) < F.col(same)).isEmpty():
+        return whole
+    return whole.unionByName(copied(*_first_of_ties(at.filter(split), [src, size], row, left)))
+
+
+def _first_of_ties(rows: DataFrame, cell: list[str], row: str, left: str) -> tuple[DataFrame, Column]:
+    """Rows, written once, and whether they are among the first ``left`` of their cell by ``row``. They
+    are numbered within the input's partitions, and those are counted, so no cell is one window."""
+    part, n, before, *held = unused(rows.columns, "_part", "_n", "_before", "_s", "_z", "_p")
+    tied = materialize(rows.withColumn(part, F.shiftright(F.col(row), 33)), "mix-ties")
+    keys = [*cell, part]
+    earlier = Window.partitionBy(*cell).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = tied.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0)))
+    counts = counts.select(*(F.col(c).alias(k) for c, k in zip(keys, held, strict=True)), before)
+    numbered = tied.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(row)))
+    match = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(keys, held, strict=True)]
+    return numbered.join(counts, match[0] & match[1] & match[2]), F.col(before) + F.col(n) <= F.col(left)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meridia.llm import mixing
 from tests.llm.helpers import empty, hard, hard_rows
@@ -124,6 +125,19 @@ def test_mix_source_with_one_document_of_over_half_its_words(spark):
     assert {r["doc_id"]: r["count"] for r in mixing.mix_documents(docs).groupBy("doc_id").count().collect()} == got
 
 
+def test_mix_documents_meets_its_target_on_ties(spark):
+    rows = [(7, "a b c d e f g h i j", "a", k) for k in range(40)] + [(8, "k l m n o p q r s t", None, 100 + k) for k in range(30)]
+    rows += [(9, "a b c d e f g h i j", "b", 200 + k // 2) for k in range(30)] + [(300 + k, "x y " * (k % 4), "b", 300 + k) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(6).cache()
+    taken = {r["source"]: r["w"] for r in mixing.mix_counts(docs).groupBy("source").agg(F.sum("taken").alias("w")).collect()}
+    mixed = mixing.mix_documents(docs)
+    got = {r["source"]: r["w"] for r in mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("w")).collect()}
+    assert got == taken and mixed.columns == docs.columns
+    assert max(r["count"] for r in mixed.filter("extra < 200").groupBy("extra").count().collect()) <= mixing.MAX_COPIES
+    assert sorted(map(tuple, mixing.mix_documents(docs).collect()), key=repr) == sorted(map(tuple, mixed.collect()), key=repr)
+    docs.unpersist()
+
+
 OWN = "__size _size __h _h __src _src __s _s _s1 _z1 _base _any _stop _copy _near_key _near_n _key _key2 _order _n ___id __id _id _digest _keep _group _row".split()
 
 
