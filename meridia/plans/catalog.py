@@ -649,8 +649,12 @@ def stream_point_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _frames_and_dictionary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Events as frames of eight bytes (every tenth has three), and a dictionary of the nations in two
     versions, with some days that neither holds for and one entry that can't be read."""
-    number = F.col("event_id") * 1103515245 * 4093 + F.col("user_id") * 7919
-    whole = F.unhex(F.lpad(F.hex(number), 16, "0"))
+    # the number's lowest 64 bits, of a product that may pass them
+    number = F.col("event_id").cast("decimal(19,0)") * F.lit(1103515245 * 4093).cast("decimal(13,0)") + F.col("user_id").cast("decimal(19,0)") * F.lit(7919).cast("decimal(4,0)")
+    low = F.pmod(number, F.lit(str(1 << 64)).cast("decimal(20,0)"))
+    half = F.lit(1 << 32).cast("decimal(10,0)")
+    halves = (F.call_function("div", low, half), (low % half).cast("long"))
+    whole = F.unhex(F.concat(*(F.lpad(F.hex(c), 8, "0") for c in halves)))
     payload = F.when(F.col("event_id") % 10 == 0, F.substring(whole, 1, 3)).otherwise(whole)
     frames = _events(spark, sf_dir).select("event_id", (F.col("user_id") % 7).alias("message"), "ts_us", payload.alias("payload"))
     key, day = F.col("n_nationkey"), lambda n: F.lit(1704067200000000 + n * DAY)
