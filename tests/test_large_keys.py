@@ -8,7 +8,7 @@ import pytest
 from meridia.plans.catalog import ORACLE_SQL, QUERIES
 
 
-@pytest.mark.parametrize("name", ["signal_decode"])
+@pytest.mark.parametrize("name", ["signal_decode", "signal_dictionary_check"])
 def test_frames_of_products_over_64_bits(name, spark, data, tmp_path):
     first = datetime.datetime(2024, 1, 1)
     ids = [0, 1, 99_999, 2_042_023, 2_042_024, 3_000_001, 5_999_999, 36_000_000, 4_000_000_007, (1 << 63) - 1]
