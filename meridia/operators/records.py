@@ -20,6 +20,9 @@ from meridia.functions.scratch import work_dir
 
 from .history import with_row_before, with_running_sum
 
+#: Rows that a task adds up by nearly unique keys.
+ROWS = 250_000
+
 
 def distinct_points(points: DataFrame) -> DataFrame:
     """One row for each complete point; points that differ in any column stay."""
@@ -72,9 +75,17 @@ def one_environment(rows: DataFrame, job: list[str], env: str) -> DataFrame:
     return rows.groupBy(*job).agg(n.alias("environments"), (n == 1).alias("consistent"))
 
 
-def complete_pages(rows: DataFrame, job: list[str], page: str, total: str) -> DataFrame:
-    """Jobs all of whose pages arrived."""
-    return rows.groupBy(*job).agg(F.count_distinct(page).alias("pages"), F.max(total).alias("expected"), (F.count_distinct(page) == F.max(total)).alias("complete"))
+def complete_pages(rows: DataFrame, job: list[str], page: str, total: str | None = None) -> DataFrame:
+    """Jobs all of whose pages arrived. Without a column ``total`` a job expects as many pages as it has rows.
+
+    Pages are nearly unique, so adding up before the shuffle would hold a table of all that a task reads.
+    Rows are dealt out by job and page instead, ``ROWS`` to a task however many there are (one scan
+    counts them), so no task's memory grows with the table, and a job of many pages is many tasks."""
+    p, n = unused(job, "_page", "_n")
+    values = (F.col(page).alias(p), (F.lit(1) if total is None else F.col(total)).alias(n))
+    dealt = rows.select(*job, *values).repartition(1 + rows.count() // ROWS, *job, p)
+    add = F.sum if total is None else F.max
+    return dealt.groupBy(*job, p).agg(add(n).alias(n)).groupBy(*job).agg(F.count(p).alias("pages"), add(n).alias("expected"), (F.count(p) == add(n)).alias("complete"))
 
 
 def pick_attempt(attempts: DataFrame, job: list[str], order: list[str], ok: Column, final: Column, most: int = 3) -> DataFrame:

@@ -145,12 +145,7 @@ def same_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def complete_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.count("*").over(_by("l_orderkey")).alias("total"))
-    return records.complete_pages(rows, ["l_orderkey"], "l_linenumber", "total")
-
-
-def _by(*key: str):
-    return Window.partitionBy(*key)
+    return records.complete_pages(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber")
 
 
 @query

@@ -1,10 +1,12 @@
 """Queries on keys as large as those of larger tables, against their SQL."""
 
 import datetime
+import re
 
 import duckdb
 import pytest
 
+from meridia.operators import records
 from meridia.plans.catalog import ORACLE_SQL, QUERIES
 
 
@@ -23,3 +25,31 @@ def test_frames_of_products_over_64_bits(name, spark, data, tmp_path):
     got = sorted((tuple(r[c] for c in out.columns) for r in QUERIES[name](spark, str(tmp_path)).collect()), key=repr)
     assert got == sorted(out.fetchall(), key=repr)
     assert len(got) > 50
+
+
+def dealt_to(frame):
+    """Numbers of partitions that the plan deals rows out to by a given number."""
+    return [int(n) for n in re.findall(r"(\d+)\), REPARTITION_BY_NUM", frame._jdf.queryExecution().toString().split("== Physical Plan ==")[1])]
+
+
+def test_pages_are_added_up_in_tasks_of_bounded_size(spark, data, monkeypatch):
+    monkeypatch.setattr(records, "ROWS", 500)
+    rows = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    found = QUERIES["complete_pages"](spark, data)
+    assert "Window" not in found._jdf.queryExecution().toString()
+    assert dealt_to(found)[0] == 1 + rows // 500 > 10
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{data}/lineitem.parquet'")
+    out = con.sql(ORACLE_SQL["complete_pages"])
+    assert sorted(tuple(r[c] for c in out.columns) for r in found.collect()) == sorted(out.fetchall())
+
+
+def test_pages_of_one_job_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(records, "ROWS", 100)
+    rows = [("hot", k % 700, 700) for k in range(1500)] + [("gap", 1, 2), ("gap", None, 2), ("gap", 1, None), (None, 5, 1), ("void", None, None)]
+    frame = spark.createDataFrame(rows, "pages string, page int, total int")
+    got = records.complete_pages(frame, ["pages"], "page", "total").toDF("job", "pages", "expected", "complete")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("hot", 700, 700, True), ("gap", 1, 2, False), (None, 1, 1, True), ("void", 0, None, None)], key=repr)
+    counted = records.complete_pages(frame, ["pages"], "page").toDF("job", "pages", "expected", "complete")
+    assert sorted(map(tuple, counted.collect()), key=repr) == sorted([("hot", 700, 1500, False), ("gap", 1, 3, False), (None, 1, 1, True), ("void", 0, 1, False)], key=repr)
+    assert set(dealt_to(counted)) == {16}
