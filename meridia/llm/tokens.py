@@ -114,34 +114,40 @@ class _Joined:
         room.tables.append(self.letters)
         self.signs = _Segments(tokenizer, "", room)
 
-    def learn(self, segments: list[str]) -> dict[str, bytes]:
-        """Ids of the segments it can take apart; the others are encoded alone, when met."""
-        known, signs, lower, found, open_ = self.letters, self.signs, self.rule == "dropped", {}, []
+    def learn(self, segments: list[str], found: dict[str, bytes]) -> list[str]:
+        """Puts the ids of the segments it can take apart into ``found``, and returns the others."""
+        known, signs, lower, open_, others = self.letters.get, self.signs, self.rule == "dropped", [], []
         for x in segments:
             letters = x.rstrip(_SIGNS)
-            n = len(letters)
-            if n > LONGEST or not letters.isalpha():
+            if not letters.isalpha() or len(letters) > LONGEST:
+                others.append(x)
                 continue
             if not letters.isascii():
                 if max(letters) >= _LATER:
+                    others.append(x)
                     continue
             elif lower:
                 letters = letters.lower()
-            ids = known.get(letters)
+            ids = known(letters)
             if ids is None:
-                open_.append((x, letters, n))
+                open_.append(x)
             else:
+                n = len(letters)
                 found[x] = ids + signs[x[n:]] if n < len(x) else ids
-        new, learnt = list({letters for _, letters, _ in open_}), {}
+        apart = [x.rstrip(_SIGNS) for x in open_]
+        keys = [w.lower() if w.isascii() else w for w in apart] if lower else apart
+        new, learnt = list(set(keys)), {}
         for k in range(0, len(new), JOINED):
             part = new[k : k + JOINED]
             learnt.update(zip(part, self._encode(part), strict=False))
-        for x, letters, n in open_:
-            ids = learnt.get(letters)
-            if ids is not None:
+        for x, letters, key in zip(open_, apart, keys, strict=True):
+            ids, n = learnt.get(key), len(letters)
+            if ids is None:
+                others.append(x)
+            else:
                 found[x] = ids + signs[x[n:]] if n < len(x) else ids
-        self.room.add(known, learnt)
-        return found
+        self.room.add(self.letters, learnt)
+        return others
 
     def _encode(self, part: list[str]) -> list[bytes]:
         [enc] = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
@@ -192,16 +198,16 @@ class Encoder:
 
     def _learn(self, segments: set[str]) -> _Local:
         # one table or the other holds a segment; letters with signs are put together each time
-        local, new, letters, rest = _Local(self.rest), [], self.joined.letters.get, self.rest.get
-        for x in segments:
-            ids = letters(x) or rest(x)
+        local, letters = _Local(self.rest), self.joined.letters
+        local.update((x, letters[x]) for x in segments & letters.keys())
+        new, rest = [], self.rest.get
+        for x in segments - local.keys():
+            ids = rest(x)
             if ids is None:
                 new.append(x)
             else:
                 local[x] = ids
-        found = self.joined.learn(new)
-        local.update(found)
-        local.update(self.rest.learn([x for x in new if x not in found and len(x) <= LONGEST]))
+        local.update(self.rest.learn([x for x in self.joined.learn(new, local) if len(x) <= LONGEST]))
         return local
 
     def _cut(self, text: str) -> list[list[str]] | None:
@@ -243,7 +249,11 @@ class Encoder:
         cuts = [self._cut(t) for t in texts]
         local = None
         if self.joined:
-            local = self._learn(set().union(*(words if self.rule == "dropped" else words[1:] for c in cuts if c for words in c)))
+            lines = [words for c in cuts if c for words in c]
+            if self.rule == "kept":  # a line's first word has no space before it
+                self.first.learn([x for x in {words[0] for words in lines} if len(x) <= LONGEST and x not in self.first])
+                lines = [words[1:] for words in lines]
+            local = self._learn(set().union(*lines))
         for text, cut in zip(texts, cuts, strict=True):
             yield self._ids(text, cut, local) if text else b""
 
