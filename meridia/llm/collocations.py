@@ -418,7 +418,9 @@ def phrase_counts(found: DataFrame, sets: list[np.ndarray]) -> DataFrame:
             count(name)
         yield from flush()
 
-    rows = found.mapInArrow(run, "lang string, phrase binary, f long")
+    # by ranges of the language: a phrase is then met by the tasks of its own language alone
+    dealt = found.repartitionByRange("lang", F.xxhash64("text"))
+    rows = dealt.mapInArrow(run, "lang string, phrase binary, f long")
     return rows.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
 
 
