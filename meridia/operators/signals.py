@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from meridia.functions.names import quoted, unused
 
-FIELDS = ("signal", "version", "start", "length", "byte_order", "signed", "factor", "offset", "unit", "from_us", "to_us")
+#: What of an entry goes along with the frames, besides its place.
+FIELDS = ("signal", "version", "factor", "offset", "unit", "from_us", "to_us")
 #: Width of the buckets in which frames and versions meet.
 BUCKET = 30 * 86_400_000_000
 
@@ -50,26 +51,34 @@ def digits(payload: Column) -> tuple[Column, Column]:
     return F.concat(text, F.lit("0" * 18)), F.concat(F.lit("0" * 18), F.regexp_replace(F.reverse(text), "(.)(.)", "$2$1"))
 
 
-def unsigned_field(forward: Column, backward: Column, start: Column, length: Column, order: Column) -> Column:
-    """The field's bits as a number from 0, from the payload's digits; null where it ends before the field."""
+def place(start: Column, length: Column, order: Column, signed: Column) -> Column:
+    """Where a field's bits lie in the digits, for each entry once and not for each frame: ``at``, the first
+    of the 18 digits that hold the field (from the end where bytes are read backwards); ``over``, as many
+    digits as there are more than; ``right``, bits behind the field in them; ``ones``, the field's bits;
+    ``sign``, the highest of them where the number is signed."""
     big = order == "big"
-    first, bit = F.floor(start / 8).cast("int"), F.pmod(start, F.lit(8)).cast("int")
+    first, bit = F.call_function("shiftright", start, F.lit(3)), start.bitwiseAND(7)
     before = F.when(big, 7 - bit).otherwise(bit)  # bits of the first byte before the field, in reading direction
-    bytes_ = (F.length(forward) / 2).cast("int") - 9
-    # 63 bits touch nine bytes at most: from the first one on, or back to it
-    window = F.when(big, F.substring(forward, 2 * first + 1, F.lit(18))).otherwise(F.substring(backward, 2 * (bytes_ - first) + 1, F.lit(18)))
+    last = first + F.call_function("shiftright", before + length - 1, F.lit(3))
+    return F.struct(
+        # 63 bits touch nine bytes at most: from the first one on, or back to it
+        F.when(big, 2 * first + 1).otherwise(-2 * (first + 9)).cast("int").alias("at"),
+        (2 * (last + 9)).alias("over"),
+        F.when(big, 72 - before - length).otherwise(before).cast("int").alias("right"),
+        _ones(length).alias("ones"),
+        F.when(F.coalesce(signed, F.lit(False)), F.call_function("shiftleft", F.lit(1).cast("long"), (length - 1).cast("int"))).otherwise(F.lit(0).cast("long")).alias("sign"),
+    )
+
+
+def field(forward: Column, backward: Column, where: Column) -> Column:
+    """The number that the field's bits stand for, from the payload's digits; in two's complement where it
+    is signed; null where the payload ends before the field."""
+    right, sign = where["right"], where["sign"]
+    window = F.substring(F.when(where["at"] > 0, forward).otherwise(backward), where["at"], F.lit(18))
     high, low = (F.conv(F.substring(window, at, 9), 16, 10).cast("long") for at in (1, 10))  # 36 bits each
-    right = F.when(big, 72 - before - length).otherwise(before).cast("int")
     shift = lambda way, c, n: F.call_function(f"shift{way}", c, n)
     moved = F.when(right >= 36, shift("right", high, right - 36)).otherwise(shift("left", high, 36 - right).bitwiseOR(shift("right", low, right)))
-    inside = first + F.floor((before + length - 1) / 8) < bytes_
-    return F.when(inside, moved.bitwiseAND(_ones(length)))
-
-
-def signed_field(raw: Column, length: Column, signed: Column) -> Column:
-    """The number that the bits stand for, in two's complement where the entry is signed."""
-    negative = F.coalesce(signed, F.lit(False)) & (F.call_function("shiftright", raw, length.cast("int") - 1) == 1)
-    return F.when(negative, raw - _ones(length) - 1).otherwise(raw)
+    return F.when(F.length(forward) > where["over"], moved.bitwiseAND(where["ones"]).bitwiseXOR(sign) - sign)
 
 
 def decode(frames: DataFrame, dictionary: DataFrame, message: str = "message", time: str = "ts_us", payload: str = "payload", bucket: int = BUCKET) -> DataFrame:
@@ -84,8 +93,9 @@ def decode(frames: DataFrame, dictionary: DataFrame, message: str = "message", t
     taken = frames.columns
     e, b, m, own, ahead, back = unused(taken, "_entry", "_bucket", "_message", "_own", "_ahead", "_back")
     [signal] = [F.col(e)]
-    at, raw = F.col(quoted(time)), F.col(quoted(payload))
-    entries = dictionary.select(F.col("message").alias(m), F.struct(*FIELDS).alias(e)).filter(F.col(m).isNotNull())
+    at, sent_bytes = F.col(quoted(time)), F.col(quoted(payload))
+    where = F.when(readable(F.col("start"), F.col("length"), F.col("byte_order")), place(*map(F.col, ("start", "length", "byte_order", "signed"))))
+    entries = dictionary.select(F.col("message").alias(m), F.struct(*FIELDS, where.alias("place")).alias(e)).filter(F.col(m).isNotNull())
     known = entries.select(m).distinct().withColumn(own, F.lit(True))
     low, high = (f(F.floor(at / bucket)) for f in (F.min, F.max))
     span = frames.select(low.alias("low"), high.alias("high")).first()  # two numbers
@@ -94,18 +104,16 @@ def decode(frames: DataFrame, dictionary: DataFrame, message: str = "message", t
     ends = F.least(F.lit(high), F.coalesce(F.floor((signal["to_us"] - 1) / bucket), F.lit(high)))
     sent = entries.filter(ends >= begins).withColumn(b, F.explode(F.sequence(begins, ends)))
     holds = (F.coalesce(signal["from_us"], at) <= at) & (at < F.coalesce(signal["to_us"], at + 1))
-    forward, backward = digits(F.coalesce(raw, F.unhex(F.lit(""))))
+    forward, backward = digits(F.coalesce(sent_bytes, F.unhex(F.lit(""))))
     keyed = frames.withColumns({b: F.floor(at / bucket), ahead: forward, back: backward})
     found = keyed.withColumnRenamed(b, f"{b}f").join(sent, (F.col(quoted(message)) == F.col(m)) & (F.col(f"{b}f") == F.col(b)) & holds, "left").drop(b, f"{b}f", m)
     found = found.join(known, F.col(quoted(message)) == F.col(m), "left").drop(m)
-    fine = readable(signal["start"], signal["length"], signal["byte_order"])
-    bits, field = unused([*taken, e, own, ahead, back], "_bits", "_field")
-    found = found.withColumn(bits, F.when(fine, unsigned_field(F.col(ahead), F.col(back), signal["start"], signal["length"], signal["byte_order"])))
-    found = found.withColumn(field, signed_field(F.col(bits), signal["length"], signal["signed"]))
-    field = F.col(field)
-    status = F.when(F.col(own).isNull(), "unknown_message").when(signal.isNull(), "no_version").when(~fine, "bad_entry").when(field.isNull(), "short_payload").otherwise("ok")
-    value = field.cast("double") * signal["factor"] + signal["offset"]
-    new = {"signal": signal["signal"], "version": signal["version"], "unit": signal["unit"], "raw": field, "value": value, "status": status}
+    [bits] = unused([*taken, e, own, ahead, back], "_bits")
+    found = found.withColumn(bits, F.when(signal["place"].isNotNull(), field(F.col(ahead), F.col(back), signal["place"])))
+    raw = F.col(bits)
+    status = F.when(F.col(own).isNull(), "unknown_message").when(signal.isNull(), "no_version").when(signal["place"].isNull(), "bad_entry").when(raw.isNull(), "short_payload").otherwise("ok")
+    value = raw.cast("double") * signal["factor"] + signal["offset"]
+    new = {"signal": signal["signal"], "version": signal["version"], "unit": signal["unit"], "raw": raw, "value": value, "status": status}
     kept = [F.col(quoted(c)) for c in taken if c.lower() not in new]
     return found.select(*kept, *(c.alias(name) for name, c in new.items()))
 

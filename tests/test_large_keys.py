@@ -53,3 +53,17 @@ def test_pages_of_one_job_are_many_tasks(spark, monkeypatch):
     counted = records.complete_pages(frame, ["pages"], "page").toDF("job", "pages", "expected", "complete")
     assert sorted(map(tuple, counted.collect()), key=repr) == sorted([("hot", 700, 1500, False), ("gap", 1, 3, False), (None, 1, 1, True), ("void", 0, 1, False)], key=repr)
     assert set(dealt_to(counted)) == {16}
+
+
+@pytest.mark.parametrize("name", ["signal_decode", "signal_dictionary_check"])
+def test_code_of_a_stage_is_compiled(name, spark, data):
+    # a method of over 8,000 bytes is interpreted by the JVM, byte by byte, for every frame
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    code, most = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(plan).iterator(), []
+    while code.hasNext():
+        most.append(code.next()._3().maxMethodCodeSize())
+    assert 0 < max(most) < 8000
