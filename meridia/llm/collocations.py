@@ -51,6 +51,8 @@ DEPTH, LEAST, TOP = 5, 100, 2000
 #: Bits of a set of frequent hashes, as a power of two; words of a shard's automaton; words of a
 #: task's vocabulary before it is flushed; word positions that are counted at once.
 BITS, SHARD, VOCABULARY, POSITIONS = 27, 100_000, 250_000, 1 << 21
+#: Bytes of text of a language whose words are held at once, about.
+GROUP = 1 << 21
 #: Different phrases of a task's shards that are held before they are sent.
 PHRASES = 250_000
 #: Hashes of a slice that are summed at once, about.
@@ -97,13 +99,34 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text as it is, or in parts of about ``GROUP`` bytes that end where a piece does."""
+    if len(text) <= GROUP:
+        yield text
+        return
+    text, at = text.translate(_SIGNS), 0
+    while at < len(text):
+        end = text.rfind(_END, at, at + GROUP)
+        if end < 0:  # a piece that is longer
+            end = text.find(_END, at + GROUP)
+        end = len(text) if end < 0 or len(text) - at <= GROUP else end + 1
+        yield text[at:end]
+        at = end
+
+
 def _batches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """(language, texts) of each language of each batch."""
+    """(language, texts) of each language of each batch, of about ``GROUP`` bytes at most."""
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         held: dict[str, list[bytes]] = {}
-        for lang, text in zip(langs, texts, strict=True):
-            held.setdefault(lang, []).append(text)
+        size: dict[str, int] = {}
+        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+            lang = lang.as_py()
+            for part in _pieces(text.as_py()):
+                if lang in held and size[lang] + len(part) > GROUP:
+                    yield lang, held.pop(lang)
+                    size[lang] = 0
+                held.setdefault(lang, []).append(part)
+                size[lang] = size.get(lang, 0) + len(part)
         yield from held.items()
 
 
