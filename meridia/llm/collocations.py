@@ -53,6 +53,8 @@ DEPTH, LEAST, TOP = 5, 100, 2000
 BITS, SHARD, VOCABULARY, POSITIONS = 27, 100_000, 250_000, 1 << 21
 #: Bytes of text of a language whose words are held at once, about.
 GROUP = 1 << 21
+#: Bytes of runs of a task, and the least that are worth a task of their own where cores are free.
+TASK, LEAST_TASK = 3 << 23, 1 << 21
 #: Different phrases of a task's shards that are held before they are sent.
 PHRASES = 250_000
 #: Hashes of a slice that are summed at once, about.
@@ -441,8 +443,11 @@ def phrase_counts(found: DataFrame, sets: list[np.ndarray]) -> DataFrame:
             count(name)
         yield from flush()
 
-    # by ranges of the language: a phrase is then met by the tasks of its own language alone
-    dealt = found.repartitionByRange("lang", F.xxhash64("text"))
+    # by ranges of the language: a phrase is then met by the tasks of its own language alone; and to no more
+    # tasks than their size asks for, as each sends the phrases that it has met
+    size = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(2, size // TASK, min(found.sparkSession.sparkContext.defaultParallelism, size // LEAST_TASK))
+    dealt = found.repartitionByRange(tasks, "lang", F.xxhash64("text"))
     rows = dealt.mapInArrow(run, "lang string, phrase binary, f long")
     return rows.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
 

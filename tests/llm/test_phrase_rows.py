@@ -51,3 +51,17 @@ def test_cuts_between_groups_lose_no_phrase(monkeypatch):
     groups = list(collocations._batches([batch]))
     assert len(groups) > 6
     assert pairs(groups) == pairs([("en", [text.encode(), b""]), ("de", [b"a b c"])])
+
+
+def test_tasks_are_as_many_as_their_size_asks_for(spark, monkeypatch):
+    rows = [(lang, bytearray(f"a b {w} .".encode())) for lang in ("de", "en") for w in "cdef" * 50]
+    found = spark.createDataFrame(rows, "lang string, text binary").repartition(16)
+    size, counts = sum(len(text) for _, text in rows), []
+    for task, least, tasks in ((1 << 20, 1 << 20, 2), (size // 8, 1 << 20, 8), (1 << 20, size // 3, 3)):
+        monkeypatch.setattr(collocations, "TASK", task, raising=False)
+        monkeypatch.setattr(collocations, "LEAST_TASK", least, raising=False)
+        dealt = collocations.phrase_counts(found, [])
+        assert f", {tasks}), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
+        counts.append(sorted((r["lang"], r["phrase"], r["f"]) for r in dealt.collect()))
+    assert counts[0] == counts[1] == counts[2]
+    assert len(counts[0]) == 18
